@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
+import string
 from array import array
 from collections.abc import Iterator
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from siltstone.llm.common import table
 
 #: Entries of a worker's piece cache; it starts anew when full.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 800_000
 #: Rows handed on at a time, so that a worker's memory follows the texts and not the batch.
 SLICE = 256
 
@@ -55,7 +55,7 @@ class Codec:
         self.longest = ahocorasick.Automaton()
         for token, rank in self.rank.items():
             if len(token) == 1 or rank in self.parts:
-                self.longest.add_word(token, (rank, len(token)))
+                self.longest.add_word(token, rank)
         self.longest.make_automaton()
         self.shorter = self._prefixes()
         self.size = [len(self.text_of.get(rank, "")) for rank in range(len(self.shorter))]
@@ -128,11 +128,22 @@ class Codec:
         raw = piece.encode().decode("latin-1")
         if (whole := self.rank.get(raw)) is not None:
             return array("i", [whole]).tobytes()
-        end_of_text = len(raw)
+        fits, before, ids = self.fits, -1, []
+        for _, token in self.longest.iter_long(raw):  # the longest matches one after another; most pieces need no more
+            if before >= 0:
+                if (good := fits.get(before << 32 | token)) is None:
+                    good = self._adjacent(before, token)
+                if not good:
+                    return self._backtrack(raw)
+            ids.append(token)
+            before = token
+        return array("i", ids).tobytes()
+
+    def _backtrack(self, raw: str) -> bytes:
+        end_of_text, size, shorter, fits = len(raw), self.size, self.shorter, self.fits
         longest = [-1] * end_of_text
-        for end, (rank, length) in self.longest.iter(raw):
-            longest[end - length + 1] = rank
-        size, shorter, fits = self.size, self.shorter, self.fits
+        for end, token in self.longest.iter(raw):
+            longest[end - size[token] + 1] = token
         dead: set[int] = set()
         ids: list[int] = []
         starts: list[int] = []
@@ -163,7 +174,7 @@ class Codec:
 
     def encode_piece(self, piece: str) -> bytes:
         if (found := self.piece_ids.get(piece)) is None:
-            if len(self.piece_ids) >= CACHE_ENTRIES:
+            if len(self.piece_ids) >= CACHE_ENTRIES // 4:
                 self.piece_ids.clear()
             found = self._encode_piece(piece)
             if len(piece) < 64:
@@ -174,7 +185,7 @@ class Codec:
         """Ids as int32. Where single spaces alone separate words, whole words are looked up: no match of the pattern crosses such a space."""
         if not text:
             return np.empty(0, "<i4")
-        if _LOOSE_SPACE.search(text):
+        if text[0] == ' ' or text[-1] == ' ' or any(x in text for x in _LOOSE_SPACE):
             return np.frombuffer(b"".join(map(self.encode_piece, self.split.findall(text))), "<i4")
         first, *rest = text.split(" ")
         return np.frombuffer(self.head[first] + b"".join(map(self.after_space.__getitem__, rest)), "<i4")
@@ -183,22 +194,30 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-_LOOSE_SPACE = re.compile(r"\A |[ ]\s|\s[ ]| \Z")
+_MARKS = string.punctuation.replace("'", "")
+#: White space beside a space, or any but line breaks: such texts go through the pattern as a whole.
+_LOOSE_SPACE = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))
 
 
 class _Pieces(dict):
-    """Ids, as bytes, of what stands between two single spaces, with the space before it."""
+    """Ids, as bytes, of what stands between two single spaces, with the space before it; it holds plain words, with marks after them or not."""
 
     def __init__(self, codec: Codec, prefix: str) -> None:
         self.codec, self.prefix = codec, prefix
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = b"".join(map(self.codec.encode_piece, self.codec.split.findall(self.prefix + word)))
-        if len(word) < 64:
-            self[word] = ids
-        return ids
+        core = word.rstrip(_MARKS)
+        if core.isalpha():
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            if len(core) < len(word):  # letters and then marks: two matches of the pattern
+                ids = self[core] + self.codec.encode_piece(word[len(core) :])
+            else:
+                ids = self.codec._encode_piece(self.prefix + word)
+            if len(word) < 64:
+                self[word] = ids
+            return ids
+        return b"".join(map(self.codec.encode_piece, self.codec.split.findall(self.prefix + word)))
 
 
 _codecs: dict[bytes, Codec] = {}
@@ -244,7 +263,9 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids", ou
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)
-                yield _with(batch, out, pa.array([c.decode(x or ()) for x in batch.column(at).to_pylist()], pa.binary()))
+                column = batch.column(at)
+                flat, ends = column.flatten().to_numpy().tolist(), np.cumsum(column.value_lengths().fill_null(0).to_numpy()).tolist()
+                yield _with(batch, out, pa.array([c.decode(flat[i:j]) for i, j in zip([0, *ends], ends)], pa.binary()))
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
