@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from siltstone.llm.byte_bpe import op1_byte_bpe
+from siltstone.llm.embedding_dedup import op6_embedding_dedup
 from siltstone.llm.packing import op3_packing
 from siltstone.llm.sharding import op7_sharding
 from siltstone.llm.token_counts import op2_token_counts
+from siltstone.llm.topk import op8_topk
+from siltstone.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_packing, op7_sharding)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_packing, op6_embedding_dedup, op7_sharding, op8_topk, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
