@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, id_col: s
         keys, weights, bias = train([np.frombuffer(x, "<u4") for x in frame["features"]], frame["toxic"].to_numpy(float))
         return pd.DataFrame({"keys": [keys.astype("<u4").tobytes()], "weights": [weights.tobytes()], "bias": [bias]})
 
-    model = _feature_sets(rows).groupBy(F.lit(0)).applyInPandas(learn, "keys binary, weights binary, bias double").first()
+    model = _feature_sets(rows).groupBy(F.lit("all").alias("sample")).applyInPandas(learn, "keys binary, weights binary, bias double").first()
     if model is None:
         return np.empty(0, np.uint32), np.empty(0), -40.0
     return np.frombuffer(model["keys"], "<u4"), np.frombuffer(model["weights"]), model["bias"]
