@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from siltstone.llm.byte_bpe import op1_byte_bpe
 from siltstone.llm.embedding_dedup import op6_embedding_dedup
+from siltstone.llm.line_dedup import SQL as LINE_DEDUP_SQL
+from siltstone.llm.line_dedup import op4_line_dedup
+from siltstone.llm.near_dedup import op9_near_dedup
 from siltstone.llm.packing import op3_packing
+from siltstone.llm.pii import op5_pii
 from siltstone.llm.sharding import op7_sharding
 from siltstone.llm.token_counts import op2_token_counts
 from siltstone.llm.topk import op8_topk
@@ -12,8 +16,21 @@ from siltstone.llm.toxicity import op10_toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_byte_bpe, op2_token_counts, op3_packing, op6_embedding_dedup, op7_sharding, op8_topk, op10_toxicity)}
+    ops = (
+        op1_byte_bpe,
+        op2_token_counts,
+        op3_packing,
+        op4_line_dedup,
+        op5_pii,
+        op6_embedding_dedup,
+        op7_sharding,
+        op8_topk,
+        op9_near_dedup,
+        op10_toxicity,
+    )
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can express an operator over its whole table; the others are tested against brute force."""
+    return {"op4_line_dedup": LINE_DEDUP_SQL}
