@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import string
 import unicodedata
 from collections import deque
@@ -36,11 +35,11 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 8, 48
 STRIDE = 256
 #: Ids in a block: its last window is padded, which is one in 500.
 BLOCK = 1_000_000
-CACHE_ENTRIES = 500_000
-SLICE = 128
+CACHE_ENTRIES = 1_000_000
+SLICE = 256
 
 _PUNCTUATION = string.punctuation
-_CONTROL = re.compile("[\x1c-\x1f]")
+_CONTROL = "\x1c\x1d\x1e\x1f"
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -67,55 +66,59 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.stops = np.zeros(len(self.ends), bool)
+        self.stops[[i for token, i in vocabulary.items() if token in (".</w>", "!</w>", "?</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _together(self, cores: list[str]) -> None:
-        if not cores:
+    def _together(self, plain: list[str]) -> None:
+        if not plain:
             return
-        ids = self._whole(" ".join(cores))
+        ids = self._whole(" ".join(plain))
         cuts = np.flatnonzero(self.ends[ids]) + 1
-        if len(cuts) == len(cores):
-            self.cores.update(zip(cores, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
+        if len(cuts) == len(plain):
+            data, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+            self.words.update((x, data[i:j]) for x, i, j in zip(plain, at, at[1:]))
         else:
-            self.cores.update((x, self._whole(x).tobytes()) for x in cores)
+            self.words.update((x, self._whole(x).tobytes()) for x in plain)
 
-    def _learn(self, new: set[str]) -> None:
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.cores) > CACHE_ENTRIES:
-            self.cores.clear()
-        simple = {}
+    def _learn(self, new: list[str]) -> None:
+        known = self.words
+        plain, odd, parted = set(), [], []
         for word in new:
+            if word.isalpha():
+                plain.add(word)
+                continue
             core = word.strip(_PUNCTUATION)
-            if core.isalpha() and _lowered(core).isalpha() and "'" not in word and "<|" not in word:
-                at = word.index(core)
-                simple[word] = (word[:at], core, word[at + len(core) :])
-            else:
-                self.words[word] = self._whole(word).tobytes()
-        self._together([x for x in {core for _, core, _ in simple.values()} if x not in self.cores])
-        for mark in {x for before, _, after in simple.values() for x in (before, after)}:
-            if mark not in self.cores:
-                self.cores[mark] = self._whole(mark).tobytes()
-        for word, parts in simple.items():
-            self.words[word] = b"".join(map(self.cores.__getitem__, parts))
+            if not core.isalpha() or "'" in word or "<|" in word or not _lowered(core).isalpha():
+                odd.append(word)
+                continue
+            at = word.index(core)
+            before, after = word[:at], word[at + len(core) :]
+            parted.append((word, before, core, after))
+            if core not in known:
+                plain.add(core)
+            odd += [x for x in (before, after) if x and x not in known]
+        self._together(list(plain))
+        for word in odd:
+            if word not in known:
+                known[word] = self._whole(word).tobytes()
+        known[""] = b""
+        for word, before, core, after in parted:
+            known[word] = known[before] + known[core] + known[after]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text its ids and the places, counted in ids, where sentences end."""
-        split = [None if _CONTROL.search(x) else x.split() for x in texts]
-        self._learn({w for words in split if words for w in words} - self.words.keys())
+        if len(self.words) > CACHE_ENTRIES:
+            self.words.clear()
+        split = [None if any(c in x for c in _CONTROL) else x.split() for x in texts]
+        self._learn([w for w in set().union(*(words for words in split if words)) if w not in self.words])
         out = []
         for text, words in zip(texts, split):
-            if words is None:
-                out.append((self._whole(text), np.empty(0, np.int64)))
-                continue
-            parts = list(map(self.words.__getitem__, words))
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-            stops = [i for i, w in enumerate(words) if w[-1] in ".!?"]
-            out.append((np.frombuffer(b"".join(parts), "<u4"), ends[stops]))
+            ids = self._whole(text) if words is None else np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
+            out.append((ids, np.flatnonzero(self.stops[ids]) + 1))
         return out
 
 
