@@ -4,13 +4,13 @@ A text's set holds its distinct shingles of ``words`` words, hashed to 64 bits;
 sequence is one. Equal sets are one class from the start. Each tree sends every class down one path: at
 each node the set's minwise token, under a hash that the path chooses, leads to the next node, so two sets
 go the same way with the probability of their similarity. Small nodes are compared exhaustively. A large
-node compares all its members with one pivot and branches on, as far as ``DEPTH``. The trees are
+node compares all its members with two pivots, one drawn and one that meets most others, and branches on, as far as ``DEPTH``. The trees are
 independent and repeated to the target recall: a pair at similarity 0.8 that needs the whole depth is
 missed by all ten with a probability under 0.006, one that meets in the first nodes with under 1e-6.
 
-Candidates are confirmed on full sets, in two rounds: the links of the first trees give components, and of
-the rest only pairs that join two components are looked at, as links inside one change nothing. Of a node
-still large at the last depth, members outside its largest component are compared with all members of
+Candidates are confirmed on full sets, in rounds: the links of the first trees give components, and of the
+rest only pairs that join two components are looked at, as links inside one change nothing. At last, of a
+node still large at the last depth, members outside its largest component are compared with all members of
 other components. So nothing grows with the square of a group of copies, and no group meets in one task.
 
 Texts that are null or have no words have no set and link with nothing, nor do rows with a null id (their
@@ -36,6 +36,8 @@ TREES, DEPTH = 10, 4
 FIRST_TREES = 2
 #: Members up to which a node is compared exhaustively.
 SMALL_NODE = 12
+#: Members of a large node in a block, and shingles looked at at a time.
+BLOCK, COLUMNS = 256, 8_192
 WORDS_KEPT = 500_000
 SLICE = 256
 #: Shingles from which a set's trees are hashed one by one, to bound memory.
@@ -125,21 +127,27 @@ def _alike(a: str, b: str, percent: int) -> F.Column:
 def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, tree) with a < b; members (node, id, n) of nodes that are still large at the last depth."""
     rows = classes.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rest")
-    rows = rows.select("id", "n", "tree", F.slice("rest", F.col("tree") * DEPTH + 1, DEPTH).alias("chain"))
+    rows = rows.select("id", "n", "tree", F.slice("rest", F.col("tree") * DEPTH + 1, DEPTH).alias("chain"), F.lit(None).cast("long").alias("weight"))
     pairs = None
     for level in range(DEPTH):
         rows = rows.withColumn("node", F.col("chain")[level])
-        draw = F.struct(F.xxhash64("id", "node").alias("h"), F.col("id").alias("pivot"), F.col("n").alias("pivot_n"))
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.min(draw).alias("p")).where("size > 1")
-        met = stored(rows.join(nodes.select("node", "size", "p.pivot", "p.pivot_n"), "node"))
+        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = stored(rows.join(nodes, "node"))
         few = met.where(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
         both = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
         few = few.select("tree", F.explode(both).alias("p")).select("p.a", "p.b", "tree")
         many = met.where(F.col("size") > SMALL_NODE)
-        star = many.where((F.col("id") != F.col("pivot")) & _alike("n", "pivot_n", percent)).select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"), "tree")
+        if level == 0:  # what most copies are made from meets most of them, in most trees
+            weights = many.groupBy("id").agg(F.sum("size").alias("weight"))
+            many = stored(many.drop("weight").join(weights, "id").select(met.columns))
+        chance = F.xxhash64("id", "node")
+        picks = many.groupBy("node").agg(F.max(F.struct("weight", chance.alias("h"), "id", "n")).alias("central"), F.min(F.struct(chance.alias("h"), "id", "n")).alias("drawn"))
+        picks = picks.select("node", F.explode(F.array(*(F.struct(f"{p}.id", f"{p}.n") for p in ("central", "drawn")))).alias("p"))
+        star = many.join(picks, "node").where((F.col("id") != F.col("p.id")) & _alike("n", "p.n", percent))
+        star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), "tree")
         found = few.unionByName(star)
         pairs = found if pairs is None else pairs.unionByName(found)
-        rows = many.select("id", "n", "tree", "chain", "node")
+        rows = many.select("id", "n", "tree", "chain", "node", "weight")
     return stored(pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))), rows.select("node", "id", "n")
 
 
@@ -160,6 +168,73 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return stored(both.mapInArrow(run, "a long, b long"))
 
 
+def _incidence(sets: list[np.ndarray], every: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(sets), len(every)), np.float32)
+    for row, s in zip(out, sets):
+        at = np.searchsorted(every, s)
+        row[at[at < len(every)][every[at[at < len(every)]] == s[at < len(every)]]] = 1
+    return out
+
+
+def _alike_across(left: list[np.ndarray], right: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets of the left are similar enough to which of the right."""
+    shared = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    common = np.zeros((len(left), len(right)), np.int64)
+    for k in range(0, len(shared), COLUMNS):
+        part = shared[k : k + COLUMNS]
+        common += (_incidence(left, part) @ _incidence(right, part).T).astype(np.int64)
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])
+    return 100 * common >= percent * (sizes - common)
+
+
+def _confirm_large(within: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components within large nodes.
+
+    ``within``: (node, id, n, label). A node's members outside its largest component meet all its members,
+    block by block; a block's work yields one link for each member and component that it reaches.
+    """
+    largest = within.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"), (F.sum("count") - F.max("count")).alias("outside"))
+    shape = largest.where("outside > 0").select("node", "main", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("members", "outside")))
+    rows = within.join(shape, "node")
+    own = F.xxhash64("id")
+    left = rows.where(F.col("label") != F.col("main")).select("node", F.pmod(own, F.col("outside")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("j"), F.lit(0).alias("side"), "id", "label")
+    right = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), F.pmod(own, F.col("members")).cast("int").alias("j"), F.lit(1).alias("side"), "id", "label")
+    dealt = left.unionByName(right).join(sets, "id").select("node", "i", "j", "side", "id", "label", "rest")
+    dealt = dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def work(part: pa.Table) -> pa.RecordBatch:
+            node, i, j, side, ids, label = (part.column(c).to_numpy() for c in ("node", "i", "j", "side", "id", "label"))
+            blobs = [np.frombuffer(x, "<u8") for x in part.column("rest").to_pylist()]
+            new = np.flatnonzero((np.diff(node) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            out: list[tuple[int, int]] = []
+            for a, b in zip([0, *new], [*new, len(node)]):
+                cut = a + int((side[a:b] == 0).sum())
+                if a == cut or cut == b:
+                    continue
+                alike = _alike_across(blobs[a:cut], blobs[cut:b], percent) & (label[a:cut, None] != label[None, cut:b])
+                for row in np.flatnonzero(alike.any(axis=1)):
+                    reached = cut + np.flatnonzero(alike[row])
+                    out += [(int(ids[a + row]), int(ids[k])) for k in reached[np.unique(label[reached], return_index=True)[1]]]
+            columns = zip(*out) if out else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, rows]) if held is not None else rows
+            keys = [held.column(c).to_numpy() for c in ("node", "i", "j")]
+            before = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if held.num_rows else []
+            if len(before):  # all groups but the last are whole
+                yield work(held.slice(0, before[-1] + 1))
+                held = held.slice(before[-1] + 1)
+        if held is not None and held.num_rows:
+            yield work(held)
+
+    return stored(dealt.mapInArrow(run, "a long, b long"))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     found = labels.select(F.col("id").alias(column), F.col("label").alias("__label"))
     return rows.join(found, column, "left").withColumn(out, F.coalesce("__label", column)).drop("__label")
@@ -172,7 +247,7 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     # One class for equal sets; its smallest id stands for it. All rows of a class have the same nodes.
     classes = every.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
     members = stored(every.where("n > 0 and id is not null").select("id", "digest").join(classes, "digest"))
-    first = members.where("id = rep").select("id", "digest").distinct()
+    first = classes.select(F.col("rep").alias("id"), "digest")
     reps = stored(every.where("n > 0").join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "n", "rest"))
     pairs, deep = _candidates(reps, percent)
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(deep.select("id")).distinct())
@@ -181,13 +256,11 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCEN
     links = _confirm(pairs.where(F.col("tree") < FIRST_TREES), sets, percent)
     labels = components(links)
     apart = _labelled(_labelled(pairs.where(F.col("tree") >= FIRST_TREES), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    within = stored(_labelled(deep, labels, "id", "label"))
-    largest = within.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    outside = within.join(largest, "node").where(F.col("label") != F.col("main"))
-    cross = outside.select("node", F.col("id").alias("u"), F.col("n").alias("un"), F.col("label").alias("lu")).join(within, "node")
-    cross = cross.where((F.col("label") != F.col("lu")) & _alike("n", "un", percent)).select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b"))
-    more = _confirm(stored(apart.unionByName(cross).distinct()), sets, percent)
+    more = _confirm(stored(apart), sets, percent)
     labels = components(links.unionByName(more))
+    within = stored(_labelled(deep, labels, "id", "label"))
+    last = _confirm_large(within, sets, percent)
+    labels = components(links.unionByName(more).unionByName(last))
     named = _labelled(members.select("id", "digest", "rep"), labels, "rep", "component_id").select("digest", "rep", "component_id")
     named = named.groupBy("digest").agg(F.first("component_id").alias("component_id"))
     judged = every.select("id", "n", "digest").join(named, "digest", "left")
