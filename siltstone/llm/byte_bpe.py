@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import table
+from siltstone.llm.common import table, take_turn
 
 #: Entries of a worker's piece cache; it starts anew when full.
 CACHE_ENTRIES = 800_000
@@ -225,6 +225,7 @@ _codecs: dict[bytes, Codec] = {}
 
 def codec(content: bytes, pattern: str) -> Codec:
     """One codec for each vocabulary in a Python worker."""
+    take_turn("byte_bpe", _codecs.clear)
     key = hashlib.sha256(content + pattern.encode()).digest()
     if key not in _codecs:
         _codecs[key] = Codec(content, pattern)

@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,20 @@ from pyspark.sql import functions as F
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
 
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def take_turn(name: str, clear: Callable[[], None]) -> None:
+    """Called by a task that is about to use its worker's cache ``name``: those of other operators are emptied.
+
+    Python workers outlive their tasks, and the caches of several operators together would crowd an executor.
+    """
+    for other, empty in _caches.items():
+        if other != name:
+            empty()
+    _caches[name] = clear
+
+
 _scratch: list[tuple[SparkSession, str]] = []
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import small, stored, table
+from siltstone.llm.common import small, stored, table, take_turn
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: 32 MB, in 1,024 segments. Made for about 10 million different lines; give more bits to larger corpora.
@@ -76,6 +76,7 @@ def _filters(texts: DataFrame, chars: int) -> DataFrame:
     """(segment, once, twice) of each task's own lines; packed, so that they follow the task's lines and not the filter's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_turn("line_dedup", int)
         once, twice, any_line = Bloom(), Bloom(), False
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, small, stored, table
+from siltstone.llm.common import components, small, stored, table, take_turn
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH = 10, 4
@@ -38,7 +38,7 @@ FIRST_TREES = 2
 SMALL_NODE = 12
 #: Members of a large node in a block, and shingles looked at at a time.
 BLOCK, COLUMNS = 256, 8_192
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 SLICE = 256
 #: Shingles from which a set's trees are hashed one by one, to bound memory.
 LONG = 100_000
@@ -58,6 +58,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _begin() -> None:
+    take_turn("near_dedup", _hashes.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _S)) * _M[0]
     x = (x ^ (x >> _S)) * _M[1]
@@ -104,6 +108,7 @@ def _sets(docs: DataFrame, words: int, full: bool) -> DataFrame:
     """Of (id, text): id, n, digest, and either the nodes of all trees or the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import table, take_turn
 from siltstone.llm.token_counts import read_tokenizer
 
 LENGTH = 2048
@@ -122,6 +122,15 @@ class WordEncoder:
         return out
 
 
+def word_encoder(content: bytes) -> WordEncoder:
+    """One encoder for each tokenizer in a Python worker."""
+    take_turn("packing", _encoders.clear)
+    key = hashlib.sha256(content).hexdigest()
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(content)
+    return _encoders[key]
+
+
 def windows(at: np.ndarray, penalty: np.ndarray, length: int) -> np.ndarray:
     """Indexes into ``at`` of the cuts of least padding and penalties; the first is 0, the last the end.
 
@@ -175,10 +184,7 @@ def pack(df: DataFrame, tokenizer_path: str, end_id: int = 1, length: int = LENG
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        content = shared.value
-        if (key := hashlib.sha256(content).hexdigest()) not in _encoders:
-            _encoders[key] = WordEncoder(content)
-        encoder, last = _encoders[key], np.array([end_id], "<u4")
+        encoder, last = word_encoder(shared.value), np.array([end_id], "<u4")
         sequence = TaskContext.get().partitionId() << 32
         keys: list[pa.Array] = []
         ids: list[np.ndarray] = []

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import stored, table, take_turn
 
 #: The bound of the labelled sample that the model is fitted on.
 SAMPLE_DOCS = 16_000
@@ -33,7 +33,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 LEAST_DOCS = 3
 #: Weights that a model may have at most; the largest stay. They are what is broadcast.
 MOST_WEIGHTS = 200_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 200_000
 SLICE = 256
 _KEY_BITS = 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -50,6 +50,10 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
+def _begin() -> None:
+    take_turn("toxicity", _hashes.clear)
+
+
 def features(text: str | None) -> np.ndarray:
     """Hashes of all words, pairs and skip pairs in their order; repeated ones stay."""
     words = (text or "").lower().split()
@@ -100,6 +104,7 @@ def train(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _feature_sets(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)
@@ -132,6 +137,7 @@ def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
         keys, weights, bias = shared.value
         low = np.uint32((1 << _KEY_BITS) - 1)
         likely = np.zeros(1 << _KEY_BITS, bool)
