@@ -103,17 +103,23 @@ def _entity(span: Column) -> Column:
 
 def revealing_terms(based: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """(term, entity) that exceed the threshold; and (id, term) of all documents that hold such a term, None if there are no terms."""
-    spans = based.where(F.size("base") > 0).select(F.col(text).alias("text"), F.explode("base").alias("s"))
+    spans = based.where(F.size("base") > 0).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.explode("base").alias("s"))
     before = F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
     after = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
     before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
     around = F.lower(F.concat_ws(" | ", before, F.regexp_replace(after, r"\S*$", "")))
-    words = spans.select(_entity(F.col("s")).alias("entity"), F.regexp_extract_all(around, F.lit(WORD), F.lit(0)).alias("words"))
-    near = words.select("entity", F.posexplode("words").alias("at", "term"), "words")
+    words = stored(spans.select("id", _entity(F.col("s")).alias("entity"), F.regexp_extract_all(around, F.lit(WORD), F.lit(0)).alias("words")))
+    near = words.select("id", "entity", F.posexplode("words").alias("at", "term"), "words")
     surroundings = F.xxhash64(F.get("words", F.col("at") - 1), F.get("words", F.col("at") + 1))
     evidence = near.select("term", "entity", surroundings.alias("context")).groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("n"))
     pairs = evidence.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("times"))
-    pairs = stored(pairs.where((F.col("contexts") >= MIN_CONTEXTS) & (2 * F.col("contexts") >= F.col("times"))).select("term", "entity"))
+    pairs = pairs.where((F.col("contexts") >= MIN_CONTEXTS) & (2 * F.col("contexts") >= F.col("times"))).select("term", "entity")
+    # At most the entity's documents hold both, and at least those where the term is near any entity hold the term:
+    # what this bound puts under the threshold needs no count over the corpus.
+    entity_docs = words.where("id is not null").select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("most"))
+    term_docs = near.where("id is not null").select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
+    bounded = pairs.join(entity_docs, "entity").join(term_docs, "term").where(F.col("most") >= DISCLOSURE * F.col("least"))
+    pairs = stored(bounded.select("term", "entity"))
     if pairs.isEmpty():
         return pairs, None
     terms = stored(pairs.select("term").distinct())
