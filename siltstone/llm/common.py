@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +23,10 @@ def take_turn(name: str, clear: Callable[[], None]) -> None:
 
     Python workers outlive their tasks, and the caches of several operators together would crowd an executor.
     """
-    for other, empty in _caches.items():
-        if other != name:
-            empty()
+    if others := [other for other in _caches if other != name]:
+        for other in others:
+            _caches.pop(other)()
+        pa.default_memory_pool().release_unused()
     _caches[name] = clear
 
 

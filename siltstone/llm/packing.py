@@ -35,7 +35,8 @@ SENTENCE_PENALTY, INSIDE_PENALTY = 8, 48
 STRIDE = 256
 #: Ids in a block: its last window is padded, which is one in 500.
 BLOCK = 1_000_000
-CACHE_ENTRIES = 1_000_000
+#: Kept under what makes a dictionary of words double its table.
+CACHE_ENTRIES = 650_000
 SLICE = 256
 
 _PUNCTUATION = string.punctuation
@@ -84,7 +85,7 @@ class WordEncoder:
         else:
             self.words.update((x, self._whole(x).tobytes()) for x in plain)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: set[str]) -> None:
         known = self.words
         plain, odd, parted = set(), [], []
         for word in new:
@@ -114,7 +115,7 @@ class WordEncoder:
         if len(self.words) > CACHE_ENTRIES:
             self.words.clear()
         split = [None if any(c in x for c in _CONTROL) else x.split() for x in texts]
-        self._learn([w for w in set().union(*(words for words in split if words)) if w not in self.words])
+        self._learn(set().union(*(words for words in split if words)).difference(self.words))
         out = []
         for text, words in zip(texts, split):
             ids = self._whole(text) if words is None else np.frombuffer(b"".join(map(self.words.__getitem__, words)), "<u4")
