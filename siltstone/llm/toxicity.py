@@ -1,8 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the words, the pairs of neighbours and the pairs with one word between, each present
-or not, hashed to 32 bits. Words are lower-cased and freed of outer marks. The weights are learned with a
-rate for each coordinate; the L1 term leaves most at zero, so those that stay are few and are broadcast.
+A text's features are the words, the pairs of neighbours, the pairs with one word between and the stems of
+longer words (their first ``STEMS`` letters, so that a rare form is known by its kin), each present or not,
+hashed to 32 bits. Words are lower-cased and freed of outer marks. The weights are learned with a rate for
+each coordinate; the L1 term leaves most at zero, so those that stay are few and are broadcast.
 
 Training takes a bounded sample (``SAMPLE_DOCS``) of the labelled rows, chosen by a hash of their ids, and
 runs as one task over their features alone. Scores depend on the text only. Null and empty texts have no
@@ -34,6 +35,8 @@ LEAST_DOCS = 3
 #: Weights that a model may have at most; the largest stay. They are what is broadcast.
 MOST_WEIGHTS = 200_000
 WORDS_KEPT = 200_000
+#: Letters of a word's stems; a word has those that it is longer than.
+STEMS = (6, 8)
 SLICE = 256
 _KEY_BITS = 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -47,21 +50,41 @@ class _WordHashes(dict):
         return value
 
 
-_hashes = _WordHashes()
+class _StemHashes(dict):
+    """Both stems' 32-bit hashes in one number; 0 stands for none."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= WORDS_KEPT:
+            self.clear()
+        bare = word.strip(string.punctuation)
+        value = 0
+        for letters in STEMS:
+            value = value << 32 | (xxhash.xxh3_64_intdigest(f"{bare[:letters]}*") >> 32 if len(bare) > letters else 0)
+        self[word] = value
+        return value
+
+
+_hashes, _stems = _WordHashes(), _StemHashes()
+
+
+def _clear() -> None:
+    _hashes.clear()
+    _stems.clear()
 
 
 def _begin() -> None:
-    take_turn("toxicity", _hashes.clear)
+    take_turn("toxicity", _clear)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashes of all words, pairs and skip pairs in their order; repeated ones stay."""
+    """Hashes of all words, pairs and skip pairs in their order, and of stems; repeated ones stay."""
     words = (text or "").lower().split()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     pairs = (h[:-1] * _MIX[0]) ^ (h[1:] * _MIX[1] + _MIX[4])
     skips = (h[:-2] * _MIX[2]) ^ (h[2:] * _MIX[3] + _MIX[4])
     every = np.concatenate([h, pairs * _MIX[2], skips * _MIX[0]])
-    return (every >> np.uint64(32)).astype(np.uint32)
+    stems = np.fromiter(map(_stems.__getitem__, words), np.uint64, len(words)).view(np.uint32)
+    return np.concatenate([(every >> np.uint64(32)).astype(np.uint32), stems[stems != 0]])
 
 
 def train(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
