@@ -1,4 +1,7 @@
-"""python -m siltstone.cli info | profile | quality | analyze | bench, over the trade tables in --data."""
+"""python -m siltstone.cli info | profile | quality | analyze | bench, over the trade tables in --data.
+
+And: pipeline --trips CSV --zones CSV --out FOLDER, which builds the flagged fact from files.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +10,31 @@ import argparse
 from pyspark.sql import SparkSession
 
 from siltstone.operators import flags, transform
-from siltstone.plans import catalogue, compare
+from siltstone.plans import build, catalogue, compare
 from siltstone.plans import workflows as w
+from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade, landed_trade
 
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("command", choices=["info", "profile", "quality", "analyze", "bench"])
+    parser.add_argument("command", choices=["info", "pipeline", "profile", "quality", "analyze", "bench"])
     parser.add_argument("--data", default="/root/testdata/sf0.01")
     parser.add_argument("--sample", metavar="RULE", help="with quality: rows of one rule")
     parser.add_argument("--derive-thresholds", action="store_true")
     parser.add_argument("--repeat", type=int, default=3)
+    for name in ("trips", "zones", "out"):
+        parser.add_argument(f"--{name}", help="with pipeline")
     args = parser.parse_args(argv)
+    if args.command == "pipeline" and not (args.trips and args.zones and args.out):
+        parser.error("pipeline needs --trips, --zones and --out")
     spark = SparkSession.builder.appName("siltstone").getOrCreate()
     if args.command == "info":
         print(spark.version, *sorted(catalogue.queries()), sep="\n")
         return
+    if args.command == "pipeline":
+        flags.summary(build.build(spark, args.trips, args.zones, args.out), TRIPS).show(50, False)
+        return
     if args.command == "profile":
         transform.profile_raw(landed_trade(spark, args.data)).show(50, False)
         return

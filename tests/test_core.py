@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators import flags, tariff, transform
 from siltstone.operators.registry import Registry, Rule
-from siltstone.plans import compare
+from siltstone.plans import build, compare
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade
@@ -34,6 +34,18 @@ def test_landing_casts_and_rejects(spark, tmp_path):
     assert issues["distance: thousands separated by commas"] == 1 and issues["fare: no number even without commas"] == 1 and issues["ehail_fee missing"] == 6
 
 
+def test_build_from_files_and_flag_anew(spark, tmp_path):
+    rows = [{}, {"pickup": "no time"}, {"distance": "5"}, {"distance": "1,200", "pu_location": "3"}]
+    lines = [",".join(build.TRIP_COLUMNS.values())] + [",".join(f'"{v}"' if "," in (v := {**GOOD, **r}[c]) else v for c in build.TRIP_COLUMNS) for r in rows]
+    (tmp_path / "trips.csv").write_text("\n".join(lines))
+    (tmp_path / "zones.csv").write_text("LocationID,Borough,Zone,service_zone\n1,Queens,Astoria,x\n2,Bronx,Fordham,x\nnone,x,x,x")
+    flagged = build.build(spark, str(tmp_path / "trips.csv"), str(tmp_path / "zones.csv"), str(tmp_path / "out"))
+    assert [(float(r.distance), r.pu_borough, r.q_excessive_distance, r.q_unknown_zone) for r in flagged.orderBy("raw_id").collect()] == [(2, "Queens", 0, 0), (5, "Queens", 0, 0), (1200, "Unknown", 1, 1)]
+    assert spark.read.parquet(str(tmp_path / "out/rejects")).count() == 1 and spark.read.parquet(str(tmp_path / "out/zones")).count() == 2
+    again = build.reflag(spark, str(tmp_path / "out"), {"max_distance": 4})
+    assert again.agg(F.sum("q_excessive_distance")).first()[0] == 2
+
+
 FIRES = {
     "non_positive_distance": ({"distance": "0"}, {"distance": "0.01"}),
     "non_positive_duration": ({"dropoff": GOOD["pickup"]}, {"dropoff": "03/04/2023 12:26:50 AM"}),
