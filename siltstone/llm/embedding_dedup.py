@@ -1,11 +1,13 @@
 """Near duplicates among embeddings by iterative quantisation and multi-index Hamming tables.
 
-Equal vectors are one class. A rotation learned on a bounded sample (``SAMPLE``) turns each class's vector
-into a code of at most 64 balanced bits. Each table is keyed by a window of the code's bits; windows are as
-wide as the number of classes asks for, and there are as many tables as bring a pair at the threshold
-together in one of them with probability ``RECALL``. Vectors that meet in a bucket are compared in double
-precision with their original components. A bucket larger than ``BLOCK`` is dealt out as pairs of blocks,
-all of which are compared. A pair counts in the first table where it meets.
+Equal vectors are one class. Rotations turn each class's vector into balanced bits: the first is learned on a
+bounded sample (``SAMPLE``), the others are random. A table is keyed by a window of bits that no other table
+uses; windows are as wide as the number of classes asks for, and tables are added until pairs at the threshold,
+made from the sample, meet in one of them with probability ``RECALL``. Where that takes more than
+``MOST_TABLES``, windows are narrower and buckets larger instead, so recall doesn't fall as a table grows.
+Vectors that meet in a bucket are compared in double precision with their original components. A bucket larger
+than ``BLOCK`` is dealt out as pairs of blocks, all of which are compared. A pair counts in the first table
+where it meets.
 
 A bucket's work yields a number of links a vector and one edge a vector to the smallest id that it reaches
 there, never the pairs. Vectors that are null, empty, zero or hold null or non-finite components, and rows
@@ -18,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,50 +35,94 @@ SAMPLE = 4_096
 ROUNDS = 40
 BITS = 64
 RECALL = 0.995
-MOST_TABLES = 64
+#: Tables from which windows are made narrower instead.
+MOST_TABLES = 128
+#: Bits up to which a window may be wide: its key is one unsigned number of 32 bits.
+WIDEST = 32
+#: Pairs at the threshold, of each kind, that tables are planned with.
+TRIALS = 2_048
 BLOCK = 256
 
 
-def learn_rotation(x: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Projection and thresholds for codes of unit vectors: principal axes, rotated so that signs lose least; cut at the medians."""
+def rotations(x: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Projections and thresholds for bits of unit vectors: principal axes, turned, cut at the medians.
+
+    The first turn is such that signs lose least (iterative quantisation), the others are random, so that no two
+    of them give the same bits.
+    """
     x = x - (mean := x.mean(axis=0))
     values, axes = np.linalg.eigh(x.T @ x)
     axes = axes[:, np.argsort(-values)][:, :BITS]
     v = x @ axes
-    turn = np.linalg.qr(np.random.default_rng(7).standard_normal((axes.shape[1],) * 2))[0]
-    for _ in range(rounds):
-        left, _, right = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
-        turn = (left @ right).T
-    projection = axes @ turn
-    return projection, np.median(x @ projection, axis=0) + mean @ projection
+    random = np.random.default_rng(7)
+    while True:
+        turn = np.linalg.qr(random.standard_normal((axes.shape[1],) * 2))[0]
+        for _ in range(rounds):
+            left, _, right = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
+            turn = (left @ right).T
+        rounds = 0
+        projection = axes @ turn
+        yield projection, np.median(x @ projection, axis=0) + mean @ projection
 
 
-def codes(x: np.ndarray, model: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-    """A 64-bit code a row; all 0 for a length that the sample hasn't shown, so that such vectors meet each other."""
-    if model is None:
-        return np.zeros(len(x), np.int64)
-    bits = x @ model[0] > model[1]
-    return (bits.astype(np.uint64) << np.arange(bits.shape[1], dtype=np.uint64)).sum(axis=1, dtype=np.uint64).view(np.int64)
+def window_width(classes: int) -> int:
+    return min(WIDEST, max(8, math.ceil(math.log2(max(2, classes))) - 3))
 
 
-def plan_tables(classes: int, bits: int, threshold: float, recall: float = RECALL) -> tuple[int, list[int]]:
-    """Width of the windows, and where they begin.
+def pairs_at(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold's angle: first ``TRIALS`` that part in any direction, then as many that part as the data do."""
+    random = np.random.default_rng(11)
+    left = x[random.integers(len(x), size=2 * TRIALS)]
+    apart = np.concatenate([random.standard_normal((TRIALS, x.shape[1])), x[random.integers(len(x), size=TRIALS)] - x[random.integers(len(x), size=TRIALS)]])
+    apart = apart - (apart * left).sum(axis=1, keepdims=True) * left
+    size = np.sqrt((apart * apart).sum(axis=1, keepdims=True))
+    apart = np.where(size > 1e-9, apart / np.maximum(size, 1e-9), 0.0)
+    return left, threshold * left + math.sqrt(max(0.0, 1 - threshold * threshold)) * apart
 
-    Pairs at the threshold differ in a bit with probability angle / pi. Windows overlap, so a fifth more
-    tables are made than independent ones would need.
-    """
-    width = max(1, min(bits, max(8, math.ceil(math.log2(max(2, classes))) - 3)))
-    same = (1 - math.acos(min(1.0, threshold)) / math.pi) ** width
-    count = min(MOST_TABLES, bits, math.ceil(1.2 * math.log(1 - recall) / math.log(1 - same)) if same < 1 else 1)
-    return width, [round(k * bits / count) for k in range(count)]
 
+@dataclass(frozen=True)
+class Plan:
+    """``tables`` windows of ``width`` bits each: bit k is whether x @ projection[:, k] exceeds cut[k]."""
+
+    width: int
+    tables: int
+    projection: np.ndarray
+    cut: np.ndarray
+
+    def keys(self, x: np.ndarray) -> np.ndarray:
+        """A row a vector, a key a table."""
+        bits = (x @ self.projection > self.cut).reshape(len(x), self.tables, self.width)
+        return (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.uint32)
 
-def _keys(code: np.ndarray, start: int, width: int, bits: int) -> np.ndarray:
-    c = code.view(np.uint64)
-    if start + width > bits:
-        c = (c >> np.uint64(start)) | (c << np.uint64(bits - start)) if start else c
-        return c & np.uint64((1 << width) - 1)
-    return (c >> np.uint64(start)) & np.uint64((1 << width) - 1)
+
+def plan_tables(x: np.ndarray, classes: int, threshold: float, recall: float = RECALL) -> Plan:
+    """Of a sample's unit vectors: windows for so many classes, as many as pairs at the threshold need to meet.
+
+    Such pairs differ in a bit with probability angle / pi if it is cut through the origin; cut at the medians they
+    may differ more often, so they are made and looked up. At least as many windows are made as angle / pi asks for.
+    """
+    left, right = pairs_at(x, threshold)
+    turned, models = rotations(x), []
+    equal = np.empty((len(left), 0), bool)
+    for width in range(window_width(classes), 0, -1):
+        same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** width
+        least = math.ceil(math.log(1 - recall) / math.log(1 - same)) if 0 < same < 1 else 1
+        met = np.zeros(len(left), bool)
+        for k in range(MOST_TABLES if least <= MOST_TABLES else 0):
+            while equal.shape[1] < (k + 1) * width:
+                models.append(next(turned))
+                more = [(y @ models[-1][0] > models[-1][1]) for y in (left, right)]
+                equal = np.concatenate([equal, more[0] == more[1]], axis=1)
+            met |= equal[:, k * width : (k + 1) * width].all(axis=1)
+            if k + 1 >= least and min(met[:TRIALS].mean(), met[TRIALS:].mean()) >= recall:
+                n = (k + 1) * width
+                return Plan(width, k + 1, np.concatenate([m[0] for m in models], axis=1)[:, :n], np.concatenate([m[1] for m in models])[:n])
+    return everything(x.shape[1])
+
+
+def everything(length: int) -> Plan:
+    """One bucket for all vectors."""
+    return Plan(1, 1, np.zeros((length, 1)), np.zeros(1))
 
 
 def _vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -98,23 +145,20 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _bucket(t: int, left: np.ndarray, ids: np.ndarray, copies: np.ndarray, code: np.ndarray, blobs: list[bytes], starts: list[int], width: int, bits: int, threshold: float) -> tuple[np.ndarray, ...]:
-    """Of one bucket, or one pair of its blocks (``left``: -1 where all rows are of one block): ids, links, smallest id reached."""
-    sizes = np.array([len(b) for b in blobs])
-    linked = np.zeros((len(ids), len(ids)), bool)
-    for size in np.unique(sizes):
-        rows = np.flatnonzero(sizes == size)
-        if len(rows) > 1:
-            x = _unit([blobs[r] for r in rows])
-            linked[np.ix_(rows, rows)] = x @ x.T >= threshold
+def _bucket(left: np.ndarray, ids: np.ndarray, copies: np.ndarray, before: np.ndarray, blobs: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
+    """Of one bucket, or one pair of its blocks (``left``: -1 where all rows are of one block): ids, links, smallest id reached.
+
+    ``before`` holds the rows' keys in the tables before this one.
+    """
+    x = _unit(blobs)
+    linked = x @ x.T >= threshold
     np.fill_diagonal(linked, False)
     if left[0] >= 0:
         linked &= left[:, None] != left[None, :]
     a, b = np.nonzero(linked)
-    for start in starts[:t]:
+    for key in before.T:
         if not len(a):
             break
-        key = _keys(code, start, width, bits)
         met = key[a] == key[b]
         linked[a[met], b[met]] = False
         a, b = a[~met], b[~met]
@@ -136,53 +180,55 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     members = stored(_vectors(df, id_col, vec))
     classes = stored(members.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")))
     sample = [r["x"] for r in classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()]
-    models = {size: learn_rotation(_unit(same)) for size in {len(b) for b in sample} if len(same := [b for b in sample if len(b) == size]) > 1}
-    bits = min([BITS, *(len(m[1]) for m in models.values())]) if models else BITS
     count = classes.count()
-    width, starts = plan_tables(count, bits, threshold, recall)
+    plans = {size: plan_tables(_unit(same), count, threshold, recall) for size in {len(b) for b in sample} if len(same := [b for b in sample if len(b) == size]) > 1}
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("x").to_pylist()
-            sizes = np.array([len(b) for b in blobs])
-            code = np.zeros(len(blobs), np.int64)
+            sizes = np.array([len(b) for b in blobs], np.int64)
+            keys: list = [None] * len(blobs)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                code[rows] = codes(_unit([blobs[r] for r in rows]), models.get(int(size)))
-            keys = np.stack([_keys(code, s, width, bits).astype(np.int64) for s in starts], axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("x"), pa.array(code), pa.array(list(keys), pa.list_(pa.int64()))], names=["rep", "copies", "x", "code", "keys"])
-
-    codes_of = stored(classes.select("rep", "copies", "x").mapInArrow(coded, "rep long, copies long, x binary, code long, keys array<long>"))
-    placed = codes_of.select("rep", F.posexplode("keys").alias("t", "key"))
-    full = placed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = stored(full.select("t", "key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
-    rows = codes_of.select("rep", "copies", "x", "code", F.posexplode("keys").alias("t", "key"))
-    rows = rows.join(small(blocks), ["t", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+                plan = plans.get(int(size)) or everything(int(size) // 8)
+                for row, key in zip(rows, plan.keys(_unit([blobs[r] for r in rows]))):
+                    keys[row] = key.astype(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("x"), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "copies", "x", "size", "keys"])
+
+    codes_of = stored(classes.select("rep", "copies", "x").mapInArrow(coded, "rep long, copies long, x binary, size long, keys array<long>"))
+    bucket = ("size", "t", "key")
+    full = codes_of.select("size", F.posexplode("keys").alias("t", "key")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    blocks = stored(full.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    rows = codes_of.select("rep", "copies", "x", "size", "keys", F.posexplode("keys").alias("t", "key"))
+    rows = rows.withColumn("before", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
+    rows = rows.join(small(blocks), [*bucket], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "code", "x")
-    dealt = rows.repartition("t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "rep")
+    rows = rows.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "before", "x")
+    group = (*bucket, "i", "j")
+    dealt = rows.repartition(*group).sortWithinPartitions(*group, "rep")
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def work(part: pa.Table) -> pa.RecordBatch:
-            names = ("t", "key", "i", "j", "own", "rep", "copies", "code")
-            t, key, i, j, own, rep, copies, code = (part.column(n).to_numpy() for n in names)
-            x = part.column("x").to_pylist()
-            new = np.flatnonzero((np.diff(t) != 0) | (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            groups = [part.column(n).to_numpy() for n in group]
+            own, rep, copies = (part.column(n).to_numpy() for n in ("own", "rep", "copies"))
+            before, x = part.column("before").combine_chunks(), part.column("x")
+            new = np.flatnonzero(np.any([np.diff(g) != 0 for g in groups], axis=0)) + 1
+            t, i, j = groups[1], groups[3], groups[4]
             out = [(np.empty(0, np.int64),) * 3]
-            for a, b in zip([0, *new], [*new, len(t)]):
+            for a, b in zip([0, *new], [*new, len(rep)]):
                 if b - a > 1:
                     left = own[a:b] if i[a] != j[a] else np.full(b - a, -1)
-                    out.append(_bucket(int(t[a]), left, rep[a:b], copies[a:b], code[a:b], x[a:b], starts, width, bits, threshold))
+                    keys = before.slice(a, b - a).flatten().to_numpy().reshape(b - a, t[a])
+                    out.append(_bucket(left, rep[a:b], copies[a:b], keys, x.slice(a, b - a).to_pylist(), threshold))
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "links", "reached"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, rows]) if held is not None else rows
-            names = ("t", "key", "i", "j")
-            keys = [held.column(n).to_numpy() for n in names]
+            keys = [held.column(n).to_numpy() for n in group]
             last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if held.num_rows else []
             if len(last):  # all groups but the last are whole
                 yield work(held.slice(0, last[-1] + 1))

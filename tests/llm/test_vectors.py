@@ -56,6 +56,35 @@ def test_op6_whole_table_recall_and_empty(spark):
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def pairs_of(seed, cosine, pairs, dims=64):
+    """Rows 2k and 2k + 1 are at the cosine; all else is far apart."""
+    rnd = np.random.default_rng(seed)
+    x = rnd.standard_normal((pairs, dims))
+    u = rnd.standard_normal((pairs, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    return np.stack([x, cosine * x + np.sqrt(1 - cosine**2) * u], axis=1).reshape(2 * pairs, dims)
+
+
+@pytest.mark.parametrize("classes,offset", [(2_000, 0), (100_000, 0), (1_000_000, 0), (10_000_000, 0), (1_000_000, 0.2)])
+def test_op6_plan_holds_recall_as_tables_grow(classes, offset):
+    sample = np.random.default_rng(5).standard_normal((4096, 64)) / 8 + offset
+    plan = embedding_dedup.plan_tables(sample / np.linalg.norm(sample, axis=1, keepdims=True), classes, 0.95)
+    keys = plan.keys(pairs_of(6, 0.95, 4000))
+    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.985
+    assert plan.width == embedding_dedup.window_width(classes) or offset
+
+
+def test_op6_recall_at_the_width_of_a_large_table(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "window_width", lambda classes: 21)
+    x = pairs_of(8, 0.9501, 400)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert all(r.n_links <= 1 and r.component_id in (r.vec_id, r.vec_id - r.vec_id % 2) for r in got)
+    assert sum(r.n_links for r in got) >= 0.98 * len(x)
+
+
 def brute_top(rows, asked, k=10):
     ints = [(i, np.floor(1024 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = []
