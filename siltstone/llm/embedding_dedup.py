@@ -1,7 +1,8 @@
 """Near duplicates among embeddings by iterative quantisation and multi-index Hamming tables.
 
-Equal vectors are one class. Rotations turn each class's vector into balanced bits: the first is learned on a
-bounded sample (``SAMPLE``), the others are random. A table is keyed by a window of bits that no other table
+Equal vectors are one class. Each length of vectors is planned by itself; of a rare one all are compared.
+Rotations turn each class's vector into balanced bits: the first is learned on a bounded sample (``SAMPLE``) of its
+length, the others are random. A table is keyed by a window of bits that no other table
 uses; windows are as wide as the number of classes asks for, and tables are added until pairs at the threshold,
 made from the sample, meet in one of them with probability ``RECALL``. Where that takes more than
 ``MOST_TABLES``, windows are narrower and buckets larger instead, so recall doesn't fall as a table grows.
@@ -42,6 +43,8 @@ WIDEST = 32
 #: Pairs at the threshold, of each kind, that tables are planned with.
 TRIALS = 2_048
 BLOCK = 256
+#: Vectors of one length up to which all of them are compared.
+FEW = 256
 
 
 def rotations(x: np.ndarray, rounds: int = ROUNDS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,9 +182,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     """A row a vector: id, n_links, component_id, kept."""
     members = stored(_vectors(df, id_col, vec))
     classes = stored(members.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")))
-    sample = [r["x"] for r in classes.orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()]
-    count = classes.count()
-    plans = {size: plan_tables(_unit(same), count, threshold, recall) for size in {len(b) for b in sample} if len(same := [b for b in sample if len(b) == size]) > 1}
+    counts = classes.groupBy(F.length("x").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
+    plans = {}
+    for size, count in counts:
+        if count > FEW:
+            sample = classes.where(F.length("x") == size).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()
+            plans[size] = plan_tables(_unit([r["x"] for r in sample]), count, threshold, recall)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -85,6 +85,26 @@ def test_op6_recall_at_the_width_of_a_large_table(spark, monkeypatch):
     assert sum(r.n_links for r in got) >= 0.98 * len(x)
 
 
+@pytest.mark.parametrize("dims", [8, 16])
+def test_op6_short_vectors(spark, dims):
+    x = pairs_of(9, 0.955, 300, dims)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = embedding_dedup.near_duplicates(df).collect()
+    want = {i: n for i, n, _, _ in brute_links(rows)}
+    assert all(r.n_links <= want[r.vec_id] for r in got)
+    assert sum(r.n_links for r in got) >= 0.985 * sum(want.values())
+
+
+def test_op6_rare_lengths_do_not_touch_others(spark):
+    x = pairs_of(10, 0.9501, 300)
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(5000, [1.0, 0.1]), (5001, [1.0, 0.0]), (5002, [0.0, 1.0]), (5003, [3.0]), (5004, [4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [(got[k].n_links, got[k].component_id) for k in range(5000, 5005)] == [(1, 5000), (1, 5000), (0, 5002), (1, 5003), (1, 5003)]
+    assert sum(got[k].n_links for k in range(len(x))) >= 0.98 * len(x)
+
+
 def brute_top(rows, asked, k=10):
     ints = [(i, np.floor(1024 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
     out = []
