@@ -2,9 +2,9 @@
 
 The base finds e-mail and IP addresses, card and phone numbers. Around each the words within ``REACH`` code
 points are its context. A term is held to reveal an entity (one address or number) by co-occurrence in the
-corpus: it stands near the entity in at least ``MIN_CONTEXTS`` different surroundings, which are at least
-half of its occurrences near it, so that copies of one text are one piece of evidence; and of all documents
-of the corpus that hold the term, at least ``DISCLOSURE`` hold the entity, log2(p(entity | term) / p(entity))
+corpus: it stands near the entity in at least ``MIN_TEXTS`` different texts, so that copies of one text
+(letter case and white space aside) are one piece of evidence and never speak against a term; texts that differ
+in a word are different. And of all documents of the corpus that hold the term, at least ``DISCLOSURE`` hold the entity, log2(p(entity | term) / p(entity))
 then being large for all but the most common entities (``MIN_BITS``). Such terms become spans of their own
 wherever they stand outside base spans, and sanitising generalises them to a placeholder.
 
@@ -30,7 +30,7 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 REACH = 96
-MIN_CONTEXTS = 3
+MIN_TEXTS = 3
 DISCLOSURE = 0.5
 MIN_BITS = 4.0
 WORD = r"\p{L}[\p{L}\p{N}_-]{3,}"
@@ -108,12 +108,11 @@ def revealing_terms(based: DataFrame, id_col: str = "doc_id", text: str = "text"
     after = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
     before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
     around = F.lower(F.concat_ws(" | ", before, F.regexp_replace(after, r"\S*$", "")))
-    words = stored(spans.select("id", _entity(F.col("s")).alias("entity"), F.regexp_extract_all(around, F.lit(WORD), F.lit(0)).alias("words")))
-    near = words.select("id", "entity", F.posexplode("words").alias("at", "term"), "words")
-    surroundings = F.xxhash64(F.get("words", F.col("at") - 1), F.get("words", F.col("at") + 1))
-    evidence = near.select("term", "entity", surroundings.alias("context")).groupBy("term", "entity", "context").agg(F.count(F.lit(1)).alias("n"))
-    pairs = evidence.groupBy("term", "entity").agg(F.count(F.lit(1)).alias("contexts"), F.sum("n").alias("times"))
-    pairs = pairs.where((F.col("contexts") >= MIN_CONTEXTS) & (2 * F.col("contexts") >= F.col("times"))).select("term", "entity")
+    source = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
+    words = stored(spans.select("id", _entity(F.col("s")).alias("entity"), source.alias("source"), F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0))).alias("words")))
+    near = words.select("id", "entity", "source", F.explode("words").alias("term"))
+    pairs = near.select("term", "entity", "source").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("texts"))
+    pairs = pairs.where(F.col("texts") >= MIN_TEXTS).select("term", "entity")
     # At most the entity's documents hold both, and at least those where the term is near any entity hold the term:
     # what this bound puts under the threshold needs no count over the corpus.
     entity_docs = words.where("id is not null").select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("most"))

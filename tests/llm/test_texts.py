@@ -135,6 +135,29 @@ def test_op5_revealing_terms_and_sanitising(spark):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def revealed(spark, rows):
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    return {s.value.lower() for r in pii.find(df).collect() for s in r.extra}
+
+
+def test_op5_copies_count_once_and_never_against_a_term(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = [f"{word()} {word()} Zorblatt {word()} mail zb@example.org now {word()}" for _ in range(50)]
+    rows += ["copied Zorblatt text mail zb@example.org now"] * 500 + ["COPIED  Zorblatt text mail zb@example.org now "] * 500
+    rows += ["other Quimby text mail qq@example.org now", "other  quimby text mail qq@example.org now"] * 200
+    rows += [f"{word()} mail now {word()}" for _ in range(20_000)]
+    assert revealed(spark, rows) == {"zorblatt"}
+
+
+def test_op5_fixed_signature_in_different_texts(spark):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    rows = [" ".join(word() for _ in range(30)) + "\nKind Regards, Jane Zorblatt jane@example.org or thus" for _ in range(100)]
+    rows += [f"{word()} kind regards or thus {word()}" for _ in range(3000)]
+    assert revealed(spark, rows) == {"jane", "zorblatt"}
+
+
 @pytest.mark.parametrize("text,want", [("+49 30 1234567 and 1.2.3.4", "[PHONE] and [IP]"), ("+4111 1111 1111 1111 x", "+[CARD] x")])
 def test_sanitised(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
