@@ -1,12 +1,14 @@
 """Personal data: patterns, and terms that reveal what the patterns protect.
 
-The base finds e-mail and IP addresses, card and phone numbers. Around each the words within ``REACH`` code
-points are its context. A term is held to reveal an entity (one address or number) by co-occurrence in the
-corpus: it stands near the entity in at least ``MIN_TEXTS`` different texts, so that copies of one text
-(letter case and white space aside) are one piece of evidence and never speak against a term; texts that differ
-in a word are different. And of all documents of the corpus that hold the term, at least ``DISCLOSURE`` hold the entity, log2(p(entity | term) / p(entity))
-then being large for all but the most common entities (``MIN_BITS``). Such terms become spans of their own
-wherever they stand outside base spans, and sanitising generalises them to a placeholder.
+The base finds e-mail and IP addresses, card and phone numbers. Around each the whole words within ``REACH`` code
+points are its context. A term has two characters at least, and one of two or three must begin with a capital or a
+letter without case there. It is held to reveal an entity (one address or number) by co-occurrence in the
+corpus: it stands near the entity in at least ``MIN_TEXTS`` different texts, so that copies of one text (letter
+case and white space aside) are one piece of evidence and never speak against a term; texts that differ in a
+word are different. And of all documents of the corpus that hold the term, at least ``DISCLOSURE`` hold the
+entity, log2(p(entity | term) / p(entity)) then being large for all but the most common entities
+(``MIN_BITS``). Such terms become spans of their own wherever they stand outside base spans, and sanitising
+generalises them to a placeholder.
 
 All of it is DataFrame functions. Null texts have no spans and stay null; repeated rows each get their own.
 Rows with a null id get base spans only. Other columns pass through; the output columns must not exist
@@ -33,7 +35,11 @@ REACH = 96
 MIN_TEXTS = 3
 DISCLOSURE = 0.5
 MIN_BITS = 4.0
-WORD = r"\p{L}[\p{L}\p{N}_-]{3,}"
+INNER = r"[\p{L}\p{M}\p{N}_-]"
+#: What the corpus is searched for: two characters at least, a letter first; marks belong to their letters.
+WORD = rf"\p{{L}}{INNER}+"
+#: What can be a term: of two or three characters only what is written as a name, with no lower-case letter first.
+TERM = rf"\p{{L}}{INNER}{{3,}}|(?<!{INNER})[\p{{Lu}}\p{{Lt}}\p{{Lo}}]{INNER}{{1,2}}"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -104,12 +110,14 @@ def _entity(span: Column) -> Column:
 def revealing_terms(based: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
     """(term, entity) that exceed the threshold; and (id, term) of all documents that hold such a term, None if there are no terms."""
     spans = based.where(F.size("base") > 0).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.explode("base").alias("s"))
-    before = F.substring("text", F.greatest(F.col("s.start") - REACH, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH)))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(REACH))
-    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\S*", "")).otherwise(before)
-    around = F.lower(F.concat_ws(" | ", before, F.regexp_replace(after, r"\S*$", "")))
+    # One character more than the reach shows whether the word at the cut is whole; nothing goes where the text ends.
+    before = F.substring("text", F.greatest(F.col("s.start") - REACH - 1, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH + 1)))
+    after = F.substring("text", F.col("s.end") + 1, F.lit(REACH + 1))
+    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
+    after = F.when(F.length("text") > F.col("s.end") + REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
+    around = F.concat_ws(" | ", before, after)
     source = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
-    words = stored(spans.select("id", _entity(F.col("s")).alias("entity"), source.alias("source"), F.array_distinct(F.regexp_extract_all(around, F.lit(WORD), F.lit(0))).alias("words")))
+    words = stored(spans.select("id", _entity(F.col("s")).alias("entity"), source.alias("source"), F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(TERM), F.lit(0)), F.lower)).alias("words")))
     near = words.select("id", "entity", "source", F.explode("words").alias("term"))
     pairs = near.select("term", "entity", "source").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("texts"))
     pairs = pairs.where(F.col("texts") >= MIN_TEXTS).select("term", "entity")
@@ -146,8 +154,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
         return based.withColumn("extra", F.array().cast(_SPAN))
     lists = stored(holders.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_set("term")).alias("__terms")))
     joined = based.join(small(lists), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    edge = r"[\p{L}\p{N}_-]"
-    pattern = F.concat(F.lit(rf"(?iu)(?<!{edge})(?:"), F.array_join("__terms", "|"), F.lit(rf")(?!{edge})"))
+    pattern = F.concat(F.lit(rf"(?iu)(?<!{INNER})(?:"), F.array_join("__terms", "|"), F.lit(rf")(?!{INNER})"))
     joined = joined.withColumn("__pattern", F.coalesce(pattern, F.lit(r"\z\A.")))
     body = F.coalesce(F.col(text), F.lit(""))
     found = _located(joined, body, "term", F.col("__pattern"), F.col("__terms").isNotNull(), "__extra")

@@ -158,6 +158,18 @@ def test_op5_fixed_signature_in_different_texts(spark):
     assert revealed(spark, rows) == {"jane", "zorblatt"}
 
 
+def test_op5_short_terms_and_terms_at_the_ends(spark):
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choices("bcdfghjklm", k=9))
+    rows = [f"{word()} {word()} mail jane@example.org Zorblatt" for _ in range(5)]
+    rows += [f"{word()} Lee mail lee@example.org {word()}" for _ in range(5)]
+    rows += [f"{word()} नेहा mail neha@example.org {word()} Li and 王芳" for _ in range(5)]
+    # whole words that end just where the reach does, and words that it cuts
+    rows += [f"{word()} cutoff Edgeone {'. ' * 43}. far@example.org{' .' * 44} Edgetwo cutoff {word()}" for _ in range(5)]
+    rows += [f"{word()} mail now {word()}" for _ in range(400)]
+    assert revealed(spark, rows) == {"zorblatt", "lee", "नेहा", "li", "王芳", "edgeone", "edgetwo"}
+
+
 @pytest.mark.parametrize("text,want", [("+49 30 1234567 and 1.2.3.4", "[PHONE] and [IP]"), ("+4111 1111 1111 1111 x", "+[CARD] x")])
 def test_sanitised(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
