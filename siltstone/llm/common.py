@@ -1,9 +1,9 @@
-"""What several operators share: scratch tables, checked broadcasts, connected components."""
+"""What several operators share: scratch tables, checked broadcasts, joins on hot keys, connected components."""
 
 from __future__ import annotations
 
 import atexit
-import os
+import logging
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
+#: Bytes up to which a table with texts or arrays may be broadcast; they are summed first.
+BROADCAST_BYTES = 16 << 20
+#: A key with more than 1 / HOT_KEYS of all rows is hot; so there are fewer hot keys than that.
+HOT_KEYS = 5_000
 
+_log = logging.getLogger(__name__)
 _caches: dict[str, Callable[[], None]] = {}
 
 
@@ -30,68 +35,114 @@ def take_turn(name: str, clear: Callable[[], None]) -> None:
     _caches[name] = clear
 
 
-_scratch: list[tuple[SparkSession, str]] = []
+#: path -> (file system, path) of the JVM, which outlive the session.
+_scratch: dict[str, tuple] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named_apart(df: DataFrame, *names: str) -> None:
+    """Raises where ``df`` has a column that an operator is about to add."""
+    if taken := {c.lower() for c in df.columns} & {n.lower() for n in names}:
+        raise ValueError(f"the input has columns of the output's names: {', '.join(sorted(taken))}")
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one (``spark.checkpoint.dir``); a temporary one where that is unset, as in tests."""
+    """A new folder in the cluster's shared one (``spark.checkpoint.dir``).
+
+    Where that is unset, a temporary one if all of Spark is this machine's one process, as in tests; on a cluster an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = os.path.join(tempfile.gettempdir(), "siltstone")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = f"{tempfile.gettempdir()}/siltstone"
     path = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    _scratch.append((spark, path))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    _scratch[path] = (target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
     return path
 
 
-def stored(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again: cuts the lineage, survives a lost executor."""
+def kept(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet to the shared folder and read again, and where: cuts the lineage, survives a lost executor."""
     path = scratch_dir(df.sparkSession)
-    writer = df.write.partitionBy(partition_by) if partition_by else df.write
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    return kept(df)[0]
+
+
+def discard(*paths: str) -> None:
+    """Deletes scratch tables that no plan reads any more."""
+    for path in paths:
+        fs, target = _scratch.pop(path)
+        try:
+            fs.delete(target, True)
+        except Exception as error:  # noqa: BLE001  what can't be deleted is reported, and costs space alone
+            _log.warning("scratch table %s is left behind: %s", path, error)
 
 
 def release() -> None:
     """Deletes every scratch table written so far. Call it when the results that read them are no longer needed."""
-    while _scratch:
-        spark, path = _scratch.pop()
-        try:
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # noqa: BLE001  the session may have ended
-            pass
+    discard(*list(_scratch))
 
 
 atexit.register(release)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a stored table for broadcast if it has at most ``rows`` rows; otherwise the join shuffles."""
+    """Marks a stored table of narrow rows for broadcast if it has at most ``rows`` rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``keyed`` (stored, narrow, one row a key) on ``key``; ``how`` is inner or left.
+
+    ``n`` of ``keyed`` is how many rows of ``rows`` have the key, and is left out. Hot keys are joined where
+    their rows are, by a broadcast of fewer than ``HOT_KEYS`` keys; the others shuffle, and none of them is
+    much of a task. ``rows`` is read twice, so it is best stored.
+    """
+    total = keyed.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * HOT_KEYS > total
+    often, rest = keyed.where(hot).drop(n), keyed.where(~hot).drop(n)
+    near = rows.join(F.broadcast(often), key)
+    far = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(rest, key, how)
+    return near.unionByName(far)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a long, b long): (id, label), label the smallest id that is reachable.
 
     Each round takes the least label of all neighbours and then the label of that label, so that paths halve.
-    Sums per vertex are combined before the shuffle, so a hub with very many links is no single task's work.
+    Sums per vertex are combined before the shuffle and joins spread, so neither a hub with very many links nor
+    a large component is a single task's work.
     """
     ends = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = stored(ends.where("a <> b").distinct())
-    labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    edges, edges_at = kept(ends.where("a <> b").distinct())
+    start = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("least"), F.count(F.lit(1)).alias("degree"))
+    labels, at = kept(start.select("id", F.least("id", "least").alias("label"), "degree"))
+    few = labels.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     while True:
-        seen = (
-            edges.join(labels.select(F.col("id").alias("b"), "label"), "b")
-            .groupBy(F.col("a").alias("id"))
-            .agg(F.min("label").alias("seen"))
-        )
-        lower = labels.join(seen, "id").select("id", F.col("label").alias("was"), F.least("label", "seen").alias("near"))
-        upper = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
-        nxt = stored(lower.join(upper, "near", "left").select("id", "was", F.least("near", F.coalesce("far", "near")).alias("label")))
-        labels = nxt.select("id", "label")
+        of = labels.select(F.col("id").alias("b"), "label", F.col("degree").alias("n"))
+        met = edges.join(F.broadcast(of.drop("n")), "b") if few else spread_join(edges, of, "b", "n")
+        seen = met.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("seen"))
+        lower = labels.join(seen, "id").select("id", "degree", F.col("label").alias("was"), F.least("label", "seen").alias("near"))
+        far = labels.select(F.col("id").alias("near"), F.col("label").alias("far"))
+        gone = [at]
+        if few:
+            reached = lower.join(F.broadcast(far), "near")
+        else:
+            lower, lower_at = kept(lower)
+            far, far_at = kept(far.join(lower.groupBy("near").agg(F.count(F.lit(1)).alias("n")), "near"))
+            gone += [lower_at, far_at]
+            reached = spread_join(lower, far, "near", "n")
+        nxt, at = kept(reached.select("id", "degree", "was", F.least("near", "far").alias("label")))
+        discard(*gone)
+        labels = nxt.select("id", "label", "degree")
         if nxt.where("was <> label").isEmpty():
-            return labels
+            discard(edges_at)
+            return labels.select("id", "label")

@@ -14,8 +14,8 @@ node still large at the last depth, members outside its largest component are co
 other components. So nothing grows with the square of a group of copies, and no group meets in one task.
 
 Texts that are null or have no words have no set and link with nothing, nor do rows with a null id (their
-component is null and they are kept). Rows that repeat an id are judged each by its text. Other columns
-are left behind; ``deduplicate`` keeps all of a row.
+component is null and they are kept). Rows that repeat an id are judged each by its text: classes have numbers
+of their own. Ids are of any type that sorts. Other columns are left behind; ``deduplicate`` keeps all of a row.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, small, stored, table, take_turn
+from siltstone.llm.common import components, discard, kept, small, spread_join, stored, table, take_turn
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH = 10, 4
@@ -36,6 +36,8 @@ TREES, DEPTH = 10, 4
 FIRST_TREES = 2
 #: Members up to which a node is compared exhaustively.
 SMALL_NODE = 12
+#: Members that one copy of a hub's set is compared with.
+STAR = 2_048
 #: Members of a large node in a block, and shingles looked at at a time.
 BLOCK, COLUMNS = 256, 8_192
 WORDS_KEPT = 200_000
@@ -105,23 +107,24 @@ def _turned(s: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, full: bool) -> DataFrame:
-    """Of (id, text): id, n, digest, and either the nodes of all trees or the full set."""
+    """Of (id, source, text): id, source, n, digest, and either the nodes of all trees or the full set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)
-                sets = [shingles(x, words) for x in batch.column(1).to_pylist()]
+                sets = [shingles(x, words) for x in batch.column(2).to_pylist()]
                 blobs = [s.astype("<u8").tobytes() for s in sets]
                 if full:
                     rest = pa.array(blobs, pa.binary())
                 else:
                     rest = pa.array([paths(s).view(np.int64).ravel() if len(s) else [] for s in sets], pa.list_(pa.int64()))
                 digests = pa.array([xxhash.xxh3_128_digest(b) for b in blobs], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), digests, rest], names=["id", "n", "digest", "rest"])
+                columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), digests, rest]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "n", "digest", "rest"])
 
-    return docs.mapInArrow(run, f"id long, n long, digest binary, rest {'binary' if full else 'array<long>'}")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, source binary, n long, digest binary, rest {'binary' if full else 'array<long>'}")
 
 
 def _alike(a: str, b: str, percent: int) -> F.Column:
@@ -130,47 +133,78 @@ def _alike(a: str, b: str, percent: int) -> F.Column:
 
 
 def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, tree) with a < b; members (node, id, n) of nodes that are still large at the last depth."""
-    rows = classes.select("id", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rest")
-    rows = rows.select("id", "n", "tree", F.slice("rest", F.col("tree") * DEPTH + 1, DEPTH).alias("chain"), F.lit(None).cast("long").alias("weight"))
-    pairs = None
+    """Pairs (hub, member, tree); members (node, cid, n) of nodes that are still large at the last depth.
+
+    A class is a hub of any number of pairs, but a member of a number of pairs that ``TREES``, ``DEPTH`` and
+    ``SMALL_NODE`` bound.
+    """
+    rows = classes.select("cid", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rest")
+    rows = rows.select("cid", "n", "tree", F.slice("rest", F.col("tree") * DEPTH + 1, DEPTH).alias("chain"), F.lit(None).cast("long").alias("weight"))
+    pairs, read = None, []
     for level in range(DEPTH):
         rows = rows.withColumn("node", F.col("chain")[level])
-        nodes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = stored(rows.join(nodes, "node"))
-        few = met.where(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("id", "n"))).alias("m"))
-        both = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["id"] > x["id"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))), lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))))
-        few = few.select("tree", F.explode(both).alias("p")).select("p.a", "p.b", "tree")
+        nodes, nodes_at = kept(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+        met, met_at = kept(spread_join(rows, nodes.withColumn("held", F.col("size")), "node", "held"))
+        few = met.where(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("m"))
+        both = F.flatten(F.transform("m", lambda x: F.transform(F.filter("m", lambda y: (y["cid"] > x["cid"]) & _alike(x["n"], y["n"], percent)), lambda y: F.struct(x["cid"].alias("hub"), y["cid"].alias("member")))))
+        few = few.select("tree", F.explode(both).alias("p")).select("p.hub", "p.member", "tree")
         many = met.where(F.col("size") > SMALL_NODE)
         if level == 0:  # what most copies are made from meets most of them, in most trees
-            weights = many.groupBy("id").agg(F.sum("size").alias("weight"))
-            many = stored(many.drop("weight").join(weights, "id").select(met.columns))
-        chance = F.xxhash64("id", "node")
-        picks = many.groupBy("node").agg(F.max(F.struct("weight", chance.alias("h"), "id", "n")).alias("central"), F.min(F.struct(chance.alias("h"), "id", "n")).alias("drawn"))
-        picks = picks.select("node", F.explode(F.array(*(F.struct(f"{p}.id", f"{p}.n") for p in ("central", "drawn")))).alias("p"))
-        star = many.join(picks, "node").where((F.col("id") != F.col("p.id")) & _alike("n", "p.n", percent))
-        star = star.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), "tree")
+            weights = many.groupBy("cid").agg(F.sum("size").alias("weight"))
+            many, many_at = kept(many.drop("weight").join(weights, "cid").select(met.columns))
+            read.append(many_at)
+        chance = F.xxhash64("cid", "node")
+        picks = many.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("weight", chance.alias("h"), "cid", "n")).alias("central"), F.min(F.struct(chance.alias("h"), "cid", "n")).alias("drawn"))
+        picks, picks_at = kept(picks.select("node", "held", F.array(*(F.struct(f"{p}.cid", f"{p}.n") for p in ("central", "drawn"))).alias("picked")))
+        star = spread_join(many, picks, "node", "held").withColumn("p", F.explode("picked")).where((F.col("cid") != F.col("p.cid")) & _alike("n", "p.n", percent))
+        star = star.select(F.col("p.cid").alias("hub"), F.col("cid").alias("member"), "tree")
         found = few.unionByName(star)
         pairs = found if pairs is None else pairs.unionByName(found)
-        rows = many.select("id", "n", "tree", "chain", "node", "weight")
-    return stored(pairs.groupBy("a", "b").agg(F.min("tree").alias("tree"))), rows.select("node", "id", "n")
+        rows = many.select("cid", "n", "tree", "chain", "node", "weight")
+        read += [nodes_at, met_at, picks_at]
+    one = pairs.groupBy("hub", "member").agg(F.min("tree").alias("tree"))
+    deep = stored(rows.select("node", "cid", "n"))
+    found = stored(one)
+    discard(*read)
+    return found, deep
+
+
+def _groups(part: pa.Table | pa.RecordBatch, group: tuple[str, ...]) -> list[int]:
+    """Where a new group begins, but for the first."""
+    keys = [part.column(n).to_numpy() for n in group]
+    return (np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist()
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    with_a = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("rest").alias("x")), "a")
-    both = with_a.join(sets.select(F.col("id").alias("b"), F.col("rest").alias("y")), "b").select("a", "b", "x", "y")
+    """The pairs as (a, b) whose full sets are similar enough.
+
+    A hub's members come to it in parts of about ``STAR``, each with its own copy of the hub's set, in front.
+    """
+    hubs, hubs_at = kept(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")))
+    sent = spread_join(pairs.select("hub", "member"), hubs, "hub", "n").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("member").alias("cid"))
+    own = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("cid"))
+    dealt = sent.unionByName(own).join(sets, "cid").select("hub", "part", "side", "cid", "rest")
+    dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, center_set = None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return stored(both.mapInArrow(run, "a long, b long"))
+            found: list[tuple[int, int]] = []
+            rows = zip(*(batch.column(c).to_numpy().tolist() for c in ("hub", "side", "cid")), batch.column("rest"))
+            for hub, side, cid, blob in rows:
+                one = np.frombuffer(blob.as_buffer(), "<u8")
+                if side == 0:
+                    center, center_set = hub, one.copy()
+                elif center == hub:
+                    common = len(np.intersect1d(center_set, one, assume_unique=True))
+                    if 100 * common >= percent * (len(center_set) + len(one) - common):
+                        found.append((hub, cid))
+            columns = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    links = stored(dealt.mapInArrow(run, "a long, b long"))
+    discard(hubs_at)
+    return links
 
 
 def _incidence(sets: list[np.ndarray], every: np.ndarray) -> np.ndarray:
@@ -195,27 +229,28 @@ def _alike_across(left: list[np.ndarray], right: list[np.ndarray], percent: int)
 def _confirm_large(within: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components within large nodes.
 
-    ``within``: (node, id, n, label). A node's members outside its largest component meet all its members,
+    ``within``: (node, cid, n, label). A node's members outside its largest component meet all its members,
     block by block; a block's work yields one link for each member and component that it reaches.
     """
     largest = within.groupBy("node", "label").count().groupBy("node").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("members"), (F.sum("count") - F.max("count")).alias("outside"))
-    shape = largest.where("outside > 0").select("node", "main", *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("members", "outside")))
-    rows = within.join(shape, "node")
-    own = F.xxhash64("id")
-    left = rows.where(F.col("label") != F.col("main")).select("node", F.pmod(own, F.col("outside")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("j"), F.lit(0).alias("side"), "id", "label")
-    right = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), F.pmod(own, F.col("members")).cast("int").alias("j"), F.lit(1).alias("side"), "id", "label")
-    dealt = left.unionByName(right).join(sets, "id").select("node", "i", "j", "side", "id", "label", "rest")
+    held = F.col("members").alias("held")
+    shape, shape_at = kept(largest.where("outside > 0").select("node", "main", held, *(F.ceil(F.col(c) / BLOCK).cast("int").alias(c) for c in ("members", "outside"))))
+    rows, rows_at = kept(spread_join(within, shape, "node", "held"))
+    own = F.xxhash64("cid")
+    left = rows.where(F.col("label") != F.col("main")).select("node", F.pmod(own, F.col("outside")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("members") - 1)).alias("j"), F.lit(0).alias("side"), "cid", "label")
+    right = rows.select("node", F.explode(F.sequence(F.lit(0), F.col("outside") - 1)).alias("i"), F.pmod(own, F.col("members")).cast("int").alias("j"), F.lit(1).alias("side"), "cid", "label")
+    dealt = left.unionByName(right).join(sets, "cid").select("node", "i", "j", "side", "cid", "label", "rest")
     dealt = dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def work(part: pa.Table) -> pa.RecordBatch:
-            node, i, j, side, ids, label = (part.column(c).to_numpy() for c in ("node", "i", "j", "side", "id", "label"))
+            side, ids, label = (part.column(c).to_numpy() for c in ("side", "cid", "label"))
             blobs = [np.frombuffer(x, "<u8") for x in part.column("rest").to_pylist()]
-            new = np.flatnonzero((np.diff(node) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+            new = _groups(part, ("node", "i", "j"))
             out: list[tuple[int, int]] = []
-            for a, b in zip([0, *new], [*new, len(node)]):
+            for a, b in zip([0, *new], [*new, len(ids)]):
                 cut = a + int((side[a:b] == 0).sum())
                 if a == cut or cut == b:
                     continue
@@ -229,15 +264,15 @@ def _confirm_large(within: DataFrame, sets: DataFrame, percent: int) -> DataFram
         for batch in batches:
             rows = pa.Table.from_batches([batch])
             held = pa.concat_tables([held, rows]) if held is not None else rows
-            keys = [held.column(c).to_numpy() for c in ("node", "i", "j")]
-            before = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if held.num_rows else []
-            if len(before):  # all groups but the last are whole
-                yield work(held.slice(0, before[-1] + 1))
-                held = held.slice(before[-1] + 1)
+            if new := _groups(held, ("node", "i", "j")):  # all groups but the last are whole
+                yield work(held.slice(0, new[-1]))
+                held = held.slice(new[-1])
         if held is not None and held.num_rows:
             yield work(held)
 
-    return stored(dealt.mapInArrow(run, "a long, b long"))
+    links = stored(dealt.mapInArrow(run, "a long, b long"))
+    discard(shape_at, rows_at)
+    return links
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
@@ -245,39 +280,64 @@ def _labelled(rows: DataFrame, labels: DataFrame, column: str, out: str) -> Data
     return rows.join(found, column, "left").withColumn(out, F.coalesce("__label", column)).drop("__label")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: id, n_shingles, component_id (smallest id reachable by links), kept (is that id)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
+def _source(text: str) -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text: str) -> DataFrame:
+    """A row a document: id, source (the text's digest), n, first: the least (id, source) of the documents reachable; null without a set."""
+    texts = docs.select(F.col(id_col).alias("id"), _source(text).alias("source"), F.col(text).alias("text"))
     every = stored(_sets(texts, words, full=False))
-    # One class for equal sets; its smallest id stands for it. All rows of a class have the same nodes.
-    classes = every.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("rep"))
-    members = stored(every.where("n > 0 and id is not null").select("id", "digest").join(classes, "digest"))
-    first = classes.select(F.col("rep").alias("id"), "digest")
-    reps = stored(every.where("n > 0").join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "n", "rest"))
-    pairs, deep = _candidates(reps, percent)
-    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(deep.select("id")).distinct())
-    needed = texts.where("id is not null").join(small(ids), "id", "left_semi")
-    sets = stored(_sets(needed, words, full=True).where("n > 0").join(first, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "rest"))
+    # One class for equal sets, with a number of its own: ids may come with several texts.
+    least = F.min(F.struct("id", "source")).alias("first")
+    classes = every.where("n > 0 and id is not null").groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("rest").alias("rest"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
+    pairs, deep = _candidates(classes.select("cid", "n", "rest"), percent)
+    ids = pairs.select(F.col("hub").alias("cid")).union(pairs.select("member")).union(deep.select("cid")).distinct()
+    wanted = stored(classes.join(ids, "cid", "left_semi").select("cid", "digest", "first.id", "first.source"))
+    needed = texts.join(small(wanted.select("id", "source")), ["id", "source"], "left_semi")
+    sets = _sets(needed, words, full=True).join(small(wanted.select("cid", "id", "source")), ["id", "source"])
+    sets = stored(sets.select("cid", "rest").dropDuplicates(["cid"]))
     links = _confirm(pairs.where(F.col("tree") < FIRST_TREES), sets, percent)
     labels = components(links)
-    apart = _labelled(_labelled(pairs.where(F.col("tree") >= FIRST_TREES), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    more = _confirm(stored(apart), sets, percent)
-    labels = components(links.unionByName(more))
-    within = stored(_labelled(deep, labels, "id", "label"))
-    last = _confirm_large(within, sets, percent)
-    labels = components(links.unionByName(more).unionByName(last))
-    named = _labelled(members.select("id", "digest", "rep"), labels, "rep", "component_id").select("digest", "rep", "component_id")
-    named = named.groupBy("digest").agg(F.first("component_id").alias("component_id"))
-    judged = every.select("id", "n", "digest").join(named, "digest", "left")
-    component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.coalesce("component_id", "id")).otherwise(F.col("id"))
-    result = judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    apart = _labelled(_labelled(pairs.where(F.col("tree") >= FIRST_TREES), labels, "hub", "la"), labels, "member", "lb").where("la <> lb").select("hub", "member")
+    links = links.unionByName(_confirm(stored(apart), sets, percent))
+    labels = components(links)
+    links = links.unionByName(_confirm_large(stored(_labelled(deep, labels, "cid", "label")), sets, percent))
+    labels = components(links)
+    linked = stored(classes.select("cid", "first", "digest", "copies").join(labels.withColumnRenamed("id", "cid"), "cid"))
+    leasts = stored(linked.groupBy("label").agg(F.min("first").alias("reached"), F.count(F.lit(1)).alias("n")))
+    joined = spread_join(linked.select("label", "digest", "copies"), leasts, "label", "n").select("digest", "copies", F.col("reached").alias("first"))
+    alone = classes.join(labels.select(F.col("id").alias("cid")), "cid", "left_anti").select("digest", "copies", "first")
+    named = stored(joined.unionByName(alone))
+    known = every.select("id", "source", "n", "digest")
+    has_set = (F.col("n") > 0) & F.col("id").isNotNull()
+    none = known.where(~has_set).select("id", "source", "n", F.lit(None).cast(named.schema["first"].dataType).alias("first"))
+    return spread_join(known.where(has_set), named, "digest", "copies").select("id", "source", "n", "first").unionByName(none)
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row a document: id, n_shingles, component_id (smallest id reachable by links), kept (is that id)."""
+    judged = _judged(docs, words, percent, id_col, text)
+    result = judged.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("first.id", "id").alias("component_id"))
     return result.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, words: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` of which one of each group stays, that of the smallest id."""
-    gone = near_duplicates(docs, words, percent, id_col, text).where("not kept").select(id_col).distinct()
-    return docs.join(small(stored(gone)), id_col, "left_anti").select(*docs.columns)
+    """The rows of ``docs`` of which one of each group stays: that of the smallest id, of that the text of the least digest, once.
+
+    Of rows that repeat an id and text, which one stays is undefined. Rows without a set or an id all stay.
+    """
+    judged = stored(_judged(docs, words, percent, id_col, text).where("first is not null").groupBy("id", "source", "first").agg(F.count(F.lit(1)).alias("times")))
+    stays = (F.col("id") == F.col("first.id")) & (F.col("source") == F.col("first.source"))
+    gone = stored(judged.where(~stays).select(F.col("id").alias("__siltstone_id"), F.col("source").alias("__siltstone_source")))
+    again = stored(judged.where(stays & (F.col("times") > 1)).select(F.col("id").alias("__siltstone_id"), F.col("source").alias("__siltstone_source")))
+    own = docs.withColumns({"__siltstone_id": F.col(id_col), "__siltstone_source": _source(text)})
+    kept_rows = own.join(small(gone), ["__siltstone_id", "__siltstone_source"], "left_anti")
+    if not again.isEmpty():
+        repeated = kept_rows.join(small(again), ["__siltstone_id", "__siltstone_source"], "left_semi").dropDuplicates(["__siltstone_id", "__siltstone_source"])
+        kept_rows = kept_rows.join(small(again), ["__siltstone_id", "__siltstone_source"], "left_anti").unionByName(repeated)
+    return kept_rows.select(*docs.columns)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from siltstone.llm import near_dedup
+from siltstone.llm import common, near_dedup
 
 
 def brute(rows, words, percent=80):
@@ -72,5 +72,36 @@ def test_op9_repeated_rows_null_ids_and_empty(spark):
     got = sorted(map(tuple, near_dedup.near_duplicates(df).collect()), key=str)
     assert got == sorted([(1, 2, 1, True)] * 2 + [(2, 2, 1, False), (None, 2, None, True), (3, 0, 3, True)], key=str)
     kept = near_dedup.deduplicate(df)
-    assert kept.columns == ["doc_id", "text"] and kept.count() == 4
+    assert kept.columns == ["doc_id", "text"] and kept.count() == 3
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_op9_rows_are_removed_by_their_own_text(spark):
+    a, b, c = "a b c d e f", "one two three four five six", "A b  c d E f"
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (5, b, 4), (7, b, 5), (3, c, 6), (8, None, 7), (8, None, 8), (None, a, 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source int")
+    got = sorted((r.doc_id, r.text) for r in near_dedup.deduplicate(df).collect() if r.doc_id and r.text)
+    assert len(got) == 2 and got[0][0] == 3 and got[0][1] in (a, c) and got[1] == (5, b)
+    assert near_dedup.deduplicate(df).count() == 5
+    judged = sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect() if r.doc_id)
+    assert judged == [(3, 3), (3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (8, 8), (8, 8)]
+    named = df.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    assert {r.component_id for r in near_dedup.near_duplicates(named).collect()} == {"d3", "d5", "d8", None}
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_components_of_paths_hubs_and_cycles(spark, few, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 200_000 if few else 1)
+    monkeypatch.setattr(common, "HOT_KEYS", 5)
+    links = [(k, k + 1) for k in range(100, 160)] + [(999, k) for k in range(200, 280)] + [(300, 301), (301, 302), (302, 300), (5, 5)]
+    got = {r.id: r.label for r in common.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 100 for k in range(100, 161)} | {k: 200 for k in (*range(200, 280), 999)} | {k: 300 for k in (300, 301, 302)}
+
+
+def test_spread_join_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rows = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 50), (3, 51), (4, 52)], "key int, x int")
+    keyed = spark.createDataFrame([(1, "a", 50), (2, "b", 1), (3, "c", 1)], "key int, name string, n int")
+    assert sorted((r.key, r.name) for r in common.spread_join(rows, keyed, "key", "n").collect()) == [(1, "a")] * 50 + [(2, "b"), (3, "c")]
+    assert common.spread_join(rows, keyed, "key", "n", "left").count() == 53
+    assert common.spread_join(rows, keyed.limit(0), "key", "n").count() == 0
