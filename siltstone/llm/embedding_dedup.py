@@ -1,34 +1,41 @@
 """Near duplicates among embeddings by iterative quantisation and multi-index Hamming tables.
 
 Equal vectors are one class. Each length of vectors is planned by itself; of a rare one all are compared.
-Rotations turn each class's vector into balanced bits: the first is learned on a bounded sample (``SAMPLE``) of its
-length, the others are random. A table is keyed by a window of bits that no other table
-uses; windows are as wide as the number of classes asks for, and tables are added until pairs at the threshold,
-made from the sample, meet in one of them with probability ``RECALL``. Where that takes more than
-``MOST_TABLES``, windows are narrower and buckets larger instead, so recall doesn't fall as a table grows.
-Vectors that meet in a bucket are compared in double precision with their original components. A bucket larger
-than ``BLOCK`` is dealt out as pairs of blocks, all of which are compared. A pair counts in the first table
-where it meets.
-
-A bucket's work yields a number of links a vector and one edge a vector to the smallest id that it reaches
+Rotations turn each class's vector into a code of balanced bits: the first is learned on a bounded sample
+(``SAMPLE``) of its length, the others are random. The code is cut into windows that share no bit, each the key
+of a table. Two classes are candidates if their codes agree in a window and lie within the plan's Hamming
+``radius`` on the whole. Windows are as wide as the number of classes asks for; how many there are, and the
+radius, come from pairs at the threshold that are made from the sample and coded: tables are added until
+such pairs are candidates with probability ``RECALL``. (A window could be probed a bit away too; each
+class would then go out once more for each bit, where a further window costs one row.) Where that takes more
+than ``MANY_TABLES``, windows are narrower and buckets larger instead, down to one bucket that holds all, so
+recall doesn't fall as a table grows or as vectors lie close to a common mean.
+
+Only codes and numbers travel to the tables. What has a candidate partner in a bucket that it has not met in an
+earlier table meets there again with its original components, and is compared in double precision. A bucket
+larger than a block is dealt out as pairs of blocks, all of which are compared.
+
+A bucket's work yields a number of links a vector and one edge a vector to the smallest number that it reaches
 there, never the pairs. Vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null id, link with nothing and are kept, each its own component; so do vectors of different lengths
-among each other. A repeated row counts as another vector. Other columns are left behind.
+among each other. A repeated row counts as another vector, and rows of one id may have different vectors. Ids
+are of any type that sorts. Other columns are left behind.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltstone.llm.common import components, small, stored, table
+from siltstone.llm.common import components, discard, kept, spread_join, stored, table
 from siltstone.llm.topk import usable
 
 THRESHOLD = 0.95
@@ -37,12 +44,15 @@ ROUNDS = 40
 BITS = 64
 RECALL = 0.995
 #: Tables from which windows are made narrower instead.
-MOST_TABLES = 128
+MANY_TABLES = 128
 #: Bits up to which a window may be wide: its key is one unsigned number of 32 bits.
 WIDEST = 32
 #: Pairs at the threshold, of each kind, that tables are planned with.
 TRIALS = 2_048
-BLOCK = 256
+#: Codes, and vectors, of a large bucket that are compared at a time with as many others.
+CODES, BLOCK = 2_048, 512
+#: Rows of a block whose distances to the others are held at a time.
+STEP = 128
 #: Vectors of one length up to which all of them are compared.
 FEW = 256
 
@@ -72,99 +82,162 @@ def window_width(classes: int) -> int:
     return min(WIDEST, max(8, math.ceil(math.log2(max(2, classes))) - 3))
 
 
-def pairs_at(x: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of unit vectors at the threshold's angle: first ``TRIALS`` that part in any direction, then as many that part as the data do."""
+def pairs_at(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of unit vectors at the threshold, of several kinds, ``TRIALS`` each.
+
+    They part in any direction, or as two of the data do; the second of them freely, or as far from the
+    common mean as the first. Where the sample itself has pairs at the threshold or just over, these too.
+    """
     random = np.random.default_rng(11)
-    left = x[random.integers(len(x), size=2 * TRIALS)]
-    apart = np.concatenate([random.standard_normal((TRIALS, x.shape[1])), x[random.integers(len(x), size=TRIALS)] - x[random.integers(len(x), size=TRIALS)]])
-    apart = apart - (apart * left).sum(axis=1, keepdims=True) * left
-    size = np.sqrt((apart * apart).sum(axis=1, keepdims=True))
-    apart = np.where(size > 1e-9, apart / np.maximum(size, 1e-9), 0.0)
-    return left, threshold * left + math.sqrt(max(0.0, 1 - threshold * threshold)) * apart
+    axis = x.mean(axis=0)
+    axis = axis / max(float(np.linalg.norm(axis)), 1e-12)
+    kinds = []
+    for about_mean in (False, True):
+        for of_data in (False, True):
+            left = x[random.integers(len(x), size=TRIALS)]
+            apart = x[random.integers(len(x), size=TRIALS)] - x[random.integers(len(x), size=TRIALS)] if of_data else random.standard_normal((TRIALS, x.shape[1]))
+            fixed = (left @ axis)[:, None] * axis if about_mean else np.zeros_like(left)
+            own = left - fixed
+            if about_mean:
+                apart = apart - (apart @ axis)[:, None] * axis
+            size = (own * own).sum(axis=1, keepdims=True)
+            apart = apart - (apart * own).sum(axis=1, keepdims=True) / np.maximum(size, 1e-18) * own
+            apart = apart * np.sqrt(size) / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
+            cosine = np.clip((threshold - 1 + size) / np.maximum(size, 1e-18), -1, 1)
+            kinds.append((left, fixed + cosine * own + np.sqrt(1 - cosine * cosine) * apart))
+    found = [np.empty((3, 0))]
+    for k in range(0, len(x), 256):
+        cosines = np.triu(x[k : k + 256] @ x.T, k + 1)
+        a, b = np.nonzero((cosines >= threshold) & (cosines < threshold + (1 - threshold) / 2))
+        found.append(np.stack([cosines[a, b], a + k, b]))
+        found = [np.concatenate(found, axis=1)]
+        found[0] = found[0][:, np.argsort(found[0][0], kind="stable")[:TRIALS]]
+    if found[0].shape[1] >= TRIALS // 8:
+        kinds.append((x[found[0][1].astype(int)], x[found[0][2].astype(int)]))
+    return kinds
 
 
 @dataclass(frozen=True)
 class Plan:
-    """``tables`` windows of ``width`` bits each: bit k is whether x @ projection[:, k] exceeds cut[k]."""
+    """``tables`` windows of ``width`` bits each: bit k is whether x @ projection[:, k] exceeds cut[k]. ``radius``: of the whole code."""
 
     width: int
     tables: int
+    radius: int
     projection: np.ndarray
     cut: np.ndarray
 
+    def bits(self, x: np.ndarray) -> np.ndarray:
+        return x @ self.projection > self.cut
+
     def keys(self, x: np.ndarray) -> np.ndarray:
         """A row a vector, a key a table."""
-        bits = (x @ self.projection > self.cut).reshape(len(x), self.tables, self.width)
-        return (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.uint32)
+        bits = self.bits(x).reshape(len(x), self.tables, self.width)
+        return (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.int64)
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """A row a vector: its bits in words of 64."""
+        packed = np.packbits(self.bits(x), axis=1)
+        return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view("<u8")
 
 
 def plan_tables(x: np.ndarray, classes: int, threshold: float, recall: float = RECALL) -> Plan:
-    """Of a sample's unit vectors: windows for so many classes, as many as pairs at the threshold need to meet.
+    """Of a sample's unit vectors: windows for so many classes, as many as pairs at the threshold need to be candidates.
 
     Such pairs differ in a bit with probability angle / pi if it is cut through the origin; cut at the medians they
-    may differ more often, so they are made and looked up. At least as many windows are made as angle / pi asks for.
+    may differ more often, so they are made and coded. At least as many windows are made as angle / pi asks for.
+    The radius leaves out a quarter of the pairs that may be missed.
     """
-    left, right = pairs_at(x, threshold)
+    kinds = pairs_at(x, threshold)
+    left, right = (np.concatenate(side) for side in zip(*kinds))
+    ends = np.cumsum([len(k[0]) for k in kinds])[:-1]
+
+    def worst(values: np.ndarray, of: Callable[[np.ndarray], float], pick: Callable) -> float:
+        return pick(of(part) for part in np.split(values, ends))
+
     turned, models = rotations(x), []
-    equal = np.empty((len(left), 0), bool)
+    differ = np.empty((len(left), 0), bool)
     for width in range(window_width(classes), 0, -1):
         same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** width
         least = math.ceil(math.log(1 - recall) / math.log(1 - same)) if 0 < same < 1 else 1
-        met = np.zeros(len(left), bool)
-        for k in range(MOST_TABLES if least <= MOST_TABLES else 0):
-            while equal.shape[1] < (k + 1) * width:
+        met, distance = np.zeros(len(left), bool), np.zeros(len(left), np.int64)
+        for k in range(MANY_TABLES if least <= MANY_TABLES else 0):
+            while differ.shape[1] < (k + 1) * width:
                 models.append(next(turned))
                 more = [(y @ models[-1][0] > models[-1][1]) for y in (left, right)]
-                equal = np.concatenate([equal, more[0] == more[1]], axis=1)
-            met |= equal[:, k * width : (k + 1) * width].all(axis=1)
-            if k + 1 >= least and min(met[:TRIALS].mean(), met[TRIALS:].mean()) >= recall:
+                differ = np.concatenate([differ, more[0] != more[1]], axis=1)
+            apart = differ[:, k * width : (k + 1) * width].sum(axis=1)
+            met |= apart == 0
+            distance += apart
+            if k + 1 < least or worst(met, np.mean, min) < recall:
+                continue
+            radius = int(worst(distance, lambda d: np.quantile(d, 1 - (1 - recall) / 4, method="higher"), max))
+            if worst(met & (distance <= radius), np.mean, min) >= recall:
                 n = (k + 1) * width
-                return Plan(width, k + 1, np.concatenate([m[0] for m in models], axis=1)[:, :n], np.concatenate([m[1] for m in models])[:n])
+                return Plan(width, k + 1, radius, np.concatenate([m[0] for m in models], axis=1)[:, :n], np.concatenate([m[1] for m in models])[:n])
     return everything(x.shape[1])
 
 
 def everything(length: int) -> Plan:
-    """One bucket for all vectors."""
-    return Plan(1, 1, np.zeros((length, 1)), np.zeros(1))
+    """One bucket for all vectors, all of them candidates."""
+    return Plan(1, 1, 1, np.zeros((length, 1)), np.zeros(1))
 
 
 def _vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    """(id, digest, x): usable vectors as doubles, with the digest of their bytes."""
+    """(id, digest, x): usable vectors, floats as they are and all else as doubles, with the digest of their bytes."""
+    single = isinstance(df.schema[vec].dataType.elementType, T.FloatType)
+    kind = "<f4" if single else "<f8"
     rows = df.where(usable(vec) & F.col(id_col).isNotNull() & F.exists(vec, lambda x: x != 0))
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: x.cast("double") + 0.0).alias("x"))
+    rows = rows.select(F.col(id_col).alias("id"), F.col(vec).cast("array<float>" if single else "array<double>").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [np.array(v, "<f8").tobytes() for v in batch.column(1).to_pylist()]
+            x = [(np.array(v, kind) + np.array(0, kind)).tobytes() for v in batch.column(1).to_pylist()]
             digest = [hashlib.blake2b(v, digest_size=16).digest() for v in x]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(x, pa.binary())], names=["id", "digest", "x"])
 
-    return rows.mapInArrow(run, "id long, digest binary, x binary")
+    return rows.mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, digest binary, x binary")
 
 
-def _unit(blobs: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+def _unit(blobs: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def _bucket(left: np.ndarray, ids: np.ndarray, copies: np.ndarray, before: np.ndarray, blobs: list[bytes], threshold: float) -> tuple[np.ndarray, ...]:
-    """Of one bucket, or one pair of its blocks (``left``: -1 where all rows are of one block): ids, links, smallest id reached.
-
-    ``before`` holds the rows' keys in the tables before this one.
-    """
-    x = _unit(blobs)
+def _keep_new(a: np.ndarray, b: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows (a, b) those that no column of ``before``, the keys in earlier tables, brings together."""
+    for key in before.T:
+        if not len(a):
+            break
+        new = key[a] != key[b]
+        a, b = a[new], b[new]
+    return a, b
+
+
+def _candidates(left: np.ndarray, codes: np.ndarray, before: np.ndarray, radius: int) -> np.ndarray:
+    """Of one bucket, or one pair of its blocks (``left``: -1 where all rows are of one block): which rows have a new partner within the radius."""
+    found = np.zeros(len(codes), bool)
+    for k in range(0, len(codes), STEP):
+        near = np.bitwise_count(codes[k : k + STEP, None, :] ^ codes[None, :, :]).sum(axis=2, dtype=np.int64) <= radius
+        a, b = np.nonzero(near)
+        a = a + k
+        new = (a < b) & ((left[a] < 0) | (left[a] != left[b]))
+        a, b = _keep_new(a[new], b[new], before)
+        found[a] = found[b] = True
+    return found
+
+
+def _bucket(left: np.ndarray, ids: np.ndarray, copies: np.ndarray, before: np.ndarray, x: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    """Of one bucket or pair of blocks, as above: ids, links, smallest id reached."""
     linked = x @ x.T >= threshold
     np.fill_diagonal(linked, False)
     if left[0] >= 0:
         linked &= left[:, None] != left[None, :]
-    a, b = np.nonzero(linked)
-    for key in before.T:
-        if not len(a):
-            break
-        met = key[a] == key[b]
-        linked[a[met], b[met]] = False
-        a, b = a[~met], b[~met]
+    a, b = np.nonzero(np.triu(linked))
+    a, b = _keep_new(a, b, before)
+    linked[:] = False
+    linked[a, b] = linked[b, a] = True
     links = linked @ copies
     label = ids.copy()
     some = np.flatnonzero(links)
@@ -178,78 +251,123 @@ def _bucket(left: np.ndarray, ids: np.ndarray, copies: np.ndarray, before: np.nd
     return ids[some], links[some], label[some]
 
 
+BUCKET = ["size", "t", "key"]
+
+
+def _dealt(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` of buckets as groups (size, t, key, i, j), sorted: a large bucket is dealt out as pairs of blocks, ``own`` the row's."""
+    sizes = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
+    blocks = stored(sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    rows = spread_join(rows, blocks, BUCKET, "n")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
+    return rows.repartition(*BUCKET, "i", "j").sortWithinPartitions(*BUCKET, "i", "j", "cid")
+
+
+def _by_group(dealt: DataFrame, work: Callable[[dict, pa.Table], list], schema: str) -> DataFrame:
+    """``work`` on each group of two rows or more: it gets the group's key and rows and returns the columns of its result."""
+    group = [*BUCKET, "i", "j"]
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def results(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            keys = [part.column(n).to_numpy() for n in group]
+            new = (np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist()
+            for a, b in zip([0, *new], [*new, part.num_rows]):
+                if b - a > 1:
+                    columns = work({n: int(k[a]) for n, k in zip(group, keys)}, part.slice(a, b - a).combine_chunks())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(n).to_numpy() for n in group]
+            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            if held and any(held[-1].column(n)[-1].as_py() != int(k[0]) for n, k in zip(group, keys)):
+                yield from results(pa.Table.from_batches(held))
+                held = []
+            if len(last):  # all groups but the last are whole
+                yield from results(pa.Table.from_batches([*held, batch.slice(0, last[-1] + 1)]))
+                held = []
+            held.append(batch.slice(last[-1] + 1) if len(last) else batch)
+        if held:
+            yield from results(pa.Table.from_batches(held))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _array(part: pa.Table, name: str, kind: str) -> np.ndarray:
+    """A column of binary values of one length as rows of an array."""
+    return np.frombuffer(b"".join(part.column(name).to_pylist()), kind).reshape(part.num_rows, -1)
+
+
 def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vec: str = "embedding", recall: float = RECALL) -> DataFrame:
     """A row a vector: id, n_links, component_id, kept."""
     members = stored(_vectors(df, id_col, vec))
-    classes = stored(members.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x")))
-    counts = classes.groupBy(F.length("x").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
+    kind = "<f4" if isinstance(df.schema[vec].dataType.elementType, T.FloatType) else "<f8"
+    width = np.dtype(kind).itemsize
+    classes = members.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
+    counts = classes.groupBy(F.length("x").alias("size")).agg(F.count(F.lit(1)).alias("n"))
     plans = {}
-    for size, count in counts:
-        if count > FEW:
-            sample = classes.where(F.length("x") == size).orderBy(F.xxhash64("rep")).limit(SAMPLE).select("x").collect()
-            plans[size] = plan_tables(_unit([r["x"] for r in sample]), count, threshold, recall)
+    for size, count in counts.where(F.col("n") > FEW).collect():  # lengths that vectors have, not vectors
+        sample = classes.where(F.length("x") == size).orderBy(F.xxhash64("digest")).limit(SAMPLE).select("x").collect()
+        plans[size] = plan_tables(_unit([r["x"] for r in sample], kind), count, threshold, recall)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("x").to_pylist()
             sizes = np.array([len(b) for b in blobs], np.int64)
             keys: list = [None] * len(blobs)
+            codes: list = [None] * len(blobs)
             for size in np.unique(sizes):
                 rows = np.flatnonzero(sizes == size)
-                plan = plans.get(int(size)) or everything(int(size) // 8)
-                for row, key in zip(rows, plan.keys(_unit([blobs[r] for r in rows]))):
-                    keys[row] = key.astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), batch.column("x"), pa.array(sizes), pa.array(keys, pa.list_(pa.int64()))], names=["rep", "copies", "x", "size", "keys"])
-
-    codes_of = stored(classes.select("rep", "copies", "x").mapInArrow(coded, "rep long, copies long, x binary, size long, keys array<long>"))
-    bucket = ("size", "t", "key")
-    full = codes_of.select("size", F.posexplode("keys").alias("t", "key")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    blocks = stored(full.select(*bucket, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
-    rows = codes_of.select("rep", "copies", "x", "size", "keys", F.posexplode("keys").alias("t", "key"))
-    rows = rows.withColumn("before", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
-    rows = rows.join(small(blocks), [*bucket], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*bucket, F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "copies", "before", "x")
-    group = (*bucket, "i", "j")
-    dealt = rows.repartition(*group).sortWithinPartitions(*group, "rep")
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def work(part: pa.Table) -> pa.RecordBatch:
-            groups = [part.column(n).to_numpy() for n in group]
-            own, rep, copies = (part.column(n).to_numpy() for n in ("own", "rep", "copies"))
-            before, x = part.column("before").combine_chunks(), part.column("x")
-            new = np.flatnonzero(np.any([np.diff(g) != 0 for g in groups], axis=0)) + 1
-            t, i, j = groups[1], groups[3], groups[4]
-            out = [(np.empty(0, np.int64),) * 3]
-            for a, b in zip([0, *new], [*new, len(rep)]):
-                if b - a > 1:
-                    left = own[a:b] if i[a] != j[a] else np.full(b - a, -1)
-                    keys = before.slice(a, b - a).flatten().to_numpy().reshape(b - a, t[a])
-                    out.append(_bucket(left, rep[a:b], copies[a:b], keys, x.slice(a, b - a).to_pylist(), threshold))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["rep", "links", "reached"])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, rows]) if held is not None else rows
-            keys = [held.column(n).to_numpy() for n in group]
-            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0)) if held.num_rows else []
-            if len(last):  # all groups but the last are whole
-                yield work(held.slice(0, last[-1] + 1))
-                held = held.slice(last[-1] + 1)
-        if held is not None and held.num_rows:
-            yield work(held)
-
-    found = stored(dealt.mapInArrow(compared, "rep long, links long, reached long"))
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    labels = components(found.select(F.col("rep").alias("a"), F.col("reached").alias("b")))
-    known = classes.select("digest", "rep", "copies").join(sums, "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("label", "rep").alias("component_id"))
-    judged = members.select("id", "digest").join(known, "digest").select(F.col("id").alias(id_col), "n_links", "component_id")
+                plan = plans.get(int(size)) or everything(int(size) // width)
+                x = _unit([blobs[r] for r in rows], kind)
+                for row, key, code in zip(rows, plan.keys(x), plan.codes(x)):
+                    keys[row], codes[row] = key, code.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["cid", "size", "keys", "code"])
+
+    codes, codes_at = kept(classes.select("cid", "x").mapInArrow(coded, "cid long, size long, keys array<long>, code binary"))
+    entries = codes.select("cid", "size", "code", F.posexplode("keys").alias("t", "key"), "keys")
+    entries = entries.withColumn("before", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
+
+    def earlier(part: pa.Table, t: int) -> np.ndarray:
+        return part.column("before").combine_chunks().flatten().to_numpy().reshape(part.num_rows, t)
+
+    def left_of(group: dict, part: pa.Table) -> np.ndarray:
+        return part.column("own").to_numpy() if group["i"] != group["j"] else np.full(part.num_rows, -1)
+
+    def near(group: dict, part: pa.Table) -> list:
+        plan = plans.get(group["size"])
+        cid = part.column("cid").to_numpy()
+        found = _candidates(left_of(group, part), _array(part, "code", "<u8"), earlier(part, group["t"]), plan.radius if plan else 1)
+        return [*(np.full(found.sum(), group[n]) for n in BUCKET), cid[found]]
+
+    close, close_at = kept(_by_group(_dealt(entries, CODES), near, "size long, t long, key long, cid long").distinct())
+
+    def compared(group: dict, part: pa.Table) -> list:
+        cid, copies = (part.column(n).to_numpy() for n in ("cid", "copies"))
+        return list(_bucket(left_of(group, part), cid, copies, earlier(part, group["t"]), _unit(part.column("x").to_pylist(), kind), threshold))
+
+    full = close.join(codes.select("cid", "keys"), "cid").join(classes.select("cid", "copies", "x"), "cid")
+    full = full.withColumn("before", F.slice("keys", F.lit(1), F.col("t").cast("int"))).drop("keys")
+    full, full_at = kept(full)
+    found = stored(_by_group(_dealt(full, BLOCK), compared, "cid long, links long, reached long"))
+    discard(codes_at, close_at, full_at)
+    sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    labels = components(found.select(F.col("cid").alias("a"), F.col("reached").alias("b"))).withColumnRenamed("id", "cid")
+    linked = stored(classes.select("cid", "digest", "rep", "copies").join(sums, "cid").join(labels, "cid"))
+    least = stored(linked.groupBy("label").agg(F.min("rep").alias("component"), F.count(F.lit(1)).alias("n")))
+    joined = spread_join(linked, least, "label", "n").select("digest", "copies", "links", "component")
+    alone = classes.join(linked.select("cid"), "cid", "left_anti").select("digest", "copies", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
+    known = stored(joined.unionByName(alone).withColumn("n_links", F.col("links") + F.col("copies") - 1).drop("links"))
+    judged = spread_join(members.select("id", "digest"), known, "digest", "copies").select(F.col("id").alias(id_col), "n_links", F.col("component").alias("component_id"))
     rest = df.where(~(usable(vec) & F.col(id_col).isNotNull() & F.coalesce(F.exists(vec, lambda x: x != 0), F.lit(False))))
-    rest = rest.select(F.col(id_col).cast("long").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col(id_col).cast("long").alias("component_id"))
+    rest = rest.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"))
     return judged.unionByName(rest).withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
 

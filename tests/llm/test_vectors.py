@@ -39,23 +39,91 @@ def planted(seed, dims=16):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_op6_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
+    monkeypatch.setattr(embedding_dedup, "CODES", 16)
+    monkeypatch.setattr(embedding_dedup, "STEP", 5)
     rows = planted(seed) + [(9001, None), (9002, [0.0] * 16), (9003, [NAN] * 16), (9004, [None, 1.0]), (9005, [INF]), (9006, []), (9007, [1.0, 2.0]), (9008, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, digest string")
     got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
     assert got == brute_links(rows)
 
 
-def test_op6_whole_table_recall_and_empty(spark):
+def fast_links(x, threshold=0.95):
+    """Links of each row, and the smallest row reachable, by brute force in blocks."""
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links, label = np.zeros(len(x), int), np.arange(len(x))
+    pairs = []
+    for k in range(0, len(x), 1000):
+        a, b = np.nonzero(u[k : k + 1000] @ u.T >= threshold)
+        pairs.append(np.stack([a + k, b])[:, a + k != b])
+    a, b = np.concatenate(pairs, axis=1)
+    np.add.at(links, a, 1)
+    while True:
+        lower = label.copy()
+        np.minimum.at(lower, a, label[b])
+        if (lower == label).all():
+            return links, label
+        label = lower
+
+
+def recall_on(spark, x):
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>")
+    want, label = fast_links(x.astype(np.float32).astype(float))
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df.repartition(4)).collect()))
+    assert [g[0] for g in got] == list(range(len(x)))
+    assert all(g[1] <= w for g, w in zip(got, want)) and all(g[2] >= c for g, c in zip(got, label))
+    assert all(g[3] == (g[2] == g[0]) for g in got)
+    return sum(g[1] for g in got) / want.sum(), int(want.sum())
+
+
+def crowd(seed, dims, offset, cosine=0.955, rows=2000):
+    """Rows about a common mean, each with a partner just over the threshold."""
+    rnd = np.random.default_rng(seed)
+    x = rnd.standard_normal((rows, dims)) + offset
+    u = rnd.standard_normal((rows, dims))
+    u -= (u * x).sum(axis=1, keepdims=True) / (x * x).sum(axis=1, keepdims=True) * x
+    u *= np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(u, axis=1, keepdims=True)
+    return np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * u])
+
+
+@pytest.mark.parametrize("dims,offset", [(64, 0), (64, 3), (64, 1), (12, 0), (128, 0.5)])
+def test_op6_recall_against_brute_force(spark, dims, offset):
+    recall, links = recall_on(spark, crowd(dims, dims, offset))
+    assert recall >= 0.99 and links >= 4000
+
+
+def test_op6_recall_in_clusters(spark):
+    rnd = np.random.default_rng(21)
+    centers = rnd.standard_normal((40, 48)) * np.linspace(3, 0.2, 48)
+    x = centers[rnd.integers(40, size=3000) ** 2 // 40] + rnd.standard_normal((3000, 48)) * 0.35
+    recall, links = recall_on(spark, x)
+    assert recall >= 0.99 and links >= 10_000
+
+
+def test_op6_whole_table_with_planted_links(spark, tmp_path):
+    """The table has no links of its own; a copy of it gets some."""
     sf = "/root/testdata/sf0.01"
-    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
-    want = brute_links(rows)
-    got = sorted(map(tuple, embedding_dedup.op6_embedding_dedup(spark, sf).collect()))
-    assert len(got) == len(want) and sum(a[1] for a in got) >= 0.99 * sum(a[1] for a in want)
-    assert all(a[1] <= b[1] for a, b in zip(got, want))
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], float)
+    rnd = np.random.default_rng(4)
+    noise = rnd.standard_normal(x.shape) * np.linalg.norm(x, axis=1, keepdims=True) / np.sqrt(x.shape[1])
+    x = np.concatenate([x, x + 0.3 * noise, x[:100] * 2, np.repeat(x[:1], 300, axis=0) + 0.1 * rnd.standard_normal((300, x.shape[1])) * np.linalg.norm(x[0]) / 8])
+    df = spark.createDataFrame([(k, v, 0) for k, v in enumerate(x.astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    want, label = fast_links(x.astype(np.float32).astype(float))
+    got = sorted(map(tuple, embedding_dedup.op6_embedding_dedup(spark, str(tmp_path)).collect()))
+    assert len(got) == len(x) and sum(g[1] for g in got) >= 0.99 * want.sum() and want.sum() > 10_000
+    assert all(g[1] <= w for g, w in zip(got, want)) and np.mean([g[2] == c for g, c in zip(got, label)]) > 0.99
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embedding_dedup.near_duplicates(empty).count() == 0
 
 
+def test_op6_one_id_with_several_vectors(spark):
+    rows = [("a", [1.0, 0.0]), ("b", [1.0, 0.01]), ("b", [0.0, 1.0]), ("c", [0.0, 1.0]), ("c", None), (None, [1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id string, embedding array<double>")
+    got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([("a", 1, "a", True), ("b", 1, "a", False), ("b", 1, "b", True), ("c", 1, "b", False), ("c", 0, "c", True), (None, 0, None, True)], key=str)
+
+
 def pairs_of(seed, cosine, pairs, dims=64):
     """Rows 2k and 2k + 1 are at the cosine; all else is far apart."""
     rnd = np.random.default_rng(seed)
@@ -71,8 +139,11 @@ def pairs_of(seed, cosine, pairs, dims=64):
 def test_op6_plan_holds_recall_as_tables_grow(classes, offset):
     sample = np.random.default_rng(5).standard_normal((4096, 64)) / 8 + offset
     plan = embedding_dedup.plan_tables(sample / np.linalg.norm(sample, axis=1, keepdims=True), classes, 0.95)
-    keys = plan.keys(pairs_of(6, 0.95, 4000))
-    assert (keys[::2] == keys[1::2]).any(axis=1).mean() >= 0.985
+    x = pairs_of(6, 0.95, 4000)
+    keys, codes = plan.keys(x), plan.codes(x)
+    met = (keys[::2] == keys[1::2]).any(axis=1)
+    near = np.bitwise_count(codes[::2] ^ codes[1::2]).sum(axis=1, dtype=int) <= plan.radius
+    assert (met & near).mean() >= 0.985 and (plan.radius < plan.width * plan.tables / 4 or offset)
     assert plan.width == embedding_dedup.window_width(classes) or offset
 
 
