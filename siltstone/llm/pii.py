@@ -1,26 +1,28 @@
 """Personal data: patterns, and terms that reveal what the patterns protect.
 
-The base finds e-mail and IP addresses, card and phone numbers. Around each the whole words within ``REACH`` code
-points are its context. A term has two characters at least, and one of two or three must begin with a capital or a
-letter without case there. It is held to reveal an entity (one address or number) by co-occurrence in the
-corpus: it stands near the entity in at least ``MIN_TEXTS`` different texts, so that copies of one text (letter
-case and white space aside) are one piece of evidence and never speak against a term; texts that differ in a
-word are different. And of all documents of the corpus that hold the term, at least ``DISCLOSURE`` hold the
-entity, log2(p(entity | term) / p(entity)) then being large for all but the most common entities
+The base finds e-mail and IP addresses, card and phone numbers. A term is a word outside them, of two characters
+at least; one of two or three must begin with a capital or a letter without case. It is held to reveal an entity
+(one address or number) by co-occurrence in whole documents, over the corpus: at least ``MIN_TEXTS`` different
+texts hold both, so that copies of one text (letter case and white space aside) are one piece of evidence;
+texts that differ in a word are different. And of all documents that hold the term, at least ``DISCLOSURE``
+hold the entity, log2(p(entity | term) / p(entity)) then being large for all but the most common entities
 (``MIN_BITS``). Such terms become spans of their own wherever they stand outside base spans, and sanitising
 generalises them to a placeholder.
 
-All of it is DataFrame functions. Null texts have no spans and stay null; repeated rows each get their own.
-Rows with a null id get base spans only. Other columns pass through; the output columns must not exist
-already. Positions count code points; the end is exclusive.
+All of it is DataFrame functions, and linear in a text's length but for a logarithm. A document is a row; repeated
+rows each get their own spans. Null texts have no spans and stay null. Rows with a null id count as documents and
+get base spans only. Other columns pass through, whatever their names; ``find`` raises where the input has its
+output columns already. Positions count code points; the end is exclusive.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import small, stored, table
+from siltstone.llm.common import BROADCAST_BYTES, named_apart, small, spread_join, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Each pattern finds the leftmost longest matches of its contract in one pass: a match can only begin where a
@@ -31,7 +33,6 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-REACH = 96
 MIN_TEXTS = 3
 DISCLOSURE = 0.5
 MIN_BITS = 4.0
@@ -40,6 +41,10 @@ INNER = r"[\p{L}\p{M}\p{N}_-]"
 WORD = rf"\p{{L}}{INNER}+"
 #: What can be a term: of two or three characters only what is written as a name, with no lower-case letter first.
 TERM = rf"\p{{L}}{INNER}{{3,}}|(?<!{INNER})[\p{{Lu}}\p{{Lt}}\p{{Lo}}]{INNER}{{1,2}}"
+#: Code points of a piece that a text is cut into, so that a place in it is found without counting from its start.
+PIECE = 1_000
+#: Begins the names of columns that are ours alone.
+OWN = "__siltstone_pii_"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -76,106 +81,145 @@ def _of_kind(spans: str, kind: str) -> Column:
     return F.filter(spans, lambda s: s["kind"] == kind)
 
 
-def _located(df: DataFrame, text: Column, kind: str, pattern: Column, needs: Column, out: str) -> DataFrame:
+def _running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """Running totals of an array: at each round values twice as far apart are added, so there are few rounds."""
+    n = F.size(values)
+
+    def far(acc: Column, k: Column) -> Column:
+        return F.zip_with(acc, F.slice(F.concat(F.array_repeat(zero, F.pow(F.lit(2), k).cast("int")), acc), F.lit(1), n), add)
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(n, F.lit(1)))).cast("int")), values, far)
+
+
+def _located(df: DataFrame, text: Column, kind: str, pattern: str, needs: Column, out: str) -> DataFrame:
     """Adds ``out``: the pattern's matches with their places, from the lengths of matches and of what stands between."""
+    between, found, ends = (f"{OWN}{n}" for n in ("between", "found", "ends"))
     body = F.when(needs, text).otherwise(F.lit(""))
-    df = df.withColumns({"__between": F.split(body, pattern, -1), "__found": F.regexp_extract_all(body, pattern, F.lit(0))})
-    none = F.array().cast(_SPAN)
+    df = df.withColumns({between: F.split(body, pattern, -1), found: F.regexp_extract_all(body, F.lit(pattern), F.lit(0))})
+    lengths = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, f: F.length(b) + F.length(f))
+    df = df.withColumn(ends, _running(lengths, F.lit(0), lambda x, y: x + y))
+    spans = F.zip_with(found, ends, lambda f, e: F.struct(F.lit(kind).alias("kind"), (e - F.length(f)).alias("start"), e.alias("end"), f.alias("value")))
+    return df.withColumn(out, F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPAN))).drop(between, found, ends)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["__between"])
-        end = start + F.length(x["__found"])
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), x["__found"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
 
-    both = F.filter(F.arrays_zip("__between", "__found"), lambda x: x["__found"].isNotNull())
-    placed = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
-    return df.withColumn(out, F.when(F.size("__found") > 0, placed).otherwise(none)).drop("__between", "__found")
+def _rebuilt(df: DataFrame, text: str, spans: str, fill: Callable[[Column, Column, Column], Column], out: str) -> DataFrame:
+    """Adds ``out``: the text with ``fill(span, at, reach)`` for the spans (sorted by start), ``at`` where spans before it end and ``reach`` where they and it do."""
+    pieces, reach = f"{OWN}pieces", f"{OWN}reach"
+    some = F.size(spans) > 0
+    df = df.withColumns({pieces: F.when(some, F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))), reach: F.when(some, _running(F.transform(spans, lambda s: s["end"]), F.lit(0), lambda x, y: F.greatest(x, y)))})
 
+    def cut(a: Column, b: Column) -> Column:
+        first, last = (a / PIECE).cast("int"), ((b - 1) / PIECE).cast("int")
+        return F.when(b > a, F.substring(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), a % PIECE + 1, b - a)).otherwise(F.lit(""))
 
-def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
-    """Adds ``out``: the base spans by kind and then start."""
+    ats = F.concat(F.array(F.lit(0)), F.slice(reach, F.lit(1), F.size(reach) - 1))
+    marks = F.zip_with(F.zip_with(spans, ats, lambda s, at: F.struct(s.alias("s"), at.alias("at"))), reach, lambda x, r: F.struct(x["s"].alias("s"), x["at"].alias("at"), r.alias("r")))
+    parts = F.transform(marks, lambda x: F.concat(cut(x["at"], x["s"]["start"]), fill(x["s"], x["at"], x["r"])))
+    whole = F.concat(F.array_join(parts, ""), cut(F.element_at(reach, -1), F.length(text)))
+    return df.withColumn(out, F.when(some, whole).otherwise(F.col(text))).drop(pieces, reach)
+
+
+def _base(df: DataFrame, text: str, out: str) -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     needs = {"email": body.contains("@"), "ip": body.rlike(r"[0-9]\.[0-9]"), "card": body.rlike("[0-9][0-9 -]{14}"), "phone": body.contains("+")}
     for kind in KINDS:
-        df = _located(df, body, kind, F.lit(PATTERNS[kind]), needs[kind], f"__{kind}")
-    every = F.concat(*(_filtered(f"__{kind}", kind) for kind in KINDS))
-    return df.withColumn(out, every).drop(*(f"__{kind}" for kind in KINDS))
+        df = _located(df, body, kind, PATTERNS[kind], needs[kind], f"{OWN}{kind}")
+    every = F.concat(*(_filtered(f"{OWN}{kind}", kind) for kind in KINDS))
+    return df.withColumn(out, every).drop(*(f"{OWN}{kind}" for kind in KINDS))
+
+
+def base_spans(df: DataFrame, text: str = "text", out: str = "base") -> DataFrame:
+    """Adds ``out``: the base spans by kind and then start."""
+    named_apart(df, out)
+    return _base(df, text, out)
+
+
+def _by_start(spans: Column) -> Column:
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+
+
+def _bare(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, text, base, bare): ``bare`` is the text with blanks for base spans, so places stay."""
+    df = _base(df.select(F.col(id_col).alias("id"), F.col(text).alias("text")), "text", "base")
+    blanks = lambda s, at, reach: F.repeat(F.lit(" "), reach - F.greatest(s["start"], at))
+    return _rebuilt(df.withColumn("sorted", _by_start(F.col("base"))), "text", "sorted", blanks, "bare").drop("sorted")
+
+
+def _words(pattern: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all("bare", F.lit(pattern), F.lit(0)), F.lower))
 
 
 def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
 
-def revealing_terms(based: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame | None]:
-    """(term, entity) that exceed the threshold; and (id, term) of all documents that hold such a term, None if there are no terms."""
-    spans = based.where(F.size("base") > 0).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.explode("base").alias("s"))
-    # One character more than the reach shows whether the word at the cut is whole; nothing goes where the text ends.
-    before = F.substring("text", F.greatest(F.col("s.start") - REACH - 1, F.lit(0)) + 1, F.least(F.col("s.start"), F.lit(REACH + 1)))
-    after = F.substring("text", F.col("s.end") + 1, F.lit(REACH + 1))
-    before = F.when(F.col("s.start") > REACH, F.regexp_replace(before, r"^\S+", "")).otherwise(before)
-    after = F.when(F.length("text") > F.col("s.end") + REACH, F.regexp_replace(after, r"\S+$", "")).otherwise(after)
-    around = F.concat_ws(" | ", before, after)
+def revealing_terms(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, entity, texts, both, term_docs, entity_docs) of what exceeds the threshold."""
+    bare = _bare(df, id_col, text)
     source = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
-    words = stored(spans.select("id", _entity(F.col("s")).alias("entity"), source.alias("source"), F.array_distinct(F.transform(F.regexp_extract_all(around, F.lit(TERM), F.lit(0)), F.lower)).alias("words")))
-    near = words.select("id", "entity", "source", F.explode("words").alias("term"))
-    pairs = near.select("term", "entity", "source").distinct().groupBy("term", "entity").agg(F.count(F.lit(1)).alias("texts"))
-    pairs = pairs.where(F.col("texts") >= MIN_TEXTS).select("term", "entity")
-    # At most the entity's documents hold both, and at least those where the term is near any entity hold the term:
-    # what this bound puts under the threshold needs no count over the corpus.
-    entity_docs = words.where("id is not null").select("id", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("most"))
-    term_docs = near.where("id is not null").select("id", "term").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("least"))
-    bounded = pairs.join(entity_docs, "entity").join(term_docs, "term").where(F.col("most") >= DISCLOSURE * F.col("least"))
-    pairs = stored(bounded.select("term", "entity"))
-    if pairs.isEmpty():
-        return pairs, None
-    terms = stored(pairs.select("term").distinct())
-    entities = stored(pairs.select("entity").distinct())
-    rows = based.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"), "base")
-    held = rows.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    held = stored(held.join(small(terms), "term").select("id", "term").distinct())
-    marked = rows.where(F.size("base") > 0).select("id", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
-    marked = stored(marked.join(small(entities), "entity").select("id", "entity").distinct())
-    total = based.select(id_col).distinct().count()
-    of_term = held.groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    of_entity = marked.groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
-    joint = held.join(marked, "id").join(pairs, ["term", "entity"]).groupBy("term", "entity").agg(F.count(F.lit(1)).alias("both"))
-    odds = joint.join(of_term, "term").join(of_entity, "entity").withColumn("given", F.col("both") / F.col("term_docs"))
-    strong = odds.where((F.col("given") >= DISCLOSURE) & (F.log2(F.col("given") * total / F.col("entity_docs")) >= MIN_BITS))
-    strong = stored(strong.select("term", "entity"))
-    return strong, stored(held.join(small(stored(strong.select("term").distinct())), "term").select("id", "term"))
+    # The documents with entities are few; their words are kept, so that the texts are not searched again for them.
+    marked = stored(bare.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), source.alias("source"), F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(TERM).alias("terms")))
+    each = marked.select("row", "source", F.explode("entities").alias("entity"))
+    entities = each.groupBy("entity", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entity_docs"))
+    entities = stored(entities.where(F.col("texts") >= MIN_TEXTS).select("entity", "entity_docs", F.col("entity_docs").alias("n")))
+    held = spread_join(each.select("row", "entity"), entities, "entity", "n")
+    of_row = held.groupBy("row").agg(F.max("entity_docs").alias("most"), F.collect_list(F.struct("entity", "entity_docs")).alias("entities"))
+    rows = stored(marked.select("row", "source", "terms").join(of_row, "row"))
+    near = rows.select("source", "most", "entities", F.explode("terms").alias("term"))
+    # No entity beside the term is in more documents than ``most``, and the term is in no fewer than here: what
+    # this bound puts under the threshold is not counted over the corpus, and then the count is held to it too.
+    bound = near.groupBy("term").agg(F.count(F.lit(1)).alias("least"), F.max("most").alias("most"))
+    terms = stored(bound.where((F.col("least") >= MIN_TEXTS) & (F.col("most") >= DISCLOSURE * F.col("least"))).select("term", "most"))
+    counts = bare.select(F.explode(_words(WORD)).alias("term")).join(small(terms.select("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    terms = stored(terms.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("term_docs")).select("term", "term_docs"))
+    total = df.count()
+    pairs = near.join(small(terms), "term").select("term", "term_docs", "source", F.explode("entities").alias("e")).select("term", "term_docs", "source", "e.*")
+    pairs = pairs.where(F.col("entity_docs") >= DISCLOSURE * F.col("term_docs")).groupBy("term", "term_docs", "entity", "entity_docs", "source").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("term", "term_docs", "entity", "entity_docs").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("both"))
+    given = F.col("both") / F.col("term_docs")
+    strong = pairs.where((F.col("texts") >= MIN_TEXTS) & (given >= DISCLOSURE) & (F.log2(given * total / F.col("entity_docs")) >= MIN_BITS))
+    return stored(strong.select("term", "entity", "texts", "both", "term_docs", "entity_docs"))
+
+
+def _small_lists(lists: DataFrame) -> DataFrame:
+    """Marks (id, terms) for broadcast if all of it is small, counted in bytes."""
+    size = lists.agg(F.sum(F.lit(64) + 32 * F.size("terms") + F.length(F.array_join("terms", "")))).first()[0] or 0
+    return F.broadcast(lists) if size <= BROADCAST_BYTES else lists
+
+
+def _found(df: DataFrame, id_col: str, text: str, base: str, extra: str) -> DataFrame:
+    based = _base(df, text, base)
+    strong = stored(revealing_terms(df, id_col, text).select("term").distinct())
+    if strong.isEmpty():
+        return based.withColumn(extra, F.array().cast(_SPAN))
+    holders = _bare(df.where(F.col(id_col).isNotNull()), id_col, text).select("id", F.explode(_words(WORD)).alias("term")).join(small(strong), "term")
+    lists = stored(holders.groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms")))
+    key, terms, bare, words, spans = (f"{OWN}{n}" for n in ("id", "terms", "bare", "words", "sorted"))
+    named = _small_lists(lists).select(F.col("id").alias(key), F.col("terms").alias(terms))
+    joined = based.join(named, F.col(id_col) == F.col(key), "left").drop(key)
+    held = F.col(terms).isNotNull()
+    blanks = lambda s, at, reach: F.repeat(F.lit(" "), reach - F.greatest(s["start"], at))
+    joined = joined.withColumn(spans, F.when(held, _by_start(F.col(base))).otherwise(F.array().cast("array<struct<start:int,end:int,kind:string>>")))
+    joined = _rebuilt(joined, text, spans, blanks, bare)
+    joined = _located(joined, F.coalesce(F.col(bare), F.lit("")), "term", WORD, held, words)
+    joined = joined.withColumn(extra, F.filter(words, lambda s: F.array_contains(F.col(terms), F.lower(s["value"]))))
+    return joined.drop(terms, bare, words, spans)
 
 
 def find(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Adds base and extra: arrays of (kind, start, end, value); extra's kind is ``term``."""
-    based = base_spans(df, text)
-    _, holders = revealing_terms(based, id_col, text)
-    if holders is None or holders.isEmpty():
-        return based.withColumn("extra", F.array().cast(_SPAN))
-    lists = stored(holders.groupBy(F.col("id").alias("__id")).agg(F.sort_array(F.collect_set("term")).alias("__terms")))
-    joined = based.join(small(lists), F.col(id_col) == F.col("__id"), "left").drop("__id")
-    pattern = F.concat(F.lit(rf"(?iu)(?<!{INNER})(?:"), F.array_join("__terms", "|"), F.lit(rf")(?!{INNER})"))
-    joined = joined.withColumn("__pattern", F.coalesce(pattern, F.lit(r"\z\A.")))
-    body = F.coalesce(F.col(text), F.lit(""))
-    found = _located(joined, body, "term", F.col("__pattern"), F.col("__terms").isNotNull(), "__extra")
-    apart = F.filter("__extra", lambda s: ~F.exists("base", lambda b: (s["start"] < b["end"]) & (s["end"] > b["start"])))
-    return found.withColumn("extra", apart).drop("__pattern", "__terms", "__extra")
+    named_apart(df, "base", "extra")
+    return _found(df, id_col, text, "base", "extra")
 
 
 def sanitise(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with every span in ``text`` replaced by its kind in brackets; of overlapping spans the first's kind stands for all."""
-    found = find(df, id_col, text)
-    spans = F.array_sort(F.transform(F.concat("base", "extra"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def add(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece)).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rebuilt = F.aggregate("__spans", start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    clean = found.withColumn("__spans", spans).withColumn(text, F.when(F.size("__spans") > 0, rebuilt).otherwise(F.col(text)))
-    return clean.select(*df.columns)
+    base, extra, spans, clean = (f"{OWN}{n}" for n in ("base", "extra", "spans", "clean"))
+    found = _found(df, id_col, text, base, extra)
+    found = found.withColumn(spans, _by_start(F.concat(base, extra)))
+    label = lambda s, at, reach: F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
+    rebuilt = _rebuilt(found, text, spans, label, clean)
+    return rebuilt.withColumn(text, F.col(clean)).select(*df.columns)
 
 
 def _listed(spans: Column) -> Column:

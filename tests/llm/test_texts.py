@@ -164,13 +164,73 @@ def test_op5_short_terms_and_terms_at_the_ends(spark):
     rows = [f"{word()} {word()} mail jane@example.org Zorblatt" for _ in range(5)]
     rows += [f"{word()} Lee mail lee@example.org {word()}" for _ in range(5)]
     rows += [f"{word()} नेहा mail neha@example.org {word()} Li and 王芳" for _ in range(5)]
-    # whole words that end just where the reach does, and words that it cuts
+    # words far from the entity are evidence too
     rows += [f"{word()} cutoff Edgeone {'. ' * 43}. far@example.org{' .' * 44} Edgetwo cutoff {word()}" for _ in range(5)]
     rows += [f"{word()} mail now {word()}" for _ in range(400)]
-    assert revealed(spark, rows) == {"zorblatt", "lee", "नेहा", "li", "王芳", "edgeone", "edgetwo"}
+    assert revealed(spark, rows) == {"zorblatt", "lee", "नेहा", "li", "王芳", "cutoff", "edgeone", "edgetwo"}
 
 
 @pytest.mark.parametrize("text,want", [("+49 30 1234567 and 1.2.3.4", "[PHONE] and [IP]"), ("+4111 1111 1111 1111 x", "+[CARD] x")])
 def test_sanitised(spark, text, want):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     assert pii.sanitise(df).select(F.first("text")).first()[0] == want
+
+
+def test_op5_is_linear_in_a_texts_spans(spark):
+    many = " ".join(f"user{k}@mail{k % 7}.example.org" for k in range(200_000))
+    df = spark.createDataFrame([(1, many), (2, "ü😀 a@b.c " * 3), (3, None)], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert clean[1] == " ".join(["[EMAIL]"] * 200_000) and clean[2] == "ü😀 [EMAIL] " * 3 and clean[3] is None
+
+
+def test_op5_columns_of_clashing_names(spark):
+    names = ["base", "extra", "spans", "terms", "bare", "between", "id", "entity"]
+    df = spark.createDataFrame([(k, f"mail a{k}@b.org or 1.2.3.4", *names) for k in range(4)], ["doc_id", "text", *names])
+    got = pii.sanitise(df).collect()
+    assert pii.sanitise(df).columns == df.columns
+    assert all(r[2:] == tuple(names) and r.text == "mail [EMAIL] or [IP]" for r in got)
+    with pytest.raises(ValueError):
+        pii.find(df)
+
+
+def brute_terms(rows):
+    """(term, entity) by counting, naively, over all documents."""
+    import math
+    from collections import defaultdict
+
+    held, of_term, of_entity, terms_in = defaultdict(set), defaultdict(set), defaultdict(set), []
+    letters = re.compile(r"[^\W\d_][\w-]+")
+    source = []
+    for k, (_, text) in enumerate(rows):
+        text = text or ""
+        bare = list(text)
+        entities = set()
+        for kind, a, b in brute_spans(text):
+            bare[a:b] = " " * (b - a)
+            entities.add(f"{kind}:{text[a:b].lower()}")
+        bare = "".join(bare)
+        source.append(" ".join(text.split()).lower())
+        words = [m[0] for m in letters.finditer(bare)]
+        for w in words:
+            of_term[w.lower()].add(k)
+        for e in entities:
+            of_entity[e].add(k)
+            for w in words:
+                if len(w) > 3 or not w[0].islower():
+                    held[w.lower(), e].add(k)
+    out = set()
+    for (w, e), both in held.items():
+        given = len(both) / len(of_term[w])
+        if len({source[k] for k in both}) >= 3 and given >= 0.5 and math.log2(given * len(rows) / len(of_entity[e])) >= 4:
+            out.add((w, e))
+    return out
+
+
+def test_op5_terms_against_naive_counts_on_a_whole_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rnd = random.Random(9)
+    rows = documents(spark)
+    rows += [(10**6 + k, f"{rnd.choice(rows)[1] or ''}\nwritten by Quentin{k % 5} for desk{k % 5}@example.org") for k in range(30)]
+    df = spark.createDataFrame(rows, docs.schema)
+    got = {(r.term, r.entity) for r in pii.revealing_terms(df).collect()}
+    assert got == brute_terms(rows) and {(f"quentin{k}", f"email:desk{k}@example.org") for k in range(5)} <= got
