@@ -1,9 +1,9 @@
 """Toxicity by FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-A text's features are the words, the pairs of neighbours, the pairs with one word between and the stems of
-longer words (their first ``STEMS`` letters, so that a rare form is known by its kin), each present or not,
-hashed to 32 bits. Words are lower-cased and freed of outer marks. The weights are learned with a rate for
-each coordinate; the L1 term leaves most at zero, so those that stay are few and are broadcast.
+A text's features are the words, the pairs of neighbours and the pairs with one word between, each present or
+not, hashed to 32 bits. Words are lower-cased and freed of outer marks. The weights are learned with a rate for
+each coordinate; the L1 term leaves most at zero, so those that stay are few and are broadcast. A toxic text's
+gradients count ``TOXIC_WEIGHT`` times, as toxic texts are few.
 
 Training takes a bounded sample (``SAMPLE_DOCS``) of the labelled rows, chosen by a hash of their ids, and
 runs as one task over their features alone. Scores depend on the text only. Null and empty texts have no
@@ -24,19 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import stored, table, take_turn
+from siltstone.llm.common import named_apart, stored, table, take_turn
 
 #: The bound of the labelled sample that the model is fitted on.
 SAMPLE_DOCS = 16_000
 EPOCHS = 3
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
-#: Features that fewer documents of the sample hold are left out.
-LEAST_DOCS = 3
-#: Weights that a model may have at most; the largest stay. They are what is broadcast.
-MOST_WEIGHTS = 200_000
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
+TOXIC_WEIGHT = 2.0
 WORDS_KEPT = 200_000
-#: Letters of a word's stems; a word has those that it is longer than.
-STEMS = (6, 8)
 SLICE = 256
 _KEY_BITS = 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -50,41 +45,21 @@ class _WordHashes(dict):
         return value
 
 
-class _StemHashes(dict):
-    """Both stems' 32-bit hashes in one number; 0 stands for none."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= WORDS_KEPT:
-            self.clear()
-        bare = word.strip(string.punctuation)
-        value = 0
-        for letters in STEMS:
-            value = value << 32 | (xxhash.xxh3_64_intdigest(f"{bare[:letters]}*") >> 32 if len(bare) > letters else 0)
-        self[word] = value
-        return value
-
-
-_hashes, _stems = _WordHashes(), _StemHashes()
-
-
-def _clear() -> None:
-    _hashes.clear()
-    _stems.clear()
+_hashes = _WordHashes()
 
 
 def _begin() -> None:
-    take_turn("toxicity", _clear)
+    take_turn("toxicity", _hashes.clear)
 
 
 def features(text: str | None) -> np.ndarray:
-    """Hashes of all words, pairs and skip pairs in their order, and of stems; repeated ones stay."""
+    """Hashes of all words, pairs and skip pairs in their order; repeated ones stay."""
     words = (text or "").lower().split()
     h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     pairs = (h[:-1] * _MIX[0]) ^ (h[1:] * _MIX[1] + _MIX[4])
     skips = (h[:-2] * _MIX[2]) ^ (h[2:] * _MIX[3] + _MIX[4])
     every = np.concatenate([h, pairs * _MIX[2], skips * _MIX[0]])
-    stems = np.fromiter(map(_stems.__getitem__, words), np.uint64, len(words)).view(np.uint32)
-    return np.concatenate([(every >> np.uint64(32)).astype(np.uint32), stems[stems != 0]])
+    return (every >> np.uint64(32)).astype(np.uint32)
 
 
 def train(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
@@ -93,14 +68,8 @@ def train(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
     none = np.empty(0, np.uint32), np.empty(0)
     if not 0 < rate < 1:
         return *none, 40.0 if rate else -40.0
-    keys, counts = np.unique(np.concatenate(sets), return_counts=True)
-    keys = keys[counts >= LEAST_DOCS]
-    if not len(keys):
-        return *none, float(np.log(rate / (1 - rate)))
-    indexes = []
-    for s in sets:
-        at = np.minimum(np.searchsorted(keys, s), len(keys) - 1)
-        indexes.append(at[keys[at] == s])
+    keys = np.unique(np.concatenate(sets))
+    indexes = [np.searchsorted(keys, s) for s in sets]
     z, n = np.zeros(len(keys)), np.zeros(len(keys))
     bias, bias_n = np.log(rate / (1 - rate)), 1.0
 
@@ -114,14 +83,13 @@ def train(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.nd
             zk, nk = z[at], n[at]
             w = weights(zk, nk)
             g = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -40, 40))) - labels[k]
+            g *= TOXIC_WEIGHT if labels[k] else 1.0
             z[at] = zk + g - (np.sqrt(nk + g * g) - np.sqrt(nk)) / ALPHA * w
             n[at] = nk + g * g
             bias_n += g * g
             bias -= ALPHA / (BETA + np.sqrt(bias_n)) * g
     w = weights(z, n)
     kept = np.flatnonzero(w)
-    if len(kept) > MOST_WEIGHTS:
-        kept = np.sort(kept[np.argsort(-np.abs(w[kept]), kind="stable")[:MOST_WEIGHTS]])
     return keys[kept], w[kept], float(bias)
 
 
@@ -156,6 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, id_col: s
 
 def score(df: DataFrame, model: tuple[np.ndarray, np.ndarray, float], text: str = "text", out: str = "score") -> DataFrame:
     """Adds ``out``: the probability, 0 to 1, that the text is toxic."""
+    named_apart(df, out)
     shared = df.sparkSession.sparkContext.broadcast(model)
     at = df.columns.index(text)
 

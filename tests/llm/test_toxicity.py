@@ -1,6 +1,9 @@
+import math
+import string
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siltstone.llm import toxicity
@@ -49,7 +52,56 @@ def test_training_finds_the_telling_word():
     assert len(keys) < 60
 
 
-def test_stems_join_forms_of_a_word():
-    sets = [set(toxicity.features(x).tolist()) for x in ("horriblest", "horribleness.", "Horrible", "horrid")]
-    assert len(sets[0] & sets[1]) == 2 and len(sets[0] & sets[2]) == 1 and not sets[2] & sets[3]
-    assert len(toxicity.features("")) == 0
+def naive_model(rows):
+    """FTRL-proximal by the book, feature by feature, over words themselves instead of hashes."""
+    rate = sum(y for _, y in rows) / len(rows)
+    z, n, bias, bias_n = {}, {}, math.log(rate / (1 - rate)), 1.0
+
+    def weight(f):
+        zf, nf = z.get(f, 0.0), n.get(f, 0.0)
+        return 0.0 if abs(zf) <= toxicity.L1 else (math.copysign(toxicity.L1, zf) - zf) / ((toxicity.BETA + math.sqrt(nf)) / toxicity.ALPHA + toxicity.L2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            found, y = rows[k]
+            g = 1 / (1 + math.exp(-max(-40, min(40, sum(map(weight, found)) + bias)))) - y
+            g *= toxicity.TOXIC_WEIGHT if y else 1
+            for f in found:
+                w, nf = weight(f), n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (math.sqrt(nf + g * g) - math.sqrt(nf)) / toxicity.ALPHA * w
+                n[f] = nf + g * g
+            bias_n += g * g
+            bias -= toxicity.ALPHA / (toxicity.BETA + math.sqrt(bias_n)) * g
+    return {f: weight(f) for f in z if weight(f)}, bias
+
+
+def naive_features(text):
+    w = [x.strip(string.punctuation) for x in (text or "").lower().split()]
+    return {(x,) for x in w} | {(1, *p) for p in zip(w, w[1:])} | {(2, *p) for p in zip(w, w[2:])}
+
+
+def test_op10_against_a_naive_model_on_a_whole_table(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    toxic = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.toxic is not None and r.doc_id in texts:
+            toxic[r.doc_id] = max(r.toxic, toxic.get(r.doc_id, 0))
+    rows = [(naive_features(texts[i]), toxic[i]) for i in sorted(toxic, key=str)]
+    weights, bias = naive_model(rows)
+    got = toxicity.op10_toxicity(spark, sf).collect()
+    assert len(got) == len(texts) and weights
+    for r in got:
+        x = sum(weights.get(f, 0.0) for f in naive_features(texts[r.doc_id])) + bias
+        assert abs(r.score - 1 / (1 + math.exp(-max(-40, min(40, x))))) < 1e-6, r.doc_id
+
+
+def test_only_words_pairs_and_skips_are_features():
+    assert len(toxicity.features("")) == 0 and len(toxicity.features("One two, three")) == 6
+    assert set(toxicity.features("horrible")) == set(toxicity.features("Horrible!")) and not set(toxicity.features("horrible")) & set(toxicity.features("horribly"))
+
+
+def test_score_column_must_be_new(spark):
+    df = spark.createDataFrame([(1, "a", 2.0)], "doc_id long, text string, score double")
+    with pytest.raises(ValueError):
+        toxicity.score(df, (np.empty(0, np.uint32), np.empty(0), 0.0))
