@@ -6,8 +6,9 @@ import atexit
 import logging
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,6 +115,52 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str =
     return near.unionByName(far)
 
 
+def by_part(dealt: DataFrame, group: list[str], work: Callable[[pa.Table, list[int]], list], schema: str) -> DataFrame:
+    """``work`` on rows of whole groups and the places where each begins gives the columns of ``schema``, or an empty list.
+
+    The groups are of the integer columns ``group``; a partition holds whole groups, sorted by them. A task holds
+    a batch, or a group where that is more.
+    """
+    names = [field.split()[0] for field in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def results(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = pa.Table.from_batches(parts).combine_chunks()
+            keys = [part.column(n).to_numpy() for n in group]
+            starts = [0, *(np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist()]
+            if columns := work(part, starts):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = [batch.column(n).to_numpy() for n in group]
+            if held and any(held[-1].column(n)[-1].as_py() != int(k[0]) for n, k in zip(group, keys)):
+                yield from results(held)
+                held = []
+            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+            if len(last):  # all groups but the last are whole
+                yield from results([*held, batch.slice(0, last[-1] + 1)])
+                held = []
+            held.append(batch.slice(last[-1] + 1) if len(last) else batch)
+        if held:
+            yield from results(held)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def by_group(dealt: DataFrame, group: list[str], work: Callable[[pa.Table], list], schema: str) -> DataFrame:
+    """As ``by_part``, a group at a time."""
+
+    def each(part: pa.Table, starts: list[int]) -> list:
+        found = [columns for a, b in zip(starts, [*starts[1:], part.num_rows]) if (columns := work(part.slice(a, b - a)))]
+        return [np.concatenate(c) for c in zip(*found)]
+
+    return by_part(dealt, group, each, schema)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links`` (a long, b long): (id, label), label the smallest id that is reachable.
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import components, discard, kept, spread_join, stored, table
+from siltstone.llm.common import by_group, by_part, components, discard, kept, spread_join, stored, table
 from siltstone.llm.topk import usable
 
 THRESHOLD = 0.95
@@ -50,9 +50,7 @@ WIDEST = 32
 #: Pairs at the threshold, of each kind, that tables are planned with.
 TRIALS = 2_048
 #: Codes, and vectors, of a large bucket that are compared at a time with as many others.
-CODES, BLOCK = 2_048, 512
-#: Rows of a block whose distances to the others are held at a time.
-STEP = 128
+CODES, BLOCK = 512, 128
 #: Vectors of one length up to which all of them are compared.
 FEW = 256
 
@@ -215,16 +213,22 @@ def _keep_new(a: np.ndarray, b: np.ndarray, before: np.ndarray) -> tuple[np.ndar
     return a, b
 
 
-def _candidates(left: np.ndarray, codes: np.ndarray, before: np.ndarray, radius: int) -> np.ndarray:
-    """Of one bucket, or one pair of its blocks (``left``: -1 where all rows are of one block): which rows have a new partner within the radius."""
+def _candidates(group: np.ndarray, left: np.ndarray, codes: np.ndarray, before: np.ndarray, radius: int) -> np.ndarray:
+    """Of rows sorted by ``group``: which have a new partner of their group within the radius.
+
+    ``left`` is the block of a row whose group is a pair of blocks, where partners are of the other; otherwise -1.
+    """
     found = np.zeros(len(codes), bool)
-    for k in range(0, len(codes), STEP):
-        near = np.bitwise_count(codes[k : k + STEP, None, :] ^ codes[None, :, :]).sum(axis=2, dtype=np.int64) <= radius
-        a, b = np.nonzero(near)
-        a = a + k
-        new = (a < b) & ((left[a] < 0) | (left[a] != left[b]))
-        a, b = _keep_new(a[new], b[new], before)
-        found[a] = found[b] = True
+    a = np.arange(len(codes))
+    for apart in range(1, len(codes)):  # rows so many places apart, of all groups at once
+        a = a[: np.searchsorted(a, len(codes) - apart)]
+        a = a[group[a] == group[a + apart]]
+        if not len(a):
+            break
+        near = np.bitwise_count(codes[a] ^ codes[a + apart]).sum(axis=1, dtype=np.int64) <= radius
+        near &= (left[a] < 0) | (left[a] != left[a + apart])
+        x, y = _keep_new(a[near], a[near] + apart, before)
+        found[x] = found[y] = True
     return found
 
 
@@ -252,6 +256,7 @@ def _bucket(left: np.ndarray, ids: np.ndarray, copies: np.ndarray, before: np.nd
 
 
 BUCKET = ["size", "t", "key"]
+GROUP = [*BUCKET, "i", "j"]
 
 
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
@@ -262,41 +267,7 @@ def _dealt(rows: DataFrame, block: int) -> DataFrame:
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
-    return rows.repartition(*BUCKET, "i", "j").sortWithinPartitions(*BUCKET, "i", "j", "cid")
-
-
-def _by_group(dealt: DataFrame, work: Callable[[dict, pa.Table], list], schema: str) -> DataFrame:
-    """``work`` on each group of two rows or more: it gets the group's key and rows and returns the columns of its result."""
-    group = [*BUCKET, "i", "j"]
-    names = [field.split()[0] for field in schema.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def results(part: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = [part.column(n).to_numpy() for n in group]
-            new = (np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist()
-            for a, b in zip([0, *new], [*new, part.num_rows]):
-                if b - a > 1:
-                    columns = work({n: int(k[a]) for n, k in zip(group, keys)}, part.slice(a, b - a).combine_chunks())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(n).to_numpy() for n in group]
-            last = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
-            if held and any(held[-1].column(n)[-1].as_py() != int(k[0]) for n, k in zip(group, keys)):
-                yield from results(pa.Table.from_batches(held))
-                held = []
-            if len(last):  # all groups but the last are whole
-                yield from results(pa.Table.from_batches([*held, batch.slice(0, last[-1] + 1)]))
-                held = []
-            held.append(batch.slice(last[-1] + 1) if len(last) else batch)
-        if held:
-            yield from results(pa.Table.from_batches(held))
-
-    return dealt.mapInArrow(run, schema)
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "cid")
 
 
 def _array(part: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -335,28 +306,38 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     entries = codes.select("cid", "size", "code", F.posexplode("keys").alias("t", "key"), "keys")
     entries = entries.withColumn("before", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
 
-    def earlier(part: pa.Table, t: int) -> np.ndarray:
-        return part.column("before").combine_chunks().flatten().to_numpy().reshape(part.num_rows, t)
-
-    def left_of(group: dict, part: pa.Table) -> np.ndarray:
-        return part.column("own").to_numpy() if group["i"] != group["j"] else np.full(part.num_rows, -1)
-
-    def near(group: dict, part: pa.Table) -> list:
-        plan = plans.get(group["size"])
-        cid = part.column("cid").to_numpy()
-        found = _candidates(left_of(group, part), _array(part, "code", "<u8"), earlier(part, group["t"]), plan.radius if plan else 1)
-        return [*(np.full(found.sum(), group[n]) for n in BUCKET), cid[found]]
-
-    close, close_at = kept(_by_group(_dealt(entries, CODES), near, "size long, t long, key long, cid long").distinct())
-
-    def compared(group: dict, part: pa.Table) -> list:
+    def earlier(part: pa.Table) -> np.ndarray:
+        return part.column("before").combine_chunks().flatten().to_numpy().reshape(part.num_rows, part.column("t")[0].as_py())
+
+    def left_of(part: pa.Table) -> np.ndarray:
+        own, i, j = (part.column(n).to_numpy() for n in ("own", "i", "j"))
+        return np.where(i == j, -1, own)
+
+    def near(part: pa.Table, starts: list[int]) -> list:
+        group = np.zeros(part.num_rows, np.int64)
+        group[starts[1:]] = 1
+        group, left, cid = group.cumsum(), left_of(part), part.column("cid").to_numpy()
+        size, t = (part.column(n).to_numpy() for n in ("size", "t"))
+        new = (np.flatnonzero((np.diff(size) != 0) | (np.diff(t) != 0)) + 1).tolist()
+        found = []
+        for a, b in zip([0, *new], [*new, part.num_rows]):  # codes of one length and keys of one table
+            plan, rows = plans.get(int(size[a])), part.slice(a, b - a)
+            found.append(_candidates(group[a:b], left[a:b], _array(rows, "code", "<u8"), earlier(rows), plan.radius if plan else 1))
+        some = np.concatenate(found)
+        return [*(part.column(n).to_numpy()[some] for n in BUCKET), cid[some]]
+
+    close, close_at = kept(by_part(_dealt(entries, CODES), GROUP, near, "size long, t long, key long, cid long").distinct())
+
+    def compared(part: pa.Table) -> list:
+        if part.num_rows < 2:
+            return []
         cid, copies = (part.column(n).to_numpy() for n in ("cid", "copies"))
-        return list(_bucket(left_of(group, part), cid, copies, earlier(part, group["t"]), _unit(part.column("x").to_pylist(), kind), threshold))
+        return list(_bucket(left_of(part), cid, copies, earlier(part), _unit(part.column("x").to_pylist(), kind), threshold))
 
     full = close.join(codes.select("cid", "keys"), "cid").join(classes.select("cid", "copies", "x"), "cid")
     full = full.withColumn("before", F.slice("keys", F.lit(1), F.col("t").cast("int"))).drop("keys")
     full, full_at = kept(full)
-    found = stored(_by_group(_dealt(full, BLOCK), compared, "cid long, links long, reached long"))
+    found = stored(by_group(_dealt(full, BLOCK), GROUP, compared, "cid long, links long, reached long"))
     discard(codes_at, close_at, full_at)
     sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("cid").alias("a"), F.col("reached").alias("b"))).withColumnRenamed("id", "cid")

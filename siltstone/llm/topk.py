@@ -5,13 +5,15 @@ of its distance to each candidate, |d(q, p) - d(x, p)|; the largest bound and th
 of the inner product. Candidates are evaluated in the order of their bounds until the k-th score found
 exceeds the next bound, so the result is exact whatever the pivots are.
 
-The queries are a stated set. They go out in blocks of about ``QUERY_BLOCK`` (the bound of what is
-broadcast); each block is one pass over the stored index, in which each task keeps k rows a query.
+The queries are a stated set. Each block of about ``QUERY_BLOCK`` queries meets each block of about ``ROW_BLOCK``
+candidates in one group of a shuffle, which yields k rows a query; nothing is broadcast or goes through the
+driver but the pivots.
 
 Vectors that are null or hold null or non-finite components take no part; nor do candidates of another
 length than the query. Ties go to the smaller id. Rows with a query's own id are no candidates for it;
 a query id that comes repeatedly is asked once, with its least vector; repeated candidate rows all count.
-Rows with a null id take no part. Other columns are left behind.
+Rows with a null id take no part. Other columns are left behind. Components so large that a score might not
+fit 64 bits raise an error.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import by_group, stored, table
 
 PIVOTS = 24
 #: Vectors that pivots are picked from; the bound of what is collected for that.
 PIVOT_SAMPLE = 2_000
-QUERY_BLOCK = 2_048
+QUERY_BLOCK, ROW_BLOCK = 2_048, 16_384
 #: Candidates evaluated at a time.
 STEP = 128
 
@@ -108,7 +110,13 @@ def _search(q: np.ndarray, q_id: int, q_pivots: np.ndarray, ids: np.ndarray, x:
         bound += 1e-9 * (q_norm + norms) + 1  # rounding never drops a candidate
     else:
         bound = np.sqrt(q_norm * norms) + 1
-    worth = np.flatnonzero((bound >= best.floor()) & (ids != q_id))
+    bound[ids == q_id] = -np.inf
+    if len(bound) > STEP:  # the highest bounds come first and set the floor
+        first = np.argpartition(-bound, STEP)[:STEP]
+        first = first[bound[first] > -np.inf]
+        best.add(x[first] @ q, ids[first])
+        bound[first] = -np.inf
+    worth = np.flatnonzero((bound >= best.floor()) & (bound > -np.inf))
     worth = worth[np.argsort(-bound[worth], kind="stable")]
     for k in range(0, len(worth), STEP):
         part = worth[k : k + STEP]
@@ -117,39 +125,52 @@ def _search(q: np.ndarray, q_id: int, q_pivots: np.ndarray, ids: np.ndarray, x:
         best.add(x[part] @ q, ids[part])
 
 
+def _block(part: pa.Table, k: int) -> list:
+    """Of one block of queries (side 0) and one of candidates: the k best for each query among these."""
+    side = part.column("side").to_numpy()
+    asked, held = part.slice(0, int((side == 0).sum())), part.slice(int((side == 0).sum()))
+    if not asked.num_rows or not held.num_rows:
+        return []
+    ids, q_ids = held.column("id").to_numpy(), asked.column("id").to_numpy()
+    vectors, tables = (held.column(n).combine_chunks() for n in ("x", "to_pivots"))
+    queries = list(zip(q_ids.tolist(), (np.array(v, np.int64) for v in asked.column("x").to_pylist()), map(np.array, asked.column("to_pivots").to_pylist())))
+    out: list[tuple[int, int, int]] = []
+    for rows, x in _by_length(vectors):
+        x = x.astype(np.int64)
+        exact = x.astype(float)
+        norms, most = (exact**2).sum(axis=1), np.abs(exact).max(initial=0) * x.shape[1]
+        of_pivots = list(_by_length(tables.take(pa.array(rows))))
+        to_pivots = of_pivots[0][1] if len(of_pivots) == 1 else np.empty((len(rows), 0))
+        for q_id, q, q_pivots in queries:
+            if len(q) != x.shape[1]:
+                continue
+            if most * np.abs(q.astype(float)).max(initial=0) >= 2.0**62:
+                raise OverflowError(f"scores of query {q_id} may not fit 64 bits")
+            best = _Best(k)
+            _search(q, q_id, q_pivots, ids[rows], x, norms, to_pivots, best)
+            out += [(q_id, v, s) for s, v in zip(best.scores.tolist(), best.ids.tolist())]
+    return list(zip(*out))
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``df`` of the highest integer inner product."""
-    spark = df.sparkSession
     candidates = integers(df, id_col, vec, scale)
     sample = candidates.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("x").collect()
     pivots = pick_pivots([np.array(r["x"]) for r in sample])
-    built = stored(index(candidates, pivots))
-    asked = stored(integers(queries, id_col, vec, scale).groupBy("id").agg(F.min("x").alias("x")))
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    found = None
-    for b in range(blocks):
-        block = [(r["id"], np.array(r["x"], np.int64)) for r in asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()]
-        shared = spark.sparkContext.broadcast([(i, q, _pivot_distances(q[None].astype(float), pivots)[0]) for i, q in block])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            best = {i: _Best(k) for i, _, _ in shared.value}
-            for batch in batches:
-                every = batch.column(0).to_numpy()
-                tables = batch.column(2)
-                for rows, x in _by_length(batch.column(1)):
-                    x = x.astype(np.int64)
-                    norms = (x.astype(float) ** 2).sum(axis=1)
-                    pivot_rows = list(_by_length(tables.take(pa.array(rows))))
-                    to_pivots = pivot_rows[0][1] if len(pivot_rows) == 1 else np.empty((len(rows), 0))
-                    for i, q, q_pivots in shared.value:
-                        if len(q) == x.shape[1]:
-                            _search(q, i, q_pivots, every[rows], x, norms, to_pivots, best[i])
-            out = [(i, v, s) for i, b in best.items() for s, v in zip(b.scores.tolist(), b.ids.tolist())]
-            columns = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
-
-        part = built.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
+    built = stored(index(candidates, pivots).withColumn("row", F.monotonically_increasing_id()))
+    asked = stored(index(integers(queries, id_col, vec, scale).groupBy("id").agg(F.min("x").alias("x")), pivots))
+    asked_blocks, built_blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-built.count() // ROW_BLOCK))
+
+    def block_of(number: str, blocks: int) -> F.Column:
+        return F.pmod(F.xxhash64(number), F.lit(blocks)).cast("int")
+
+    def every(blocks: int) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    rows = built.select(every(asked_blocks).alias("i"), block_of("row", built_blocks).alias("j"), F.lit(1).alias("side"), "id", "x", "to_pivots")
+    sent = asked.select(block_of("id", asked_blocks).alias("i"), every(built_blocks).alias("j"), F.lit(0).alias("side"), "id", "x", "to_pivots")
+    dealt = sent.unionByName(rows).repartition("i", "j").sortWithinPartitions("i", "j", "side")
+    found = by_group(dealt, ["i", "j"], lambda part: _block(part, k), "query_id long, vec_id long, score long")
     best_first = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

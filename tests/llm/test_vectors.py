@@ -40,7 +40,6 @@ def planted(seed, dims=16):
 def test_op6_against_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "BLOCK", 8)
     monkeypatch.setattr(embedding_dedup, "CODES", 16)
-    monkeypatch.setattr(embedding_dedup, "STEP", 5)
     rows = planted(seed) + [(9001, None), (9002, [0.0] * 16), (9003, [NAN] * 16), (9004, [None, 1.0]), (9005, [INF]), (9006, []), (9007, [1.0, 2.0]), (9008, [1.0, 2.0])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, digest string")
     got = sorted(map(tuple, embedding_dedup.near_duplicates(df).collect()))
@@ -195,6 +194,7 @@ def test_op8_against_brute_force(spark):
 
 def test_op8_odd_rows_ties_and_blocks(spark, monkeypatch):
     monkeypatch.setattr(topk, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(topk, "ROW_BLOCK", 25)
     monkeypatch.setattr(topk, "STEP", 3)
     rnd = np.random.default_rng(3)
     rows = [(i, [float(x) for x in np.round(rnd.standard_normal(4), 1)]) for i in range(60)]
@@ -204,3 +204,9 @@ def test_op8_odd_rows_ties_and_blocks(spark, monkeypatch):
     got = sorted(map(tuple, topk.top_k(df, df.where(df.vec_id.isin(asked))).collect()))
     assert got == brute_top(rows, asked)
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+
+
+def test_op8_scores_beyond_64_bits_raise(spark):
+    df = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df, df).collect()
