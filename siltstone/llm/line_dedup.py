@@ -3,14 +3,15 @@
 A line's key is the line without ASCII white space at both ends and with A-Z in lower case. Each task puts
 the hashes of its documents' keys into a filter of once-seen ones, and into a second one those that the
 first has already. The filters are cut into segments; segments of all tasks meet by their number, where a
-bit set in two tasks' first filters goes to the second. The second filter has a fixed size (``FILTER_BITS``)
-and is broadcast. Only lines that it suspects of repeating are shuffled, as SHA-256 digests, to be counted
-and to find the one document that keeps the line. When more lines than the filter is made for come, more of
-them are suspected; the result stays exact.
+bit set in two tasks' first filters goes to the second. Filters are sized by a count of the lines, up to
+``MOST_BITS``, and the second is broadcast. Only lines that it suspects of repeating are shuffled, as SHA-256
+digests, to be counted and to find the one document that keeps the line. With more lines than the largest
+filter is made for (half a billion at 8 bits each), more of them are suspected; the result stays exact.
 
 Keys shorter than ``MIN_CHARS`` code points, or in fewer than ``MIN_DOCS`` documents, lose nothing. A null
 text is one empty line, and its text becomes empty. Rows that repeat an id are one document for the counts.
-Rows with a null id neither count nor lose lines. Other columns pass through unchanged.
+Rows with a null id neither count nor lose lines. Other columns pass through unchanged; columns of the outputs'
+names raise, and the outputs can be named otherwise.
 """
 
 from __future__ import annotations
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import small, stored, table, take_turn
+from siltstone.llm.common import named_apart, small, stored, table, take_turn
 
 MIN_CHARS, MIN_DOCS = 20, 3
-#: 32 MB, in 1,024 segments. Made for about 10 million different lines; give more bits to larger corpora.
-FILTER_BITS = 1 << 28
+#: Bits of a filter for each line that there is, and how many it has at least and at most (512 MB, the bound of the broadcast).
+LINE_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 32
 SEGMENTS = 1_024
 SPACE = b" \t\n\x0b\x0c\r"
 SLICE = 512
@@ -48,10 +49,14 @@ def _keys(text: str | None, chars: int) -> set[bytes]:
     return {k for k in map(line_key, (text or "").encode().split(b"\n")) if _long_enough(k, chars)}
 
 
+def filter_bits(lines: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (LINE_BITS * lines).bit_length()))
+
+
 class Bloom:
     """Bits in segments; a hash sets two bits of its segment."""
 
-    def __init__(self, bits: int = FILTER_BITS, segments: int = SEGMENTS) -> None:
+    def __init__(self, bits: int, segments: int) -> None:
         self.segments, self.width = segments, bits // segments
         self.bits = np.zeros((segments, self.width // 8), np.uint8)
 
@@ -72,12 +77,13 @@ class Bloom:
         return found
 
 
-def _filters(texts: DataFrame, chars: int) -> DataFrame:
+def _filters(texts: DataFrame, chars: int, bits: int) -> DataFrame:
     """(segment, once, twice) of each task's own lines; packed, so that they follow the task's lines and not the filter's size."""
+    segments = SEGMENTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_turn("line_dedup", int)
-        once, twice, any_line = Bloom(), Bloom(), False
+        once, twice, any_line = Bloom(bits, segments), Bloom(bits, segments), False
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 hashes = [xxhash.xxh3_64_intdigest(x) for text in whole.column(0).slice(k, SLICE).to_pylist() for x in _keys(text, chars)]
@@ -116,12 +122,13 @@ def _joined(parts: DataFrame) -> DataFrame:
     return parts.repartition("segment").mapInArrow(run, "segment long, twice binary")
 
 
-def _suspected(rows: DataFrame, twice: dict[int, bytes], chars: int) -> DataFrame:
+def _suspected(rows: DataFrame, twice: dict[int, bytes], chars: int, bits: int) -> DataFrame:
     """Of (id, text): (id, digest) of the lines that the second filter holds."""
+    segments = SEGMENTS
     shared = rows.sparkSession.sparkContext.broadcast(twice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = Bloom()
+        seen = Bloom(bits, segments)
         for segment, blob in shared.value.items():
             seen.bits[segment] = np.frombuffer(zlib.decompress(blob), np.uint8)
         for whole in batches:
@@ -142,40 +149,44 @@ def _suspected(rows: DataFrame, twice: dict[int, bytes], chars: int) -> DataFram
 def repeated_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, digests): for each document that loses lines, the digests of their keys."""
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    segments = _joined(_filters(rows.select("text"), min_chars)).collect()  # FILTER_BITS / 8 bytes at most
-    found = stored(_suspected(rows, {r["segment"]: bytes(r["twice"]) for r in segments}, min_chars).distinct())
+    ends = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    bits = filter_bits(rows.agg(F.sum(F.coalesce(ends, F.lit(0)) + 1)).first()[0] or 0)
+    segments = _joined(_filters(rows.select("text"), min_chars, bits)).collect()  # MOST_BITS / 8 bytes at most
+    found = stored(_suspected(rows, {r["segment"]: bytes(r["twice"]) for r in segments}, min_chars, bits).distinct())
     common = stored(found.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs))
     lost = found.join(small(common.select("digest", "keeper")), "digest").where("id <> keeper")
     return lost.groupBy("id").agg(F.collect_list("digest").alias("digests"))
 
 
-def deduplicate(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` with the lines taken out of ``text``, and with n_lines (before) and n_dropped."""
-    lost = repeated_lines(df, min_chars, min_docs, id_col, text).select(F.col("id").alias("__id"), F.col("digests").alias("__digests"))
-    joined = df.join(lost, F.col(id_col) == F.col("__id"), "left").drop("__id")
+def deduplicate(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, id_col: str = "doc_id", text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """``df`` with the lines taken out of ``text``, and with n_lines (before) and n_dropped, or as ``counts`` names them."""
+    named_apart(df, *counts)
+    key, digests = "__siltstone_id", "__siltstone_digests"
+    lost = repeated_lines(df, min_chars, min_docs, id_col, text).select(F.col("id").alias(key), F.col("digests").alias(digests))
+    joined = df.join(lost, F.col(id_col) == F.col(key), "left").drop(key)
     names = df.columns
     at = names.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
+    schema = T.StructType([*df.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, SLICE):
                 batch = whole.slice(k, SLICE)
-                texts, counts, dropped = [], [], []
+                texts, before, dropped = [], [], []
                 for value, digests in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist()):
                     value = value or ""
                     if not digests:
                         texts.append(value)
-                        counts.append(value.count("\n") + 1)
+                        before.append(value.count("\n") + 1)
                         dropped.append(0)
                         continue
                     gone, lines = set(digests), value.split("\n")
                     left = [x for x in lines if not (len(x) >= min_chars and hashlib.sha256(line_key(x.encode())).digest() in gone)]
                     texts.append("\n".join(left))
-                    counts.append(len(lines))
+                    before.append(len(lines))
                     dropped.append(len(lines) - len(left))
                 columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(before, pa.int64()), pa.array(dropped, pa.int64())], names=[*names, *counts])
 
     return joined.mapInArrow(run, schema)
 

@@ -49,14 +49,25 @@ def test_op4_odd_rows(spark, monkeypatch):
 
 
 def test_filter_full_of_lines_stays_exact(spark, monkeypatch):
-    small = line_dedup.Bloom.__init__
-    monkeypatch.setattr(line_dedup.Bloom, "__init__", lambda self: small(self, 1024, 16))
+    monkeypatch.setattr(line_dedup, "filter_bits", lambda lines: 1024)
+    monkeypatch.setattr(line_dedup, "SEGMENTS", 16)
     rows = [(k, f"line number {k % 90} of many\nall of them hold this one") for k in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.deduplicate(df).collect()), key=str)
     assert got == brute_lines(rows)
 
 
+def test_filters_follow_the_lines():
+    assert line_dedup.filter_bits(0) == 1 << 20 and line_dedup.filter_bits(10**6) == 1 << 24 and line_dedup.filter_bits(10**12) == 1 << 32
+
+
+def test_op4_columns_of_the_outputs_names(spark):
+    df = spark.createDataFrame([(1, "a", 7)], "doc_id long, text string, n_lines int")
+    with pytest.raises(ValueError):
+        line_dedup.deduplicate(df)
+    assert line_dedup.deduplicate(df, counts=("lines", "dropped")).first().n_lines == 7
+
+
 NAIVE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
