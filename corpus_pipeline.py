@@ -25,12 +25,12 @@ def _measured(docs: DataFrame) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: documents that the classifier rejects go. It learns from the rows of ``labels`` that aren't held out."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
-    return toxicity.score(docs, model, out="__score").where(F.col("__score") < TOXIC).select(*docs.columns)
+    return toxicity.score(docs, model, out="__siltstone_score").where(F.col("__siltstone_score") < TOXIC).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: repeated lines go; the documents stay."""
-    return _measured(line_dedup.deduplicate(docs).select(*docs.columns))
+    return _measured(line_dedup.deduplicate(docs, counts=("__siltstone_lines", "__siltstone_dropped")).select(*docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
