@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, discard, kept, small, spread_join, stored, table, take_turn
+from siltstone.llm.common import by_group, components, discard, kept, small, spread_join, stored, table, take_turn
 
 SHINGLE, PERCENT = 5, 80
 TREES, DEPTH = 10, 4
@@ -37,7 +37,7 @@ FIRST_TREES = 2
 #: Members up to which a node is compared exhaustively.
 SMALL_NODE = 12
 #: Members that one copy of a hub's set is compared with.
-STAR = 2_048
+STAR = 256
 #: Members of a large node in a block, and shingles looked at at a time.
 BLOCK, COLUMNS = 256, 8_192
 WORDS_KEPT = 200_000
@@ -138,11 +138,12 @@ def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     A class is a hub of any number of pairs, but a member of a number of pairs that ``TREES``, ``DEPTH`` and
     ``SMALL_NODE`` bound.
     """
-    rows = classes.select("cid", "n", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "rest")
-    rows = rows.select("cid", "n", "tree", F.slice("rest", F.col("tree") * DEPTH + 1, DEPTH).alias("chain"), F.lit(None).cast("long").alias("weight"))
+    trees = F.sequence(F.lit(0), F.lit((TREES - 1) * DEPTH), F.lit(DEPTH))
+    rows = classes.select("cid", "n", F.posexplode(F.transform(trees, lambda t: F.col("rest")[t])).alias("tree", "node"))
     pairs, read = None, []
     for level in range(DEPTH):
-        rows = rows.withColumn("node", F.col("chain")[level])
+        if level:
+            rows = rows.withColumn("node", F.col("chain")[level])
         nodes, nodes_at = kept(rows.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
         met, met_at = kept(spread_join(rows, nodes.withColumn("held", F.col("size")), "node", "held"))
         few = met.where(F.col("size") <= SMALL_NODE).groupBy("node").agg(F.first("tree").alias("tree"), F.sort_array(F.collect_list(F.struct("cid", "n"))).alias("m"))
@@ -150,9 +151,11 @@ def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
         few = few.select("tree", F.explode(both).alias("p")).select("p.hub", "p.member", "tree")
         many = met.where(F.col("size") > SMALL_NODE)
         if level == 0:  # what most copies are made from meets most of them, in most trees
-            weights = many.groupBy("cid").agg(F.sum("size").alias("weight"))
-            many, many_at = kept(many.drop("weight").join(weights, "cid").select(met.columns))
-            read.append(many_at)
+            weights, weights_at = kept(many.groupBy("cid").agg(F.sum("size").alias("weight")))
+            ways = classes.select("cid", "rest").join(small(weights), "cid")
+            chain = F.slice("rest", F.col("tree") * DEPTH + 1, DEPTH).alias("chain")
+            many, many_at = kept(many.join(ways, "cid").select(*met.columns, "weight", chain))
+            read += [weights_at, many_at]
         chance = F.xxhash64("cid", "node")
         picks = many.groupBy("node").agg(F.count(F.lit(1)).alias("held"), F.max(F.struct("weight", chance.alias("h"), "cid", "n")).alias("central"), F.min(F.struct(chance.alias("h"), "cid", "n")).alias("drawn"))
         picks, picks_at = kept(picks.select("node", "held", F.array(*(F.struct(f"{p}.cid", f"{p}.n") for p in ("central", "drawn"))).alias("picked")))
@@ -169,12 +172,6 @@ def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     return found, deep
 
 
-def _groups(part: pa.Table | pa.RecordBatch, group: tuple[str, ...]) -> list[int]:
-    """Where a new group begins, but for the first."""
-    keys = [part.column(n).to_numpy() for n in group]
-    return (np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1).tolist()
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs as (a, b) whose full sets are similar enough.
 
@@ -242,35 +239,20 @@ def _confirm_large(within: DataFrame, sets: DataFrame, percent: int) -> DataFram
     dealt = left.unionByName(right).join(sets, "cid").select("node", "i", "j", "side", "cid", "label", "rest")
     dealt = dealt.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j", "side")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-
-        def work(part: pa.Table) -> pa.RecordBatch:
-            side, ids, label = (part.column(c).to_numpy() for c in ("side", "cid", "label"))
-            blobs = [np.frombuffer(x, "<u8") for x in part.column("rest").to_pylist()]
-            new = _groups(part, ("node", "i", "j"))
-            out: list[tuple[int, int]] = []
-            for a, b in zip([0, *new], [*new, len(ids)]):
-                cut = a + int((side[a:b] == 0).sum())
-                if a == cut or cut == b:
-                    continue
-                alike = _alike_across(blobs[a:cut], blobs[cut:b], percent) & (label[a:cut, None] != label[None, cut:b])
-                for row in np.flatnonzero(alike.any(axis=1)):
-                    reached = cut + np.flatnonzero(alike[row])
-                    out += [(int(ids[a + row]), int(ids[k])) for k in reached[np.unique(label[reached], return_index=True)[1]]]
-            columns = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
-
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
-            held = pa.concat_tables([held, rows]) if held is not None else rows
-            if new := _groups(held, ("node", "i", "j")):  # all groups but the last are whole
-                yield work(held.slice(0, new[-1]))
-                held = held.slice(new[-1])
-        if held is not None and held.num_rows:
-            yield work(held)
-
-    links = stored(dealt.mapInArrow(run, "a long, b long"))
+    def across(part: pa.Table) -> list:
+        side, ids, label = (part.column(c).to_numpy() for c in ("side", "cid", "label"))
+        cut = int((side == 0).sum())
+        if not 0 < cut < len(ids):
+            return []
+        sets = [np.frombuffer(x, "<u8") for x in part.column("rest").to_pylist()]
+        alike = _alike_across(sets[:cut], sets[cut:], percent) & (label[:cut, None] != label[None, cut:])
+        out: list[tuple[int, int]] = []
+        for row in np.flatnonzero(alike.any(axis=1)):
+            reached = cut + np.flatnonzero(alike[row])
+            out += [(int(ids[row]), int(ids[k])) for k in reached[np.unique(label[reached], return_index=True)[1]]]
+        return list(zip(*out))
+
+    links = stored(by_group(dealt, ["node", "i", "j"], across, "a long, b long"))
     discard(shape_at, rows_at)
     return links
 
@@ -297,7 +279,11 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text: str) -
     wanted = stored(classes.join(ids, "cid", "left_semi").select("cid", "digest", "first.id", "first.source"))
     needed = texts.join(small(wanted.select("id", "source")), ["id", "source"], "left_semi")
     sets = _sets(needed, words, full=True).join(small(wanted.select("cid", "id", "source")), ["id", "source"])
-    sets = stored(sets.select("cid", "rest").dropDuplicates(["cid"]))
+    again = every.select("id", "source").join(small(wanted.select("cid", "id", "source")), ["id", "source"]).groupBy("cid").count().where("count > 1")
+    if again.isEmpty():  # otherwise rows repeat an id and text
+        sets = stored(sets.select("cid", "rest"))
+    else:
+        sets = stored(sets.select("cid", "rest").dropDuplicates(["cid"]))
     links = _confirm(pairs.where(F.col("tree") < FIRST_TREES), sets, percent)
     labels = components(links)
     apart = _labelled(_labelled(pairs.where(F.col("tree") >= FIRST_TREES), labels, "hub", "la"), labels, "member", "lb").where("la <> lb").select("hub", "member")
