@@ -2,8 +2,10 @@
 
 A text's key is the SHA-256 of its normalised content (null as empty; the byte-level tokenizers normalise
 nothing, so other content is taken as it is) together with the digest of the tokenizer's file. Keys that
-the cache table holds are joined to their counts. Of the others one row each is picked by its id, before
-any text moves, and only these rows are encoded; their counts are appended to the cache.
+the cache table holds are joined to their counts. Of the others one row each is picked by its id, and only
+these rows are encoded; their counts are appended to the cache. Keys and numbers are joined, not texts, as long
+as the table of repeated texts (or, with a cache, of missing ones) is small enough to be broadcast; the counts
+come back to the rows by a join in which a text copied very often is no one task's work.
 
 Repeated rows and copies share one encoding. Ids may be null. Other columns pass through, but for the
 output columns, which must not exist already.
@@ -18,13 +20,14 @@ from collections.abc import Iterator
 import public_tokenizers
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import scratch_dir, table
+from siltstone.llm.common import named_apart, scratch_dir, small, spread_join, stored, table
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
+KEY, COPIES = "__siltstone_digest", "__siltstone_copies"
 #: Texts that a worker encodes at a time.
 SLICE = 128
 
@@ -69,38 +72,50 @@ def _encode(rows: DataFrame, kind: str, content: bytes) -> DataFrame:
     return rows.mapInArrow(run, "digest binary, n_tokens long")
 
 
+def _cached(spark: SparkSession, path: str, version: str) -> DataFrame | None:
+    """The cache's counts for the tokenizer; None if there is no table yet."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(path).where(F.col("tokenizer") == version).select("digest", "n_tokens")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     ``cache_path``: the Parquet table of counts, made when missing, kept from run to run; None starts an
     empty one in the shared folder.
     """
+    named_apart(df, "n_bytes", "n_tokens", "over_limit")
     spark = df.sparkSession
     kind, content = read_tokenizer(tokenizer_path)
     version = hashlib.sha256(content).hexdigest()
     cache_path = cache_path or scratch_dir(spark)
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = df.withColumns({"__digest": F.unhex(F.sha2(body, 256)), "__id": F.col(id_col).cast("string")})
-    try:
-        cached = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    except AnalysisException:
-        cached = None
-    first = keyed.groupBy(F.col("__digest").alias("digest")).agg(F.min("__id").alias("one"))
-    if cached is not None:
-        first = first.join(cached.select("digest"), "digest", "left_anti")
-    rows = keyed.select("__digest", "__id", body.alias("body"))
-    misses = rows.join(first, (F.col("__digest") == F.col("digest")) & F.col("__id").eqNullSafe(F.col("one")), "left_semi")
+    keyed = df.withColumn(KEY, F.unhex(F.sha2(body, 256)))
+    rows = keyed.select(F.col(KEY).alias("digest"), F.col(id_col).cast("string").alias("id"), body.alias("body"))
+    digests = stored(rows.groupBy("digest").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n")))
+    cached = _cached(spark, cache_path, version)
+    if cached is None:  # all are missing: only the other rows of texts that come repeatedly stay out
+        repeated = stored(digests.where("n > 1").select("digest", "one", F.lit(True).alias("repeated")))
+        marked = rows.join(small(repeated), "digest", "left")
+        misses = marked.where(F.col("repeated").isNull() | F.col("id").eqNullSafe(F.col("one")))
+    else:
+        missing = stored(digests.join(cached.select("digest"), "digest", "left_anti").select("digest", "one"))
+        misses = rows.join(small(missing), "digest").where(F.col("id").eqNullSafe(F.col("one")))
     (
-        _encode(misses.select("__digest", "body"), kind, content)
+        _encode(misses.select("digest", "body"), kind, content)
         .groupBy("digest")  # rows of the same id and text
         .agg(F.lit(version).alias("tokenizer"), F.max("n_tokens").alias("n_tokens"))
         .write.mode("append")
         .parquet(cache_path)
     )
-    stored = spark.read.schema(CACHE_SCHEMA).parquet(cache_path).where(F.col("tokenizer") == version)
-    counts = stored.groupBy(F.col("digest").alias("__digest")).agg(F.max("n_tokens").alias("n_tokens"))
-    sized = keyed.withColumn("n_bytes", F.octet_length(body).cast("long")).drop("__id")
-    return sized.join(counts, "__digest").drop("__digest").withColumn("over_limit", F.col("n_tokens") > limit)
+    counts = _cached(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    known = stored(digests.select(F.col("digest").alias(KEY), "n").join(counts.withColumnRenamed("digest", KEY), KEY).withColumnRenamed("n", COPIES))
+    sized = keyed.withColumn("n_bytes", F.octet_length(body).cast("long"))
+    return spread_join(sized, known, KEY, COPIES).drop(KEY).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:

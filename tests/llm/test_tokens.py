@@ -172,3 +172,29 @@ def test_op7_matches_turns_taken_by_hand(spark):
     assert sharding.place(odd_rows(spark)).count() == len(ODD) + 3 and sharding.place(odd_rows(spark).limit(0)).count() == 0
     with pytest.raises(ValueError):
         sharding.lookup(("a", "a"))
+
+
+def test_op2_cache_of_another_kind_is_no_empty_cache(spark, tmp_path):
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part-0.parquet").write_text("not a table")
+    with pytest.raises(Exception, match="parquet|Parquet"):
+        token_counts.token_counts(odd_rows(spark), P.path("byte_bpe_50k.json"), str(tmp_path / "cache")).collect()
+
+
+def test_op2_encodes_each_text_once_and_only_what_is_missing(spark, tmp_path, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+    encode = token_counts._encode
+
+    def counted(rows, kind, content):
+        seen.add(rows.count())
+        return encode(rows, kind, content)
+
+    monkeypatch.setattr(token_counts, "_encode", counted)
+    cache, path = str(tmp_path / "counts"), P.path("byte_bpe_50k.json")
+    rows = [(k, f"text {k % 7}", 1) for k in range(300)] + [(None, "no id", 2), (None, "no id", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_lines int")
+    assert token_counts.token_counts(df, path, cache).where("n_tokens > 0").count() == 302
+    assert seen.value in (8, 9)
+    more = df.unionByName(spark.createDataFrame([(900, "a new one", 0), (901, "a new one", 0)], df.schema))
+    before = seen.value
+    assert token_counts.token_counts(more, path, cache).count() == 304 and seen.value == before + 1
