@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from datetime import date, datetime
+from decimal import Decimal
+from math import isfinite
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Names of days and months, and the codes of the trip records.
 DAYS = ("Sunday", "Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
-# The codes of the trip records.
 PAYMENTS = {1: "Credit card", 2: "Cash", 3: "No charge", 4: "Dispute", 5: "Unknown", 6: "Voided trip"}
 
 STAMP_SHAPE = "__/__/____ __:__:__ _M"
@@ -54,3 +58,16 @@ def month_name(month: Column) -> Column:
 
 def payment_name(code: Column) -> Column:
     return F.coalesce(label(code, PAYMENTS), F.lit("Other"))
+
+
+def plain(value: object) -> object:
+    """A value as JSON can say it: decimals as floats, times as ISO text, what is no finite number as null."""
+    if isinstance(value, dict):
+        return {str(k): plain(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return [plain(v) for v in value]
+    if isinstance(value, (date, datetime)):
+        return value.isoformat()
+    if isinstance(value, Decimal):
+        value = float(value)
+    return None if isinstance(value, float) and not isfinite(value) else value

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import percent
+from siltstone.operators.ranks import at_ranks
 from siltstone.operators.registry import Registry, strict
 
 
@@ -88,21 +89,27 @@ def browse(flagged: DataFrame, registry: Registry, selector: str = "flagged", li
     out = top.select("raw_id", "pickup_ts", "pu_zone", "do_zone", "minutes", "mph", *shown)
     if raw is None:
         return out
+    # ``out`` has ``limit`` rows.
     source = raw.select("raw_id", *(F.col(c).alias(name) for name, c in RAW_COLUMNS.items()))
-    return source.join(F.broadcast(out), "raw_id").orderBy(F.desc("issues"), F.asc_nulls_last("pickup_ts"), "raw_id")
+    return source.join(F.broadcast(out), "raw_id").orderBy(F.desc("issues"), *order[1:])
 
 
 def browse_count(flagged: DataFrame, registry: Registry, selector: str = "flagged") -> DataFrame:
     return flagged.agg(F.count_if(selected(registry, selector)).alias("matching"))
 
 
+THRESHOLD_COLUMNS = {"max_fare": "fare", "max_distance": "distance", "max_minutes": "minutes"}
+
+
+def upper_tails(flagged: DataFrame, tail: float = 0.001) -> dict[str, float]:
+    """The least of the largest ``tail`` of fares, distances and durations (one row at least), by the threshold's name."""
+    counts = flagged.agg(*(F.count(c).alias(n) for n, c in THRESHOLD_COLUMNS.items())).first()
+    ranks = {n: (F.col(c), [counts[n] - max(1, int(counts[n] * tail))]) for n, c in THRESHOLD_COLUMNS.items() if counts[n]}
+    return {n: v[0] for n, v in at_ranks(flagged, ranks).items()} if ranks else {}
+
+
 def derive_thresholds(flagged: DataFrame, tail: float = 0.001) -> DataFrame:
-    """The least of the largest ``tail`` of fares, distances and durations (one row at least)."""
-    columns = {"max_fare": "fare", "max_distance": "distance", "max_minutes": "minutes"}
-    counts = flagged.agg(*(F.count(c).alias(c) for c in columns.values())).first()
-    out = None
-    for name, c in columns.items():
-        top = flagged.where(F.col(c).isNotNull()).select(c).orderBy(F.desc(c)).limit(max(1, int(counts[c] * tail)))
-        row = top.agg(F.lit(name).alias("threshold"), F.min(c).cast("double").alias("value"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """(threshold, value), as ``upper_tails`` finds them; null where a column has no values."""
+    found = upper_tails(flagged, tail)
+    rows = [(n, found.get(n)) for n in THRESHOLD_COLUMNS]
+    return flagged.sparkSession.createDataFrame(rows, "threshold string, value double")

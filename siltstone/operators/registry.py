@@ -63,9 +63,13 @@ class Registry:
             raise KeyError(f"no such measures: {sorted(unknown)}")
         return [r for r in self.rules if set(r.invalidates) & set(measures)]
 
+    def invalidating_columns(self, *measures: str) -> list[str]:
+        """The flags of the rules that bear on the measures."""
+        return [r.flag for r in self.affecting(*measures)]
+
     def condition_sql(self, *measures: str) -> str:
         """That no rule that bears on the measures has fired; empty if none does."""
-        return " AND ".join(f"{r.flag} = 0" for r in self.affecting(*measures))
+        return " AND ".join(f"{flag} = 0" for flag in self.invalidating_columns(*measures))
 
     def condition(self, *measures: str) -> Column | None:
         return F.expr(sql) if (sql := self.condition_sql(*measures)) else None

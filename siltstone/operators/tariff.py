@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import mean, percent
+from siltstone.operators.ranks import percentiles
 from siltstone.operators.registry import strict
 
 METERED, FLAT_CODES, OFF_TARIFF = 1, (2,), 5.00
@@ -49,6 +50,7 @@ def solve(n: int, x: float, z: float, y: float, xx: float, xz: float, zz: float,
 
 
 def calibrate(fact: DataFrame, bounds: Bounds = Bounds()) -> Tariff:
+    """``fact`` is read several times, for sums, errors and flat fares, so it is best stored."""
     rows = fitted_rows(fact, bounds)
     x, z, y = F.col("distance"), F.col("minutes"), F.col("fare")
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(e).cast("double").alias(f"s{k}") for k, e in enumerate((x, z, y, x * x, x * z, z * z, x * y, z * y)))).first()
@@ -56,7 +58,7 @@ def calibrate(fact: DataFrame, bounds: Bounds = Bounds()) -> Tariff:
         raise RuntimeError("no rows to fit the tariff on")
     base, per_mile, per_minute = solve(sums["n"], *(sums[f"s{k}"] for k in range(8)))
     off = F.abs(y.cast("double") - (base + per_mile * x.cast("double") + per_minute * z.cast("double")))
-    median, p95 = rows.agg(F.percentile(off, F.array(F.lit(0.5), F.lit(0.95))).alias("p")).first()["p"]
+    median, p95 = percentiles(rows, off, sums["n"], [0.5, 0.95])
     modes = flat_fares(fact).collect()
     return Tariff(base, per_mile, per_minute, {r["rate_code"]: float(r["fare"]) for r in modes}, sums["n"], median, p95)
 
@@ -87,8 +89,8 @@ def deploy(spark: SparkSession, tariff: Tariff, name: str = "expected_fare") ->
 
     @F.pandas_udf("double")
     def udf(code: pd.Series, miles: pd.Series, minutes: pd.Series) -> pd.Series:
-        plain = ((None if pd.isna(v) else v for v in row) for row in zip(code, miles, minutes))
-        return pd.Series([expected(*row) for row in plain], dtype="float64")
+        columns = (c.astype(object).where(c.notna(), None) for c in (code, miles, minutes))
+        return pd.Series(list(map(expected, *columns)), dtype="float64")
 
     spark.udf.register(name, udf)
     return udf
@@ -104,9 +106,14 @@ def expected_fare(tariff: Tariff) -> Column:
     return out
 
 
+def tariff_rows(fact: DataFrame, codes: tuple[int, ...] = (METERED, *FLAT_CODES)) -> DataFrame:
+    """The rows that the tariff can be held against."""
+    return fact.where(F.col("rate_code").isin(*codes) & strict() & (F.col("fare") > 0))
+
+
 def gap_by_rate_code(fact: DataFrame, expected: Column, codes: tuple[int, ...] = (METERED, *FLAT_CODES)) -> DataFrame:
     """How far fares are from the tariff. The gap is rounded before it meets the threshold."""
-    rows = fact.where(F.col("rate_code").isin(*codes) & strict() & (F.col("fare") > 0))
+    rows = tariff_rows(fact, codes)
     gaps = rows.select("rate_code", F.round(F.abs(F.col("fare").cast("double") - expected), 2).cast("decimal(18,2)").alias("gap"))
     out = gaps.groupBy("rate_code").agg(F.count(F.lit(1)).alias("trips"), mean(F.col("gap"), 2).alias("mean_gap"), F.count_if(F.col("gap") > OFF_TARIFF).alias("off_tariff"))
     return out.withColumn("pct_off_tariff", percent(F.col("off_tariff"), F.col("trips"), 2)).orderBy("rate_code")

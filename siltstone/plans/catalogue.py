@@ -1,13 +1,16 @@
-"""The registered queries over the trade tables and events, and the SQL that each must agree with."""
+"""The registered queries over the trade tables and events. ``oracles`` has the SQL that each must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import flags, tariff, transform
 from siltstone.plans import workflows as w
-from siltstone.plans.rules import DISCREPANCY, TRIPS
-from siltstone.plans.trade import DUCKDB, EVENTS, EVENTS_SQL, TRADE, TRADE_SQL, flagged_events, flagged_trade, landed_trade, nation_zones, trade_fact
+from siltstone.plans.rules import TRIPS
+from siltstone.plans.trade import EVENTS, TRADE, flagged_events, flagged_trade, landed_trade, nation_zones
 
 BOUNDS = tariff.Bounds((0.1, 48), (1, 1800))
 
@@ -25,51 +28,68 @@ def _tariff_fit(spark, sf_dir):
 
 def _tariff_errors(spark, sf_dir):
     t = _calibrated(spark, sf_dir)[1]
-    return spark.createDataFrame([(round(t.median_error, 1), round(t.p95_error, 1))], "median_error double, p95_error double")
+    return spark.createDataFrame([(round(t.median_error, 2), round(t.p95_error, 2))], "median_error double, p95_error double")
 
 
-def _tariff_gap(spark, sf_dir):
+def _tariff_gap(spark, sf_dir, by_udf):
     fact, t = _calibrated(spark, sf_dir)
+    if not by_udf:
+        return tariff.gap_by_rate_code(fact, tariff.expected_fare(t))
     udf = tariff.deploy(spark, t)
-    expected = udf(F.col("rate_code"), F.col("distance").cast("double"), F.col("minutes").cast("double"))
-    return tariff.gap_by_rate_code(fact, expected).select("rate_code", "trips", F.round("mean_gap", 0).alias("mean_gap"))
+    return tariff.gap_by_rate_code(fact, udf(F.col("rate_code"), F.col("distance").cast("double"), F.col("minutes").cast("double")))
 
 
 def _flat_fares(spark, sf_dir):
     return tariff.flat_fares(flagged_trade(spark, sf_dir)).select("rate_code", F.col("fare").cast("double").alias("fare"))
 
 
-def _landing(spark, sf_dir, reject=False):
-    fact, rejects = transform.cast_and_enrich(landed_trade(spark, sf_dir), nation_zones(spark, sf_dir))
-    if reject:
-        return transform.first_rejects(rejects, 50).select("raw_id", "reason", "dropoff")
+def _landed(spark, sf_dir):
+    return transform.cast_and_enrich(landed_trade(spark, sf_dir), nation_zones(spark, sf_dir))
+
+
+def _landing(spark, sf_dir):
     money = [F.round(F.sum(c).cast("double"), 2).alias(f"sum_{c}") for c in ("distance", "fare", "total")]
-    return fact.groupBy("pu_borough", "hour").agg(F.count(F.lit(1)).alias("trips"), F.count("fare").alias("fares"), *money)
+    return _landed(spark, sf_dir)[0].groupBy("pu_borough", "hour").agg(F.count(F.lit(1)).alias("trips"), F.count("fare").alias("fares"), *money)
 
 
-def _bench(spark, sf_dir, question):
-    fact = flagged_trade(spark, sf_dir)
-    if question == "revenue_by_borough":
-        return fact.groupBy(F.col("pu_borough").alias("borough")).agg(F.count(F.lit(1)).alias("trips"), F.round(F.sum("total").cast("double"), 2).alias("revenue"))
-    if question == "distance_by_hour":
-        return fact.groupBy("hour").agg(F.count(F.lit(1)).alias("trips"), F.round(F.sum("distance").cast("double"), 2).alias("miles"))
-    return fact.groupBy(F.col("issue_count").alias("issues")).agg(F.count(F.lit(1)).alias("trips"))
+def _derived(spark, sf_dir):
+    columns = [F.col(c).cast("double").alias(c) for c in ("minutes", "mph", "tip_pct")]
+    return _landed(spark, sf_dir)[0].select("raw_id", *columns, "pickup_date", "hour", "dow", "month")
 
 
-def _browse(selector):
-    def run(s, d):
-        out = flags.browse(flagged_trade(s, d), TRADE, selector, 25)
-        cells = F.array_join(F.transform(F.array_sort(F.map_keys("tested")), lambda k: F.concat_ws("=", k, F.array_join(F.col("tested")[k], "+"))), ";")
-        return out.select("pickup_ts", "pu_zone", "do_zone", F.col("minutes").cast("double").alias("minutes"), "issues", "flags", cells.alias("tested")) if selector != "clean" else out.select("pickup_ts", "pu_zone", "do_zone", "issues", "flags")
+def _bench(column: str, value: str | None, total: str) -> Callable:
+    def run(spark, sf_dir):
+        sums = [F.round(F.sum(value).cast("double"), 2).alias(total)] if value else []
+        names = {"pu_borough": "borough", "issue_count": "issues"}
+        fact = flagged_trade(spark, sf_dir)
+        return fact.groupBy(F.col(column).alias(names.get(column, column))).agg(F.count(F.lit(1)).alias("trips"), *sums)
 
     return run
 
 
-def _trade(f, **options):
+def _cells() -> Column:
+    keys = F.array_sort(F.map_keys("tested"))
+    return F.array_join(F.transform(keys, lambda k: F.concat_ws("=", k, F.array_join(F.col("tested")[k], "+"))), ";")
+
+
+def _browse(selector: str, with_raw: bool = False) -> Callable:
+    def run(spark, sf_dir):
+        fact = flagged_trade(spark, sf_dir)
+        raw = None
+        if with_raw:  # the fact's own values as text stand for the source's
+            raw = fact.select("raw_id", *(F.col(c).cast("string").alias(n) for n, c in {"pickup": "pickup_date", "dropoff": "payment_type", "passengers": "passengers", "distance": "distance", "fare": "fare", "tip": "tip", "total": "total"}.items()))
+        out = flags.browse(fact, TRADE, selector, 25, raw)
+        columns = [c for c in out.columns if c not in ("tested", "minutes", "mph")]
+        return out.select(*columns, *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("minutes", "mph")), _cells().alias("tested"))
+
+    return run
+
+
+def _trade(f: Callable[..., DataFrame], **options) -> Callable:
     return lambda s, d: f(flagged_trade(s, d), TRADE, **options)
 
 
-def _events(f, **options):
+def _events(f: Callable[..., DataFrame], **options) -> Callable:
     return lambda s, d: f(flagged_events(s, d), EVENTS, **options)
 
 
@@ -91,7 +111,8 @@ def queries() -> dict:
             f"od_pairs_cross{suffix}": _trade(w.od_pairs, cross_borough_only=True, **o),
         }
     return found | {
-        "reconciliation": lambda s, d: w.reconciliation(flagged_trade(s, d), places=-2),
+        "reconciliation": lambda s, d: w.reconciliation(flagged_trade(s, d), min_trips=2),
+        "reconciliation_by_hundreds": lambda s, d: w.reconciliation(flagged_trade(s, d), places=-2),
         "cleaning_impact": _trade(w.cleaning_impact),
         "headline": _trade(w.headline),
         "rule_summary": _trade(flags.summary),
@@ -100,112 +121,22 @@ def queries() -> dict:
         "rule_sample": lambda s, d: flags.sample(flagged_trade(s, d), TRADE, "excessive_fare", 10).select("raw_id", "fare", "distance"),
         "browse_flagged": _browse("flagged"),
         "browse_clean": _browse("clean"),
+        "browse_all_with_raw": _browse("all", with_raw=True),
+        "browse_rule": _browse("excessive_fare"),
         "browse_count": _trade(flags.browse_count),
         "derive_thresholds": lambda s, d: flags.derive_thresholds(flagged_trade(s, d)),
         "flag_rows": lambda s, d: flagged_trade(s, d).select("raw_id", "issue_count", *(r.flag for r in TRIPS.rules)),
-        "enrich_left_join": lambda s, d: trade_fact(s, d).select("raw_id", "pu_borough", "pu_zone", "do_borough", "do_zone"),
+        "enrich_left_join": lambda s, d: _landed(s, d)[0].select("raw_id", "pu_borough", "pu_zone", "do_borough", "do_zone"),
+        "derived_columns": _derived,
         "profile_raw": lambda s, d: transform.profile_raw(landed_trade(s, d)),
         "landing_cast": _landing,
-        "rejects": lambda s, d: _landing(s, d, True),
+        "rejects": lambda s, d: transform.first_rejects(_landed(s, d)[1], 50),
         "tariff_fit": _tariff_fit,
         "tariff_errors": _tariff_errors,
-        "tariff_gap_udf": _tariff_gap,
+        "tariff_gap_udf": lambda s, d: _tariff_gap(s, d, True),
+        "tariff_gap": lambda s, d: _tariff_gap(s, d, False),
         "flat_fare_mode": _flat_fares,
-        "bench_revenue_by_borough": lambda s, d: _bench(s, d, "revenue_by_borough"),
-        "bench_distance_by_hour": lambda s, d: _bench(s, d, "distance_by_hour"),
-        "bench_flagged_distribution": lambda s, d: _bench(s, d, "flagged_distribution"),
-    }
-
-
-def _flagged_sql(sql, registry):
-    cases = ", ".join(f"CASE WHEN {registry.predicate_sql(r)} THEN 1 ELSE 0 END AS {r.flag}" for r in registry.rules)
-    total = " + ".join(r.flag for r in registry.rules)
-    return f"WITH t AS ({sql.format(**DUCKDB)}), f AS (SELECT *, {cases} FROM t), g AS (SELECT *, {total} AS issue_count FROM f)"
-
-
-def _guarded(x, *measures):
-    return f"CASE WHEN {c} THEN {x} END" if (c := TRIPS.condition_sql(*measures)) else x
-
-
-def _mean(x, places, name):
-    return f"ROUND(CAST(SUM({x}) AS DOUBLE) / NULLIF(COUNT({x}), 0), {places}) AS {name}"
-
-
-def _workflow_sql(valid: bool) -> dict[str, str]:
-    g = _guarded if valid else lambda x, *_: x
-    pop = TRIPS.condition_sql if valid else lambda *_: "TRUE"
-    trade, events = _flagged_sql(TRADE_SQL, TRADE), _flagged_sql(EVENTS_SQL, EVENTS)
-    miles, minutes = _mean(g("distance", "distance"), 2, "avg_miles"), _mean(g("minutes", "duration"), 1, "avg_minutes")
-    fare, tip = _mean(g("fare", "fare"), 2, "avg_fare"), _mean(g("tip_pct", "tip", "fare"), 1, "avg_tip_pct")
-    total, revenue = _mean(g("total", "total"), 2, "avg_total"), f"ROUND(CAST(SUM({g('total', 'total')}) AS DOUBLE), 0) AS revenue"
-    day = "CASE dow WHEN 1 THEN 'Sunday' WHEN 2 THEN 'Monday' WHEN 3 THEN 'Tuesday' WHEN 4 THEN 'Wednesday' WHEN 5 THEN 'Thursday' WHEN 6 THEN 'Friday' ELSE 'Saturday' END"
-    place, when = pop("trip_count", "location"), pop("trip_count", "time")
-    busiest = "{} SELECT {}_borough AS borough, {}_zone AS zone, COUNT(*) AS trips, {} FROM g WHERE {} GROUP BY 1, 2 ORDER BY trips DESC, borough, zone LIMIT 15"
-    pairs = "{} SELECT pu_borough AS from_borough, pu_zone AS from_zone, do_borough AS to_borough, do_zone AS to_zone, COUNT(*) AS trips, {} FROM g WHERE {} AND {} GROUP BY 1, 2, 3, 4 ORDER BY trips DESC, 1, 2, 3, 4 LIMIT 20"
-    columns = ", ".join((miles, minutes, fare, tip))
-    od = ", ".join((miles, minutes, total))
-    hours = ", ".join(f"COUNT(*) FILTER (WHERE hour = {h}) AS h{h:02d}" for h in range(24))
-    payment = "CASE payment_type WHEN 1 THEN 'Credit card' WHEN 2 THEN 'Cash' WHEN 3 THEN 'No charge' WHEN 4 THEN 'Dispute' WHEN 5 THEN 'Unknown' WHEN 6 THEN 'Voided trip' ELSE 'Other' END"
-    return {
-        "busiest_zones_pickup": busiest.format(trade, "pu", "pu", columns, place),
-        "busiest_zones_dropoff": busiest.format(trade, "do", "do", columns, place),
-        "borough_summary": f"{trade} SELECT pu_borough AS borough, COUNT(*) AS trips, {miles}, {fare}, {total}, {tip}, {revenue} FROM g WHERE {place} GROUP BY 1",
-        "activity_by_hour": f"{events} SELECT hour AS pickup_hour, COUNT(*) AS trips, {_mean(g('mph', 'speed'), 2, 'avg_mph')}, {minutes}, {fare} FROM g WHERE {when} GROUP BY 1",
-        "activity_by_dow": f"{trade} SELECT dow, {day} AS day, COUNT(*) AS trips, {miles}, {fare}, {tip} FROM g WHERE {when} GROUP BY dow",
-        "activity_by_month": f"{trade} SELECT month AS month_num, monthname(make_date(2000, month, 1)) AS month_name, COUNT(*) AS trips, {miles}, {fare}, {revenue} FROM g WHERE month IS NOT NULL AND {when} GROUP BY month",
-        "hourly_heatmap": f"{events} SELECT {day} AS day, {hours} FROM g WHERE {when} GROUP BY dow",
-        "tipping_by_borough": f"{trade} SELECT pu_borough AS borough, payment_type, {payment} AS payment, COUNT(*) AS trips, {_mean('tip_pct', 2, 'avg_tip_pct')}, {_mean('tip', 2, 'avg_tip')}, {_mean('fare', 2, 'avg_fare')} FROM g WHERE fare > 0 AND {pop('trip_count', 'location', 'fare', 'tip')} GROUP BY pu_borough, payment_type HAVING COUNT(*) >= 500",
-        "fare_per_mile": f"{trade} SELECT pu_borough AS borough, pu_zone AS zone, COUNT(*) AS trips, ROUND(CAST(SUM(fare) AS DOUBLE) / CAST(SUM(distance) AS DOUBLE), 2) AS fare_per_mile, {_mean('distance', 2, 'avg_miles')}, {_mean('fare', 2, 'avg_fare')}, {_mean(g('mph', 'speed'), 1, 'avg_mph')} FROM g WHERE distance > 0 AND fare > 0 AND {pop('trip_count', 'location', 'fare', 'distance')} GROUP BY 1, 2 HAVING COUNT(*) >= 1000 ORDER BY CAST(SUM(fare) AS DOUBLE) / CAST(SUM(distance) AS DOUBLE) DESC, 1, 2 LIMIT 15",
-        "od_pairs": pairs.format(trade, od, "TRUE", place),
-        "od_pairs_cross": pairs.format(trade, od, "pu_borough <> do_borough", place),
-    }
-
-
-def oracle_sql() -> dict[str, str]:
-    trade = _flagged_sql(TRADE_SQL, TRADE)
-    found = _workflow_sql(True) | {f"{k}_all_rows": v for k, v in _workflow_sql(False).items()}
-    one = lambda name, depends, places, x, how: "SELECT '{}' AS metric, '{}' AS depends_on, {} FROM g".format(name, depends, ", ".join(f"{how(c, places)} AS {s}" for s, c in zip(("all_rows", "strict_clean", "selective"), (x, f"CASE WHEN issue_count = 0 THEN {x} END", _guarded(x, *depends.split(", "))))))
-    plain = lambda x, p: _mean(x, p, "").removesuffix(" AS ")
-    impact = [one("trips", "trip_count", 0, "1", lambda x, p: f"CAST(COUNT({x}) AS DOUBLE)")]
-    impact += [one(n, ", ".join(m), p, c, (lambda x, q: f"ROUND(CAST(MAX({x}) AS DOUBLE), {q})") if n == "max_miles" else plain) for n, c, p, m in w.IMPACT]
-    summary = " UNION ALL ".join(f"SELECT '{r.name}' AS rule, '{r.severity}' AS severity, CAST(SUM({r.flag}) AS BIGINT) AS flagged, ROUND(100.0 * CAST(SUM({r.flag}) AS DOUBLE) / COUNT(*), 3) AS pct_of_trips, '{TRADE.description(r)}' AS description, '{', '.join(r.invalidates)}' AS invalidates FROM g" for r in TRADE.rules)
-    usable = {m: (TRIPS.condition_sql(m), TRIPS.measures[m], len(TRIPS.affecting(m))) for m in TRIPS.measures} | {"(all rules)": ("issue_count = 0", "rows that no rule has flagged", len(TRIPS.rules))}
-    coverage = " UNION ALL ".join(f"SELECT '{m}' AS measure, '{text}' AS meaning, {n} AS rules, COUNT(*) FILTER (WHERE {c}) AS usable_rows, ROUND(100.0 * CAST(COUNT(*) FILTER (WHERE {c}) AS DOUBLE) / COUNT(*), 2) AS pct_of_trips FROM g" for m, (c, text, n) in usable.items())
-    names = "coalesce(nullif(concat_ws(', ', {}), ''), '—')".format(", ".join(f"CASE WHEN {r.flag} = 1 THEN '{r.name}' END" for r in TRADE.rules))
-    tested = "concat_ws(';', {})".format(", ".join(f"CASE WHEN {r.flag} = 1 THEN concat('{r.name}=', concat_ws('+', {', '.join(f'CASE WHEN {when} THEN {chr(39)}{c}{chr(39)} END' for c, when in r.tested)})) END" for r in sorted(TRADE.rules, key=lambda r: r.name)))
-    order = "ORDER BY issue_count DESC, pickup_ts, pu_zone, do_zone, raw_id LIMIT 25"
-    tails = " UNION ALL ".join(f"SELECT '{n}' AS threshold, CAST(min({c}) AS DOUBLE) AS value FROM (SELECT {c} FROM g ORDER BY {c} DESC LIMIT (SELECT greatest(1, CAST(floor(count({c}) * 0.001) AS BIGINT)) FROM g))" for n, c in (("max_fare", "fare"), ("max_distance", "distance"), ("max_minutes", "minutes")))
-    fitted = f"{trade}, r AS (SELECT CAST(distance AS DOUBLE) AS x, CAST(minutes AS DOUBLE) AS z, CAST(fare AS DOUBLE) AS y FROM g WHERE rate_code = 1 AND issue_count = 0 AND distance BETWEEN 0.1 AND 48 AND minutes BETWEEN 1 AND 1800 AND fare > 0), s AS (SELECT count(*) AS n, avg(x) AS mx, avg(z) AS mz, avg(y) AS my, var_pop(x) AS xx, var_pop(z) AS zz, covar_pop(x, z) AS xz, covar_pop(x, y) AS xy, covar_pop(z, y) AS zy FROM r), b AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS b1, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b2 FROM s), c AS (SELECT *, my - b1 * mx - b2 * mz AS b0 FROM b)"
-    flat = "(SELECT fare FROM g WHERE rate_code = 2 AND fare > 0 GROUP BY fare ORDER BY count(*) DESC, fare LIMIT 1)"
-    landed = """WITH n AS (SELECT n_nationkey AS k, r_name AS borough FROM nation JOIN region ON n_regionkey = r_regionkey),
-e AS (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'timestamp of another shape' WHEN event_id % 89 = 0 THEN 'no such time' WHEN event_id % 83 = 0 THEN 'missing timestamp' END AS reason,
-      CASE WHEN event_id % 31 = 0 THEN 1234.50 WHEN event_id % 37 = 0 OR event_id % 41 = 0 THEN NULL ELSE CAST(value AS DECIMAL(12,2)) END AS v FROM events)"""
-    broken = "count(*) FILTER (WHERE event_id % 31 = 0)"
-    words = "count(*) FILTER (WHERE event_id % 31 <> 0 AND event_id % 37 = 0)"
-    profile = [("timestamps of another shape", "count(*) FILTER (WHERE reason IN ('timestamp of another shape', 'missing timestamp'))"), ("ehail_fee missing", "count(*)")]
-    profile += [(f"{c}: thousands separated by commas", broken) for c in ("distance", "fare", "total")] + [(f"{c}: no number even without commas", words) for c in ("distance", "fare", "total")]
-    return found | {
-        "reconciliation": f"{trade} SELECT CAST(ROUND({DISCREPANCY}, -2) AS DOUBLE) AS discrepancy, COUNT(*) AS trips, {_mean('mta_tax', 3, 'avg_mta_tax')}, {_mean('improvement', 3, 'avg_improvement')}, {_mean('congestion', 3, 'avg_congestion')}, COUNT(*) FILTER (WHERE congestion IS NULL) AS congestion_null FROM g WHERE q_total_mismatch = 1 GROUP BY 1 HAVING COUNT(*) >= 500",
-        "cleaning_impact": f"{trade} " + " UNION ALL ".join(impact),
-        "headline": f"{trade} SELECT COUNT(*) AS trips, COUNT(*) FILTER (WHERE issue_count = 0) AS clean_trips, COUNT(DISTINCT pu_zone) AS pickup_zones, MIN(pickup_date) AS first_pickup, MAX(pickup_date) AS last_pickup, ROUND(CAST(SUM({_guarded('total', 'total')}) AS DOUBLE), 0) AS total_revenue, {_mean(_guarded('distance', 'distance'), 2, 'typical_miles')}, {_mean(_guarded('minutes', 'duration'), 1, 'typical_minutes')}, {_mean(_guarded('fare', 'fare'), 2, 'typical_fare')} FROM g",
-        "rule_summary": f"{trade} {summary}",
-        "issue_distribution": f"{trade} SELECT issue_count AS issues, COUNT(*) AS trips, ROUND(100.0 * CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM g), 3) AS pct FROM g GROUP BY 1",
-        "measure_coverage": f"{trade} {coverage}",
-        "rule_sample": f"{trade} SELECT raw_id, fare, distance FROM g WHERE q_excessive_fare = 1 ORDER BY distance DESC, raw_id LIMIT 10",
-        "browse_flagged": f"{trade} SELECT pickup_ts, pu_zone, do_zone, CAST(minutes AS DOUBLE) AS minutes, issue_count AS issues, {names} AS flags, {tested} AS tested FROM g WHERE issue_count > 0 {order}",
-        "browse_clean": f"{trade} SELECT pickup_ts, pu_zone, do_zone, issue_count AS issues, {names} AS flags FROM g WHERE issue_count = 0 {order}",
-        "browse_count": f"{trade} SELECT COUNT(*) FILTER (WHERE issue_count > 0) AS matching FROM g",
-        "derive_thresholds": f"{trade} {tails}",
-        "flag_rows": f"{trade} SELECT raw_id, issue_count, {', '.join(r.flag for r in TRIPS.rules)} FROM g",
-        "enrich_left_join": f"{trade} SELECT raw_id, pu_borough, pu_zone, do_borough, do_zone FROM g",
-        "profile_raw": f"{landed} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{n}' AS issue, {c} AS rows, ROUND(100.0 * {c} / count(*), 3) AS pct FROM e) WHERE rows > 0" for n, c in profile),
-        "landing_cast": f"{landed} SELECT coalesce(borough, 'Unknown') AS pu_borough, CAST(hour(ts) AS INT) AS hour, count(*) AS trips, count(v) AS fares, {', '.join(f'ROUND(CAST(SUM(v) AS DOUBLE), 2) AS sum_{c}' for c in ('distance', 'fare', 'total'))} FROM e LEFT JOIN n ON user_id % 30 = k WHERE reason IS NULL GROUP BY 1, 2",
-        "rejects": f"{landed} SELECT event_id AS raw_id, reason, strftime(ts, '%m/%d/%Y %I:%M:%S %p') AS dropoff FROM e WHERE reason IS NOT NULL ORDER BY event_id LIMIT 50",
-        "tariff_fit": f"{fitted} SELECT n AS rows_fitted, ROUND(b0, 3) AS base, ROUND(b1, 3) AS per_mile, ROUND(b2, 3) AS per_minute FROM c",
-        "tariff_errors": f"{fitted} SELECT ROUND(quantile_cont(abs(y - (b0 + b1 * x + b2 * z)), 0.5), 1) AS median_error, ROUND(quantile_cont(abs(y - (b0 + b1 * x + b2 * z)), 0.95), 1) AS p95_error FROM r, c",
-        "tariff_gap_udf": f"{fitted}, h AS (SELECT rate_code, CAST(fare AS DOUBLE) AS fare, CASE WHEN rate_code = 2 THEN CAST({flat} AS DOUBLE) ELSE ROUND(greatest(b0 + b1 * CAST(distance AS DOUBLE) + b2 * CAST(minutes AS DOUBLE), 0), 2) END AS expected FROM g, c WHERE rate_code IN (1, 2) AND issue_count = 0 AND fare > 0) SELECT rate_code, COUNT(*) AS trips, ROUND(avg(ROUND(abs(fare - expected), 2)), 0) AS mean_gap FROM h GROUP BY 1",
-        "flat_fare_mode": f"{trade} SELECT 2 AS rate_code, CAST({flat} AS DOUBLE) AS fare",
-        "bench_revenue_by_borough": f"{trade} SELECT pu_borough AS borough, COUNT(*) AS trips, ROUND(CAST(SUM(total) AS DOUBLE), 2) AS revenue FROM g GROUP BY 1",
-        "bench_distance_by_hour": f"{trade} SELECT hour, COUNT(*) AS trips, ROUND(CAST(SUM(distance) AS DOUBLE), 2) AS miles FROM g GROUP BY 1",
-        "bench_flagged_distribution": f"{trade} SELECT issue_count AS issues, COUNT(*) AS trips FROM g GROUP BY 1",
+        "bench_revenue_by_borough": _bench("pu_borough", "total", "revenue"),
+        "bench_distance_by_hour": _bench("hour", "distance", "miles"),
+        "bench_flagged_distribution": _bench("issue_count", None, ""),
     }

@@ -6,96 +6,101 @@ ship date, in days; the quantity is its distance, the price its fare, the discou
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.operators.flags import apply_rules
 from siltstone.plans.rules import TRIPS
+from siltstone.sources.scratch import stored
 
 TRADE = TRIPS.with_limits(min_minutes=10, max_minutes=1800, max_distance=48, max_fare=95000, max_mph=4, min_mph=0.004, total_tolerance=100, max_tip_ratio=0.095, period_start="1993-01-01 00:00:00", period_end="1998-01-01 00:00:00")
 EVENTS = TRIPS.with_limits(period_start="2024-01-02 00:00:00", period_end="2024-01-29 00:00:00", max_fare=90, max_mph=1000)
 
-_DERIVED = """
-       CASE WHEN minutes > 0 THEN CAST(distance AS DOUBLE) / CAST(minutes AS DOUBLE) END AS mph,
-       CASE WHEN fare > 0 THEN 100 * CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) END AS tip_pct,
-       CAST(pickup_ts AS DATE) AS pickup_date"""
-_NONE = "CAST(0 AS DECIMAL(12,2)) AS tolls, CAST(0 AS DECIMAL(12,2)) AS improvement"
-#: The same text runs in Spark and in DuckDB; {days} and {dow} are what the dialects say differently.
-TRADE_SQL = (
-    """
-SELECT t.*,"""
-    + _DERIVED
-    + """,
-       CAST(month(pickup_ts) AS INT) AS month, CAST({dow} AS INT) AS dow, CAST(hour(pickup_ts) AS INT) AS hour
-FROM (
-  SELECT l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS raw_id,
-         o_orderdate AS pickup_ts, l_shipdate AS dropoff_ts,
-         CAST({days} AS DECIMAL(18,2)) AS minutes,
-         CAST(l_quantity AS DECIMAL(10,2)) AS distance,
-         CAST(l_extendedprice AS DECIMAL(12,2)) AS fare,
-         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS tip,
-         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))) * (1 + CAST(l_tax AS DECIMAL(4,2))) AS DECIMAL(12,2)) AS total,
-         CAST(-2 * CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS DECIMAL(12,2)) AS extra,
-         CAST(CAST(l_extendedprice AS DECIMAL(12,2)) * CAST(l_tax AS DECIMAL(4,2)) AS DECIMAL(12,2)) AS mta_tax,
-         """
-    + _NONE
-    + """,
-         CASE WHEN l_linenumber = 3 THEN NULL ELSE CAST(0 AS DECIMAL(12,2)) END AS congestion,
-         l_linenumber - 1 AS passengers,
-         CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 3 END AS rate_code,
-         CAST(substr(o_orderpriority, 1, 1) AS INT) AS payment_type,
-         cr.r_name AS pu_borough, cn.n_name AS pu_zone, sr.r_name AS do_borough, sn.n_name AS do_zone
-  FROM lineitem
-  JOIN orders ON l_orderkey = o_orderkey
-  JOIN customer ON o_custkey = c_custkey
-  JOIN nation cn ON c_nationkey = cn.n_nationkey
-  JOIN region cr ON cn.n_regionkey = cr.r_regionkey
-  JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation sn ON s_nationkey = sn.n_nationkey
-  JOIN region sr ON sn.n_regionkey = sr.r_regionkey) t
-"""
-)
-EVENTS_SQL = (
-    """
-SELECT t.*,"""
-    + _DERIVED
-    + """,
-       CAST(month(pickup_ts) AS INT) AS month, CAST({dow} AS INT) AS dow, CAST(hour(pickup_ts) AS INT) AS hour
-FROM (
-  SELECT event_id AS raw_id, ts AS pickup_ts, ts AS dropoff_ts, CAST(1 AS DECIMAL(18,2)) AS minutes,
-         CAST(1 AS DECIMAL(10,2)) AS distance, CAST(value AS DECIMAL(12,2)) AS fare, CAST(0 AS DECIMAL(12,2)) AS tip,
-         CAST(value AS DECIMAL(12,2)) AS total, CAST(0 AS DECIMAL(12,2)) AS extra, CAST(0 AS DECIMAL(12,2)) AS mta_tax,
-         """
-    + _NONE
-    + """, CAST(0 AS DECIMAL(12,2)) AS congestion, 1 AS passengers,
-         1 AS rate_code, 1 AS payment_type, event_type AS pu_borough, event_type AS pu_zone, event_type AS do_borough, event_type AS do_zone
-  FROM events) t
-"""
-)
-SPARK = {"days": "datediff(l_shipdate, o_orderdate)", "dow": "dayofweek(pickup_ts)"}
-DUCKDB = {"days": "date_diff('day', o_orderdate, l_shipdate)", "dow": "dayofweek(pickup_ts) + 1"}
+def _nothing() -> Column:
+    return F.lit(0).cast("decimal(12,2)")
 
 
-def _fact(spark: SparkSession, sf_dir: str, sql: str, tables: tuple[str, ...]) -> DataFrame:
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
-    for t, df in frames.items():
-        df.createOrReplaceTempView(f"siltstone_{t}")
-    for t in tables:
-        sql = sql.replace(f"FROM {t}", f"FROM siltstone_{t} {t}").replace(f"JOIN {t} ", f"JOIN siltstone_{t} {'' if t in ('nation', 'region') else t} ")
-    return spark.sql(sql.format(**SPARK))
+def _derived(fact: DataFrame) -> DataFrame:
+    """Days stand for minutes here, so the speed is distance over days."""
+    return fact.withColumns(
+        {
+            "mph": F.when(F.col("minutes") > 0, F.col("distance").cast("double") / F.col("minutes").cast("double")),
+            "tip_pct": F.when(F.col("fare") > 0, 100 * F.col("tip").cast("double") / F.col("fare").cast("double")),
+            "pickup_date": F.to_date("pickup_ts"),
+            "month": F.month("pickup_ts"),
+            "dow": F.dayofweek("pickup_ts"),
+            "hour": F.hour("pickup_ts"),
+        }
+    )
 
 
 def trade_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation and region have 25 and 5 rows; Spark sees their size and broadcasts them."""
-    return _fact(spark, sf_dir, TRADE_SQL, ("lineitem", "orders", "customer", "supplier", "nation", "region"))
+    line, order, customer, supplier, nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "supplier", "nation", "region"))
+    places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+
+    def side(s: str) -> DataFrame:
+        return places.select(F.col("n_nationkey").alias(f"{s}_nation"), F.col("r_name").alias(f"{s}_borough"), F.col("n_name").alias(f"{s}_zone"))
+
+    rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(side("pu"), F.col("c_nationkey") == F.col("pu_nation"))
+    rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(side("do"), F.col("s_nationkey") == F.col("do_nation"))
+    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    discount, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
+    tip = (price * discount).cast("decimal(12,2)")
+    fact = rows.select(
+        (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("raw_id"),
+        F.col("o_orderdate").alias("pickup_ts"),
+        F.col("l_shipdate").alias("dropoff_ts"),
+        F.datediff("l_shipdate", "o_orderdate").cast("decimal(18,2)").alias("minutes"),
+        F.col("l_quantity").cast("decimal(10,2)").alias("distance"),
+        price.alias("fare"),
+        tip.alias("tip"),
+        (price * (1 - discount) * (1 + tax)).cast("decimal(12,2)").alias("total"),
+        (-2 * tip).cast("decimal(12,2)").alias("extra"),
+        (price * tax).cast("decimal(12,2)").alias("mta_tax"),
+        _nothing().alias("tolls"),
+        _nothing().alias("improvement"),
+        F.when(F.col("l_linenumber") != 3, _nothing()).alias("congestion"),
+        (F.col("l_linenumber") - 1).alias("passengers"),
+        F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(3).alias("rate_code"),
+        F.substring("o_orderpriority", 1, 1).cast("int").alias("payment_type"),
+        "pu_borough", "pu_zone", "do_borough", "do_zone",
+    )
+    return _derived(fact)
+
+
+def event_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An event is a trip of one mile and one minute, its value the fare."""
+    value, one = F.col("value").cast("decimal(12,2)"), F.lit(1)
+    kind = F.col("event_type")
+    columns = {
+        "raw_id": F.col("event_id"), "pickup_ts": F.col("ts"), "dropoff_ts": F.col("ts"), "minutes": one.cast("decimal(18,2)"), "distance": one.cast("decimal(10,2)"), "fare": value, "tip": _nothing(), "total": value,
+        "extra": _nothing(), "mta_tax": _nothing(), "tolls": _nothing(), "improvement": _nothing(), "congestion": _nothing(), "passengers": one, "rate_code": one, "payment_type": one,
+        "pu_borough": kind, "pu_zone": kind, "do_borough": kind, "do_zone": kind,
+    }
+    return _derived(spark.read.parquet(f"{sf_dir}/events.parquet").select(*(c.alias(n) for n, c in columns.items())))
+
+
+_facts: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A fact is built and stored once a session and folder; whatever asks for it after that reads the stored one."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _facts:
+        _facts[key] = stored(build())
+    return _facts[key]
 
 
 def flagged_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(trade_fact(spark, sf_dir), TRADE)
+    return _once(spark, sf_dir, "trade", lambda: apply_rules(trade_fact(spark, sf_dir), TRADE))
 
 
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_rules(_fact(spark, sf_dir, EVENTS_SQL, ("events",)), EVENTS)
+    return _once(spark, sf_dir, "events", lambda: apply_rules(event_fact(spark, sf_dir), EVENTS))
 
 
 def landed_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,12 +111,12 @@ def landed_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     money = F.col("value").cast("decimal(12,2)").cast("string")
     text = F.when(F.col("event_id") % 31 == 0, F.lit("1,234.50")).when(F.col("event_id") % 37 == 0, F.lit("abc")).when(F.col("event_id") % 41 == 0, F.lit(None)).otherwise(money)
     none = F.lit(None).cast("string")
-    zone = (F.col("user_id") % 30).cast("string")
+    pickup, dropoff = (F.col("user_id") % 30).cast("string"), (F.col("event_id") % 28).cast("string")
     return e.select(
         F.col("event_id").alias("raw_id"), bad.alias("pickup"), shape.alias("dropoff"), none.alias("ehail_fee"), F.lit("N").alias("store_and_fwd"),
         *(F.lit("1").alias(c) for c in ("vendor", "rate_code", "payment_type", "trip_type", "passengers")),
         *(F.lit("0").alias(c) for c in ("extra", "mta_tax", "tip", "tolls", "improvement", "congestion")),
-        text.alias("distance"), text.alias("fare"), text.alias("total"), zone.alias("pu_location"), zone.alias("do_location"),
+        text.alias("distance"), text.alias("fare"), text.alias("total"), pickup.alias("pu_location"), dropoff.alias("do_location"),
     )
 
 

@@ -25,7 +25,7 @@ def diagnostics(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
     header = spark.read.option("header", True).csv(path).schema
     schema = header.add("_problem", "string")
     read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_problem").schema(schema).csv(path)
-    return read.where(F.col("_problem").isNotNull()).select(F.col("_problem").alias("line")).limit(limit)
+    return read.where(F.col("_problem").isNotNull()).select(F.col("_problem").alias("line")).orderBy("line").limit(limit)
 
 
 def zones(raw: DataFrame) -> DataFrame:

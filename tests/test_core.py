@@ -1,9 +1,16 @@
+import json
+from datetime import date
+from decimal import Decimal
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import flags, tariff, transform
+from siltstone import cli
+from siltstone.functions.expressions import plain
+from siltstone.operators import flags, ranks, tariff, transform
 from siltstone.operators.registry import Registry, Rule
-from siltstone.plans import build, compare
+from siltstone.plans import build, catalogue, compare, payloads
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade
@@ -111,8 +118,94 @@ def test_udf_and_expression_agree(spark):
 
 
 def test_arms_agree(spark):
+    fact = flagged_trade(spark, SF)
+    report = compare.compare_aggregation(fact, 1, tariff.calibrate(fact, catalogue.BOUNDS))
+    assert len(report) == 12 and (report["note"] == "").all() and set(report["question"]) == set(compare.QUESTIONS)
+    pulled = report[report["arm"] == "pandas"]
+    assert (pulled["seconds"] == pulled["fetch"] + pulled["reduce"]).all() and (pulled["rows_moved"] > 500).all()
+    assert (report[report["arm"] == "sql"]["rows_moved"] < 30).all()
+    assert len(compare.compare_aggregation(fact, 1)) == 9
+
+
+def test_an_arm_that_fails_is_reported(spark, monkeypatch):
+    def broken(batches):
+        raise ValueError("no such arm")
+
+    monkeypatch.setattr(compare, "_in_batches", broken)
     report = compare.compare_aggregation(flagged_trade(spark, SF), 1)
-    assert len(report) == 9 and (report["note"] == "").all()
+    assert len(report) == 9 and report[report["arm"] == "arrow"]["seconds"].isna().all()
+
+
+def test_three_ways_to_land_rows(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n" + "".join(f"{k},\n" if k % 3 else f"{k},x\n" for k in range(100)))
+    report = compare.compare_ingest(spark, str(tmp_path / "t.csv"), str(tmp_path / "out"), 60, 25, 2).set_index("approach")
+    assert report["rows"].to_dict() == {"bulk": 60, "batched": 60, "row at a time": 2}
+    assert (report["projected_seconds"] > report["seconds"]).all()
+    batched = spark.read.parquet(str(tmp_path / "out/batch25"))
+    assert batched.count() == 60 and batched.where("b is null").count() == 40
+
+
+@pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], list(range(10_000)), [5.0] * 6000 + [1e9], [k % 7 for k in range(9000)], [-1e300, 0.0, 1e-300, 1e300]])
+def test_ranks_are_exact(spark, values, monkeypatch):
+    monkeypatch.setattr(ranks, "FETCHED", 10)
+    monkeypatch.setattr(ranks, "BINS", 8)
+    df = spark.createDataFrame([(float(v), None if k % 2 else -float(v)) for k, v in enumerate(values)], "a double, b double")
+    wanted, other = sorted({0, len(values) // 3, len(values) - 1}), [0]
+    got = ranks.at_ranks(df, {"a": (F.col("a"), wanted), "b": (F.col("b"), other)})
+    assert got["a"] == [sorted(map(float, values))[k] for k in wanted] and got["b"] == [min(-float(v) for v in values[::2])]
+    assert np.allclose(ranks.percentiles(df, F.col("a"), len(values), [0.5, 0.95]), np.percentile(np.array(values, float), [50, 95]))
+
+
+def test_thresholds_of_nothing(spark):
+    assert [r.value for r in flags.derive_thresholds(flagged_trade(spark, SF).limit(0)).collect()] == [None] * 3
+
+
+def test_ends_without_a_zone_are_kept(spark, tmp_path):
+    _, fact, _ = fact_of(spark, tmp_path, {"pu_location": "77"}, {"do_location": ""}, {"pu_location": "2", "do_location": "1"})
+    got = [(r.pu_borough, r.pu_zone, r.do_borough, r.do_zone) for r in fact.orderBy("raw_id").collect()]
+    assert got == [("Unknown", "Unknown", "Bronx", "Fordham"), ("Queens", "Astoria", "Unknown", "Unknown"), ("Bronx", "Fordham", "Queens", "Astoria")]
+
+
+def test_a_dimension_with_an_id_twice_is_refused(spark, tmp_path):
+    raw, _, _ = fact_of(spark, tmp_path, {})
+    zones = spark.createDataFrame([(1, "a", "b", "")] * 2, "location_id int, borough string, zone string, service_zone string")
+    with pytest.raises(RuntimeError):
+        transform.cast_and_enrich(raw, zones)
+
+
+def test_diagnostics_show_the_lines_of_another_length(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,2\n3\n4,5,6\n7,8\n")
+    assert [r.line for r in landing.diagnostics(spark, str(tmp_path / "t.csv")).collect()] == ["3", "4,5,6"]
+    with pytest.raises(KeyError):
+        landing.land_csv(spark, str(tmp_path / "t.csv"), {"x": "c"})
+
+
+def test_browse_with_raw_keeps_the_order(spark, tmp_path):
+    same = {"fare": "-1", "total": "-2"}
+    raw, fact, _ = fact_of(spark, tmp_path, {**same, "pu_location": "2"}, {**same, "pu_location": "1"}, {**same, "pu_location": "1", "do_location": "1"}, {})
+    rows = flags.browse(flags.apply_rules(fact, TRIPS), TRIPS, "all", 4, raw).collect()
+    assert [(r.pu_zone, r.do_zone) for r in rows] == [("Astoria", "Astoria"), ("Astoria", "Fordham"), ("Fordham", "Fordham"), ("Astoria", "Fordham")]
+
+
+def test_payloads_are_json(spark):
+    fact = flagged_trade(spark, SF)
+    pages = [payloads.overview(fact, TRADE), payloads.quality(fact, TRADE, 2), payloads.sample(fact, TRADE, "excessive_fare", 1000), payloads.rows(fact, TRADE, "all", 3)]
+    pages += [payloads.zones(fact, TRADE), payloads.times(fact, TRADE), payloads.pairs(fact, TRADE), payloads.tipping(fact, TRADE, min_trips=1)]
+    json.dumps(pages, allow_nan=False)
+    assert len(pages[0]["impact"]) == 7 and len(pages[1]["rules"]) == 14 and len(pages[2]["rows"]) <= 100 and len(pages[3]["rows"]) == 3
+    assert pages[3]["matching"] == fact.count() and len(pages[5]["heatmap"]["values"][0]) == 24
+    assert sum(map(sum, pages[5]["heatmap"]["values"])) == sum(d["trips"] for d in pages[5]["day"])
+    with pytest.raises(KeyError):
+        payloads.rows(fact, TRADE, "no_such_rule")
+    odd = {"a": [Decimal("1.50"), float("nan"), float("-inf")], 2: (date(2024, 1, 2), None, "x", True)}
+    assert plain(odd) == {"a": [1.5, None, None], "2": ["2024-01-02", None, "x", True]}
+
+
+@pytest.mark.parametrize("command", [["info"], ["profile"], ["quality", "--derive-thresholds", "--sample", "excessive_fare"], ["analyze"]])
+def test_command_line(spark, capsys, command):
+    cli.main([*command, "--data", SF])
+    out = capsys.readouterr().out
+    assert {"info": "lineitem: ", "profile": "timestamp of another shape", "quality": "derived", "analyze": "off_tariff"}[command[0]] in out
 
 
 def test_flagging_a_stream(spark, tmp_path):
