@@ -1,11 +1,7 @@
-"""What several operators share: scratch tables, checked broadcasts, joins on hot keys, connected components."""
+"""What several operators share: checked broadcasts, joins on hot keys, work on groups, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import logging
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.scratch import discard, kept, release, scratch_dir, stored
+
+__all__ = ["by_group", "by_part", "components", "discard", "kept", "named_apart", "release", "scratch_dir", "small", "spread_join", "stored", "table", "take_turn"]
+
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
 #: Bytes up to which a table with texts or arrays may be broadcast; they are summed first.
@@ -20,7 +20,6 @@ BROADCAST_BYTES = 16 << 20
 #: A key with more than 1 / HOT_KEYS of all rows is hot; so there are fewer hot keys than that.
 HOT_KEYS = 5_000
 
-_log = logging.getLogger(__name__)
 _caches: dict[str, Callable[[], None]] = {}
 
 
@@ -36,10 +35,6 @@ def take_turn(name: str, clear: Callable[[], None]) -> None:
     _caches[name] = clear
 
 
-#: path -> (file system, path) of the JVM, which outlive the session.
-_scratch: dict[str, tuple] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,51 +45,6 @@ def named_apart(df: DataFrame, *names: str) -> None:
         raise ValueError(f"the input has columns of the output's names: {', '.join(sorted(taken))}")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared one (``spark.checkpoint.dir``).
-
-    Where that is unset, a temporary one if all of Spark is this machine's one process, as in tests; on a cluster an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.split("[")[0] == "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = f"{tempfile.gettempdir()}/siltstone"
-    path = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    _scratch[path] = (target.getFileSystem(spark._jsc.hadoopConfiguration()), target)
-    return path
-
-
-def kept(df: DataFrame) -> tuple[DataFrame, str]:
-    """``df`` written as Parquet to the shared folder and read again, and where: cuts the lineage, survives a lost executor."""
-    path = scratch_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def stored(df: DataFrame) -> DataFrame:
-    return kept(df)[0]
-
-
-def discard(*paths: str) -> None:
-    """Deletes scratch tables that no plan reads any more."""
-    for path in paths:
-        fs, target = _scratch.pop(path)
-        try:
-            fs.delete(target, True)
-        except Exception as error:  # noqa: BLE001  what can't be deleted is reported, and costs space alone
-            _log.warning("scratch table %s is left behind: %s", path, error)
-
-
-def release() -> None:
-    """Deletes every scratch table written so far. Call it when the results that read them are no longer needed."""
-    discard(*list(_scratch))
-
-
-atexit.register(release)
-
-
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a stored table of narrow rows for broadcast if it has at most ``rows`` rows; otherwise the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
