@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def land_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -21,11 +22,10 @@ def keep_landed(df: DataFrame, path: str) -> DataFrame:
 
 
 def diagnostics(spark: SparkSession, path: str, limit: int = 100) -> DataFrame:
-    """Lines whose number of fields isn't the header's."""
+    """Lines whose number of fields isn't the header's, with what fields they have; as many as ``limit``, in order."""
     header = spark.read.option("header", True).csv(path).schema
-    schema = header.add("_problem", "string")
-    read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_problem").schema(schema).csv(path)
-    return read.where(F.col("_problem").isNotNull()).select(F.col("_problem").alias("line")).orderBy("line").limit(limit)
+    read = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "line").schema(T.StructType([T.StructField("line", T.StringType()), *header.fields])).csv(path)
+    return read.where(F.col("line").isNotNull()).orderBy("line").limit(limit)
 
 
 def zones(raw: DataFrame) -> DataFrame:
