@@ -15,9 +15,15 @@ from siltstone.plans.trade import EVENTS, TRADE, flagged_events, flagged_trade,
 BOUNDS = tariff.Bounds((0.1, 48), (1, 1800))
 
 
+_tariffs: dict[tuple[str, str], tariff.Tariff] = {}
+
+
 def _calibrated(spark, sf_dir):
-    fact = flagged_trade(spark, sf_dir)
-    return fact, tariff.calibrate(fact, BOUNDS)
+    """The fact and the tariff, which is fitted once a session and folder."""
+    fact, key = flagged_trade(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tariffs:
+        _tariffs[key] = tariff.calibrate(fact, BOUNDS)
+    return fact, _tariffs[key]
 
 
 def _tariff_fit(spark, sf_dir):
