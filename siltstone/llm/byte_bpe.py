@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import table, take_turn
+from siltstone.llm.common import named_apart, table, take_turn
 
 #: Entries of a worker's piece cache; it starts anew when full.
 CACHE_ENTRIES = 800_000
@@ -238,6 +238,7 @@ def _with(batch: pa.RecordBatch, name: str, column: pa.Array) -> pa.RecordBatch:
 
 def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """Adds ``out``: array<int>, the ids of the whole text."""
+    named_apart(df, out)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(text)
 
@@ -256,6 +257,7 @@ def encode(df: DataFrame, ranks: bytes, pattern: str, text: str = "text", out: s
 
 def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """Adds ``out``: binary, the bytes that the ids stand for; null ids give no bytes."""
+    named_apart(df, out)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     at = df.columns.index(ids)
 

@@ -17,7 +17,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import table
+from siltstone.llm.common import named_apart, table
 
 #: A prime well over a hundred times the number of shards; the broadcast table has as many rows.
 SLOTS = 65_537
@@ -52,6 +52,7 @@ def slot_table(spark: SparkSession, shards: tuple[str, ...], slots: int = SLOTS)
 
 def place(df: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
     """Adds slot, shard and shard_name."""
+    named_apart(df, "slot", "shard", "shard_name")
     hashed = F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")))
     placed = df.withColumn("slot", F.pmod(hashed, F.lit(slots)).cast("int"))
     return placed.join(F.broadcast(slot_table(df.sparkSession, shards, slots)), "slot").select(*df.columns, "slot", "shard", "shard_name")

@@ -198,3 +198,11 @@ def test_op2_encodes_each_text_once_and_only_what_is_missing(spark, tmp_path, mo
     more = df.unionByName(spark.createDataFrame([(900, "a new one", 0), (901, "a new one", 0)], df.schema))
     before = seen.value
     assert token_counts.token_counts(more, path, cache).count() == 304 and seen.value == before + 1
+
+
+def test_columns_of_the_outputs_names_are_refused(spark):
+    df = spark.createDataFrame([(1, "a", 2, 3, 4)], "doc_id long, text string, token_ids int, n_tokens int, shard int")
+    path = P.path("byte_bpe_50k.json")
+    for call in (lambda: byte_bpe.encode(df, b"", P.PATTERN), lambda: token_counts.token_counts(df, path), lambda: sharding.place(df)):
+        with pytest.raises(ValueError, match="names"):
+            call()
