@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siltstone.sources.scratch import discard, kept, release, scratch_dir, stored
 
-__all__ = ["by_group", "by_part", "components", "discard", "kept", "named_apart", "release", "scratch_dir", "small", "spread_join", "stored", "table", "take_turn"]
+__all__ = ["by_group", "by_part", "components", "discard", "kept", "lookup", "named_apart", "release", "scratch_dir", "small", "spread_join", "stored", "table", "take_turn"]
 
 #: Rows up to which a narrow table (a few numbers a row) may be broadcast; it is counted first.
 BROADCAST_ROWS = 200_000
@@ -65,6 +65,13 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str =
     return near.unionByName(far)
 
 
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
+    """As an inner ``spread_join``, but all of ``keyed`` is broadcast if it is small."""
+    if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed.drop(n)), key)
+    return spread_join(rows, keyed, key, n)
+
+
 def by_part(dealt: DataFrame, group: list[str], work: Callable[[pa.Table, list[int]], list], schema: str) -> DataFrame:
     """``work`` on rows of whole groups and the places where each begins gives the columns of ``schema``, or an empty list.
 

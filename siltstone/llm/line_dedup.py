@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import named_apart, small, stored, table, take_turn
+from siltstone.llm.common import lookup, named_apart, stored, table, take_turn
 
 MIN_CHARS, MIN_DOCS = 20, 3
 #: Bits of a filter for each line that there is, and how many it has at least and at most (512 MB, the bound of the broadcast).
@@ -154,7 +154,7 @@ def repeated_lines(df: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     segments = _joined(_filters(rows.select("text"), min_chars, bits)).collect()  # MOST_BITS / 8 bytes at most
     found = stored(_suspected(rows, {r["segment"]: bytes(r["twice"]) for r in segments}, min_chars, bits).distinct())
     common = stored(found.groupBy("digest").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs))
-    lost = found.join(small(common.select("digest", "keeper")), "digest").where("id <> keeper")
+    lost = lookup(found, common, "digest", "docs").where("id <> keeper")
     return lost.groupBy("id").agg(F.collect_list("digest").alias("digests"))
 
 

@@ -22,7 +22,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import BROADCAST_BYTES, named_apart, small, spread_join, stored, table
+from siltstone.llm.common import BROADCAST_BYTES, BROADCAST_ROWS, lookup, named_apart, spread_join, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 # Each pattern finds the leftmost longest matches of its contract in one pass: a match can only begin where a
@@ -149,6 +149,12 @@ def _words(pattern: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all("bare", F.lit(pattern), F.lit(0)), F.lower))
 
 
+def _held_terms(bare: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term) for each document that holds one of ``terms``; without the join that sheds the others where that isn't small."""
+    words = bare.select(F.explode(_words(WORD)).alias("term"))
+    return words.join(F.broadcast(terms), "term") if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else words
+
+
 def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
@@ -169,11 +175,11 @@ def revealing_terms(df: DataFrame, id_col: str = "doc_id", text: str = "text") -
     # No entity beside the term is in more documents than ``most``, and the term is in no fewer than here: what
     # this bound puts under the threshold is not counted over the corpus, and then the count is held to it too.
     bound = near.groupBy("term").agg(F.count(F.lit(1)).alias("least"), F.max("most").alias("most"))
-    terms = stored(bound.where((F.col("least") >= MIN_TEXTS) & (F.col("most") >= DISCLOSURE * F.col("least"))).select("term", "most"))
-    counts = bare.select(F.explode(_words(WORD)).alias("term")).join(small(terms.select("term")), "term").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    terms = stored(terms.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("term_docs")).select("term", "term_docs"))
+    terms = stored(bound.where((F.col("least") >= MIN_TEXTS) & (F.col("most") >= DISCLOSURE * F.col("least"))).select("term", "most", "least"))
+    counts = _held_terms(bare, terms.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    terms = stored(terms.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("term_docs")).select("term", "term_docs", "least"))
     total = df.count()
-    pairs = near.join(small(terms), "term").select("term", "term_docs", "source", F.explode("entities").alias("e")).select("term", "term_docs", "source", "e.*")
+    pairs = lookup(near, terms, "term", "least").select("term", "term_docs", "source", F.explode("entities").alias("e")).select("term", "term_docs", "source", "e.*")
     pairs = pairs.where(F.col("entity_docs") >= DISCLOSURE * F.col("term_docs")).groupBy("term", "term_docs", "entity", "entity_docs", "source").agg(F.count(F.lit(1)).alias("n"))
     pairs = pairs.groupBy("term", "term_docs", "entity", "entity_docs").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("both"))
     given = F.col("both") / F.col("term_docs")
@@ -189,10 +195,11 @@ def _small_lists(lists: DataFrame) -> DataFrame:
 
 def _found(df: DataFrame, id_col: str, text: str, base: str, extra: str) -> DataFrame:
     based = _base(df, text, base)
-    strong = stored(revealing_terms(df, id_col, text).select("term").distinct())
+    strong = stored(revealing_terms(df, id_col, text).groupBy("term").agg(F.max("term_docs").alias("n")))
     if strong.isEmpty():
         return based.withColumn(extra, F.array().cast(_SPAN))
-    holders = _bare(df.where(F.col(id_col).isNotNull()), id_col, text).select("id", F.explode(_words(WORD)).alias("term")).join(small(strong), "term")
+    words_of = _bare(df.where(F.col(id_col).isNotNull()), id_col, text).select("id", F.explode(_words(WORD)).alias("term"))
+    holders = lookup(words_of, strong, "term", "n")
     lists = stored(holders.groupBy("id").agg(F.sort_array(F.collect_set("term")).alias("terms")))
     key, terms, bare, words, spans = (f"{OWN}{n}" for n in ("id", "terms", "bare", "words", "sorted"))
     named = _small_lists(lists).select(F.col("id").alias(key), F.col("terms").alias(terms))

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.llm import line_dedup, pii
+from siltstone.llm import common, line_dedup, pii
 
 SF = "/root/testdata/sf0.01"
 WS = " \t\n\x0b\x0c\r"
@@ -245,3 +245,18 @@ def test_op5_terms_against_naive_counts_on_a_whole_table(spark):
     df = spark.createDataFrame(rows, docs.schema)
     got = {(r.term, r.entity) for r in pii.revealing_terms(df).collect()}
     assert got == brute_terms(rows) and {(f"quentin{k}", f"email:desk{k}@example.org") for k in range(5)} <= got
+
+
+def test_joins_beyond_the_broadcast_bound(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(pii, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choices("abcdefghijklm", k=8))
+    rows = [(k, f"{word()} Zorblatt {word()} zb@example.org\nthe same line in all of them\n{word() * 3 if k % 4 else 'a line in a quarter of them'}") for k in range(40)]
+    rows += [(100 + k, f"{word()} {word()}") for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in line_dedup.deduplicate(df).collect()), key=str) == brute_lines(rows)
+    assert {(r.term, r.entity) for r in pii.revealing_terms(df).collect()} == brute_terms(rows) >= {("zorblatt", "email:zb@example.org")}
+    assert all("[TERM]" in r.text and "Zorblatt" not in r.text for r in pii.sanitise(df.where("doc_id < 100").unionByName(df.where("doc_id >= 100"))).where("doc_id < 100").collect())
