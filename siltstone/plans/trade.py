@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.flags import apply_rules
 from siltstone.plans.rules import TRIPS
-from siltstone.sources.scratch import stored
+from siltstone.sources.scratch import kept, there
 
 TRADE = TRIPS.with_limits(min_minutes=10, max_minutes=1800, max_distance=48, max_fare=95000, max_mph=4, min_mph=0.004, total_tolerance=100, max_tip_ratio=0.095, period_start="1993-01-01 00:00:00", period_end="1998-01-01 00:00:00")
 EVENTS = TRIPS.with_limits(period_start="2024-01-02 00:00:00", period_end="2024-01-29 00:00:00", max_fare=90, max_mph=1000)
@@ -84,15 +84,15 @@ def event_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark.read.parquet(f"{sf_dir}/events.parquet").select(*(c.alias(n) for n, c in columns.items())))
 
 
-_facts: dict[tuple[str, str, str], DataFrame] = {}
+_facts: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A fact is built and stored once a session and folder; whatever asks for it after that reads the stored one."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _facts:
-        _facts[key] = stored(build())
-    return _facts[key]
+    if key not in _facts or not there(_facts[key][1]):
+        _facts[key] = kept(build())
+    return _facts[key][0]
 
 
 def flagged_trade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,10 @@ def stored(df: DataFrame) -> DataFrame:
     return kept(df)[0]
 
 
+def there(path: str) -> bool:
+    return path in _scratch
+
+
 def discard(*paths: str) -> None:
     """Deletes scratch tables that no plan reads any more."""
     for path in paths:

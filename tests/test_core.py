@@ -14,7 +14,7 @@ from siltstone.plans import build, catalogue, compare, payloads
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade
-from siltstone.sources import landing
+from siltstone.sources import landing, scratch
 
 SF = "/root/testdata/sf0.001"
 HEADER = "ehail_fee,pickup,dropoff,store_and_fwd,vendor,rate_code,payment_type,trip_type,passengers,extra,mta_tax,tip,tolls,improvement,congestion,distance,fare,total,pu_location,do_location"
@@ -156,6 +156,19 @@ def test_ranks_are_exact(spark, values, monkeypatch):
     assert np.allclose(ranks.percentiles(df, F.col("a"), len(values), [0.5, 0.95]), np.percentile(np.array(values, float), [50, 95]))
 
 
+def test_a_stored_fact_that_is_gone_is_built_anew(spark):
+    n = flagged_trade(spark, SF).count()
+    assert flagged_trade(spark, SF) is flagged_trade(spark, SF)
+    scratch.release()
+    assert flagged_trade(spark, SF).count() == n
+
+
+def test_on_a_cluster_the_shared_folder_must_be_set(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch.scratch_dir(spark)
+
+
 def test_thresholds_of_nothing(spark):
     assert [r.value for r in flags.derive_thresholds(flagged_trade(spark, SF).limit(0)).collect()] == [None] * 3
 
