@@ -1,6 +1,7 @@
 import json
 from datetime import date
 from decimal import Decimal
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -163,10 +164,10 @@ def test_a_stored_fact_that_is_gone_is_built_anew(spark):
     assert flagged_trade(spark, SF).count() == n
 
 
-def test_on_a_cluster_the_shared_folder_must_be_set(spark, monkeypatch):
-    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+def test_on_a_cluster_the_shared_folder_must_be_set():
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        scratch.scratch_dir(spark)
+        scratch.scratch_dir(unset)
 
 
 def test_thresholds_of_nothing(spark):
