@@ -50,7 +50,7 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str, how: str = "inner") -> DataFrame:
     """``rows`` with the columns of ``keyed`` (stored, narrow, one row a key) on ``key``; ``how`` is inner or left.
 
     ``n`` of ``keyed`` is how many rows of ``rows`` have the key, and is left out. Hot keys are joined where
@@ -65,11 +65,11 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, n: str, how: str =
     return near.unionByName(far)
 
 
-def lookup(rows: DataFrame, keyed: DataFrame, key: str, n: str) -> DataFrame:
-    """As an inner ``spread_join``, but all of ``keyed`` is broadcast if it is small."""
+def lookup(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str, how: str = "inner") -> DataFrame:
+    """As ``spread_join``, but all of ``keyed`` is broadcast if it is small."""
     if keyed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(keyed.drop(n)), key)
-    return spread_join(rows, keyed, key, n)
+        return rows.join(F.broadcast(keyed.drop(n)), key, how)
+    return spread_join(rows, keyed, key, n, how)
 
 
 def by_part(dealt: DataFrame, group: list[str], work: Callable[[pa.Table, list[int]], list], schema: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import by_group, by_part, components, discard, kept, spread_join, stored, table
+from siltstone.llm.common import by_group, by_part, components, discard, kept, lookup, spread_join, stored, table
 from siltstone.llm.topk import usable
 
 THRESHOLD = 0.95
@@ -262,8 +262,8 @@ GROUP = [*BUCKET, "i", "j"]
 def _dealt(rows: DataFrame, block: int) -> DataFrame:
     """``rows`` of buckets as groups (size, t, key, i, j), sorted: a large bucket is dealt out as pairs of blocks, ``own`` the row's."""
     sizes = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    blocks = stored(sizes.where("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
-    rows = spread_join(rows, blocks, BUCKET, "n")
+    large = stored(sizes.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    rows = lookup(rows, large, BUCKET, "n", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other", "blocks")
