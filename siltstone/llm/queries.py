@@ -10,6 +10,7 @@ from siltstone.llm.near_dedup import op9_near_dedup
 from siltstone.llm.packing import op3_packing
 from siltstone.llm.pii import op5_pii
 from siltstone.llm.sharding import op7_sharding
+from siltstone.llm.spelling import op11_spelling_variants
 from siltstone.llm.token_counts import op2_token_counts
 from siltstone.llm.topk import op8_topk
 from siltstone.llm.toxicity import op10_toxicity
@@ -27,6 +28,7 @@ def queries() -> dict:
         op8_topk,
         op9_near_dedup,
         op10_toxicity,
+        op11_spelling_variants,
     )
     return {f.__name__: f for f in ops}
 
