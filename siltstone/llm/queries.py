@@ -14,6 +14,7 @@ from siltstone.llm.spelling import op11_spelling_variants
 from siltstone.llm.token_counts import op2_token_counts
 from siltstone.llm.topk import op8_topk
 from siltstone.llm.toxicity import op10_toxicity
+from siltstone.llm.vector_codes import op12_vector_codes
 
 
 def queries() -> dict:
@@ -29,6 +30,7 @@ def queries() -> dict:
         op9_near_dedup,
         op10_toxicity,
         op11_spelling_variants,
+        op12_vector_codes,
     )
     return {f.__name__: f for f in ops}
 
