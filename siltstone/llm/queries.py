@@ -9,6 +9,7 @@ from siltstone.llm.line_dedup import op4_line_dedup
 from siltstone.llm.near_dedup import op9_near_dedup
 from siltstone.llm.packing import op3_packing
 from siltstone.llm.pii import op5_pii
+from siltstone.llm.secret_scan import op13_secret_scan
 from siltstone.llm.sharding import op7_sharding
 from siltstone.llm.spelling import op11_spelling_variants
 from siltstone.llm.token_counts import op2_token_counts
@@ -31,6 +32,7 @@ def queries() -> dict:
         op10_toxicity,
         op11_spelling_variants,
         op12_vector_codes,
+        op13_secret_scan,
     )
     return {f.__name__: f for f in ops}
 
