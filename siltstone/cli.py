@@ -44,7 +44,7 @@ def quality(spark: SparkSession, data: str, derive: bool, rule: str | None) -> l
         registry = TRADE.with_limits(**limits)
         fact = flags.apply_rules(fact, registry)
         shown.append(spark.createDataFrame([(n, float(TRADE.limits()[n]), v) for n, v in limits.items()], "threshold string, was double, derived double"))
-    shown += [flags.summary(fact, registry), flags.issue_distribution(fact), flags.measure_coverage(fact, registry)]
+    shown += [flags.summary(fact, registry), flags.issue_distribution(fact, registry), flags.measure_coverage(fact, registry)]
     return shown + ([flags.sample(fact, registry, rule)] if rule else [])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import percent
+from siltstone.operators.cube import Cube, asked
 from siltstone.operators.ranks import at_ranks
 from siltstone.operators.registry import Registry, strict
 
@@ -24,26 +25,28 @@ def _as_rows(one: DataFrame, names: list[tuple], columns: list[str]) -> DataFram
     return one.select("total", F.explode(items).alias("x")).select("total", "x.*")
 
 
-def summary(flagged: DataFrame, registry: Registry, overrides: dict | None = None) -> DataFrame:
-    sums = [F.coalesce(F.sum(r.flag), F.lit(0)).cast("long").alias(f"v{k}") for k, r in enumerate(registry.rules)]
-    one = flagged.agg(F.count(F.lit(1)).alias("total"), *sums)
+def summary(flagged: DataFrame | Cube, registry: Registry, overrides: dict | None = None) -> DataFrame:
+    rows, s = asked(flagged, "time", registry)
+    one = rows.agg(s.count().alias("total"), *(s.count(F.col(r.flag) == 1).alias(f"v{k}") for k, r in enumerate(registry.rules)))
     rows = [(r.name, r.severity, registry.description(r, overrides), ", ".join(r.invalidates)) for r in registry.rules]
     out = _as_rows(one, rows, ["rule", "severity", "description", "invalidates"]).withColumnRenamed("value", "flagged")
     return out.select("rule", "severity", "flagged", percent(F.col("flagged"), F.col("total"), 3).alias("pct_of_trips"), "description", "invalidates").orderBy(F.desc("flagged"), "rule")
 
 
-def issue_distribution(flagged: DataFrame) -> DataFrame:
-    counts = flagged.groupBy(F.col("issue_count").alias("issues")).agg(F.count(F.lit(1)).alias("trips"))
+def issue_distribution(flagged: DataFrame | Cube, registry: Registry) -> DataFrame:
+    rows, s = asked(flagged, "time", registry)
+    counts = rows.groupBy(F.col("issue_count").alias("issues")).agg(s.count().alias("trips"))
     total = counts.agg(F.sum("trips").alias("total"))
     return counts.join(F.broadcast(total)).select("issues", "trips", percent(F.col("trips"), F.col("total"), 3).alias("pct")).orderBy("issues")
 
 
-def measure_coverage(flagged: DataFrame, registry: Registry) -> DataFrame:
+def measure_coverage(flagged: DataFrame | Cube, registry: Registry) -> DataFrame:
+    flagged, s = asked(flagged, "time", registry)
     names = [*registry.measures, "(all rules)"]
     usable = [registry.condition(m) for m in registry.measures] + [strict()]
-    sums = [(F.count(F.lit(1)) if u is None else F.count_if(u)).alias(f"v{k}") for k, u in enumerate(usable)]
+    sums = [s.count(u).alias(f"v{k}") for k, u in enumerate(usable)]
     rows = [(m, registry.measures.get(m, "rows that no rule has flagged"), len(registry.affecting(m)) if m in registry.measures else len(registry.rules)) for m in names]
-    out = _as_rows(flagged.agg(F.count(F.lit(1)).alias("total"), *sums), rows, ["measure", "meaning", "rules"]).withColumnRenamed("value", "usable_rows")
+    out = _as_rows(flagged.agg(s.count().alias("total"), *sums), rows, ["measure", "meaning", "rules"]).withColumnRenamed("value", "usable_rows")
     return out.select("measure", "meaning", "rules", "usable_rows", percent(F.col("usable_rows"), F.col("total"), 2).alias("pct_of_trips"))
 
 

@@ -89,14 +89,42 @@ def all_of(*conditions: Column | None) -> Column:
 
 @dataclass(frozen=True)
 class Scope:
-    """One switch for the row filter and the guards of a query."""
+    """One switch for the row filter and the guards of a query, and the same figures from rows or from a cube's sums."""
 
     registry: Registry
     exclude_invalid: bool = True
+    cubed: bool = False
 
     def population(self, *measures: str) -> Column | None:
+        """The condition of a row filter, and of a guard (``when``) for the figures below; None for no condition."""
         return self.registry.condition(*measures) if self.exclude_invalid else None
 
-    def guard(self, x: str | Column, *measures: str) -> Column:
-        x = F.col(x) if isinstance(x, str) else x
-        return self.registry.guard(x, *measures) if self.exclude_invalid else x
+    def count(self, when: Column | None = None) -> Column:
+        """Of the rows, or of those for which ``when`` holds."""
+        if self.cubed:
+            return F.coalesce(F.sum("n" if when is None else F.when(when, F.col("n"))), F.lit(0))
+        return F.count(F.lit(1)) if when is None else F.count_if(when)
+
+    def sum(self, column: str, when: Column | None = None) -> Column:
+        x = F.col(f"sum_{column}" if self.cubed else column)
+        return F.sum(x if when is None else F.when(when, x)).cast("double")
+
+    def values(self, column: str, when: Column | None = None) -> Column:
+        """How many there are."""
+        x = F.col(f"count_{column}" if self.cubed else column)
+        x = x if when is None else F.when(when, x)
+        return F.sum(x) if self.cubed else F.count(x)
+
+    def mean(self, column: str, places: int, when: Column | None = None) -> Column:
+        """The exact sum as a double over the count, rounded; null for no values."""
+        return F.round(F.try_divide(self.sum(column, when), self.values(column, when)), places)
+
+    def greatest(self, column: str, when: Column | None = None) -> Column:
+        x = F.col(f"greatest_{column}" if self.cubed else column)
+        return F.max(x if when is None else F.when(when, x))
+
+    def least(self, column: str) -> Column:
+        return F.min(f"least_{column}" if self.cubed else column)
+
+    def positive(self, column: str) -> Column:
+        return F.col(f"{column}_positive") if self.cubed else F.col(column) > 0

@@ -8,22 +8,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators import flags, tariff, transform
+from siltstone.operators.cube import asked
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
-from siltstone.plans.trade import EVENTS, TRADE, flagged_events, flagged_trade, landed_trade, nation_zones
+from siltstone.plans.trade import EVENTS, TRADE, TRADE_TABLES, events_cube, flagged_events, flagged_trade, landed_trade, nation_zones, trade_cube, version_of
 
 BOUNDS = tariff.Bounds((0.1, 48), (1, 1800))
 
 
-_tariffs: dict[tuple[str, str], tariff.Tariff] = {}
+_tariffs: dict[str, tuple[str, tariff.Tariff]] = {}
 
 
 def _calibrated(spark, sf_dir):
-    """The fact and the tariff, which is fitted once a session and folder."""
-    fact, key = flagged_trade(spark, sf_dir), (spark.sparkContext.applicationId, sf_dir)
-    if key not in _tariffs:
-        _tariffs[key] = tariff.calibrate(fact, BOUNDS)
-    return fact, _tariffs[key]
+    """The fact and the tariff, which is fitted once for each version of the files."""
+    fact, now = flagged_trade(spark, sf_dir), version_of(spark, sf_dir, TRADE_TABLES)
+    if sf_dir not in _tariffs or _tariffs[sf_dir][0] != now:
+        _tariffs[sf_dir] = (now, tariff.calibrate(fact, BOUNDS))
+    return fact, _tariffs[sf_dir][1]
 
 
 def _tariff_fit(spark, sf_dir):
@@ -63,12 +64,21 @@ def _derived(spark, sf_dir):
     return _landed(spark, sf_dir)[0].select("raw_id", *columns, "pickup_date", "hour", "dow", "month")
 
 
-def _bench(column: str, value: str | None, total: str) -> Callable:
+#: The benchmark's questions: the grain, key and its name, and the value to add up and its name.
+BENCH = {
+    "bench_revenue_by_borough": ("place", "pu_borough", "borough", "total", "revenue"),
+    "bench_distance_by_hour": ("time", "hour", "hour", "distance", "miles"),
+    "bench_flagged_distribution": ("time", "issue_count", "issues", None, None),
+}
+
+
+def _bench(name: str, fact_of: Callable) -> Callable:
+    grain, key, key_name, value, value_name = BENCH[name]
+
     def run(spark, sf_dir):
-        sums = [F.round(F.sum(value).cast("double"), 2).alias(total)] if value else []
-        names = {"pu_borough": "borough", "issue_count": "issues"}
-        fact = flagged_trade(spark, sf_dir)
-        return fact.groupBy(F.col(column).alias(names.get(column, column))).agg(F.count(F.lit(1)).alias("trips"), *sums)
+        rows, s = asked(fact_of(spark, sf_dir), grain, TRADE)
+        sums = [F.round(s.sum(value), 2).alias(value_name)] if value else []
+        return rows.groupBy(F.col(key).alias(key_name)).agg(s.count().alias("trips"), *sums)
 
     return run
 
@@ -95,35 +105,44 @@ def _trade(f: Callable[..., DataFrame], **options) -> Callable:
     return lambda s, d: f(flagged_trade(s, d), TRADE, **options)
 
 
-def _events(f: Callable[..., DataFrame], **options) -> Callable:
-    return lambda s, d: f(flagged_events(s, d), EVENTS, **options)
+#: Workflows over the trade tables and over the events (hours are the events' alone), and those without a switch for invalid rows.
+TRADE_WORKFLOWS = {
+    "busiest_zones_pickup": (w.busiest_zones, {"direction": "pickup"}),
+    "busiest_zones_dropoff": (w.busiest_zones, {"direction": "dropoff"}),
+    "borough_summary": (w.borough_summary, {}),
+    "activity_by_dow": (w.activity_by_dow, {}),
+    "activity_by_month": (w.activity_by_month, {}),
+    "tipping_by_borough": (w.tipping_by_borough, {}),
+    "fare_per_mile": (w.fare_per_mile, {}),
+    "od_pairs": (w.od_pairs, {}),
+    "od_pairs_cross": (w.od_pairs, {"cross_borough_only": True}),
+}
+EVENT_WORKFLOWS = {"activity_by_hour": (w.activity_by_hour, {}), "hourly_heatmap": (w.hourly_heatmap, {})}
+FIGURES = {"cleaning_impact": w.cleaning_impact, "headline": w.headline, "rule_summary": flags.summary, "issue_distribution": flags.issue_distribution, "measure_coverage": flags.measure_coverage}
 
 
-def queries() -> dict:
+def _over(trade_of: Callable, events_of: Callable, suffix: str) -> dict:
+    """All that can be asked of rows and of cubes alike, of the facts that these give."""
+
+    def asking(f, fact_of, registry, options):
+        return lambda s, d: f(fact_of(s, d), registry, **options)
+
     found = {}
-    for suffix, valid in (("", True), ("_all_rows", False)):
-        o = {"exclude_invalid": valid}
-        found |= {
-            f"busiest_zones_pickup{suffix}": _trade(w.busiest_zones, direction="pickup", **o),
-            f"busiest_zones_dropoff{suffix}": _trade(w.busiest_zones, direction="dropoff", **o),
-            f"borough_summary{suffix}": _trade(w.borough_summary, **o),
-            f"activity_by_hour{suffix}": _events(w.activity_by_hour, **o),
-            f"activity_by_dow{suffix}": _trade(w.activity_by_dow, **o),
-            f"activity_by_month{suffix}": _trade(w.activity_by_month, **o),
-            f"hourly_heatmap{suffix}": _events(w.hourly_heatmap, **o),
-            f"tipping_by_borough{suffix}": _trade(w.tipping_by_borough, **o),
-            f"fare_per_mile{suffix}": _trade(w.fare_per_mile, **o),
-            f"od_pairs{suffix}": _trade(w.od_pairs, **o),
-            f"od_pairs_cross{suffix}": _trade(w.od_pairs, cross_borough_only=True, **o),
-        }
+    for workflows, fact_of, registry in ((TRADE_WORKFLOWS, trade_of, TRADE), (EVENT_WORKFLOWS, events_of, EVENTS)):
+        for name, (f, options) in workflows.items():
+            for rows, valid in (("", True), ("_all_rows", False)):
+                found[f"{name}{rows}{suffix}"] = asking(f, fact_of, registry, options | {"exclude_invalid": valid})
+    return found | {f"{name}{suffix}": asking(f, trade_of, TRADE, {}) for name, f in FIGURES.items()}
+
+
+def queries() -> dict:
+    found = _over(flagged_trade, flagged_events, "") | _over(trade_cube, events_cube, "_by_cube")
+    for name in BENCH:
+        of_rows, of_cube = (flagged_events, events_cube) if name == "bench_distance_by_hour" else (flagged_trade, trade_cube)
+        found |= {name: _bench(name, of_cube), f"{name}_of_rows": _bench(name, of_rows)}
     return found | {
         "reconciliation": lambda s, d: w.reconciliation(flagged_trade(s, d), min_trips=2),
         "reconciliation_by_hundreds": lambda s, d: w.reconciliation(flagged_trade(s, d), places=-2),
-        "cleaning_impact": _trade(w.cleaning_impact),
-        "headline": _trade(w.headline),
-        "rule_summary": _trade(flags.summary),
-        "issue_distribution": lambda s, d: flags.issue_distribution(flagged_trade(s, d)),
-        "measure_coverage": _trade(flags.measure_coverage),
         "rule_sample": lambda s, d: flags.sample(flagged_trade(s, d), TRADE, "excessive_fare", 10).select("raw_id", "fare", "distance"),
         "browse_flagged": _browse("flagged"),
         "browse_clean": _browse("clean"),
@@ -142,7 +161,4 @@ def queries() -> dict:
         "tariff_gap_udf": lambda s, d: _tariff_gap(s, d, True),
         "tariff_gap": lambda s, d: _tariff_gap(s, d, False),
         "flat_fare_mode": _flat_fares,
-        "bench_revenue_by_borough": _bench("pu_borough", "total", "revenue"),
-        "bench_distance_by_hour": _bench("hour", "distance", "miles"),
-        "bench_flagged_distribution": _bench("issue_count", None, ""),
     }

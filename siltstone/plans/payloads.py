@@ -29,7 +29,7 @@ def overview(fact: DataFrame, registry: Registry) -> dict:
     return {
         "headline": records(w.headline(fact, registry))[0],
         "impact": records(w.cleaning_impact(fact, registry)),
-        "distribution": records(flags.issue_distribution(fact)),
+        "distribution": records(flags.issue_distribution(fact, registry)),
         "boroughs": records(w.borough_summary(fact, registry)),
         "coverage": records(flags.measure_coverage(fact, registry)),
     }
@@ -38,7 +38,7 @@ def overview(fact: DataFrame, registry: Registry) -> dict:
 def quality(fact: DataFrame, registry: Registry, min_trips: int = 500) -> dict:
     return {
         "rules": records(flags.summary(fact, registry)),
-        "distribution": records(flags.issue_distribution(fact)),
+        "distribution": records(flags.issue_distribution(fact, registry)),
         "reconciliation": records(w.reconciliation(fact, min_trips)),
         "thresholds": plain(registry.limits()),
         "coverage": records(flags.measure_coverage(fact, registry)),

@@ -11,9 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.operators import cube
 from siltstone.operators.flags import apply_rules
+from siltstone.operators.registry import Registry
 from siltstone.plans.rules import TRIPS
+from siltstone.plans.workflows import CUBE
+from siltstone.sources.layout import clustered
 from siltstone.sources.scratch import kept, there
+from siltstone.sources.versions import version
 
 TRADE = TRIPS.with_limits(min_minutes=10, max_minutes=1800, max_distance=48, max_fare=95000, max_mph=4, min_mph=0.004, total_tolerance=100, max_tip_ratio=0.095, period_start="1993-01-01 00:00:00", period_end="1998-01-01 00:00:00")
 EVENTS = TRIPS.with_limits(period_start="2024-01-02 00:00:00", period_end="2024-01-29 00:00:00", max_fare=90, max_mph=1000)
@@ -84,23 +89,44 @@ def event_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derived(spark.read.parquet(f"{sf_dir}/events.parquet").select(*(c.alias(n) for n, c in columns.items())))
 
 
-_facts: dict[tuple[str, str, str], tuple[DataFrame, str]] = {}
+#: (application, folder, what) -> the version of the files that it was made of, the stored table, and where.
+_facts: dict[tuple[str, str, str], tuple[str, DataFrame, str]] = {}
+TRADE_TABLES, EVENT_TABLES = ("lineitem", "orders", "customer", "supplier", "nation", "region"), ("events",)
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A fact is built and stored once a session and folder; whatever asks for it after that reads the stored one."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _facts or not there(_facts[key][1]):
-        _facts[key] = kept(build())
-    return _facts[key][0]
+def version_of(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str:
+    return version(spark, *(f"{sf_dir}/{t}.parquet" for t in tables))
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame], partition_by: tuple[str, ...]) -> DataFrame:
+    """Built and stored once for each version of the files; whatever asks for it after that reads the stored one.
+
+    What was made of older files is left to the plans that read it, and goes at exit.
+    """
+    key, now = (spark.sparkContext.applicationId, sf_dir, name), version_of(spark, sf_dir, tables)
+    if key not in _facts or _facts[key][0] != now or not there(_facts[key][2]):
+        _facts[key] = (now, *kept(build(), partition_by))
+    return _facts[key][1]
 
 
 def flagged_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "trade", lambda: apply_rules(trade_fact(spark, sf_dir), TRADE))
+    return _once(spark, sf_dir, "trade", TRADE_TABLES, lambda: clustered(apply_rules(trade_fact(spark, sf_dir), TRADE), TRADE), ("month",))
 
 
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "events", lambda: apply_rules(event_fact(spark, sf_dir), EVENTS))
+    return _once(spark, sf_dir, "events", EVENT_TABLES, lambda: clustered(apply_rules(event_fact(spark, sf_dir), EVENTS), EVENTS), ("month",))
+
+
+def _cube(fact: DataFrame, registry: Registry) -> DataFrame:
+    return cube.build(fact, registry, CUBE, cube.numbers(fact.select(F.col(CUBE.distinct).alias("name"))))
+
+
+def trade_cube(spark: SparkSession, sf_dir: str) -> cube.Cube:
+    return cube.Cube(_once(spark, sf_dir, "trade cube", TRADE_TABLES, lambda: _cube(flagged_trade(spark, sf_dir), TRADE), ("grain",)), TRADE)
+
+
+def events_cube(spark: SparkSession, sf_dir: str) -> cube.Cube:
+    return cube.Cube(_once(spark, sf_dir, "events cube", EVENT_TABLES, lambda: _cube(flagged_events(spark, sf_dir), EVENTS), ("grain",)), EVENTS)
 
 
 def landed_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
