@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import named_apart, table
+from siltstone.llm.common import discard, kept, named_apart, table
 
 KINDS = ("assign", "access", "hex")
 # The patterns of the contract.
@@ -44,7 +44,7 @@ _RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{RUN_CHARS}}}")
 _REST = re.compile(r"[A-Za-z0-9+/_.=-]*")
 _WORDS = re.compile("|".join(map(re.escape, SENSITIVE)), re.IGNORECASE | re.ASCII)
 _DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
-#: The dictionary's bytes, an identifier's pattern, and how many identifiers come to the driver to fill it.
+#: The dictionary's bytes, an identifier's pattern, and how many identifiers come to the driver at most: as many classes of the best as that holds.
 DICTIONARY, IDENTIFIER, IDENTIFIERS = 1 << 16, r"(?<![A-Za-z0-9_])[A-Za-z_]{5,32}+(?![A-Za-z0-9_])", 12_000
 LEVEL, SLICE = 3, 256
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("value", T.StringType())])
@@ -97,8 +97,18 @@ def novelty(press: zstandard.ZstdCompressor, text: str, start: int, end: int) ->
 def identifiers(df: DataFrame, text: str = "text") -> bytes:
     """The dictionary: the corpus's identifiers, those that save most at its end, where they are cheapest to refer to."""
     names = F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(IDENTIFIER), F.lit(0))))
-    counts = df.select(names.alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("texts"))
-    best = counts.where("texts > 1").orderBy(F.desc(F.col("texts") * F.length("name")), "name").limit(IDENTIFIERS).collect()
+    counts = df.select(names.alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    saved = F.col("texts") * F.length("name")
+    scored, at = kept(counts.select("name", saved.alias("saved"), F.floor(8 * F.log2(saved)).alias("class")))
+    total, lowest = 0, None
+    for r in sorted(scored.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True):  # a few hundred
+        total += r["n"]
+        if total > IDENTIFIERS:
+            break
+        lowest = r["class"]
+    best = scored.where(F.col("class") >= lowest).collect() if lowest is not None else []
+    discard(at)
+    best.sort(key=lambda r: (-r["saved"], r["name"]))
     out, size = [], 0
     for r in best:
         if size + len(r["name"]) + 1 > DICTIONARY:
