@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import STAMP_SHAPE, number, percent, stamp, whole
@@ -39,21 +39,45 @@ def enrich(fact: DataFrame, zones: DataFrame) -> DataFrame:
     return fact
 
 
-def cast_and_enrich(raw: DataFrame, zones: DataFrame, check: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(fact, rejects). A row is rejected if a time is missing, has the wrong shape or doesn't exist, and kept once otherwise; ``check`` sees to that without reading the landed rows."""
+class Accounting:
+    """What became of the landed rows, counted in the pass that casts them. ``check`` waits for that pass to end."""
+
+    def __init__(self) -> None:
+        self._read, self._kept = Observation(), Observation()
+
+    def reads(self, typed: DataFrame, exists: Column) -> DataFrame:
+        return typed.observe(self._read, F.count(F.lit(1)).alias("landed"), F.count_if(~exists).alias("rejected"))
+
+    def keeps(self, fact: DataFrame) -> DataFrame:
+        return fact.observe(self._kept, F.count(F.lit(1)).alias("kept"))
+
+    def check(self) -> dict[str, int]:
+        """landed, kept and rejected; raises if a row is lost or there twice."""
+        found = self._read.get | self._kept.get
+        if found["landed"] != found["kept"] + found["rejected"]:
+            raise RuntimeError("{landed} rows landed, {kept} kept and {rejected} rejected".format(**found))
+        return found
+
+
+def cast_and_enrich(raw: DataFrame, zones: DataFrame, check: bool = True, accounting: Accounting | None = None) -> tuple[DataFrame, DataFrame]:
+    """(fact, rejects). A row is rejected if a time is missing, has the wrong shape or doesn't exist, and kept once otherwise.
+
+    ``check`` sees to that without reading the landed rows; ``accounting`` counts them as the fact is written.
+    """
     typed = raw.withColumns({"pickup_ts": stamp(F.col("pickup")), "dropoff_ts": stamp(F.col("dropoff"))})
     shaped = F.coalesce(F.col("pickup").like(STAMP_SHAPE) & F.col("dropoff").like(STAMP_SHAPE), F.lit(False))
     exists = F.col("pickup_ts").isNotNull() & F.col("dropoff_ts").isNotNull()
     reason = F.when(F.col("pickup").isNull() | F.col("dropoff").isNull(), "missing timestamp").when(~shaped, "timestamp of another shape").otherwise("no such time")
     rejects = typed.where(~exists).select("raw_id", reason.alias("reason"), "pickup", "dropoff")
     columns = [*(number(F.col(c)).alias(c) for c in MONEY), *(whole(F.col(c)).alias(c) for c in INTEGERS), number(F.col("distance"), "decimal(10,2)").alias("distance")]
-    fact = enrich(derive(typed.where(exists).select("raw_id", "pickup_ts", "dropoff_ts", "store_and_fwd", *columns)), zones)
+    read = accounting.reads(typed, exists) if accounting else typed
+    fact = enrich(derive(read.where(exists).select("raw_id", "pickup_ts", "dropoff_ts", "store_and_fwd", *columns)), zones)
     if check:
         # Each landed row is kept or rejected by one condition, so only an id that the dimension has twice could add rows.
         twice = zones.where("location_id is not null").groupBy("location_id").count().where("count > 1").limit(5).collect()
         if twice:
             raise RuntimeError(f"the dimension has ids several times: {sorted(r['location_id'] for r in twice)}")
-    return fact, rejects
+    return accounting.keeps(fact) if accounting else fact, rejects
 
 
 def first_rejects(rejects: DataFrame, limit: int = 20) -> DataFrame:

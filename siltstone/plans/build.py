@@ -1,12 +1,14 @@
-"""From the files to the flagged fact: land, cast and enrich, flag; each table is stored and the next reads it."""
+"""From the files to the flagged fact: land, cast and enrich, flag; each table is published and the next reads it."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.operators import flags, transform
 from siltstone.plans.rules import TRIPS
-from siltstone.sources import landing
+from siltstone.sources import landing, snapshots
+from siltstone.sources.layout import clustered
 
 # The names in the files' headers.
 TRIP_COLUMNS = {
@@ -35,16 +37,23 @@ ZONE_COLUMNS = {"location_id": "LocationID", "borough": "Borough", "zone": "Zone
 
 
 def build(spark: SparkSession, trips: str, zones: str, out: str, overrides: dict | None = None) -> DataFrame:
-    """Writes raw, zones, trips, rejects and flagged below ``out`` and returns the last. Rows are counted in the stored tables."""
-    raw = landing.keep_landed(landing.land_csv(spark, trips, TRIP_COLUMNS), f"{out}/raw")
-    dim = landing.store(landing.zones(landing.land_csv(spark, zones, ZONE_COLUMNS)), f"{out}/zones")
-    fact, rejects = transform.cast_and_enrich(raw, dim, check=False)
-    kept, gone = landing.store(fact, f"{out}/trips").count(), landing.store(rejects, f"{out}/rejects").count()
-    if (seen := raw.count()) != kept + gone:
-        raise RuntimeError(f"{seen} rows landed, {kept} kept and {gone} rejected")
+    """Publishes raw, zones, trips, rejects and flagged below ``out`` and returns the last.
+
+    Rows are counted as they are written; a version whose counts don't agree is never flagged.
+    """
+    landed = landing.keep_landed(landing.land_csv(spark, trips, TRIP_COLUMNS), f"{out}/raw")
+    dim = snapshots.publish(landing.zones(landing.keep_landed(landing.land_csv(spark, zones, ZONE_COLUMNS), f"{out}/raw_zones").raw), f"{out}/zones")
+    accounting, gone = transform.Accounting(), Observation()
+    fact, rejects = transform.cast_and_enrich(landed.raw, dim, check=False, accounting=accounting)
+    snapshots.publish(fact, f"{out}/trips")
+    snapshots.publish(rejects.observe(gone, F.count(F.lit(1)).alias("rejected")), f"{out}/rejects")
+    counts = accounting.check()
+    if counts["rejected"] != gone.get["rejected"] or counts["landed"] != landed.counts["read"] - landed.counts["malformed"]:
+        raise RuntimeError(f"{landed.counts} lines landed, {counts} cast and {gone.get['rejected']} written as rejected")
     return reflag(spark, out, overrides)
 
 
 def reflag(spark: SparkSession, out: str, overrides: dict | None = None) -> DataFrame:
-    """Flags the stored trips anew, say under other thresholds; the files aren't read again."""
-    return landing.store(flags.apply_rules(spark.read.parquet(f"{out}/trips"), TRIPS, overrides), f"{out}/flagged")
+    """Flags the stored trips anew, say under other thresholds; the files aren't read again, and who reads the flagged trips now isn't disturbed."""
+    flagged = flags.apply_rules(snapshots.current(spark, f"{out}/trips"), TRIPS, overrides)
+    return snapshots.publish(clustered(flagged, TRIPS), f"{out}/flagged", ("month",))

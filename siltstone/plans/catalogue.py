@@ -12,6 +12,7 @@ from siltstone.operators.cube import asked
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import EVENTS, TRADE, TRADE_TABLES, events_cube, flagged_events, flagged_trade, landed_trade, nation_zones, trade_cube, version_of
+from siltstone.sources.scratch import scratch_dir
 
 BOUNDS = tariff.Bounds((0.1, 48), (1, 1800))
 
@@ -46,6 +47,15 @@ def _tariff_gap(spark, sf_dir, by_udf):
     return tariff.gap_by_rate_code(fact, udf(F.col("rate_code"), F.col("distance").cast("double"), F.col("minutes").cast("double")))
 
 
+def _tariff_gap_sql(spark, sf_dir):
+    """By the SQL function, in a session that reads the stored coefficients and fits nothing."""
+    fact, t = _calibrated(spark, sf_dir)
+    path = scratch_dir(spark)
+    tariff.publish(spark, t, path)
+    tariff.deploy_sql(spark, tariff.published(spark, path))
+    return tariff.gap_by_rate_code(fact, F.expr("tariff_fare(rate_code, CAST(distance AS DOUBLE), CAST(minutes AS DOUBLE))"))
+
+
 def _flat_fares(spark, sf_dir):
     return tariff.flat_fares(flagged_trade(spark, sf_dir)).select("rate_code", F.col("fare").cast("double").alias("fare"))
 
@@ -160,5 +170,6 @@ def queries() -> dict:
         "tariff_errors": _tariff_errors,
         "tariff_gap_udf": lambda s, d: _tariff_gap(s, d, True),
         "tariff_gap": lambda s, d: _tariff_gap(s, d, False),
+        "tariff_gap_sql_function": _tariff_gap_sql,
         "flat_fare_mode": _flat_fares,
     }

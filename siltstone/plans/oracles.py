@@ -324,6 +324,7 @@ def oracle_sql() -> dict[str, str]:
         "tariff_errors": f"{FITTED} SELECT ROUND(quantile_cont({ERROR}, 0.5), 2) AS median_error, ROUND(quantile_cont({ERROR}, 0.95), 2) AS p95_error FROM r, c",
         "tariff_gap_udf": GAP,
         "tariff_gap": GAP,
+        "tariff_gap_sql_function": GAP,
         "flat_fare_mode": f"{TRADE} SELECT 2 AS rate_code, CAST({FLAT} AS DOUBLE) AS fare",
         "bench_revenue_by_borough": f"{TRADE} SELECT pu_borough AS borough, COUNT(*) AS trips, ROUND(CAST(SUM(total) AS DOUBLE), 2) AS revenue FROM g GROUP BY 1",
         "bench_distance_by_hour": f"{EVENTS} SELECT hour, COUNT(*) AS trips, ROUND(CAST(SUM(distance) AS DOUBLE), 2) AS miles FROM g GROUP BY 1",

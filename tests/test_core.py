@@ -15,7 +15,7 @@ from siltstone.plans import build, catalogue, compare, payloads
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade
-from siltstone.sources import landing, scratch
+from siltstone.sources import landing, scratch, snapshots
 
 SF = "/root/testdata/sf0.001"
 HEADER = "ehail_fee,pickup,dropoff,store_and_fwd,vendor,rate_code,payment_type,trip_type,passengers,extra,mta_tax,tip,tolls,improvement,congestion,distance,fare,total,pu_location,do_location"
@@ -25,7 +25,7 @@ GOOD = dict(pickup="03/04/2023 12:26:10 AM", dropoff="03/04/2023 12:36:10 AM", s
 def fact_of(spark, tmp_path, *changes):
     lines = [HEADER] + [",".join(f'"{v}"' if "," in (v := {**GOOD, **c}[h]) else v for h in HEADER.split(",")) for c in changes]
     (tmp_path / "t.csv").write_text("\n".join(lines))
-    raw = landing.keep_landed(landing.land_csv(spark, str(tmp_path / "t.csv"), {h: h for h in HEADER.split(",")}), str(tmp_path / "raw"))
+    raw = landing.keep_landed(landing.land_csv(spark, str(tmp_path / "t.csv"), {h: h for h in HEADER.split(",")}), str(tmp_path / "raw")).raw
     zones = spark.createDataFrame([(1, "Queens", "Astoria", ""), (2, "Bronx", "Fordham", ""), (264, "Unknown", "N/A", "")], "location_id int, borough string, zone string, service_zone string")
     return raw, *transform.cast_and_enrich(raw, zones)
 
@@ -49,7 +49,7 @@ def test_build_from_files_and_flag_anew(spark, tmp_path):
     (tmp_path / "zones.csv").write_text("LocationID,Borough,Zone,service_zone\n1,Queens,Astoria,x\n2,Bronx,Fordham,x\nnone,x,x,x")
     flagged = build.build(spark, str(tmp_path / "trips.csv"), str(tmp_path / "zones.csv"), str(tmp_path / "out"))
     assert [(float(r.distance), r.pu_borough, r.q_excessive_distance, r.q_unknown_zone) for r in flagged.orderBy("raw_id").collect()] == [(2, "Queens", 0, 0), (5, "Queens", 0, 0), (1200, "Unknown", 1, 1)]
-    assert spark.read.parquet(str(tmp_path / "out/rejects")).count() == 1 and spark.read.parquet(str(tmp_path / "out/zones")).count() == 2
+    assert snapshots.current(spark, str(tmp_path / "out/rejects")).count() == 1 and snapshots.current(spark, str(tmp_path / "out/zones")).count() == 2
     again = build.reflag(spark, str(tmp_path / "out"), {"max_distance": 4})
     assert again.agg(F.sum("q_excessive_distance")).first()[0] == 2
 
@@ -149,7 +149,6 @@ def test_three_ways_to_land_rows(spark, tmp_path):
 @pytest.mark.parametrize("values", [[3.0], [1.0, 2.0], list(range(10_000)), [5.0] * 6000 + [1e9], [k % 7 for k in range(9000)], [-1e300, 0.0, 1e-300, 1e300]])
 def test_ranks_are_exact(spark, values, monkeypatch):
     monkeypatch.setattr(ranks, "FETCHED", 10)
-    monkeypatch.setattr(ranks, "BINS", 8)
     df = spark.createDataFrame([(float(v), None if k % 2 else -float(v)) for k, v in enumerate(values)], "a double, b double")
     wanted, other = sorted({0, len(values) // 3, len(values) - 1}), [0]
     got = ranks.at_ranks(df, {"a": (F.col("a"), wanted), "b": (F.col("b"), other)})
@@ -189,7 +188,9 @@ def test_a_dimension_with_an_id_twice_is_refused(spark, tmp_path):
 
 def test_diagnostics_show_the_lines_of_another_length(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b\n1,2\n3\n4,5,6\n7,8\n")
-    assert [r.line for r in landing.diagnostics(spark, str(tmp_path / "t.csv")).collect()] == ["3", "4,5,6"]
+    landed = landing.keep_landed(landing.land_csv(spark, str(tmp_path / "t.csv"), {"x": "a", "y": "b"}), str(tmp_path / "raw"))
+    assert [r.line for r in landing.diagnostics(landed).collect()] == ["3", "4,5,6"] and landed.counts == {"read": 4, "malformed": 2}
+    assert sorted((r.x, r.y) for r in landed.raw.collect()) == [("1", "2"), ("7", "8")] and landed.raw.columns == ["x", "y", "raw_id"]
     with pytest.raises(KeyError):
         landing.land_csv(spark, str(tmp_path / "t.csv"), {"x": "c"})
 
