@@ -56,4 +56,6 @@ def build(spark: SparkSession, trips: str, zones: str, out: str, overrides: dict
 def reflag(spark: SparkSession, out: str, overrides: dict | None = None) -> DataFrame:
     """Flags the stored trips anew, say under other thresholds; the files aren't read again, and who reads the flagged trips now isn't disturbed."""
     flagged = flags.apply_rules(snapshots.current(spark, f"{out}/trips"), TRIPS, overrides)
-    return snapshots.publish(clustered(flagged, TRIPS), f"{out}/flagged", ("month",))
+    before = snapshots.versions(spark, f"{out}/flagged")
+    frequent_first = [r["rule"] for r in flags.summary(snapshots.current(spark, f"{out}/flagged"), TRIPS).collect()] if before else None
+    return snapshots.publish(clustered(flagged, TRIPS, frequent_first=frequent_first), f"{out}/flagged", ("month",))

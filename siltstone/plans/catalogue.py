@@ -11,7 +11,8 @@ from siltstone.operators import flags, tariff, transform
 from siltstone.operators.cube import asked
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
-from siltstone.plans.trade import EVENTS, TRADE, TRADE_TABLES, events_cube, flagged_events, flagged_trade, landed_trade, nation_zones, trade_cube, version_of
+from siltstone.plans.trade import EVENTS, FILE, TRADE, TRADE_TABLES, events_cube, flagged_events, flagged_trade, landed_file, landed_trade, nation_zones, trade_cube, typed_file, version_of
+from siltstone.sources.buckets import bucket_count, bucketed
 from siltstone.sources.scratch import scratch_dir
 
 BOUNDS = tariff.Bounds((0.1, 48), (1, 1800))
@@ -98,17 +99,37 @@ def _cells() -> Column:
     return F.array_join(F.transform(keys, lambda k: F.concat_ws("=", k, F.array_join(F.col("tested")[k], "+"))), ";")
 
 
-def _browse(selector: str, with_raw: bool = False) -> Callable:
-    def run(spark, sf_dir):
-        fact = flagged_trade(spark, sf_dir)
-        raw = None
-        if with_raw:  # the fact's own values as text stand for the source's
-            raw = fact.select("raw_id", *(F.col(c).cast("string").alias(n) for n, c in {"pickup": "pickup_date", "dropoff": "payment_type", "passengers": "passengers", "distance": "distance", "fare": "fare", "tip": "tip", "total": "total"}.items()))
-        out = flags.browse(fact, TRADE, selector, 25, raw)
-        columns = [c for c in out.columns if c not in ("tested", "minutes", "mph")]
-        return out.select(*columns, *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("minutes", "mph")), _cells().alias("tested"))
+def _shown(out: DataFrame) -> DataFrame:
+    columns = [c for c in out.columns if c not in ("tested", "minutes", "mph")]
+    return out.select(*columns, *(F.round(F.col(c).cast("double"), 6).alias(c) for c in ("minutes", "mph")), _cells().alias("tested"))
 
-    return run
+
+def _browse(selector: str) -> Callable:
+    return lambda s, d: _shown(flags.browse(flagged_trade(s, d), TRADE, selector, 25))
+
+
+def _browse_file(spark, sf_dir):
+    """The file's rows beside what the file says."""
+    return _shown(flags.browse(typed_file(spark, sf_dir), FILE, "all", 25, landed_file(spark, sf_dir).raw))
+
+
+def _file_accounting(spark, sf_dir):
+    """Lines read, malformed, kept and rejected, as counted in the passes that wrote them."""
+    landed, accounting = landed_file(spark, sf_dir), transform.Accounting()
+    fact, _ = transform.cast_and_enrich(landed.raw, nation_zones(spark, sf_dir), accounting=accounting)
+    fact.write.format("noop").mode("overwrite").save()
+    counts = landed.counts | accounting.check()
+    return spark.createDataFrame([(counts["read"], counts["malformed"], counts["kept"], counts["rejected"])], "read long, malformed long, kept long, rejected long")
+
+
+def _malformed_lines(spark, sf_dir):
+    return landed_file(spark, sf_dir).malformed.select("raw_id", "line")
+
+
+def _cast_losses(spark, sf_dir):
+    raw, fact = landed_file(spark, sf_dir).raw, typed_file(spark, sf_dir)
+    buckets = bucket_count(landed_file(spark, sf_dir).counts["read"])
+    return transform.cast_losses(bucketed(raw, "raw_id", buckets), bucketed(fact, "raw_id", buckets))
 
 
 def _trade(f: Callable[..., DataFrame], **options) -> Callable:
@@ -156,7 +177,10 @@ def queries() -> dict:
         "rule_sample": lambda s, d: flags.sample(flagged_trade(s, d), TRADE, "excessive_fare", 10).select("raw_id", "fare", "distance"),
         "browse_flagged": _browse("flagged"),
         "browse_clean": _browse("clean"),
-        "browse_all_with_raw": _browse("all", with_raw=True),
+        "browse_all_with_raw": _browse_file,
+        "file_accounting": _file_accounting,
+        "malformed_lines": _malformed_lines,
+        "cast_losses": _cast_losses,
         "browse_rule": _browse("excessive_fare"),
         "browse_count": _trade(flags.browse_count),
         "derive_thresholds": lambda s, d: flags.derive_thresholds(flagged_trade(s, d)),

@@ -208,16 +208,53 @@ def _impact() -> str:
     return TRADE + " UNION ALL ".join(lines)
 
 
-def _browse(condition: str, more: str = "") -> str:
+def _browse(condition: str, more: str = "", fact: str = TRADE) -> str:
     names = ", ".join(f"CASE WHEN q_{r} = 1 THEN '{r}' END" for r in RULES)
     cells = ", ".join(f"CASE WHEN q_{r} = 1 THEN concat('{r}=', {RULES[r][3]}) END" for r in sorted(RULES))
-    return f"""{TRADE} SELECT raw_id, pickup_ts, pu_zone, do_zone, CAST(minutes AS DOUBLE) AS minutes, ROUND(mph, 6) AS mph, issue_count AS issues,
+    return f"""{fact} SELECT raw_id, pickup_ts, pu_zone, do_zone, CAST(minutes AS DOUBLE) AS minutes, ROUND(CAST(mph AS DOUBLE), 6) AS mph, issue_count AS issues,
                       coalesce(nullif(concat_ws(', ', {names}), ''), '—') AS flags, concat_ws(';', {cells}) AS tested{more}
                FROM g WHERE {condition} ORDER BY issue_count DESC, pickup_ts, pu_zone, do_zone, raw_id LIMIT 25"""
 
 
-TEXTS = """, CAST(pickup_date AS VARCHAR) AS pickup_text, CAST(payment_type AS VARCHAR) AS dropoff_text, CAST(passengers AS VARCHAR) AS passengers_text,
-          CAST(distance AS VARCHAR) AS distance_text, CAST(fare AS VARCHAR) AS fare_text, CAST(tip AS VARCHAR) AS tip_text, CAST(total AS VARCHAR) AS total_text"""
+# The events as a file's lines: the texts, and what becomes of them.
+FILE = """
+WITH n AS (SELECT n_nationkey AS k, r_name AS borough, n_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey),
+line AS (
+  SELECT event_id AS raw_id, user_id, ts, event_id % 101 = 0 OR event_id % 103 = 0 AS malformed,
+         CASE WHEN event_id % 97 = 0 THEN '2024-01-01' WHEN event_id % 89 = 0 THEN '99/01/2024 01:00:00 AM'
+              WHEN event_id % 83 <> 0 THEN strftime(ts, '%m/%d/%Y %I:%M:%S %p') END AS pickup_text,
+         strftime(ts + to_seconds(event_id % 50 * 60 + 5), '%m/%d/%Y %I:%M:%S %p') AS dropoff_text,
+         CAST(event_id % 4 AS VARCHAR) AS passengers_text, CAST(event_id % 160 AS VARCHAR) AS distance_text,
+         CASE WHEN event_id % 31 = 0 THEN '1,234.50' WHEN event_id % 37 = 0 THEN 'abc'
+              WHEN event_id % 41 <> 0 THEN CAST(CAST(value AS DECIMAL(12,2)) AS VARCHAR) END AS money_text,
+         CAST(event_id % 10 AS VARCHAR) AS tip_text
+  FROM events),
+t AS (
+  SELECT raw_id, pickup_text, dropoff_text, passengers_text, distance_text, money_text AS fare_text, tip_text, money_text AS total_text,
+         date_trunc('second', ts) AS pickup_ts, raw_id % 50 * 60 + 5 AS seconds,
+         CAST((raw_id % 50 * 60 + 5) / 60.0 AS DECIMAL(18,2)) AS minutes, CAST(raw_id % 160 AS DECIMAL(10,2)) AS distance,
+         CAST(CASE WHEN raw_id % 160 >= 0 THEN raw_id % 160 / ((raw_id % 50 * 60 + 5) / 3600.0) END AS DECIMAL(18,2)) AS mph,
+         TRY_CAST(replace(money_text, ',', '') AS DECIMAL(12,2)) AS fare, TRY_CAST(replace(money_text, ',', '') AS DECIMAL(12,2)) AS total,
+         CAST(raw_id % 10 AS DECIMAL(12,2)) AS tip, raw_id % 4 AS passengers,
+         coalesce(p.borough, 'Unknown') AS pu_borough, coalesce(p.zone, 'Unknown') AS pu_zone,
+         coalesce(d.borough, 'Unknown') AS do_borough, coalesce(d.zone, 'Unknown') AS do_zone
+  FROM line LEFT JOIN n p ON user_id % 30 = p.k LEFT JOIN n d ON raw_id % 28 = d.k
+  WHERE NOT malformed AND pickup_text IS NOT NULL AND pickup_text NOT IN ('2024-01-01', '99/01/2024 01:00:00 AM')),
+f AS (
+  SELECT *, CASE WHEN distance <= 0 THEN 1 ELSE 0 END AS q_non_positive_distance, 0 AS q_non_positive_duration,
+         CASE WHEN minutes < 0.5 AND distance > 0 THEN 1 ELSE 0 END AS q_implausibly_short, 0 AS q_excessive_duration,
+         CASE WHEN distance > 150 THEN 1 ELSE 0 END AS q_excessive_distance,
+         CASE WHEN fare < 0 THEN 1 ELSE 0 END AS q_negative_amount, CASE WHEN fare > 90 THEN 1 ELSE 0 END AS q_excessive_fare,
+         CASE WHEN mph > 500 THEN 1 ELSE 0 END AS q_implausible_speed,
+         CASE WHEN distance > 0 AND mph < 0.5 THEN 1 ELSE 0 END AS q_stalled_trip,
+         CASE WHEN abs(total - (fare + tip)) > 1 THEN 1 ELSE 0 END AS q_total_mismatch,
+         CASE WHEN fare > 0 AND tip > 3 * fare THEN 1 ELSE 0 END AS q_disproportionate_tip,
+         CASE WHEN pickup_ts < TIMESTAMP '2024-01-02' OR pickup_ts >= TIMESTAMP '2024-01-29' THEN 1 ELSE 0 END AS q_outside_period,
+         CASE WHEN pu_borough = 'Unknown' OR do_borough = 'Unknown' THEN 1 ELSE 0 END AS q_unknown_zone,
+         CASE WHEN passengers = 0 THEN 1 ELSE 0 END AS q_missing_passengers
+  FROM t),
+""" + _ISSUES
+TEXTS = ", pickup_text, dropoff_text, passengers_text, distance_text, fare_text, tip_text, total_text"
 LANDED = """
 WITH n AS (SELECT n_nationkey AS k, r_name AS borough, n_name AS zone FROM nation JOIN region ON n_regionkey = r_regionkey),
 e AS (
@@ -303,7 +340,18 @@ def oracle_sql() -> dict[str, str]:
         "rule_sample": f"{TRADE} SELECT raw_id, fare, distance FROM g WHERE q_excessive_fare = 1 ORDER BY distance DESC, raw_id LIMIT 10",
         "browse_flagged": _browse("issue_count > 0"),
         "browse_clean": _browse("issue_count = 0"),
-        "browse_all_with_raw": _browse("TRUE", TEXTS),
+        "browse_all_with_raw": _browse("TRUE", TEXTS, FILE),
+        "file_accounting": f"""{FILE} SELECT (SELECT COUNT(*) FROM line) AS "read", (SELECT COUNT(*) FROM line WHERE malformed) AS malformed, (SELECT COUNT(*) FROM g) AS kept,
+                                      (SELECT COUNT(*) FROM line WHERE NOT malformed AND (pickup_text IS NULL OR pickup_text IN ('2024-01-01', '99/01/2024 01:00:00 AM'))) AS rejected""",
+        "malformed_lines": f"""{FILE} SELECT raw_id, concat_ws(',', raw_id, coalesce(pickup_text, ''), dropoff_text, 'N', '1', user_id % 30, raw_id % 28, passengers_text, distance_text,
+                                      CASE WHEN money_text LIKE '%,%' THEN concat('"', money_text, '"') ELSE coalesce(money_text, '') END, '0', '0', tip_text, '0', '', '0',
+                                      CASE WHEN money_text LIKE '%,%' THEN concat('"', money_text, '"') ELSE coalesce(money_text, '') END, 1 + raw_id % 6, '1')
+                                      || CASE WHEN raw_id % 101 <> 0 THEN ',,more' ELSE '' END AS line FROM line WHERE malformed""",
+        "cast_losses": FILE + " UNION ALL ".join(
+            f"SELECT '{c}' AS \"column\", COUNT({text}) AS texts, COUNT({text}) - COUNT({value}) AS lost FROM g"
+            for c, text, value in (("distance", "distance_text", "distance"), ("fare", "fare_text", "fare"), ("total", "total_text", "total"), ("tip", "tip_text", "tip"), ("passengers", "passengers_text", "passengers"),
+                                   *((c, 1, 1) for c in ("extra", "mta_tax", "tolls", "improvement", "rate_code", "payment_type")), ("congestion", "NULL", "NULL"))
+        ),
         "browse_rule": _browse("q_excessive_fare = 1"),
         "browse_count": f"{TRADE} SELECT COUNT(*) FILTER (WHERE issue_count > 0) AS matching FROM g",
         "derive_thresholds": _tails(),

@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from siltstone.operators import cube
 from siltstone.operators.flags import apply_rules
 from siltstone.operators.registry import Registry
+from siltstone.operators.transform import cast_and_enrich
+from siltstone.plans.build import TRIP_COLUMNS
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.workflows import CUBE
+from siltstone.sources import landing
 from siltstone.sources.layout import clustered
-from siltstone.sources.scratch import kept, there
+from siltstone.sources.scratch import kept, scratch_dir, there
 from siltstone.sources.versions import version
 
 TRADE = TRIPS.with_limits(min_minutes=10, max_minutes=1800, max_distance=48, max_fare=95000, max_mph=4, min_mph=0.004, total_tolerance=100, max_tip_ratio=0.095, period_start="1993-01-01 00:00:00", period_end="1998-01-01 00:00:00")
 EVENTS = TRIPS.with_limits(period_start="2024-01-02 00:00:00", period_end="2024-01-29 00:00:00", max_fare=90, max_mph=1000)
+FILE = EVENTS.with_limits(max_mph=500)
 
 def _nothing() -> Column:
     return F.lit(0).cast("decimal(12,2)")
@@ -151,3 +155,54 @@ def nation_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
     named = n.join(r, n["n_regionkey"] == r["r_regionkey"])
     return named.select(F.col("n_nationkey").alias("location_id"), F.col("r_name").alias("borough"), F.col("n_name").alias("zone"), F.lit("x").alias("service_zone"))
+
+
+def _csv_field(text: Column) -> Column:
+    """Nulls as empty fields, commas in quotes."""
+    return F.coalesce(F.when(text.contains(","), F.concat(F.lit('"'), text, F.lit('"'))).otherwise(text), F.lit(""))
+
+
+def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(line): the events as lines of a trip file, some of them broken by rule; the vendor is the event's number.
+
+    A line has a field too few where 101 divides the number, and one too many where 103 does.
+    """
+    e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    shape = "MM/dd/yyyy hh:mm:ss a"
+    dropoff = F.date_format(F.timestamp_add("SECOND", (k % 50) * 60 + 5, F.col("ts")), shape)
+    pickup = F.when(k % 97 == 0, "2024-01-01").when(k % 89 == 0, "99/01/2024 01:00:00 AM").when(k % 83 != 0, F.date_format("ts", shape))
+    money = F.when(k % 31 == 0, "1,234.50").when(k % 37 == 0, "abc").when(k % 41 != 0, F.col("value").cast("decimal(12,2)").cast("string"))
+    values = {
+        "vendor": k.cast("string"), "pickup": pickup, "dropoff": dropoff, "store_and_fwd": F.lit("N"), "rate_code": F.lit("1"),
+        "pu_location": (F.col("user_id") % 30).cast("string"), "do_location": (k % 28).cast("string"), "passengers": (k % 4).cast("string"),
+        "distance": (k % 160).cast("string"), "fare": money, "extra": F.lit("0"), "mta_tax": F.lit("0"), "tip": (k % 10).cast("string"), "tolls": F.lit("0"),
+        "ehail_fee": F.lit(None).cast("string"), "improvement": F.lit("0"), "total": money, "payment_type": (1 + k % 6).cast("string"), "trip_type": F.lit("1"), "congestion": F.lit(None).cast("string"),
+    }
+    fields = [_csv_field(values[c]) for c in TRIP_COLUMNS]
+    line = F.when(k % 101 == 0, F.concat_ws(",", *fields[:-1])).when(k % 103 == 0, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields))
+    return e.select(line.alias("line"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Text files of the lines, each below the trip file's header. Lines have no control characters, so no field is quoted here."""
+    header = ",".join(TRIP_COLUMNS.values())
+    lines.select(F.col("line").alias(header)).write.options(header=True, sep="\u0001", quote="", escapeQuotes=False).csv(path)
+
+
+#: (application, folder) -> the version of the events, and what was landed from their file.
+_landed: dict[tuple[str, str], tuple[str, landing.Landed, str]] = {}
+
+
+def landed_file(spark: SparkSession, sf_dir: str) -> landing.Landed:
+    """The events written as a delimited file and landed from it, once for each version of the events."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), version_of(spark, sf_dir, EVENT_TABLES)
+    if key not in _landed or _landed[key][0] != now or not there(_landed[key][2]):
+        path = scratch_dir(spark)
+        write_lines(event_lines(spark, sf_dir), f"{path}/file")
+        _landed[key] = (now, landing.keep_landed(landing.land_csv(spark, f"{path}/file", TRIP_COLUMNS), f"{path}/raw", id_col="vendor"), path)
+    return _landed[key][1]
+
+
+def typed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed file's rows typed, enriched and flagged."""
+    return apply_rules(cast_and_enrich(landed_file(spark, sf_dir).raw, nation_zones(spark, sf_dir))[0], FILE)
