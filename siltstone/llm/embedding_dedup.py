@@ -5,11 +5,13 @@ Rotations turn each class's vector into a code of balanced bits: the first is le
 (``SAMPLE``) of its length, the others are random. The code is cut into windows that share no bit, each the key
 of a table. Two classes are candidates if their codes agree in a window and lie within the plan's Hamming
 ``radius`` on the whole. Windows are as wide as the number of classes asks for; how many there are, and the
-radius, come from pairs at the threshold that are made from the sample and coded: tables are added until
-such pairs are candidates with probability ``RECALL``. (A window could be probed a bit away too; each
-class would then go out once more for each bit, where a further window costs one row.) Where that takes more
-than ``MANY_TABLES``, windows are narrower and buckets larger instead, down to one bucket that holds all, so
-recall doesn't fall as a table grows or as vectors lie close to a common mean.
+radius, come from pairs at the threshold that are made from the sample and coded: pairs that part in any
+direction, as the data do, along their chief axes, towards the common mean, and around it as far as such pairs can.
+Tables are added until each kind are candidates with probability ``RECALL``. (A window could be probed a bit
+away too; each class would then go out once more for each bit, where a further window costs one row.) Where that
+takes more than ``MANY_TABLES``, windows are narrower and buckets larger instead. Where even so more than ``DENSE`` of
+random pairs were candidates, because vectors lie as close to a common mean as the threshold lets two be apart,
+codes tell nothing: then all are compared, in blocks. So recall doesn't fall as a table grows or as vectors crowd.
 
 Only codes and numbers travel to the tables. What has a candidate partner in a bucket that it has not met in an
 earlier table meets there again with its original components, and is compared in double precision. A bucket
@@ -49,8 +51,12 @@ MANY_TABLES = 128
 WIDEST = 32
 #: Pairs at the threshold, of each kind, that tables are planned with.
 TRIALS = 2_048
-#: Codes, and vectors, of a large bucket that are compared at a time with as many others.
-CODES, BLOCK = 512, 128
+#: Share of random pairs that may be candidates; beyond it all vectors are compared, without tables.
+DENSE = 0.2
+#: Codes, and vectors, of a large bucket that are compared at a time with as many others; and vectors where all are compared.
+CODES, BLOCK, DENSE_BLOCK = 512, 128, 1_024
+#: The data's chief axes that such pairs part along.
+CHIEF = 8
 #: Vectors of one length up to which all of them are compared.
 FEW = 256
 
@@ -83,17 +89,24 @@ def window_width(classes: int) -> int:
 def pairs_at(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Pairs of unit vectors at the threshold, of several kinds, ``TRIALS`` each.
 
-    They part in any direction, or as two of the data do; the second of them freely, or as far from the
-    common mean as the first. Where the sample itself has pairs at the threshold or just over, these too.
+    They part in any direction, as two of the data do, or along one of the data's chief axes; the second of them
+    freely, or as far from the common mean as the first, or nearer to it: straight towards it, and as far around
+    it as a vector at the threshold can be. Where the sample itself has pairs at the threshold or just over, these too.
     """
     random = np.random.default_rng(11)
     axis = x.mean(axis=0)
     axis = axis / max(float(np.linalg.norm(axis)), 1e-12)
+    chief = np.linalg.eigh((x - x.mean(axis=0)).T @ (x - x.mean(axis=0)))[1][:, ::-1][:, :CHIEF]
     kinds = []
     for about_mean in (False, True):
-        for of_data in (False, True):
+        for way in ("any", "data", "chief")[: 2 if about_mean else 3]:
             left = x[random.integers(len(x), size=TRIALS)]
-            apart = x[random.integers(len(x), size=TRIALS)] - x[random.integers(len(x), size=TRIALS)] if of_data else random.standard_normal((TRIALS, x.shape[1]))
+            if way == "data":
+                apart = x[random.integers(len(x), size=TRIALS)] - x[random.integers(len(x), size=TRIALS)]
+            elif way == "chief":
+                apart = chief.T[random.integers(chief.shape[1], size=TRIALS)] * random.choice((-1.0, 1.0), (TRIALS, 1))
+            else:
+                apart = random.standard_normal((TRIALS, x.shape[1]))
             fixed = (left @ axis)[:, None] * axis if about_mean else np.zeros_like(left)
             own = left - fixed
             if about_mean:
@@ -103,6 +116,7 @@ def pairs_at(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarr
             apart = apart * np.sqrt(size) / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
             cosine = np.clip((threshold - 1 + size) / np.maximum(size, 1e-18), -1, 1)
             kinds.append((left, fixed + cosine * own + np.sqrt(1 - cosine * cosine) * apart))
+    kinds += _towards_mean(x[random.integers(len(x), size=TRIALS)], axis, math.acos(max(-1.0, min(1.0, threshold))), random)
     found = [np.empty((3, 0))]
     for k in range(0, len(x), 256):
         cosines = np.triu(x[k : k + 256] @ x.T, k + 1)
@@ -115,6 +129,27 @@ def pairs_at(x: np.ndarray, threshold: float) -> list[tuple[np.ndarray, np.ndarr
     return kinds
 
 
+def _towards_mean(left: np.ndarray, axis: np.ndarray, angle: float, random: np.random.Generator) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Partners at the angle, nearer to the mean's direction: straight towards it, and where they are farthest around it."""
+    if not axis.any():
+        return []
+    along = left @ axis
+    out = left - along[:, None] * axis
+    off = np.linalg.norm(out, axis=1)
+    ahead = out / np.maximum(off, 1e-12)[:, None]
+    aside = random.standard_normal(left.shape)
+    aside -= (aside @ axis)[:, None] * axis
+    aside -= (aside * ahead).sum(axis=1, keepdims=True) * ahead
+    aside /= np.maximum(np.linalg.norm(aside, axis=1, keepdims=True), 1e-12)
+    far = np.arctan2(off, along)  # from the mean's direction
+    near = far - angle
+    straight = np.cos(near)[:, None] * axis + np.sin(near)[:, None] * ahead
+    around = np.where(far > angle, np.sin(angle) / np.maximum(np.sin(far), 1e-12), 1.0).clip(0, 1)
+    height = np.where(far > angle, np.cos(far) / max(np.cos(angle), 1e-12), 1.0).clip(-1, 1)
+    turned = np.sqrt(1 - around**2)[:, None] * ahead + around[:, None] * aside
+    return [(left, straight), (left, height[:, None] * axis + np.sqrt(1 - height**2)[:, None] * turned)]
+
+
 @dataclass(frozen=True)
 class Plan:
     """``tables`` windows of ``width`` bits each: bit k is whether x @ projection[:, k] exceeds cut[k]. ``radius``: of the whole code."""
@@ -124,6 +159,7 @@ class Plan:
     radius: int
     projection: np.ndarray
     cut: np.ndarray
+    dense: bool = False
 
     def bits(self, x: np.ndarray) -> np.ndarray:
         return x @ self.projection > self.cut
@@ -147,11 +183,13 @@ def plan_tables(x: np.ndarray, classes: int, threshold: float, recall: float = R
     The radius leaves out a quarter of the pairs that may be missed.
     """
     kinds = pairs_at(x, threshold)
+    random = np.random.default_rng(13)
+    kinds.append(tuple(x[random.integers(len(x), size=TRIALS)] for _ in range(2)))  # the last: random pairs
     left, right = (np.concatenate(side) for side in zip(*kinds))
     ends = np.cumsum([len(k[0]) for k in kinds])[:-1]
 
     def worst(values: np.ndarray, of: Callable[[np.ndarray], float], pick: Callable) -> float:
-        return pick(of(part) for part in np.split(values, ends))
+        return pick(of(part) for part in np.split(values, ends)[:-1])
 
     turned, models = rotations(x), []
     differ = np.empty((len(left), 0), bool)
@@ -172,13 +210,15 @@ def plan_tables(x: np.ndarray, classes: int, threshold: float, recall: float = R
             radius = int(worst(distance, lambda d: np.quantile(d, 1 - (1 - recall) / 4, method="higher"), max))
             if worst(met & (distance <= radius), np.mean, min) >= recall:
                 n = (k + 1) * width
+                if (met & (distance <= radius))[ends[-1] :].mean() > DENSE:
+                    return everything(x.shape[1])
                 return Plan(width, k + 1, radius, np.concatenate([m[0] for m in models], axis=1)[:, :n], np.concatenate([m[1] for m in models])[:n])
     return everything(x.shape[1])
 
 
 def everything(length: int) -> Plan:
     """One bucket for all vectors, all of them candidates."""
-    return Plan(1, 1, 1, np.zeros((length, 1)), np.zeros(1))
+    return Plan(1, 1, 1, np.zeros((length, 1)), np.zeros(1), True)
 
 
 def _vectors(df: DataFrame, id_col: str, vec: str) -> DataFrame:
@@ -259,10 +299,10 @@ BUCKET = ["size", "t", "key"]
 GROUP = [*BUCKET, "i", "j"]
 
 
-def _dealt(rows: DataFrame, block: int) -> DataFrame:
+def _dealt(rows: DataFrame, block: F.Column) -> DataFrame:
     """``rows`` of buckets as groups (size, t, key, i, j), sorted: a large bucket is dealt out as pairs of blocks, ``own`` the row's."""
-    sizes = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"))
-    large = stored(sizes.where(F.col("n") > block).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+    sizes = rows.groupBy(*BUCKET).agg(F.count(F.lit(1)).alias("n"), F.max(block).alias("block"))
+    large = stored(sizes.where(F.col("n") > F.col("block")).select(*BUCKET, "n", F.ceil(F.col("n") / F.col("block")).cast("int").alias("blocks")))
     rows = lookup(rows, large, BUCKET, "n", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -283,27 +323,30 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     classes = members.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("x").alias("x"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
     counts = classes.groupBy(F.length("x").alias("size")).agg(F.count(F.lit(1)).alias("n"))
-    plans = {}
+    plans: dict[int, Plan] = {}
     for size, count in counts.where(F.col("n") > FEW).collect():  # lengths that vectors have, not vectors
         sample = classes.where(F.length("x") == size).orderBy(F.xxhash64("digest")).limit(SAMPLE).select("x").collect()
         plans[size] = plan_tables(_unit([r["x"] for r in sample], kind), count, threshold, recall)
 
+    plans = {size: plan for size, plan in plans.items() if not plan.dense}
+
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             blobs = batch.column("x").to_pylist()
             sizes = np.array([len(b) for b in blobs], np.int64)
-            keys: list = [None] * len(blobs)
+            keys: list = [[0]] * len(blobs)
             codes: list = [None] * len(blobs)
             for size in np.unique(sizes):
+                if (plan := plans.get(int(size))) is None:  # all are compared, so there is one key and no code
+                    continue
                 rows = np.flatnonzero(sizes == size)
-                plan = plans.get(int(size)) or everything(int(size) // width)
                 x = _unit([blobs[r] for r in rows], kind)
                 for row, key, code in zip(rows, plan.keys(x), plan.codes(x)):
                     keys[row], codes[row] = key, code.tobytes()
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["cid", "size", "keys", "code"])
 
     codes, codes_at = kept(classes.select("cid", "x").mapInArrow(coded, "cid long, size long, keys array<long>, code binary"))
-    entries = codes.select("cid", "size", "code", F.posexplode("keys").alias("t", "key"), "keys")
+    entries = codes.where("code is not null").select("cid", "size", "code", F.posexplode("keys").alias("t", "key"), "keys")
     entries = entries.withColumn("before", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
 
     def earlier(part: pa.Table) -> np.ndarray:
@@ -321,12 +364,14 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         new = (np.flatnonzero((np.diff(size) != 0) | (np.diff(t) != 0)) + 1).tolist()
         found = []
         for a, b in zip([0, *new], [*new, part.num_rows]):  # codes of one length and keys of one table
-            plan, rows = plans.get(int(size[a])), part.slice(a, b - a)
-            found.append(_candidates(group[a:b], left[a:b], _array(rows, "code", "<u8"), earlier(rows), plan.radius if plan else 1))
+            rows = part.slice(a, b - a)
+            found.append(_candidates(group[a:b], left[a:b], _array(rows, "code", "<u8"), earlier(rows), plans[int(size[a])].radius))
         some = np.concatenate(found)
         return [*(part.column(n).to_numpy()[some] for n in BUCKET), cid[some]]
 
-    close, close_at = kept(by_part(_dealt(entries, CODES), GROUP, near, "size long, t long, key long, cid long").distinct())
+    close = by_part(_dealt(entries, F.lit(CODES)), GROUP, near, "size long, t long, key long, cid long").distinct()
+    every = codes.where("code is null").select("size", F.lit(0).cast("long").alias("t"), F.lit(0).cast("long").alias("key"), "cid")
+    close, close_at = kept(close.unionByName(every))
 
     def compared(part: pa.Table) -> list:
         if part.num_rows < 2:
@@ -334,10 +379,10 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         cid, copies = (part.column(n).to_numpy() for n in ("cid", "copies"))
         return list(_bucket(left_of(part), cid, copies, earlier(part), _unit(part.column("x").to_pylist(), kind), threshold))
 
-    full = close.join(codes.select("cid", "keys"), "cid").join(classes.select("cid", "copies", "x"), "cid")
+    full = close.join(codes.select("cid", "keys", F.col("code").isNull().alias("dense")), "cid").join(classes.select("cid", "copies", "x"), "cid")
     full = full.withColumn("before", F.slice("keys", F.lit(1), F.col("t").cast("int"))).drop("keys")
     full, full_at = kept(full)
-    found = stored(by_group(_dealt(full, BLOCK), GROUP, compared, "cid long, links long, reached long"))
+    found = stored(by_group(_dealt(full, F.when(F.col("dense"), DENSE_BLOCK).otherwise(BLOCK)), GROUP, compared, "cid long, links long, reached long"))
     discard(codes_at, close_at, full_at)
     sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("cid").alias("a"), F.col("reached").alias("b"))).withColumnRenamed("id", "cid")

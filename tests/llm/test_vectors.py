@@ -84,6 +84,31 @@ def crowd(seed, dims, offset, cosine=0.955, rows=2000):
     return np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * u])
 
 
+@pytest.mark.parametrize("offset,most", [(0, 0.01), (1, 0.01), (1.5, 0.05), (2, 0.05)])
+def test_op6_plan_leaves_out_most_random_pairs(offset, most):
+    x = np.random.default_rng(3).standard_normal((8192, 64)) + offset
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    plan = embedding_dedup.plan_tables(x[:4096], 50_000, 0.95)
+    keys, codes = plan.keys(x[4096:]), plan.codes(x[4096:])
+    met = (keys[::2] == keys[1::2]).any(axis=1) & (np.bitwise_count(codes[::2] ^ codes[1::2]).sum(axis=1, dtype=int) <= plan.radius)
+    assert met.mean() <= most and not plan.dense
+
+
+def test_op6_plan_of_vectors_within_the_threshold_of_their_mean():
+    x = np.random.default_rng(3).standard_normal((4096, 64)) + 3
+    assert embedding_dedup.plan_tables(x / np.linalg.norm(x, axis=1, keepdims=True), 50_000, 0.95).dense
+
+
+@pytest.mark.parametrize("offset", [1.5, 2, 3])
+def test_op6_hubs_near_the_common_mean(spark, offset, monkeypatch):
+    """Three vectors near the mean come last, link with many and aren't in the sample."""
+    monkeypatch.setattr(embedding_dedup, "SAMPLE", 1500)
+    rnd = np.random.default_rng(17)
+    x = np.concatenate([crowd(18, 64, offset), offset + 0.35 * rnd.standard_normal((3, 64))])
+    recall, links = recall_on(spark, x)
+    assert recall >= 0.99 and links >= (8000 if offset == 3 else 4000)
+
+
 @pytest.mark.parametrize("dims,offset", [(64, 0), (64, 3), (64, 1), (12, 0), (128, 0.5)])
 def test_op6_recall_against_brute_force(spark, dims, offset):
     recall, links = recall_on(spark, crowd(dims, dims, offset))
