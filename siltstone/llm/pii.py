@@ -9,7 +9,9 @@ hold the entity, log2(p(entity | term) / p(entity)) then being large for all but
 (``MIN_BITS``). Such terms become spans of their own wherever they stand outside base spans, and sanitising
 generalises them to a placeholder.
 
-All of it is DataFrame functions, and linear in a text's length but for a logarithm. A document is a row; repeated
+All of it is DataFrame functions, and linear in a text's length but for a logarithm. Terms are held against
+entities by classes of those that are in the same documents, so pairs follow the different sets of documents, not
+the terms times the entities of a text. A document is a row; repeated
 rows each get their own spans. Null texts have no spans and stay null. Rows with a null id count as documents and
 get base spans only. Other columns pass through, whatever their names; ``find`` raises where the input has its
 output columns already. Positions count code points; the end is exclusive.
@@ -159,32 +161,51 @@ def _entity(span: Column) -> Column:
     return F.concat(span["kind"], F.lit(":"), F.lower(span["value"]))
 
 
-def revealing_terms(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(term, entity, texts, both, term_docs, entity_docs) of what exceeds the threshold."""
+def _set_of(row: str) -> Column:
+    """Tells sets of different rows apart: 128 bits."""
+    return F.concat_ws(":", F.bit_xor(F.xxhash64(row)), F.bit_xor(F.xxhash64(row, F.lit(1))))
+
+
+def _revealing(df: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of classes: (terms, entities, entities of terms) that exceed the threshold.
+
+    Entities of the same documents are one class, and so are terms of the same documents, so a text of many terms
+    and many entities is no product of them.
+    """
     bare = _bare(df, id_col, text)
     source = F.xxhash64(F.lower(F.trim(F.regexp_replace("text", r"\s+", " "))))
     # The documents with entities are few; their words are kept, so that the texts are not searched again for them.
     marked = stored(bare.where(F.size("base") > 0).select(F.monotonically_increasing_id().alias("row"), source.alias("source"), F.array_distinct(F.transform("base", _entity)).alias("entities"), _words(TERM).alias("terms")))
     each = marked.select("row", "source", F.explode("entities").alias("entity"))
-    entities = each.groupBy("entity", "source").agg(F.count(F.lit(1)).alias("n")).groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entity_docs"))
-    entities = stored(entities.where(F.col("texts") >= MIN_TEXTS).select("entity", "entity_docs", F.col("entity_docs").alias("n")))
+    of_source = each.groupBy("entity", "source").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64("row", F.lit(1))).alias("y"))
+    entities = of_source.groupBy("entity").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("entity_docs"), F.concat_ws(":", F.bit_xor("x"), F.bit_xor("y")).alias("entity_class"))
+    entities = stored(entities.where(F.col("texts") >= MIN_TEXTS).select("entity", "entity_class", "entity_docs", F.col("entity_docs").alias("n")))
     held = spread_join(each.select("row", "entity"), entities, "entity", "n")
-    of_row = held.groupBy("row").agg(F.max("entity_docs").alias("most"), F.collect_list(F.struct("entity", "entity_docs")).alias("entities"))
+    of_row = held.groupBy("row").agg(F.max("entity_docs").alias("most"), F.collect_set(F.struct("entity_class", "entity_docs")).alias("classes"))
     rows = stored(marked.select("row", "source", "terms").join(of_row, "row"))
-    near = rows.select("source", "most", "entities", F.explode("terms").alias("term"))
+    near = rows.select("row", "most", F.explode("terms").alias("term"))
     # No entity beside the term is in more documents than ``most``, and the term is in no fewer than here: what
     # this bound puts under the threshold is not counted over the corpus, and then the count is held to it too.
-    bound = near.groupBy("term").agg(F.count(F.lit(1)).alias("least"), F.max("most").alias("most"))
-    terms = stored(bound.where((F.col("least") >= MIN_TEXTS) & (F.col("most") >= DISCLOSURE * F.col("least"))).select("term", "most", "least"))
+    bound = near.groupBy("term").agg(F.count(F.lit(1)).alias("least"), F.max("most").alias("most"), _set_of("row").alias("rows"))
+    terms = stored(bound.where((F.col("least") >= MIN_TEXTS) & (F.col("most") >= DISCLOSURE * F.col("least"))))
     counts = _held_terms(bare, terms.select("term")).groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
-    terms = stored(terms.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("term_docs")).select("term", "term_docs", "least"))
+    terms = terms.join(counts, "term").where(F.col("most") >= DISCLOSURE * F.col("term_docs"))
+    terms = stored(terms.select("term", F.concat_ws(":", "rows", "term_docs").alias("term_class"), "term_docs", "least"))
     total = df.count()
-    pairs = lookup(near, terms, "term", "least").select("term", "term_docs", "source", F.explode("entities").alias("e")).select("term", "term_docs", "source", "e.*")
-    pairs = pairs.where(F.col("entity_docs") >= DISCLOSURE * F.col("term_docs")).groupBy("term", "term_docs", "entity", "entity_docs", "source").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("term", "term_docs", "entity", "entity_docs").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("both"))
+    of_class = lookup(near.select("row", "term"), terms, "term", "least").select("row", "term_class", "term_docs").distinct()
+    pairs = of_class.join(rows.select("row", "source", "classes"), "row").select("term_class", "term_docs", "source", F.inline("classes"))
+    pairs = pairs.where(F.col("entity_docs") >= DISCLOSURE * F.col("term_docs")).groupBy("term_class", "term_docs", "entity_class", "entity_docs", "source").agg(F.count(F.lit(1)).alias("n"))
+    pairs = pairs.groupBy("term_class", "term_docs", "entity_class", "entity_docs").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("both"))
     given = F.col("both") / F.col("term_docs")
     strong = pairs.where((F.col("texts") >= MIN_TEXTS) & (given >= DISCLOSURE) & (F.log2(given * total / F.col("entity_docs")) >= MIN_BITS))
-    return stored(strong.select("term", "entity", "texts", "both", "term_docs", "entity_docs"))
+    return terms, entities, stored(strong)
+
+
+def revealing_terms(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, entity, texts, both, term_docs, entity_docs) of what exceeds the threshold: every pair, so it may be large where ``find`` isn't."""
+    terms, entities, strong = _revealing(df, id_col, text)
+    pairs = strong.join(terms.select("term", "term_class"), "term_class").join(entities.select("entity", "entity_class"), "entity_class")
+    return pairs.select("term", "entity", "texts", "both", "term_docs", "entity_docs")
 
 
 def _small_lists(lists: DataFrame) -> DataFrame:
@@ -195,7 +216,8 @@ def _small_lists(lists: DataFrame) -> DataFrame:
 
 def _found(df: DataFrame, id_col: str, text: str, base: str, extra: str) -> DataFrame:
     based = _base(df, text, base)
-    strong = stored(revealing_terms(df, id_col, text).groupBy("term").agg(F.max("term_docs").alias("n")))
+    terms, _, found = _revealing(df, id_col, text)
+    strong = stored(terms.join(found.select("term_class").distinct(), "term_class").select("term", F.col("term_docs").alias("n")))
     if strong.isEmpty():
         return based.withColumn(extra, F.array().cast(_SPAN))
     words_of = _bare(df.where(F.col(id_col).isNotNull()), id_col, text).select("id", F.explode(_words(WORD)).alias("term"))

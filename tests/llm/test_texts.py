@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,6 +195,17 @@ def test_op5_is_linear_in_a_texts_spans(spark):
     assert clean[1] == " ".join(["[EMAIL]"] * 200_000) and clean[2] == "ü😀 [EMAIL] " * 3 and clean[3] is None
 
 
+def test_op5_many_terms_beside_many_entities(spark):
+    n = 15_000
+    many = " ".join(f"Name{k}x user{k}@mail.example.org" for k in range(n))
+    rows = [(k, f"{many} Closing{k}") for k in range(3)] + [(10 + k, f"other words of text {k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: (r.n, r.terms) for r in pii.find(df).select("doc_id", F.size("base").alias("n"), F.size("extra").alias("terms")).collect()}
+    assert time.perf_counter() - began < 60
+    assert all(got[k] == (n, n) for k in range(3)) and all(got[10 + k] == (0, 0) for k in range(200))
+
+
 def test_op5_columns_of_clashing_names(spark):
     names = ["base", "extra", "spans", "terms", "bare", "between", "id", "entity"]
     df = spark.createDataFrame([(k, f"mail a{k}@b.org or 1.2.3.4", *names) for k in range(4)], ["doc_id", "text", *names])
