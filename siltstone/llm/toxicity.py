@@ -8,7 +8,8 @@ gradients count ``TOXIC_WEIGHT`` times, as toxic texts are few.
 Training takes a bounded sample (``SAMPLE_DOCS``) of the labelled rows, chosen by a hash of their ids, and
 runs as one task over their features alone. Scores depend on the text only. Null and empty texts have no
 features and get the bias's score. Ids that have several labels count as toxic if one says so; labels that
-are null count for nothing. Without labels of both kinds every score is the rate of the one kind (0 if none).
+are null count for nothing. Without labels of both kinds every score is the rate of the one kind (0 if none). Other
+columns pass through ``score`` whatever their names, but for that of the score, which raises; ``fit`` reads none of them.
 """
 
 from __future__ import annotations
@@ -118,9 +119,12 @@ def _feature_sets(df: DataFrame) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_DOCS, id_col: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """The model for ``docs`` from ``labels`` (doc_id, toxic 0/1). Held-out ids must be taken out of ``labels`` before."""
-    one = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max("toxic").cast("int").alias("__toxic"))
-    chosen = stored(one.orderBy(F.xxhash64("__id"), "__id").limit(sample))
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col("__id").cast("string").alias("id"), F.col("__toxic").alias("toxic"), F.col(text).alias("text"))
+    mine, marked, body = "__siltstone_id", "__siltstone_toxic", "__siltstone_text"
+    one = labels.select(F.col(id_col).alias(mine), F.col("toxic").alias(marked)).where(F.col(marked).isNotNull() & F.col(mine).isNotNull())
+    one = one.groupBy(mine).agg(F.max(marked).cast("int").alias(marked))
+    chosen = stored(one.orderBy(F.xxhash64(mine), mine).limit(sample))
+    texts = docs.select(F.col(id_col).alias(mine), F.col(text).alias(body))  # whatever else there is, its names are left behind
+    rows = texts.join(F.broadcast(chosen), mine).select(F.col(mine).cast("string").alias("id"), F.col(marked).alias("toxic"), F.col(body).alias("text"))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["id", "features"], kind="stable").drop_duplicates("id")

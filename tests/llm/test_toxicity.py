@@ -105,3 +105,11 @@ def test_score_column_must_be_new(spark):
     df = spark.createDataFrame([(1, "a", 2.0)], "doc_id long, text string, score double")
     with pytest.raises(ValueError):
         toxicity.score(df, (np.empty(0, np.uint32), np.empty(0), 0.0))
+
+
+def test_columns_of_any_names(spark):
+    rows = [(k, "a vile thing to say" if k % 2 else "a kind thing to say", 5, 6, 7, 8) for k in range(60)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "__id", "__toxic", "id", "toxic"])
+    labels = spark.createDataFrame([(k, k % 2, "x", "y") for k in range(60)], ["doc_id", "toxic", "__id", "text"])
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert all((r.score > 0.5) == (r.doc_id % 2 == 1) and r["__id"] == 5 and r.toxic == 8 for r in got)
