@@ -12,25 +12,28 @@ driver but the pivots.
 Vectors that are null or hold null or non-finite components take no part; nor do candidates of another
 length than the query. Ties go to the smaller id. Rows with a query's own id are no candidates for it;
 a query id that comes repeatedly is asked once, with its least vector; repeated candidate rows all count.
-Rows with a null id take no part. Other columns are left behind. Components so large that a score might not
+Rows with a null id take no part. Ids are of any type that sorts; those that aren't whole numbers are numbered in
+their order first. Other columns are left behind. Components so large that a score might not
 fit 64 bits raise an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.llm.common import by_group, stored, table
 
 PIVOTS = 24
 #: Vectors that pivots are picked from; the bound of what is collected for that.
 PIVOT_SAMPLE = 2_000
-QUERY_BLOCK, ROW_BLOCK = 2_048, 16_384
+QUERY_BLOCK, ROW_BLOCK = 8_192, 16_384
 #: Candidates evaluated at a time.
 STEP = 128
 
@@ -42,7 +45,7 @@ def usable(column: str) -> F.Column:
 
 def integers(df: DataFrame, id_col: str, vec: str, scale: int) -> DataFrame:
     """(id, x): the usable vectors with each component turned into floor(scale * component)."""
-    return df.where(usable(vec) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("x"))
+    return df.where(usable(vec) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(vec, lambda x: F.floor(scale * x.cast("double")).cast("long")).alias("x"))
 
 
 def pick_pivots(vectors: list[np.ndarray], count: int = PIVOTS) -> list[np.ndarray]:
@@ -152,13 +155,30 @@ def _block(part: pa.Table, k: int) -> list:
     return list(zip(*out))
 
 
+def _numbers(*tables: DataFrame) -> DataFrame:
+    """(id, number): the ids of all tables, with numbers in their order: ids alone are sorted, by ranges."""
+    ids = reduce(DataFrame.unionByName, (t.select("id") for t in tables)).distinct()
+    return stored(ids.orderBy("id").select("id", F.monotonically_increasing_id().alias("number")))
+
+
 def top_k(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec: str = "embedding", scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of ``queries`` the k rows of ``df`` of the highest integer inner product."""
-    candidates = integers(df, id_col, vec, scale)
+    candidates, asked = integers(df, id_col, vec, scale), integers(queries, id_col, vec, scale)
+    if isinstance(df.schema[id_col].dataType, T.IntegralType):
+        return _top_k(candidates.withColumn("id", F.col("id").cast("long")), asked.withColumn("id", F.col("id").cast("long")), k)
+    numbers = _numbers(candidates, asked)
+    found = _top_k(*(t.join(numbers, "id").select(F.col("number").alias("id"), "x") for t in (candidates, asked)), k)
+    named = [numbers.select(F.col("number").alias(c), F.col("id").alias(f"{c}_named")) for c in ("query_id", "vec_id")]
+    found = found.join(named[0], "query_id").join(named[1], "vec_id")
+    return found.select(F.col("query_id_named").alias("query_id"), "rank", F.col("vec_id_named").alias("vec_id"), "score")
+
+
+def _top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As ``top_k``, from (id long, x) on both sides."""
     sample = candidates.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("x").collect()
     pivots = pick_pivots([np.array(r["x"]) for r in sample])
     built = stored(index(candidates, pivots).withColumn("row", F.monotonically_increasing_id()))
-    asked = stored(index(integers(queries, id_col, vec, scale).groupBy("id").agg(F.min("x").alias("x")), pivots))
+    asked = stored(index(queries.groupBy("id").agg(F.min("x").alias("x")), pivots))
     asked_blocks, built_blocks = max(1, -(-asked.count() // QUERY_BLOCK)), max(1, -(-built.count() // ROW_BLOCK))
 
     def block_of(number: str, blocks: int) -> F.Column:

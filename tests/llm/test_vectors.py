@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import embedding_dedup, topk
 
@@ -235,3 +236,16 @@ def test_op8_scores_beyond_64_bits_raise(spark):
     df = spark.createDataFrame([(0, [1e15, 1.0]), (1, [1e15, 2.0])], "vec_id long, embedding array<double>")
     with pytest.raises(Exception, match="64 bits"):
         topk.top_k(df, df).collect()
+
+
+def test_op8_ids_of_any_type(spark):
+    rnd = np.random.default_rng(8)
+    x = [[float(c) for c in rnd.integers(-3, 4, 8) / 8] for _ in range(300)]
+    name = lambda k: f"{'zab'[k % 3]}{k * 7919 % 1000}"
+    order = sorted(range(300), key=name)
+    place = {k: n for n, k in enumerate(order)}
+    df = spark.createDataFrame([(name(k), v) for k, v in enumerate(x)] + [(None, x[0]), ("none", None)], "vec_id string, embedding array<double>").repartition(5)
+    numbered = spark.createDataFrame([(place[k], v) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id LIKE '%1'")).collect()
+    want = topk.top_k(numbered, numbered.where(F.col("vec_id").isin([place[k] for k in range(300) if name(k).endswith("1")]))).collect()
+    assert sorted(map(tuple, got)) == sorted((name(order[r.query_id]), r.rank, name(order[r.vec_id]), r.score) for r in want) and len(got) > 200
