@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from siltstone.llm.common import named_apart, scratch_dir, small, spread_join, stored, table
 
 CACHE_SCHEMA = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("tokenizer", T.StringType()), T.StructField("n_tokens", T.LongType())])
-KEY, COPIES = "__siltstone_digest", "__siltstone_copies"
+KEY, COPIES, ID = "__siltstone_digest", "__siltstone_copies", "__siltstone_key_id"
 #: Texts that a worker encodes at a time.
 SLICE = 128
 
@@ -82,11 +82,12 @@ def _cached(spark: SparkSession, path: str, version: str) -> DataFrame | None:
         return None
 
 
-def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text: str = "text", limit: int = 1024) -> DataFrame:
+def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = None, id_col: str = "doc_id", text: str = "text", limit: int = 1024, keep_text: bool = True) -> DataFrame:
     """Adds n_bytes, n_tokens and over_limit (n_tokens > limit).
 
     ``cache_path``: the Parquet table of counts, made when missing, kept from run to run; None starts an
-    empty one in the shared folder.
+    empty one in the shared folder. Without ``keep_text`` the result lacks the texts, and they are read and
+    digested twice only: for the keys, and for what is to be encoded.
     """
     named_apart(df, "n_bytes", "n_tokens", "over_limit")
     spark = df.sparkSession
@@ -96,7 +97,12 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     body = F.coalesce(F.col(text), F.lit(""))
     keyed = df.withColumn(KEY, F.unhex(F.sha2(body, 256)))
     rows = keyed.select(F.col(KEY).alias("digest"), F.col(id_col).cast("string").alias("id"), body.alias("body"))
-    digests = stored(rows.groupBy("digest").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n")))
+    sized = keyed.withColumn("n_bytes", F.octet_length(body).cast("long"))
+    narrow = keys = None
+    if not keep_text:
+        narrow = stored(sized.drop(text).withColumn(ID, F.col(id_col).cast("string")))
+        keys = narrow.select(F.col(KEY).alias("digest"), F.col(ID).alias("id"))
+    digests = stored((rows if keys is None else keys).groupBy("digest").agg(F.min("id").alias("one"), F.count(F.lit(1)).alias("n")))
     cached = _cached(spark, cache_path, version)
     if cached is None:  # all are missing: only the other rows of texts that come repeatedly stay out
         repeated = stored(digests.where("n > 1").select("digest", "one", F.lit(True).alias("repeated")))
@@ -114,10 +120,10 @@ def token_counts(df: DataFrame, tokenizer_path: str, cache_path: str | None = No
     )
     counts = _cached(spark, cache_path, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     known = stored(digests.select(F.col("digest").alias(KEY), "n").join(counts.withColumnRenamed("digest", KEY), KEY).withColumnRenamed("n", COPIES))
-    sized = keyed.withColumn("n_bytes", F.octet_length(body).cast("long"))
-    return spread_join(sized, known, KEY, COPIES).drop(KEY).withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = sized if narrow is None else narrow.drop(ID)
+    return spread_join(counted, known, KEY, COPIES).drop(KEY).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op2_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_text=False).select("doc_id", "n_bytes", "n_tokens", "over_limit")

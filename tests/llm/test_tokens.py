@@ -198,6 +198,10 @@ def test_op2_encodes_each_text_once_and_only_what_is_missing(spark, tmp_path, mo
     more = df.unionByName(spark.createDataFrame([(900, "a new one", 0), (901, "a new one", 0)], df.schema))
     before = seen.value
     assert token_counts.token_counts(more, path, cache).count() == 304 and seen.value == before + 1
+    again = token_counts.token_counts(more, path, cache, keep_text=False)
+    assert again.columns == ["doc_id", "n_lines", "n_bytes", "n_tokens", "over_limit"] and seen.value == before + 1
+    whole = token_counts.token_counts(more, path, cache).select(*again.columns)
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, whole.collect()), key=str)
 
 
 def test_columns_of_the_outputs_names_are_refused(spark):
