@@ -55,9 +55,11 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str | list[str], n: str,
 
     ``n`` of ``keyed`` is how many rows of ``rows`` have the key, and is left out. Hot keys are joined where
     their rows are, by a broadcast of fewer than ``HOT_KEYS`` keys; the others shuffle, and none of them is
-    much of a task. ``rows`` is read twice, so it is best stored.
+    much of a task. ``rows`` is then read twice, so it is best stored. Where no key is hot it is a plain join.
     """
-    total = keyed.agg(F.sum(n)).first()[0] or 0
+    total, most = keyed.agg(F.coalesce(F.sum(n), F.lit(0)), F.coalesce(F.max(n), F.lit(0))).first()
+    if most * HOT_KEYS <= total:
+        return rows.join(keyed.drop(n), key, how)
     hot = F.col(n) * HOT_KEYS > total
     often, rest = keyed.where(hot).drop(n), keyed.where(~hot).drop(n)
     near = rows.join(F.broadcast(often), key)

@@ -38,6 +38,8 @@ FIRST_TREES = 2
 SMALL_NODE = 12
 #: Members that one copy of a hub's set is compared with.
 STAR = 256
+#: Copies of a hub's set that one task makes.
+COPIES = 64
 #: Members of a large node in a block, and shingles looked at at a time.
 BLOCK, COLUMNS = 256, 8_192
 WORDS_KEPT = 200_000
@@ -175,12 +177,17 @@ def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs as (a, b) whose full sets are similar enough.
 
-    A hub's members come to it in parts of about ``STAR``, each with its own copy of the hub's set, in front.
+    A hub's members come to it in parts of about ``STAR``, each with its own copy of the hub's set, in front. A
+    large hub's set is copied in steps, so that not one task makes all its copies.
     """
     hubs, hubs_at = kept(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("parts")))
     sent = spread_join(pairs.select("hub", "member"), hubs, "hub", "n").select("hub", F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("side"), F.col("member").alias("cid"))
-    own = hubs.select("hub", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.col("hub").alias("cid"))
-    dealt = sent.unionByName(own).join(sets, "cid").select("hub", "part", "side", "cid", "rest")
+    first = F.sequence(F.lit(0), F.col("parts") - 1, F.lit(COPIES))
+    steps = hubs.select("hub", "parts", F.explode(first).alias("first"), F.lit(0).alias("side"), F.col("hub").alias("cid")).join(sets, "cid")
+    large = steps.where(F.col("parts") > COPIES).repartition("hub", "first")
+    own = steps.where(F.col("parts") <= COPIES).unionByName(large)
+    own = own.withColumn("part", F.explode(F.sequence("first", F.least(F.col("first") + COPIES, "parts") - 1)))
+    dealt = sent.join(sets, "cid").select("hub", "part", "side", "cid", "rest").unionByName(own.select("hub", "part", "side", "cid", "rest"))
     dealt = dealt.repartition("hub", "part").sortWithinPartitions("hub", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

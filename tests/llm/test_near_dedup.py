@@ -104,3 +104,23 @@ def test_spread_join_keeps_every_row(spark, monkeypatch):
     assert sorted((r.key, r.name) for r in common.spread_join(rows, keyed, "key", "n").collect()) == [(1, "a")] * 50 + [(2, "b"), (3, "c")]
     assert common.spread_join(rows, keyed, "key", "n", "left").count() == 53
     assert common.spread_join(rows, keyed.limit(0), "key", "n").count() == 0
+
+
+def test_op9_long_texts_and_large_hubs(spark, monkeypatch):
+    """Sets beyond ``LONG`` take another way through the paths; a hub's set is copied in steps."""
+    monkeypatch.setattr(near_dedup, "LONG", 20)
+    monkeypatch.setattr(near_dedup, "STAR", 2)
+    monkeypatch.setattr(near_dedup, "COPIES", 3)
+    rnd = random.Random(12)
+    long = [f"w{rnd.randint(0, 10**6)}" for _ in range(300)]
+    rows = [(k, " ".join([*long, f"end{k}"])) for k in range(60)] + [(100 + k, " ".join(f"x{rnd.randint(0, 10**6)}" for _ in range(50))) for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_dedup.near_duplicates(df, words=4).collect())) == brute(rows, 4)
+
+
+def test_op9_a_text_beyond_the_bound(spark):
+    words = [f"w{k * 7919 % 1_000_003}" for k in range(near_dedup.LONG + 20_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "another short text of some words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, near_dedup.near_duplicates(df, words=4).collect()))
+    assert got == [(1, len(words) - 3, 1, True), (2, len(words) - 2, 1, False), (3, 3, 3, True)]
