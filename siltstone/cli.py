@@ -72,6 +72,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--derive-thresholds", action="store_true", help="with quality: flag by thresholds from the data")
     parser.add_argument("--repeat", type=int, default=3, help="with bench")
     parser.add_argument("--ingest-rows", type=int, default=0, help="with bench: rows of --trips to land in three ways")
+    parser.add_argument("--pull-rows", type=int, default=0, help="with bench: rows that may go to the driver for the pandas arm, none by default")
     parser.add_argument("--quiet", action="store_true", help="with pipeline: no report")
     for name in ("trips", "zones", "out"):
         parser.add_argument(f"--{name}", help="with pipeline")
@@ -102,7 +103,7 @@ def main(argv: list[str] | None = None) -> None:
         shown = analyze(spark, args.data)
     else:
         fact = flagged_trade(spark, args.data)
-        print(compare.compare_aggregation(fact, args.repeat, tariff.calibrate(fact, catalogue.BOUNDS)).to_string())
+        print(compare.compare_aggregation(fact, args.repeat, tariff.calibrate(fact, catalogue.BOUNDS), args.pull_rows).to_string())
         if args.ingest_rows:
             print(compare.compare_ingest(spark, args.trips, scratch_dir(spark), args.ingest_rows).to_string())
     for df in shown:

@@ -67,13 +67,13 @@ def _pulled(fact: DataFrame, question: str, tariff: Tariff | None) -> tuple[Call
     return narrow.toPandas, reduce
 
 
-def compare_aggregation(fact: DataFrame, repeat: int = 3, tariff: Tariff | None = None) -> pd.DataFrame:
+def compare_aggregation(fact: DataFrame, repeat: int = 3, tariff: Tariff | None = None, most_rows: int = 0) -> pd.DataFrame:
     """A row a question and arm: medians of all, of fetching and of reducing, and the rows that reach the driver.
 
-    ``fact`` is bounded by what the driver holds: pulling it out is what the pandas arm measures. Without a
-    tariff its question is left out.
+    The pandas arm measures what pulling the fact's rows to the driver costs, so it runs only where they are at most
+    ``most_rows``; by default it doesn't. Without a tariff its question is left out.
     """
-    rows = []
+    rows, pulls = [], bool(most_rows) and fact.limit(most_rows + 1).count() <= most_rows
     for name in QUESTIONS:
         if name == "fare_vs_tariff" and tariff is None:
             continue
@@ -86,6 +86,9 @@ def compare_aggregation(fact: DataFrame, repeat: int = 3, tariff: Tariff | None
         }
         found = {}
         for arm in ("sql", "pandas", "arrow"):
+            if arm == "pandas" and not pulls:
+                rows.append({"question": name, "arm": arm, "seconds": None, "fetch": None, "reduce": None, "rows_moved": None, "note": f"not run: more than {most_rows} rows"})
+                continue
             try:
                 if arm == "pandas":
                     fetched, frame = _timed(fetch, repeat)

@@ -14,7 +14,7 @@ from siltstone.operators.registry import Registry, Rule
 from siltstone.plans import build, catalogue, compare, payloads
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
-from siltstone.plans.trade import TRADE, flagged_trade
+from siltstone.plans.trade import FILE, TRADE, flagged_trade, landed_file, trade_cube, typed_file
 from siltstone.sources import landing, scratch, snapshots
 
 SF = "/root/testdata/sf0.001"
@@ -120,12 +120,15 @@ def test_udf_and_expression_agree(spark):
 
 def test_arms_agree(spark):
     fact = flagged_trade(spark, SF)
-    report = compare.compare_aggregation(fact, 1, tariff.calibrate(fact, catalogue.BOUNDS))
+    fit = tariff.calibrate(fact, catalogue.BOUNDS)
+    alone = compare.compare_aggregation(fact, 1, fit)
+    assert len(alone) == 12 and alone[alone["arm"] == "pandas"]["seconds"].isna().all() and (alone[alone["arm"] != "pandas"]["rows_moved"] < 30).all()
+    report = compare.compare_aggregation(fact, 1, fit, most_rows=10_000)
     assert len(report) == 12 and (report["note"] == "").all() and set(report["question"]) == set(compare.QUESTIONS)
     pulled = report[report["arm"] == "pandas"]
     assert (pulled["seconds"] == pulled["fetch"] + pulled["reduce"]).all() and (pulled["rows_moved"] > 500).all()
     assert (report[report["arm"] == "sql"]["rows_moved"] < 30).all()
-    assert len(compare.compare_aggregation(fact, 1)) == 9
+    assert len(compare.compare_aggregation(fact, 1, most_rows=10_000)) == 9
 
 
 def test_an_arm_that_fails_is_reported(spark, monkeypatch):
@@ -207,15 +210,44 @@ def test_payloads_are_json(spark):
     pages = [payloads.overview(fact, TRADE), payloads.quality(fact, TRADE, 2), payloads.sample(fact, TRADE, "excessive_fare", 1000), payloads.rows(fact, TRADE, "all", 3)]
     pages += [payloads.zones(fact, TRADE), payloads.times(fact, TRADE), payloads.pairs(fact, TRADE), payloads.tipping(fact, TRADE, min_trips=1)]
     json.dumps(pages, allow_nan=False)
-    assert len(pages[0]["impact"]) == 7 and len(pages[1]["rules"]) == 14 and len(pages[2]["rows"]) <= 100 and len(pages[3]["rows"]) == 3
-    assert pages[3]["matching"] == fact.count() and len(pages[5]["heatmap"]["values"][0]) == 24
-    assert sum(map(sum, pages[5]["heatmap"]["values"])) == sum(d["trips"] for d in pages[5]["day"])
+    assert len(pages[0]["cleaning_impact"]) == 7 and len(pages[1]["rules"]) == 14 and len(pages[2]["rows"]) <= 100 and len(pages[3]["rows"]) == 3
+    assert pages[3]["matching"] == fact.count() and len(pages[5]["heatmap"]["matrix"][0]) == 24
+    assert sum(map(sum, pages[5]["heatmap"]["matrix"])) == sum(d["trips"] for d in pages[5]["day_of_week"])
+    asked = trade_cube(spark, SF)
+    assert [payloads.overview(asked, TRADE), payloads.quality(fact, TRADE, 2, asked), payloads.zones(asked, TRADE), payloads.times(asked, TRADE), payloads.pairs(asked, TRADE), payloads.tipping(asked, TRADE, min_trips=1)] == [pages[k] for k in (0, 1, 4, 5, 6, 7)]
     with pytest.raises(KeyError):
         payloads.rows(fact, TRADE, "no_such_rule")
     odd = {"a": [Decimal("1.50"), float("nan"), float("-inf")], 2: (date(2024, 1, 2), None, "x", True)}
     assert plain(odd) == {"a": [1.5, None, None], "2": ["2024-01-02", None, "x", True]}
 
 
+# The keys of each page and of the entries of its lists, as a dashboard asks for them.
+SHAPES = {
+    "overview": {"headline": "trips clean_trips pickup_zones first_pickup last_pickup total_revenue typical_miles typical_minutes typical_fare", "cleaning_impact": "metric depends_on all_rows strict_clean selective", "issue_distribution": "issues trips pct", "boroughs": "borough trips avg_miles avg_fare avg_total avg_tip_pct revenue", "coverage": "measure meaning rules usable_rows pct_of_trips"},
+    "quality": {"rules": "rule severity flagged description invalidates pct_of_trips", "issue_distribution": "issues trips pct", "reconciliation": "discrepancy trips avg_mta_tax avg_improvement avg_congestion congestion_null", "thresholds": None, "coverage": "measure meaning rules usable_rows pct_of_trips"},
+    "sample": {"rule": None, "rows": "PickupDateTime DropoffDateTime TripMinutes TripDistance AvgMph FareAmount TipAmount TotalAmount PUZoneName DOZoneName QualityIssueCount"},
+    "rows": {"rule": None, "matching": None, "rows": "PickupDateTime DropoffDateTime PUZoneName DOZoneName PassengerCount TripDistance TripMinutes AvgMph FareAmount TipAmount TotalAmount Flags Issues Tested", "rules": "name severity description"},
+    "zones": {"exclude_invalid": None, "pickup": "borough zone trips avg_miles avg_minutes avg_fare avg_tip_pct", "dropoff": "borough zone trips avg_miles avg_minutes avg_fare avg_tip_pct", "boroughs": "borough trips avg_miles avg_fare avg_total avg_tip_pct revenue", "fare_per_mile": "borough zone trips fare_per_mile avg_miles avg_fare avg_mph"},
+    "times": {"exclude_invalid": None, "hour": "pickup_hour trips avg_mph avg_minutes avg_fare", "day_of_week": "dow day trips avg_miles avg_fare avg_tip_pct", "month": "month_num month_name trips avg_miles avg_fare revenue", "heatmap": "days hours matrix"},
+    "pairs": {"exclude_invalid": None, "cross_borough_only": None, "pairs": "from_borough from_zone to_borough to_zone trips avg_miles avg_minutes avg_total"},
+    "tipping": {"tipping": "borough payment_type payment trips avg_tip_pct avg_tip avg_fare"},
+}
+
+
+def test_payloads_have_the_dashboards_shapes(spark):
+    cube, fact, raw = trade_cube(spark, SF), typed_file(spark, SF), landed_file(spark, SF).raw
+    pages = {n: getattr(payloads, n)(cube, TRADE) for n in ("overview", "zones", "times", "pairs")} | {"tipping": payloads.tipping(cube, TRADE, min_trips=1)}
+    pages |= {"quality": payloads.quality(flagged_trade(spark, SF), TRADE, 2, cube), "sample": payloads.sample(flagged_trade(spark, SF), TRADE, "excessive_fare"), "rows": payloads.rows(fact, FILE, "all", 12, raw)}
+    assert pages["zones"]["fare_per_mile"] == [] and len(pages["sample"]["rows"]) == 12 and len(pages["rows"]["rows"]) == 12
+    pages["zones"]["fare_per_mile"] = payloads.records(w.fare_per_mile(cube, TRADE, 3, 1))
+    for name, shape in SHAPES.items():
+        assert set(pages[name]) == set(shape), name
+        for key, names in shape.items():
+            if names:
+                one = pages[name][key] if isinstance(pages[name][key], dict) else pages[name][key][0]
+                assert set(one) == set(names.split()), (name, key)
+
+
 @pytest.mark.parametrize("command", [["info"], ["profile"], ["quality", "--derive-thresholds", "--sample", "excessive_fare"], ["analyze"]])
 def test_command_line(spark, capsys, command):
     cli.main([*command, "--data", SF])
