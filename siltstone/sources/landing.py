@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -34,16 +35,17 @@ class Landed(NamedTuple):
     counts: dict[str, int]
 
 
-def keep_landed(df: DataFrame, path: str, id_col: str | None = None) -> Landed:
-    """Writes what ``land_csv`` gives as a new version, in one pass that counts and sets malformed lines apart.
+def keep_landed(df: DataFrame, path: str, id_col: str | None = None, write: Callable[..., DataFrame] = snapshots.publish, first_id: int = 0) -> Landed:
+    """Writes what ``land_csv`` gives as a new version (or adds it, as ``write`` does), in one pass that counts and sets malformed lines apart.
 
-    A raw_id stays with each row from then on: the source's own number where ``id_col`` names it, else a new one.
+    A raw_id stays with each row from then on: the source's own number where ``id_col`` names it, else a new one
+    from ``first_id`` on.
     """
-    number = F.monotonically_increasing_id() if id_col is None else F.col(id_col).try_cast("long")
+    number = F.monotonically_increasing_id() + first_id if id_col is None else F.col(id_col).try_cast("long")
     seen = Observation()
     rows = df.withColumns({"raw_id": number, "is_malformed": F.col(LINE).isNotNull()})
     counts = [F.count(F.lit(1)).alias("read"), F.count_if("is_malformed").alias("malformed")]
-    kept = snapshots.publish(rows.observe(seen, *counts), path, ("is_malformed",))
+    kept = write(rows.observe(seen, *counts), path, ("is_malformed",))
     return Landed(kept.where("NOT is_malformed").drop("is_malformed", LINE), kept.where("is_malformed").select("raw_id", LINE), seen.get)
 
 

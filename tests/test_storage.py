@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.operators import cube, flags, ranks, tariff, transform
-from siltstone.plans import catalogue, trade
+from siltstone.plans import build, catalogue, trade
 from siltstone.plans import workflows as w
+from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade
 from siltstone.plans.workflows import CUBE
 from siltstone.sources import landing, snapshots
@@ -86,10 +87,10 @@ def test_readers_stay_with_their_version(spark, tmp_path):
     reader = snapshots.current(spark, path)
     new = snapshots.publish(spark.range(25), path)
     assert (old.count(), reader.count(), new.count(), snapshots.current(spark, path).count()) == (10, 10, 25, 25)
-    spark.range(99).write.parquet(f"{path}/data-killed")  # a writer that died before its marker
+    spark.range(99).write.parquet(f"{path}/data=killed")  # a writer that died before its version was made known
     assert snapshots.current(spark, path).count() == 25
     snapshots.prune(spark, path, keep=1)
-    assert len(snapshots.versions(spark, path)) == 1 and sorted(n[:5] for n in os.listdir(path) if n[0] == "d") == ["data-"] * 2
+    assert len(snapshots.versions(spark, path)) == 1 and sorted(n[:5] for n in os.listdir(path) if n[0] == "d") == ["data="] * 2
     snapshots.prune(spark, path, keep=1, stale_hours=-1)
     assert sum(n[0] == "d" for n in os.listdir(path)) == 1 and snapshots.current(spark, path).count() == 25
 
@@ -247,3 +248,63 @@ def test_files_of_a_folder_have_one_header(spark, tmp_path):
     (tmp_path / "b.csv").write_text("b,a\n2,1\n")
     with pytest.raises(Exception, match="header|HEADER"):
         landing.keep_landed(landing.land_csv(spark, str(tmp_path), {"x": "a", "y": "b"}), str(tmp_path / "raw"))
+
+
+def test_rows_are_added_without_copying(spark, tmp_path):
+    path = str(tmp_path / "t")
+    part = lambda a, b: spark.range(a, b).selectExpr("id", "CAST(id % 3 AS INT) AS month")
+    snapshots.publish(part(0, 10), path, ("month",))
+    reader = snapshots.current(spark, path)
+    kept_files = {f for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    assert snapshots.add(part(10, 15), path, ("month",)).count() == 5
+    both = snapshots.current(spark, path)
+    assert (reader.count(), both.count(), sorted(both.columns), both.where("month = 1").count()) == (10, 15, ["id", "month"], 5)
+    assert kept_files < {f for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    snapshots.add(both.selectExpr("id + 100 AS id", "month"), path, ("month",))
+    snapshots.prune(spark, path, keep=1)
+    assert snapshots.current(spark, path).count() == 30 and len(snapshots.versions(spark, path)) == 1
+    snapshots.publish(part(0, 1), path, ("month",))
+    snapshots.prune(spark, path, keep=1)
+    assert snapshots.current(spark, path).count() == 1 and sum(n.startswith("data=") for n in os.listdir(path)) == 1
+
+
+def test_who_adds_at_once_with_another_is_told(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    snapshots.publish(spark.range(10), path)
+    written = snapshots._written
+
+    def slow(df, at, partition_by):
+        monkeypatch.setattr(snapshots, "_written", written)
+        snapshots.add(spark.range(3), path)
+        return written(df, at, partition_by)
+
+    monkeypatch.setattr(snapshots, "_written", slow)
+    with pytest.raises(RuntimeError, match="meanwhile"):
+        snapshots.add(spark.range(5), path)
+    assert snapshots.current(spark, path).count() == 13
+
+
+def test_a_day_added_gives_what_building_all_gives(spark, tmp_path):
+    lines = trade.event_lines(spark, SF)
+    trade.write_lines(lines.where("line NOT LIKE '%7,%'"), str(tmp_path / "days/one"))
+    trade.write_lines(lines.where("line LIKE '%7,%'"), str(tmp_path / "days/two"))
+    zones = spark.read.parquet(f"{SF}/nation.parquet").selectExpr("n_nationkey AS LocationID", "concat('B', n_regionkey) AS Borough", "n_name AS Zone", "'x' AS service_zone")
+    zones.write.option("header", True).csv(str(tmp_path / "zones"))
+    for d in ("one", "two"):
+        shutil.copytree(tmp_path / "days" / d, tmp_path / "all", dirs_exist_ok=True)
+    zones_at = str(tmp_path / "zones")
+    limits = {"period_start": "2024-01-02 00:00:00", "period_end": "2024-01-29 00:00:00"}
+    whole = build.build(spark, str(tmp_path / "all"), zones_at, str(tmp_path / "a"), limits)
+    first = build.build(spark, str(tmp_path / "days/one"), zones_at, str(tmp_path / "b"), limits)
+    day = build.append(spark, str(tmp_path / "days/two"), str(tmp_path / "b"), limits)
+    assert first.count() > 0 and day.count() > 0 and first.count() + day.count() == whole.count()
+    stored = snapshots.current(spark, str(tmp_path / "b/flagged"))
+    assert stored.select("raw_id").distinct().count() == stored.count() == whole.count()
+    for table in ("raw", "rejects", "trips"):
+        assert snapshots.current(spark, str(tmp_path / "a" / table)).count() == snapshots.current(spark, str(tmp_path / "b" / table)).count()
+    asked = [build.cubed(spark, str(tmp_path / x)) for x in "ab"]
+    for f in (w.headline, w.cleaning_impact, w.borough_summary, w.activity_by_hour, flags.summary, flags.measure_coverage):
+        assert rows_of(f(asked[1], TRIPS)) == rows_of(f(asked[0], TRIPS)) == rows_of(f(stored, TRIPS)), f.__name__
+    again = build.reflag(spark, str(tmp_path / "b"), limits | {"max_fare": 10})
+    assert again.agg(F.sum("q_excessive_fare")).first()[0] > stored.agg(F.sum("q_excessive_fare")).first()[0]
+    assert rows_of(flags.summary(build.cubed(spark, str(tmp_path / "b")), TRIPS)) == rows_of(flags.summary(again, TRIPS))
