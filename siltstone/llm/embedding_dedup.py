@@ -169,6 +169,11 @@ class Plan:
         bits = self.bits(x).reshape(len(x), self.tables, self.width)
         return (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.int64)
 
+    def keys_of(self, codes: np.ndarray) -> np.ndarray:
+        """The same from codes: windows are bits of them."""
+        bits = np.unpackbits(codes.view(np.uint8), axis=1, count=self.tables * self.width).reshape(len(codes), self.tables, self.width)
+        return (bits.astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).astype(np.int64)
+
     def codes(self, x: np.ndarray) -> np.ndarray:
         """A row a vector: its bits in words of 64."""
         packed = np.packbits(self.bits(x), axis=1)
@@ -346,11 +351,12 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
             yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(sizes), pa.array(keys, pa.list_(pa.int64())), pa.array(codes, pa.binary())], names=["cid", "size", "keys", "code"])
 
     codes, codes_at = kept(classes.select("cid", "x").mapInArrow(coded, "cid long, size long, keys array<long>, code binary"))
-    entries = codes.where("code is not null").select("cid", "size", "code", F.posexplode("keys").alias("t", "key"), "keys")
-    entries = entries.withColumn("before", F.slice("keys", F.lit(1), F.col("t"))).drop("keys")
+    entries = codes.where("code is not null").select("cid", "size", "code", F.posexplode("keys").alias("t", "key"))
 
     def earlier(part: pa.Table) -> np.ndarray:
-        return part.column("before").combine_chunks().flatten().to_numpy().reshape(part.num_rows, part.column("t")[0].as_py())
+        """The keys in earlier tables of rows of one table."""
+        size, t = part.column("size")[0].as_py(), part.column("t")[0].as_py()
+        return plans[size].keys_of(_array(part, "code", "<u8"))[:, :t] if t else np.empty((part.num_rows, 0), np.int64)
 
     def left_of(part: pa.Table) -> np.ndarray:
         own, i, j = (part.column(n).to_numpy() for n in ("own", "i", "j"))
@@ -379,10 +385,8 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
         cid, copies = (part.column(n).to_numpy() for n in ("cid", "copies"))
         return list(_bucket(left_of(part), cid, copies, earlier(part), _unit(part.column("x").to_pylist(), kind), threshold))
 
-    full = close.join(codes.select("cid", "keys", F.col("code").isNull().alias("dense")), "cid").join(classes.select("cid", "copies", "x"), "cid")
-    full = full.withColumn("before", F.slice("keys", F.lit(1), F.col("t").cast("int"))).drop("keys")
-    full, full_at = kept(full)
-    found = stored(by_group(_dealt(full, F.when(F.col("dense"), DENSE_BLOCK).otherwise(BLOCK)), GROUP, compared, "cid long, links long, reached long"))
+    full, full_at = kept(close.join(codes.select("cid", "code"), "cid").join(classes.select("cid", "copies", "x"), "cid"))
+    found = stored(by_group(_dealt(full, F.when(F.col("code").isNull(), DENSE_BLOCK).otherwise(BLOCK)), GROUP, compared, "cid long, links long, reached long"))
     discard(codes_at, close_at, full_at)
     sums = found.groupBy("cid").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("cid").alias("a"), F.col("reached").alias("b"))).withColumnRenamed("id", "cid")

@@ -168,6 +168,7 @@ def test_op6_plan_holds_recall_as_tables_grow(classes, offset):
     keys, codes = plan.keys(x), plan.codes(x)
     met = (keys[::2] == keys[1::2]).any(axis=1)
     near = np.bitwise_count(codes[::2] ^ codes[1::2]).sum(axis=1, dtype=int) <= plan.radius
+    assert (plan.keys_of(codes) == keys).all()
     assert (met & near).mean() >= 0.985 and (plan.radius < plan.width * plan.tables / 4 or offset)
     assert plan.width == embedding_dedup.window_width(classes) or offset
 
