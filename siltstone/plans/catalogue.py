@@ -11,7 +11,7 @@ from siltstone.operators import flags, tariff, transform
 from siltstone.operators.cube import asked
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
-from siltstone.plans.trade import EVENTS, FILE, TRADE, TRADE_TABLES, events_cube, flagged_events, flagged_trade, landed_file, landed_trade, nation_zones, trade_cube, typed_file, version_of
+from siltstone.plans.trade import EVENTS, FILE, TRADE, TRADE_TABLES, added_files, events_cube, flagged_events, flagged_trade, landed_file, landed_trade, nation_zones, trade_cube, typed_file, version_of
 from siltstone.sources.buckets import bucket_count, bucketed
 from siltstone.sources.scratch import scratch_dir
 
@@ -181,6 +181,9 @@ def queries() -> dict:
         "file_accounting": _file_accounting,
         "malformed_lines": _malformed_lines,
         "cast_losses": _cast_losses,
+        "headline_of_added_files": lambda s, d: w.headline(added_files(s, d), FILE),
+        "rules_of_added_files": lambda s, d: flags.summary(added_files(s, d), FILE).select("rule", "flagged"),
+        "busiest_zones_of_added_files": lambda s, d: w.busiest_zones(added_files(s, d), FILE),
         "browse_rule": _browse("excessive_fare"),
         "browse_count": _trade(flags.browse_count),
         "derive_thresholds": lambda s, d: flags.derive_thresholds(flagged_trade(s, d)),

@@ -324,16 +324,23 @@ def oracle_sql() -> dict[str, str]:
                    ROUND(100.0 * CAST(COUNT(*) FILTER (WHERE {c}) AS DOUBLE) / COUNT(*), 2) AS pct_of_trips FROM g"""
         for m, (c, text, n) in usable.items()
     ]
+    headline = f"""SELECT COUNT(*) AS trips, COUNT(*) FILTER (WHERE issue_count = 0) AS clean_trips, COUNT(DISTINCT pu_zone) AS pickup_zones,
+                          MIN(pickup_date) AS first_pickup, MAX(pickup_date) AS last_pickup,
+                          ROUND(CAST(SUM(CASE WHEN {_if('total')} THEN total END) AS DOUBLE), 0) AS total_revenue,
+                          {_mean('distance', 2, _if('distance'))} AS typical_miles, {_mean('minutes', 1, _if('duration'))} AS typical_minutes,
+                          {_mean('fare', 2, _if('fare'))} AS typical_fare"""
     sums = ", ".join(f"ROUND(CAST(SUM(v) AS DOUBLE), 2) AS sum_{c}" for c in ("distance", "fare", "total"))
     found |= {
         "reconciliation": _reconciliation(2, 2),
         "reconciliation_by_hundreds": _reconciliation(-2, 500),
         "cleaning_impact": _impact(),
-        "headline": f"""{TRADE} SELECT COUNT(*) AS trips, COUNT(*) FILTER (WHERE issue_count = 0) AS clean_trips, COUNT(DISTINCT pu_zone) AS pickup_zones,
-                               MIN(pickup_date) AS first_pickup, MAX(pickup_date) AS last_pickup,
-                               ROUND(CAST(SUM(CASE WHEN {_if('total')} THEN total END) AS DOUBLE), 0) AS total_revenue,
-                               {_mean('distance', 2, _if('distance'))} AS typical_miles, {_mean('minutes', 1, _if('duration'))} AS typical_minutes,
-                               {_mean('fare', 2, _if('fare'))} AS typical_fare FROM g""",
+        "headline": f"""{TRADE} {headline} FROM g""",
+        "headline_of_added_files": f"{FILE}, d AS (SELECT *, CAST(pickup_ts AS DATE) AS pickup_date FROM g) {headline} FROM d",
+        "rules_of_added_files": FILE + " UNION ALL ".join(f"SELECT '{r}' AS rule, CAST(SUM(q_{r}) AS BIGINT) AS flagged FROM g" for r in RULES),
+        "busiest_zones_of_added_files": f"""{FILE} SELECT pu_borough AS borough, pu_zone AS zone, COUNT(*) AS trips, {_mean("distance", 2, _if("distance"))} AS avg_miles,
+                      {_mean("minutes", 1, _if("duration"))} AS avg_minutes, {_mean("fare", 2, _if("fare"))} AS avg_fare,
+                      {_mean("CASE WHEN fare > 0 THEN CAST(100 * CAST(tip AS DOUBLE) / CAST(fare AS DOUBLE) AS DECIMAL(18,2)) END", 1, _if("tip", "fare"))} AS avg_tip_pct
+               FROM g WHERE {_if("trip_count", "location")} GROUP BY 1, 2 ORDER BY trips DESC, borough, zone LIMIT 15""",
         "rule_summary": TRADE + " UNION ALL ".join(summary),
         "issue_distribution": f"{TRADE} SELECT issue_count AS issues, COUNT(*) AS trips, ROUND(100.0 * CAST(COUNT(*) AS DOUBLE) / (SELECT COUNT(*) FROM g), 3) AS pct FROM g GROUP BY 1",
         "measure_coverage": TRADE + " UNION ALL ".join(coverage),

@@ -15,7 +15,7 @@ from siltstone.operators import cube
 from siltstone.operators.flags import apply_rules
 from siltstone.operators.registry import Registry
 from siltstone.operators.transform import cast_and_enrich
-from siltstone.plans.build import TRIP_COLUMNS
+from siltstone.plans.build import TRIP_COLUMNS, ZONE_COLUMNS, append, build, cubed
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.workflows import CUBE
 from siltstone.sources import landing
@@ -206,3 +206,23 @@ def landed_file(spark: SparkSession, sf_dir: str) -> landing.Landed:
 def typed_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The landed file's rows typed, enriched and flagged."""
     return apply_rules(cast_and_enrich(landed_file(spark, sf_dir).raw, nation_zones(spark, sf_dir))[0], FILE)
+
+
+#: (application, folder) -> the versions of the files, and where the trips of two files are published.
+_added: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def added_files(spark: SparkSession, sf_dir: str) -> cube.Cube:
+    """The cube of two trip files, of which the second was added to what had been built of the first."""
+    key, now = (spark.sparkContext.applicationId, sf_dir), version_of(spark, sf_dir, ("events", "nation", "region"))
+    if key not in _added or _added[key][0] != now or not there(_added[key][1]):
+        path, lines = scratch_dir(spark), event_lines(spark, sf_dir)
+        later = F.col("line").rlike("^[0-9]*[02468],")
+        write_lines(lines.where(~later), f"{path}/first")
+        write_lines(lines.where(later), f"{path}/second")
+        nation_zones(spark, sf_dir).withColumnsRenamed(ZONE_COLUMNS).write.option("header", True).csv(f"{path}/zones")
+        limits = FILE.limits()
+        build(spark, f"{path}/first", f"{path}/zones", f"{path}/out", limits)
+        append(spark, f"{path}/second", f"{path}/out", limits)
+        _added[key] = (now, path)
+    return cubed(spark, f"{_added[key][1]}/out")
