@@ -6,6 +6,7 @@ import atexit
 import logging
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,14 @@ def stored(df: DataFrame) -> DataFrame:
     return kept(df)[0]
 
 
+def settled(build: Callable[[], DataFrame]) -> tuple[DataFrame, str]:
+    """As ``kept`` for what ``build`` gives; the scratch tables that it made on the way are deleted, since no other plan reads them."""
+    before = set(_scratch)
+    out, path = kept(build())
+    discard(*(set(_scratch) - before - {path}))
+    return out, path
+
+
 def there(path: str) -> bool:
     return path in _scratch
 

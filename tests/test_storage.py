@@ -13,7 +13,7 @@ from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_trade
 from siltstone.plans.workflows import CUBE
-from siltstone.sources import landing, snapshots
+from siltstone.sources import landing, scratch, snapshots
 from siltstone.sources.buckets import bucket_count, bucketed
 from siltstone.sources.layout import clustered
 from siltstone.sources.versions import version
@@ -308,3 +308,18 @@ def test_a_day_added_gives_what_building_all_gives(spark, tmp_path):
     again = build.reflag(spark, str(tmp_path / "b"), limits | {"max_fare": 10})
     assert again.agg(F.sum("q_excessive_fare")).first()[0] > stored.agg(F.sum("q_excessive_fare")).first()[0]
     assert rows_of(flags.summary(build.cubed(spark, str(tmp_path / "b")), TRIPS)) == rows_of(flags.summary(again, TRIPS))
+
+
+def test_what_a_settled_step_made_on_the_way_is_deleted(spark):
+    other, other_at = scratch.kept(spark.range(3))
+    between = []
+
+    def step():
+        for n in (5, 7):
+            between.append(scratch.kept(spark.range(n)))
+        return between[0][0].join(between[1][0], "id")
+
+    out, path = scratch.settled(step)
+    assert out.count() == 5 and other.count() == 3 and scratch.there(path) and scratch.there(other_at)
+    assert not any(scratch.there(at) or os.path.exists(at) for _, at in between)
+    scratch.discard(path, other_at)
