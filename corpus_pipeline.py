@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm import line_dedup, near_dedup, packing, pii, toxicity
-from siltstone.llm.common import stored, table
+from siltstone.llm.common import table
+from siltstone.sources.scratch import discard, settled
 
 #: Documents that score as much or more are rejected.
 TOXIC = 0.3
@@ -61,7 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Each stage's documents are stored; what a stage made on the way, and its own input, go when they are."""
+    docs, at = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        kept, kept_at = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if at:
+            discard(at)
+        docs, at = kept, kept_at
     return STAGES[-1][1](spark, docs, sf_dir)
