@@ -1,6 +1,7 @@
 """python -m siltstone.cli info | profile | quality | analyze | bench, over the trade tables in --data.
 
-And: pipeline --trips CSV --zones CSV --out FOLDER, which builds the flagged fact and fits the tariff from files.
+And: pipeline --trips CSV --zones CSV --out FOLDER, which builds the flagged fact and fits the tariff from files;
+append --trips CSV --out FOLDER, which adds a further file to that; figures --out FOLDER, what is published there.
 """
 
 from __future__ import annotations
@@ -9,12 +10,14 @@ import argparse
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siltstone.operators import flags, tariff, transform
 from siltstone.plans import build, catalogue, compare
 from siltstone.plans import workflows as w
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.trade import TRADE, flagged_events, flagged_trade, landed_trade, nation_zones
+from siltstone.sources import snapshots
 from siltstone.sources.scratch import scratch_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
@@ -64,9 +67,20 @@ def analyze(spark: SparkSession, data: str) -> list[DataFrame]:
     ]
 
 
+def figures(spark: SparkSession, out: str) -> list[DataFrame]:
+    """From what is published: figures from the cube, and fares against the tariff by its SQL function, if one was fitted."""
+    asked = build.cubed(spark, out)
+    shown = [w.headline(asked, TRIPS), w.cleaning_impact(asked, TRIPS), flags.summary(asked, TRIPS), w.borough_summary(asked, TRIPS)]
+    if snapshots.versions(spark, f"{out}/tariff"):
+        tariff.deploy_sql(spark, tariff.published(spark, f"{out}/tariff"))
+        expected = F.expr("tariff_fare(rate_code, CAST(distance AS DOUBLE), CAST(minutes AS DOUBLE))")
+        shown.append(tariff.gap_by_rate_code(snapshots.current(spark, f"{out}/flagged"), expected))
+    return shown
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("command", choices=["info", "pipeline", "profile", "quality", "analyze", "bench"])
+    parser.add_argument("command", choices=["info", "pipeline", "append", "figures", "profile", "quality", "analyze", "bench"])
     parser.add_argument("--data", default="/root/testdata/sf0.01")
     parser.add_argument("--sample", metavar="RULE", help="with quality: rows of one rule")
     parser.add_argument("--derive-thresholds", action="store_true", help="with quality: flag by thresholds from the data")
@@ -75,10 +89,12 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--pull-rows", type=int, default=0, help="with bench: rows that may go to the driver for the pandas arm, none by default")
     parser.add_argument("--quiet", action="store_true", help="with pipeline: no report")
     for name in ("trips", "zones", "out"):
-        parser.add_argument(f"--{name}", help="with pipeline")
+        parser.add_argument(f"--{name}", help="with pipeline, append and figures")
     args = parser.parse_args(argv)
     if args.command == "pipeline" and not (args.trips and args.zones and args.out):
         parser.error("pipeline needs --trips, --zones and --out")
+    if args.command == "append" and not (args.trips and args.out) or args.command == "figures" and not args.out:
+        parser.error("append needs --trips and --out, figures --out")
     if args.ingest_rows and not args.trips:
         parser.error("--ingest-rows needs --trips")
     spark = SparkSession.builder.appName("siltstone").getOrCreate()
@@ -89,12 +105,16 @@ def main(argv: list[str] | None = None) -> None:
         flagged = build.build(spark, args.trips, args.zones, args.out)
         try:
             fit = tariff.calibrate(flagged)
-            tariff.deploy(spark, fit)
+            tariff.publish(spark, fit, f"{args.out}/tariff")
         except RuntimeError as error:
             fit = error
         if not args.quiet:
             shown = [flags.summary(flagged, TRIPS)]
             print(fit)
+    elif args.command == "append":
+        print(f"{build.append(spark, args.trips, args.out).count()} trips added")
+    elif args.command == "figures":
+        shown = figures(spark, args.out)
     elif args.command == "profile":
         shown = profile(spark, args.data)
     elif args.command == "quality":

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import cli
 from siltstone.operators import cube, flags, ranks, tariff, transform
 from siltstone.plans import build, catalogue, trade
 from siltstone.plans import workflows as w
@@ -323,3 +324,23 @@ def test_what_a_settled_step_made_on_the_way_is_deleted(spark):
     assert out.count() == 5 and other.count() == 3 and scratch.there(path) and scratch.there(other_at)
     assert not any(scratch.there(at) or os.path.exists(at) for _, at in between)
     scratch.discard(path, other_at)
+
+
+def test_files_by_command_line(spark, tmp_path, capsys):
+    lines = trade.event_lines(spark, SF)
+    trade.write_lines(lines.where("line RLIKE '^[0-9]*[02468],'"), str(tmp_path / "one"))
+    trade.write_lines(lines.where("line NOT RLIKE '^[0-9]*[02468],'"), str(tmp_path / "two"))
+    zones = spark.read.parquet(f"{SF}/nation.parquet").selectExpr("n_nationkey AS LocationID", "concat('B', n_regionkey) AS Borough", "n_name AS Zone", "'x' AS service_zone")
+    zones.write.option("header", True).csv(str(tmp_path / "zones"))
+    out = ["--out", str(tmp_path / "out")]
+    cli.main(["pipeline", "--trips", str(tmp_path / "one"), "--zones", str(tmp_path / "zones"), *out])
+    assert "outside_period" in capsys.readouterr().out
+    before = snapshots.current(spark, str(tmp_path / "out/flagged")).count()
+    tariff.publish(spark, tariff.Tariff(2.0, 2.5, 0.5, {2: 70.0}, 1, 0.25, 1.5), str(tmp_path / "out/tariff"))
+    cli.main(["append", "--trips", str(tmp_path / "two"), *out])
+    assert " trips added" in capsys.readouterr().out and snapshots.current(spark, str(tmp_path / "out/flagged")).count() > before
+    cli.main(["figures", *out])
+    shown = capsys.readouterr().out
+    assert "typical_miles" in shown and "off_tariff" in shown
+    with pytest.raises(SystemExit):
+        cli.main(["append", *out])
