@@ -86,21 +86,30 @@ def _confirmed(values: DataFrame, brackets: dict, found: dict) -> list:
             inside[k, rank] = (i, place)
         else:
             missed.append((k, rank))
-    parts = max(1, -(-sum(v for v, _ in sizes.values()) // FETCHED))
-    ranged, ranged_at = kept(counts.repartitionByRange(parts, "i", "v").withColumn("part", F.spark_partition_id()))
-    totals = ranged.groupBy("i", "part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).orderBy("i", "lo").collect()
+    parts, ranged, where = -(-sum(v for v, _ in sizes.values()) // FETCHED), counts, [at]
+    if parts > 1:
+        ranged, ranged_at = kept(counts.repartitionByRange(parts, "i", "v").withColumn("part", F.spark_partition_id()))
+        totals = ranged.groupBy("i", "part").agg(F.sum("n").alias("n"), F.min("v").alias("lo")).orderBy("i", "lo").collect()
+        where.append(ranged_at)
+    held: dict[int, list] = {}
+    if parts <= 1:
+        for r in sorted(counts.collect()):  # (i, v, n)
+            held.setdefault(r["i"], []).append(r)
     for (k, rank), (i, place) in inside.items():
-        for r in totals:
-            if r["i"] == i:
-                if place < r["n"]:
-                    break
-                place -= r["n"]
-        for v in ranged.where((F.col("i") == i) & (F.col("part") == r["part"])).select("v", "n").orderBy("v").collect():
-            if place < v["n"]:
-                found[k, rank] = v["v"]
+        rows = held.get(i)
+        if rows is None:
+            for r in totals:
+                if r["i"] == i:
+                    if place < r["n"]:
+                        break
+                    place -= r["n"]
+            rows = ranged.where((F.col("i") == i) & (F.col("part") == r["part"])).orderBy("v").collect()
+        for r in rows:
+            if place < r["n"]:
+                found[k, rank] = r["v"]
                 break
-            place -= v["n"]
-    discard(at, ranged_at)
+            place -= r["n"]
+    discard(*where)
     return missed
 
 
