@@ -34,6 +34,8 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 0.1
 TOXIC_WEIGHT = 2.0
 WORDS_KEPT = 200_000
 SLICE = 256
+#: Parts of the features' range that are counted one after the other.
+PARTS = 16
 _KEY_BITS = 20
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
@@ -63,19 +65,32 @@ def features(text: str | None) -> np.ndarray:
     return (every >> np.uint64(32)).astype(np.uint32)
 
 
+def _reachable(sets: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """The features (rising) whose weights L1 may let leave zero, counted a part of their range at a time.
+
+    While a weight is zero its sum of gradients moves by less than 1, or TOXIC_WEIGHT, a document and epoch: where
+    all of them together don't exceed L1, the weight stays zero, so leaving it out changes nothing.
+    """
+    edges = np.arange(1, PARTS, dtype=np.uint64) * np.uint64((1 << 32) // PARTS)
+    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in sets]
+    found = []
+    for p in range(PARTS):
+        part = [s[c[p] : c[p + 1]] for s, c in zip(sets, cuts)]
+        keys, docs = np.unique(np.concatenate(part), return_counts=True)
+        toxic, toxic_docs = np.unique(np.concatenate([s for s, y in zip(part, labels) if y]), return_counts=True)
+        most = docs.astype(float)
+        most[np.searchsorted(keys, toxic)] += (TOXIC_WEIGHT - 1) * toxic_docs
+        found.append(keys[EPOCHS * most > L1])
+    return np.concatenate(found)
+
+
 def train(sets: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Feature hashes (rising), their weights, and the bias."""
+    """Feature hashes (rising), their weights, and the bias. ``sets``: each text's different features, rising."""
     rate = float(np.mean(labels)) if len(labels) else 0.0
     none = np.empty(0, np.uint32), np.empty(0)
     if not 0 < rate < 1:
         return *none, 40.0 if rate else -40.0
-    keys, docs = np.unique(np.concatenate(sets), return_counts=True)
-    toxic, toxic_docs = np.unique(np.concatenate([s for s, y in zip(sets, labels) if y]), return_counts=True)
-    # While a weight is zero its sum of gradients moves by less than 1, or TOXIC_WEIGHT, a document and epoch: where
-    # all of them together don't exceed L1, the weight stays zero, so leaving it out changes nothing.
-    most = docs.astype(float)
-    most[np.searchsorted(keys, toxic)] += (TOXIC_WEIGHT - 1) * toxic_docs
-    keys = keys[EPOCHS * most > L1]
+    keys = _reachable(sets, labels)
     indexes = []
     for s in sets:
         at = np.searchsorted(keys, s).astype(np.int32)
