@@ -37,7 +37,7 @@ from siltstone.llm.topk import usable
 
 PARTS, ENTRIES, ROUNDS, SCALE = 16, 64, 2, 256
 #: Vectors at a time in a task.
-SLICE = 4_096
+SLICE = 1_024
 #: Share of the squared norms that a bound is lowered by: rounding is below a seventh of it.
 MARGIN = 1e-6
 
@@ -62,24 +62,35 @@ def _sketch(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def nearest(x: np.ndarray, book: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """For each row of ``x`` the index of the nearest entry and its squared distance; and how many distances were computed."""
     norms, book_norms = ((v.astype(float) ** 2).sum(axis=1) for v in (x, book))
-    row, entry = np.repeat(np.arange(len(x)), len(book)), np.tile(np.arange(len(book)), len(x))
-    most, computed = None, 0
-    for starts in _levels(x.shape[1]):
+    for level, starts in enumerate(_levels(x.shape[1])):
         of_x, of_book = _sketch(x, starts), _sketch(book, starts)
-        if most is None:
-            bound = sum((a[:, None] - b) ** 2 for a, b in zip(of_x.T, of_book.T)).ravel()
+        if level == 0:  # all entries of all rows, as a matrix
+            bound = sum((a[:, None] - b) ** 2 for a, b in zip(of_x.T, of_book.T))
+            most = ((x - book[bound.argmin(axis=1)]) ** 2).sum(axis=1)
+            bound -= MARGIN * norms[:, None]
+            row, entry = np.nonzero(bound <= most[:, None] + MARGIN * book_norms)
         else:
-            bound = ((of_x[row] - of_book[entry]) ** 2).sum(axis=1)
-        best = _first_least(bound, row)
-        exact = ((x - book[entry[best]]) ** 2).sum(axis=1)
-        most = exact if most is None else np.minimum(most, exact)
-        left = bound - MARGIN * (norms[row] + book_norms[entry]) <= most[row]  # the nearest entry is always left
-        row, entry, computed = row[left], entry[left], computed + len(x)
-    exact = ((x[row] - book[entry]) ** 2).sum(axis=1)
+            bound = _apart(of_x, row, of_book, entry)
+            most = np.minimum(most, ((x - book[entry[_first_least(bound, row)]]) ** 2).sum(axis=1))
+            left = bound - MARGIN * (norms[row] + book_norms[entry]) <= most[row]  # the nearest entry is always left
+            row, entry = row[left], entry[left]
+    computed = (level + 1) * len(x)
+    exact = _apart(x, row, book, entry)
     best = _first_least(exact, row)
     return entry[best], exact[best], computed + len(exact)
 
 
+def _apart(x: np.ndarray, row: np.ndarray, book: np.ndarray, entry: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs, a column at a time."""
+    out = np.zeros(len(row), x.dtype)
+    for a, b in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(book.T)):
+        far = a[row]
+        far -= b[entry]
+        far *= far
+        out += far
+    return out
+
+
 def _first_least(values: np.ndarray, row: np.ndarray) -> np.ndarray:
     """Where each row (rising, none missing) has its least value, the first of equal ones."""
     least = np.minimum.reduceat(values, np.flatnonzero(np.diff(row, prepend=-1)))
