@@ -68,6 +68,13 @@ def test_replaced_files_are_read_anew(spark, folder):
     assert sum(r[1] for r in after["issue_distribution"]) == 700 and after["issue_distribution"] == after["issue_distribution_by_cube"] and after["file_accounting"][0][0] == 300
 
 
+def test_distance_by_hour_is_asked_of_all_lines_and_of_all_events(spark):
+    for name, table in (("bench_distance_by_hour", "lineitem"), ("bench_event_distance_by_hour", "events")):
+        for of in ("", "_of_rows"):
+            asked = catalogue.queries()[f"{name}{of}"](spark, SF)
+            assert asked.agg(F.sum("trips")).first()[0] == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
 def test_version_of_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x").write_text("1")
