@@ -19,7 +19,6 @@ from siltstone.plans.build import TRIP_COLUMNS, ZONE_COLUMNS, append, build, cub
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.workflows import CUBE
 from siltstone.sources import landing
-from siltstone.sources.layout import clustered
 from siltstone.sources.scratch import kept, scratch_dir, there
 from siltstone.sources.versions import version
 
@@ -31,12 +30,19 @@ def _nothing() -> Column:
     return F.lit(0).cast("decimal(12,2)")
 
 
-def _derived(fact: DataFrame) -> DataFrame:
+def _rates(fact: DataFrame) -> DataFrame:
     """Days stand for minutes here, so the speed is distance over days."""
     return fact.withColumns(
         {
             "mph": F.when(F.col("minutes") > 0, F.col("distance").cast("double") / F.col("minutes").cast("double")),
             "tip_pct": F.when(F.col("fare") > 0, 100 * F.col("tip").cast("double") / F.col("fare").cast("double")),
+        }
+    )
+
+
+def _derived(fact: DataFrame) -> DataFrame:
+    return _rates(fact).withColumns(
+        {
             "pickup_date": F.to_date("pickup_ts"),
             "month": F.month("pickup_ts"),
             "dow": F.dayofweek("pickup_ts"),
@@ -45,27 +51,49 @@ def _derived(fact: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a part of the join of lines and orders, about: their number follows the tables, so no task's memory does.
+PART_ROWS = 300_000
+
+
+def _parts(*tables: DataFrame) -> int:
+    """Parts that the tables are dealt to, together. The counts come from the files' footers."""
+    return -(-sum(t.count() for t in tables) // PART_ROWS)
+
+
+def _dealt(rows: DataFrame, key: str, parts: int) -> DataFrame:
+    """By the key to so many parts, where the session's own number of them (which Spark may lower) is too low."""
+    return rows.repartition(parts, key) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def trade_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nation and region have 25 and 5 rows; Spark sees their size and broadcasts them."""
+    """Lines and orders are dealt once by the order's key, with nothing that can be had afterwards; an order's side of a part is hashed, so nothing is sorted.
+
+    Nation and region have 25 and 5 rows; Spark sees their size and broadcasts them.
+    """
     line, order, customer, supplier, nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders", "customer", "supplier", "nation", "region"))
     places = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
 
     def side(s: str) -> DataFrame:
         return places.select(F.col("n_nationkey").alias(f"{s}_nation"), F.col("r_name").alias(f"{s}_borough"), F.col("n_name").alias(f"{s}_zone"))
 
-    rows = line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-    rows = rows.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(side("pu"), F.col("c_nationkey") == F.col("pu_nation"))
-    rows = rows.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).join(side("do"), F.col("s_nationkey") == F.col("do_nation"))
-    price = F.col("l_extendedprice").cast("decimal(12,2)")
+    parts, price = _parts(line, order), F.col("l_extendedprice").cast("decimal(12,2)")
     discount, tax = (F.col(c).cast("decimal(4,2)") for c in ("l_discount", "l_tax"))
+    lines = line.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select(
+        "l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_returnflag", F.col("l_quantity").cast("decimal(10,2)").alias("distance"),
+        price.alias("fare"), discount.alias("discount"), tax.alias("tax"), "s_nationkey",
+    )
+    orders = order.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderdate", F.substring("o_orderpriority", 1, 1).cast("int").alias("payment_type"), "c_nationkey")
+    rows = _dealt(lines, "l_orderkey", parts).join(_dealt(orders, "o_orderkey", parts).hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = rows.join(side("pu"), F.col("c_nationkey") == F.col("pu_nation")).join(side("do"), F.col("s_nationkey") == F.col("do_nation"))
+    price, discount, tax = F.col("fare"), F.col("discount"), F.col("tax")
     tip = (price * discount).cast("decimal(12,2)")
     fact = rows.select(
         (F.col("l_orderkey") * 1_000_000 + F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("raw_id"),
         F.col("o_orderdate").alias("pickup_ts"),
         F.col("l_shipdate").alias("dropoff_ts"),
         F.datediff("l_shipdate", "o_orderdate").cast("decimal(18,2)").alias("minutes"),
-        F.col("l_quantity").cast("decimal(10,2)").alias("distance"),
-        price.alias("fare"),
+        "distance",
+        "fare",
         tip.alias("tip"),
         (price * (1 - discount) * (1 + tax)).cast("decimal(12,2)").alias("total"),
         (-2 * tip).cast("decimal(12,2)").alias("extra"),
@@ -75,7 +103,7 @@ def trade_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") != 3, _nothing()).alias("congestion"),
         (F.col("l_linenumber") - 1).alias("passengers"),
         F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "R", 2).otherwise(3).alias("rate_code"),
-        F.substring("o_orderpriority", 1, 1).cast("int").alias("payment_type"),
+        "payment_type",
         "pu_borough", "pu_zone", "do_borough", "do_zone",
     )
     return _derived(fact)
@@ -102,7 +130,7 @@ def version_of(spark: SparkSession, sf_dir: str, tables: tuple[str, ...]) -> str
     return version(spark, *(f"{sf_dir}/{t}.parquet" for t in tables))
 
 
-def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame], partition_by: tuple[str, ...]) -> DataFrame:
+def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...], build: Callable[[], DataFrame], partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Built and stored once for each version of the files; whatever asks for it after that reads the stored one.
 
     What was made of older files is left to the plans that read it, and goes at exit.
@@ -114,11 +142,15 @@ def _once(spark: SparkSession, sf_dir: str, name: str, tables: tuple[str, ...],
 
 
 def flagged_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "trade", TRADE_TABLES, lambda: clustered(apply_rules(trade_fact(spark, sf_dir), TRADE), TRADE), ("month",))
+    """Stored as it is joined: it is asked as a whole, so it isn't worth a further shuffle and sort of whole rows (``clustered``) as a published table is.
+
+    The two rates are most of a stored row and are had from its other columns.
+    """
+    return _rates(_once(spark, sf_dir, "trade", TRADE_TABLES, lambda: apply_rules(trade_fact(spark, sf_dir), TRADE).drop("mph", "tip_pct")))
 
 
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(spark, sf_dir, "events", EVENT_TABLES, lambda: clustered(apply_rules(event_fact(spark, sf_dir), EVENTS), EVENTS), ("month",))
+    return _once(spark, sf_dir, "events", EVENT_TABLES, lambda: apply_rules(event_fact(spark, sf_dir), EVENTS))
 
 
 def _cube(fact: DataFrame, registry: Registry) -> DataFrame:

@@ -34,7 +34,7 @@ def scratch_dir(spark: SparkSession) -> str:
 def kept(df: DataFrame, partition_by: tuple[str, ...] = ()) -> tuple[DataFrame, str]:
     """``df`` written as Parquet to the shared folder and read again, and where: cuts the lineage, survives a lost executor."""
     path = scratch_dir(df.sparkSession)
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.partitionBy(*partition_by).option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

@@ -75,6 +75,21 @@ def test_distance_by_hour_is_asked_of_all_lines_and_of_all_events(spark):
             assert asked.agg(F.sum("trips")).first()[0] == spark.read.parquet(f"{SF}/{table}.parquet").count()
 
 
+def test_the_trade_fact_is_dealt_once_and_never_sorted(spark, monkeypatch):
+    for rows in (trade.PART_ROWS, 100):
+        monkeypatch.setattr(trade, "PART_ROWS", rows)
+        df = flags.apply_rules(trade.trade_fact(spark, SF), TRADE)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2 and "ShuffledHashJoin" in plan and "Sort" not in plan
+    monkeypatch.setattr(trade, "_facts", {})
+    written, kept = [], trade.kept
+    monkeypatch.setattr(trade, "kept", lambda rows, partition_by=(): written.append(rows) or kept(rows, partition_by))
+    stored = flagged_trade(spark, SF)
+    assert rows_of(stored.select(*df.columns)) == rows_of(df)
+    trade.flagged_events(spark, SF)
+    assert len(written) == 2 and not any(s in w._jdf.queryExecution().executedPlan().toString() for w in written for s in ("Sort", "rangepartitioning"))
+
+
 def test_version_of_files(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     (tmp_path / "a" / "x").write_text("1")
