@@ -8,7 +8,9 @@ node compares all its members with two pivots, one drawn and one that meets most
 independent and repeated to the target recall: a pair at similarity 0.8 that needs the whole depth is
 missed by all ten with a probability under 0.006, one that meets in the first nodes with under 1e-6.
 
-Candidates are confirmed on full sets, in rounds: the links of the first trees give components, and of the
+A bit of a set's sketch is set if a shingle of the set falls to it, so each bit that one sketch has and another
+lacks is a shingle that the other set lacks. Candidates whose sketches show that they can't be similar enough are
+dropped by that bound, which is exact, before any full set is made or sent. The others are confirmed on full sets, in rounds: the links of the first trees give components, and of the
 rest only pairs that join two components are looked at, as links inside one change nothing. At last, of a
 node still large at the last depth, members outside its largest component are compared with all members of
 other components. So nothing grows with the square of a group of copies, and no group meets in one task.
@@ -44,6 +46,8 @@ COPIES = 64
 BLOCK, COLUMNS = 256, 8_192
 WORDS_KEPT = 200_000
 SLICE = 256
+#: Bits of a set's sketch.
+SKETCH = 1_024
 #: Shingles from which a set's trees are hashed one by one, to bound memory.
 LONG = 100_000
 
@@ -102,6 +106,12 @@ def paths(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def sketch(s: np.ndarray) -> np.ndarray:
+    bits = np.zeros(SKETCH, bool)
+    bits[(s % np.uint64(SKETCH)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.int64)
+
+
 def _turned(s: np.ndarray, turn: np.ndarray) -> np.ndarray:
     x = s * turn
     x ^= x >> _S
@@ -109,7 +119,8 @@ def _turned(s: np.ndarray, turn: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, words: int, full: bool) -> DataFrame:
-    """Of (id, source, text): id, source, n, digest, and either the nodes of all trees or the full set."""
+    """Of (id, source, text): id, source, n, digest, and either the nodes of all trees and the sketch or the full set."""
+    rest_type = "rest binary" if full else "rest array<long>, sketch array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _begin()
@@ -119,14 +130,14 @@ def _sets(docs: DataFrame, words: int, full: bool) -> DataFrame:
                 sets = [shingles(x, words) for x in batch.column(2).to_pylist()]
                 blobs = [s.astype("<u8").tobytes() for s in sets]
                 if full:
-                    rest = pa.array(blobs, pa.binary())
+                    rest = [pa.array(blobs, pa.binary())]
                 else:
-                    rest = pa.array([paths(s).view(np.int64).ravel() if len(s) else [] for s in sets], pa.list_(pa.int64()))
+                    rest = [pa.array([f(s).view(np.int64).ravel() if len(s) else [] for s in sets], pa.list_(pa.int64())) for f in (paths, sketch)]
                 digests = pa.array([xxhash.xxh3_128_digest(b) for b in blobs], pa.binary())
-                columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), digests, rest]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "n", "digest", "rest"])
+                columns = [batch.column(0), batch.column(1), pa.array(map(len, sets), pa.int64()), digests, *rest]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "source", "n", "digest", "rest", "sketch"][: len(columns)])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, source binary, n long, digest binary, rest {'binary' if full else 'array<long>'}")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, source binary, n long, digest binary, {rest_type}")
 
 
 def _alike(a: str, b: str, percent: int) -> F.Column:
@@ -174,6 +185,25 @@ def _candidates(classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]
     return found, deep
 
 
+def _possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the sketches of ``classes`` (cid, n, sketch) leave: none is dropped whose sets are similar enough."""
+
+    def lacking(a: str, b: str) -> F.Column:
+        """Shingles of the one set that the other lacks, at least."""
+        bits = F.zip_with(f"{a}_sketch", f"{b}_sketch", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y))))
+        return F.aggregate(bits, F.lit(0), lambda total, x: total + x)
+
+    def of(s: str) -> DataFrame:
+        return classes.select(F.col("cid").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
+
+    hubs, hubs_at = kept(pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("held")).join(of("hub"), "hub"))
+    both = spread_join(pairs, hubs, "hub", "held").join(of("member"), "member")
+    common = F.least(F.col("hub_n") - lacking("hub", "member"), F.col("member_n") - lacking("member", "hub"))
+    left = stored(both.where((100 + percent) * common >= percent * (F.col("hub_n") + F.col("member_n"))).select(*pairs.columns))
+    discard(hubs_at)
+    return left
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs as (a, b) whose full sets are similar enough.
 
@@ -279,9 +309,10 @@ def _judged(docs: DataFrame, words: int, percent: int, id_col: str, text: str) -
     every = stored(_sets(texts, words, full=False))
     # One class for equal sets, with a number of its own: ids may come with several texts.
     least = F.min(F.struct("id", "source")).alias("first")
-    classes = every.where("n > 0 and id is not null").groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("rest").alias("rest"))
+    classes = every.where("n > 0 and id is not null").groupBy("digest").agg(least, F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("rest").alias("rest"), F.first("sketch").alias("sketch"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "*"))
     pairs, deep = _candidates(classes.select("cid", "n", "rest"), percent)
+    pairs = _possible(pairs, classes.select("cid", "n", "sketch"), percent)
     ids = pairs.select(F.col("hub").alias("cid")).union(pairs.select("member")).union(deep.select("cid")).distinct()
     wanted = stored(classes.join(ids, "cid", "left_semi").select("cid", "digest", "first.id", "first.source"))
     needed = texts.join(small(wanted.select("id", "source")), ["id", "source"], "left_semi")

@@ -124,3 +124,20 @@ def test_op9_a_text_beyond_the_bound(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, near_dedup.near_duplicates(df, words=4).collect()))
     assert got == [(1, len(words) - 3, 1, True), (2, len(words) - 2, 1, False), (3, 3, 3, True)]
+
+
+def test_the_sketches_drop_unlike_pairs_and_no_alike_one(spark):
+    rnd = random.Random(8)
+    sets, pairs = {}, []
+    for k in range(0, 600, 2):
+        n, kept_of = rnd.choice((1, 5, 30, 300, 3000)), rnd.choice((0.0, 0.5, 0.85, 0.89, 0.9, 1.0))
+        own = [rnd.getrandbits(64) for _ in range(n)]
+        sets[k], sets[k + 1] = own, own[: int(n * kept_of)] + [rnd.getrandbits(64) for _ in range(n - int(n * kept_of))]
+        pairs.append((k, k + 1, 0))
+    rows = [(c, len(s), near_dedup.sketch(near_dedup.np.array(s, near_dedup.np.uint64)).tolist()) for c, s in sets.items()]
+    left = near_dedup._possible(spark.createDataFrame(pairs, "hub long, member long, tree int"), spark.createDataFrame(rows, "cid long, n long, sketch array<long>"), 80)
+    found = {(r.hub, r.member) for r in left.collect()}
+    share = {(a, b): (len(set(sets[a]) & set(sets[b])), len(set(sets[a]) | set(sets[b]))) for a, b, _ in pairs}
+    alike = {p for p, (common, every) in share.items() if 100 * common >= 80 * every}
+    far = {p for p, (common, every) in share.items() if 2 * common < every and len(sets[p[0]]) <= 300}
+    assert alike and far and alike <= found and not far & found
