@@ -105,12 +105,15 @@ def profile_raw(raw: DataFrame) -> DataFrame:
     return rows.select("issue", "rows", percent(F.col("rows"), F.col("total"), 3).alias("pct")).orderBy(F.desc("rows"), "issue")
 
 
+LOSS_COLUMNS = ("distance", *MONEY, "passengers", "rate_code", "payment_type")
+
+
 def cast_losses(raw: DataFrame, fact: DataFrame) -> DataFrame:
     """Each kept row's text against its value, by raw_id: how many texts there are for each column, and how many became no value.
 
     Joins whole tables; where both are in buckets by raw_id it shuffles nothing but the counts.
     """
-    checked = ("distance", *MONEY, "passengers", "rate_code", "payment_type")
+    checked = LOSS_COLUMNS
     texts = raw.select("raw_id", *(F.col(c).alias(f"text_{c}") for c in checked))
     both = fact.select("raw_id", *checked).join(texts, "raw_id")
     counts = [F.struct(F.lit(c).alias("column"), F.count(f"text_{c}").alias("texts"), F.count_if(F.col(f"text_{c}").isNotNull() & F.col(c).isNull()).alias("lost")) for c in checked]

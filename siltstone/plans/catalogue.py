@@ -127,9 +127,14 @@ def _malformed_lines(spark, sf_dir):
     return landed_file(spark, sf_dir).malformed.select("raw_id", "line")
 
 
+#: Rows of a bucket that one task sorts in memory.
+LOSS_ROWS = 250_000
+
+
 def _cast_losses(spark, sf_dir):
-    raw, fact = landed_file(spark, sf_dir).raw, typed_file(spark, sf_dir)
-    buckets = bucket_count(landed_file(spark, sf_dir).counts["read"])
+    """Only the columns that are compared go to the buckets."""
+    raw, fact = (df.select("raw_id", *transform.LOSS_COLUMNS) for df in (landed_file(spark, sf_dir).raw, typed_file(spark, sf_dir)))
+    buckets = bucket_count(landed_file(spark, sf_dir).counts["read"], LOSS_ROWS)
     return transform.cast_losses(bucketed(raw, "raw_id", buckets), bucketed(fact, "raw_id", buckets))
 
 

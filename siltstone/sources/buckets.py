@@ -12,9 +12,9 @@ from siltstone.sources.scratch import scratch_dir
 BUCKET_ROWS = 4_000_000
 
 
-def bucket_count(rows: int) -> int:
+def bucket_count(rows: int, bucket_rows: int = BUCKET_ROWS) -> int:
     """A power of two, so that tables of different sizes still have buckets that fit each other."""
-    return max(4, 1 << (max(1, rows // BUCKET_ROWS) - 1).bit_length())
+    return max(4, 1 << (max(1, rows // bucket_rows) - 1).bit_length())
 
 
 def bucketed(df: DataFrame, key: str, buckets: int, path: str | None = None, name: str | None = None) -> DataFrame:

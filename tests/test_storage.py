@@ -157,6 +157,16 @@ def test_buckets_join_without_a_shuffle(spark):
     assert [bucket_count(r) for r in (0, 10, 4_000_000, 40_000_000)] == [4, 4, 4, 16]
 
 
+def test_cast_losses_sorts_few_rows_and_only_what_it_compares(spark, monkeypatch):
+    dealt = []
+    monkeypatch.setattr(catalogue, "bucketed", lambda df, key, n: dealt.append((len(df.columns), n)) or bucketed(df, key, n))
+    want = rows_of(catalogue.queries()["cast_losses"](spark, SF))
+    monkeypatch.setattr(catalogue, "LOSS_ROWS", 100)
+    assert rows_of(catalogue.queries()["cast_losses"](spark, SF)) == want
+    compared, rows = 1 + len(transform.LOSS_COLUMNS), trade.landed_file(spark, SF).counts["read"]
+    assert all(c == compared for c, _ in dealt) and dealt[2][1] > dealt[0][1] and rows / dealt[2][1] < 200
+
+
 def made_cube(fact, numbers):
     return cube.build(fact, TRADE, CUBE, numbers)
 
