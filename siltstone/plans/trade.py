@@ -19,7 +19,7 @@ from siltstone.plans.build import TRIP_COLUMNS, ZONE_COLUMNS, append, build, cub
 from siltstone.plans.rules import TRIPS
 from siltstone.plans.workflows import CUBE
 from siltstone.sources import landing
-from siltstone.sources.scratch import kept, scratch_dir, there
+from siltstone.sources.scratch import exists, kept, scratch_dir, there
 from siltstone.sources.versions import version
 
 TRADE = TRIPS.with_limits(min_minutes=10, max_minutes=1800, max_distance=48, max_fare=95000, max_mph=4, min_mph=0.004, total_tolerance=100, max_tip_ratio=0.095, period_start="1993-01-01 00:00:00", period_end="1998-01-01 00:00:00")
@@ -200,25 +200,29 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     A line has a field too few where 101 divides the number, and one too many where 103 does.
     """
     e, k = spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_id")
+    # A file of few row groups is read by few tasks, but the texts are made by all.
+    e = e.select(k, "user_id", "ts", "value").repartition(k)
     shape = "MM/dd/yyyy hh:mm:ss a"
     dropoff = F.date_format(F.timestamp_add("SECOND", (k % 50) * 60 + 5, F.col("ts")), shape)
     pickup = F.when(k % 97 == 0, "2024-01-01").when(k % 89 == 0, "99/01/2024 01:00:00 AM").when(k % 83 != 0, F.date_format("ts", shape))
     money = F.when(k % 31 == 0, "1,234.50").when(k % 37 == 0, "abc").when(k % 41 != 0, F.col("value").cast("decimal(12,2)").cast("string"))
+    # Each text that takes work is made once, a few to a step: Java compiles no method of over 8,000 bytes, and one that isn't compiled takes many times as long.
+    e = e.select(k, "user_id", pickup.alias("pickup"), dropoff.alias("dropoff"), money.alias("money")).select("*", _csv_field(F.col("money")).alias("amount"))
     values = {
-        "vendor": k.cast("string"), "pickup": pickup, "dropoff": dropoff, "store_and_fwd": F.lit("N"), "rate_code": F.lit("1"),
+        "vendor": k.cast("string"), "pickup": F.col("pickup"), "dropoff": F.col("dropoff"), "store_and_fwd": F.lit("N"), "rate_code": F.lit("1"),
         "pu_location": (F.col("user_id") % 30).cast("string"), "do_location": (k % 28).cast("string"), "passengers": (k % 4).cast("string"),
-        "distance": (k % 160).cast("string"), "fare": money, "extra": F.lit("0"), "mta_tax": F.lit("0"), "tip": (k % 10).cast("string"), "tolls": F.lit("0"),
-        "ehail_fee": F.lit(None).cast("string"), "improvement": F.lit("0"), "total": money, "payment_type": (1 + k % 6).cast("string"), "trip_type": F.lit("1"), "congestion": F.lit(None).cast("string"),
+        "distance": (k % 160).cast("string"), "fare": F.col("amount"), "extra": F.lit("0"), "mta_tax": F.lit("0"), "tip": (k % 10).cast("string"), "tolls": F.lit("0"),
+        "ehail_fee": F.lit(None).cast("string"), "improvement": F.lit("0"), "total": F.col("amount"), "payment_type": (1 + k % 6).cast("string"), "trip_type": F.lit("1"), "congestion": F.lit(None).cast("string"),
     }
-    fields = [_csv_field(values[c]) for c in TRIP_COLUMNS]
-    line = F.when(k % 101 == 0, F.concat_ws(",", *fields[:-1])).when(k % 103 == 0, F.concat_ws(",", *fields, F.lit("more"))).otherwise(F.concat_ws(",", *fields))
-    return e.select(line.alias("line"))
+    *fields, last = (F.coalesce(values[c], F.lit("")) for c in TRIP_COLUMNS)
+    rest = F.when(k % 101 == 0, "").when(k % 103 == 0, F.concat(F.lit(","), last, F.lit(",more"))).otherwise(F.concat(F.lit(","), last))
+    return e.select(F.concat(F.concat_ws(",", *fields), rest).alias("line"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Text files of the lines, each below the trip file's header. Lines have no control characters, so no field is quoted here."""
+def write_lines(lines: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
+    """Text files of the lines, each below the trip file's header; in a folder for each value of ``partition_by``. Lines have no control characters, so no field is quoted here."""
     header = ",".join(TRIP_COLUMNS.values())
-    lines.select(F.col("line").alias(header)).write.options(header=True, sep="\u0001", quote="", escapeQuotes=False).csv(path)
+    lines.select(F.col("line").alias(header), *partition_by).write.partitionBy(*partition_by).options(header=True, sep="\u0001", quote="", escapeQuotes=False).csv(path)
 
 
 #: (application, folder) -> the version of the events, and what was landed from their file.
@@ -248,13 +252,15 @@ def added_files(spark: SparkSession, sf_dir: str) -> cube.Cube:
     """The cube of two trip files, of which the second was added to what had been built of the first."""
     key, now = (spark.sparkContext.applicationId, sf_dir), version_of(spark, sf_dir, ("events", "nation", "region"))
     if key not in _added or _added[key][0] != now or not there(_added[key][1]):
-        path, lines = scratch_dir(spark), event_lines(spark, sf_dir)
-        later = F.col("line").rlike("^[0-9]*[02468],")
-        write_lines(lines.where(~later), f"{path}/first")
-        write_lines(lines.where(later), f"{path}/second")
+        path, later = scratch_dir(spark), F.col("line").rlike("^[0-9]*[02468],")
+        write_lines(event_lines(spark, sf_dir).withColumn("later", later), f"{path}/lines", ("later",))
+        first, second = (f"{path}/lines/later={x}" for x in ("false", "true"))
+        for file in (first, second):
+            if not exists(spark, file):  # there are no lines for it
+                write_lines(spark.createDataFrame([], "line string"), file)
         nation_zones(spark, sf_dir).withColumnsRenamed(ZONE_COLUMNS).write.option("header", True).csv(f"{path}/zones")
         limits = FILE.limits()
-        build(spark, f"{path}/first", f"{path}/zones", f"{path}/out", limits)
-        append(spark, f"{path}/second", f"{path}/out", limits)
+        build(spark, first, f"{path}/zones", f"{path}/out", limits)
+        append(spark, second, f"{path}/out", limits)
         _added[key] = (now, path)
     return cubed(spark, f"{_added[key][1]}/out")

@@ -54,6 +54,11 @@ def there(path: str) -> bool:
     return path in _scratch
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
 def discard(*paths: str) -> None:
     """Deletes scratch tables that no plan reads any more."""
     for path in paths:

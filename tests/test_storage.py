@@ -343,6 +343,34 @@ def test_a_day_added_gives_what_building_all_gives(spark, tmp_path):
     assert rows_of(flags.summary(build.cubed(spark, str(tmp_path / "b")), TRIPS)) == rows_of(flags.summary(again, TRIPS))
 
 
+def test_lines_of_added_files_are_made_once_dealt_to_all_tasks_and_compiled(spark, monkeypatch):
+    written, write = [], trade.write_lines
+    monkeypatch.setattr(trade, "_added", {})
+    monkeypatch.setattr(trade, "write_lines", lambda lines, path, *by: written.append(path) or write(lines, path, *by))
+    trade.added_files(spark, SF)
+    assert len(written) == 1
+    later, header = F.col("line").rlike("^[0-9]*[02468],"), ",".join(build.TRIP_COLUMNS.values())
+    for folder, part in (("later=false", ~later), ("later=true", later)):
+        assert rows_of(spark.read.text(f"{written[0]}/{folder}").where(F.col("value") != header)) == rows_of(trade.event_lines(spark, SF).where(part))
+    spark.conf.set("spark.sql.adaptive.enabled", False)
+    try:
+        execution = trade.event_lines(spark, SF)._jdf.queryExecution()
+        code = execution.debug().codegenToSeq()
+        assert "Exchange hashpartitioning(event_id" in execution.executedPlan().toString()
+        # Java compiles no method that is larger.
+        assert code.size() and max(code.apply(k)._3().maxMethodCodeSize() for k in range(code.size())) < 8000
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_added_files_of_which_one_has_no_lines(spark, folder):
+    some = spark.read.parquet(f"{SF}/events.parquet").where("event_id % 2 = 1").toPandas()
+    some.to_parquet(f"{folder}/odd.parquet", coerce_timestamps="us")
+    os.replace(f"{folder}/odd.parquet", f"{folder}/events.parquet")
+    kept = trade.typed_file(spark, folder).count()
+    assert 0 < kept < len(some) and w.headline(trade.added_files(spark, folder), trade.FILE).first().trips == kept
+
+
 def test_what_a_settled_step_made_on_the_way_is_deleted(spark):
     other, other_at = scratch.kept(spark.range(3))
     between = []
